@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.llm import jaccard, langid, packing, quality
-from rookery.llm._util import documents, staged
+from rookery.llm._util import documents, ship, staged
 
 #: A document whose strongest language has less than this share is rejected.
 LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     found = langid.identified(docs)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("doc.*")
 
