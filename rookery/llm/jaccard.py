@@ -7,8 +7,10 @@ probability that its similarity reaches the threshold (uniform prior) is read of
 that falls below TOLERANCE. Pairs that stay are verified exactly on their shingles.
 
 Bands that many nodes share are not expanded into all pairs. (1) Every member of a band is compared with the least
-member only; the pairs that stay give components. (2) Members of one band that are still in different components are
-compared with each other. So every candidate pair is either compared or inside one component. (3) Components are
+member, and with the least of a random part of about PART members; the pairs that stay give components. (2) Members of
+one band that are still in different components are compared with each other: pair by pair in bands of up to SMALL
+members, in blocks inside the tasks in larger ones, where the members of the largest component are not compared among
+themselves. So every candidate pair is either compared or inside one component. (3) Components are
 verified exactly, in blocks of BLOCK nodes against blocks, which also counts each node's links; components of the
 verified links are the classes.
 
@@ -37,6 +39,7 @@ from .simhash import mixed, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 HASHES, STEP, TOLERANCE, BLOCK = BANDS * ROWS, 12, 1e-6, 256
+PART, SMALL = 8, 32
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -149,6 +152,65 @@ def _pruned(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return sides.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+class _Forest(dict):
+    """Union-find over the keys it has met; the least key is the root."""
+
+    def root(self, x: int) -> int:
+        self.setdefault(x, x)
+        while self[x] != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _block_links(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of large bands: (band, node, comp) of bands with several components.
+
+    Members outside the band's largest component form minor blocks, those inside major blocks; minor blocks meet all blocks, major
+    ones only minor ones. A group is a pair of blocks and returns links that join components, at most one per member.
+    """
+    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("major"), F.sum("n").alias("n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    tops = tops.select("band", "top", blocks(F.col("n") - F.col("major")).alias("minors"), blocks(F.col("major")).alias("majors"))
+    rows = members.join(tops, "band").withColumn("minor", F.col("comp") != F.col("top"))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    p, none = F.col("p"), F.array().cast("array<struct<i:int,j:int>>")
+    minor = F.concat(
+        F.transform(F.sequence(F.lit(0), p), lambda i: pair(i, p)), F.transform(F.sequence(p, F.col("minors") - 1), lambda j: pair(p, j)),
+        F.transform(F.sequence(F.col("minors"), F.col("minors") + F.col("majors") - 1), lambda j: pair(p, j)),
+    )
+    major = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: pair(i, F.col("minors") + p))
+    own = F.when(F.col("minor"), p).otherwise(F.col("minors") + p)
+    met = rows.select("band", "node", "comp", own.alias("own"), F.inline(F.array_distinct(F.when(F.col("minor"), minor).otherwise(F.coalesce(major, none)))))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        left, right = group[group["own"] == i], group[group["own"] == j]
+        sign = lambda df: np.frombuffer(b"".join(df["signature"]), dtype="<u2").reshape(-1, HASHES)
+        a, b, sa, sb = left["node"].tolist(), right["node"].tolist(), sign(left), sign(right)
+        ca, cb = left["comp"].tolist(), right["comp"].tolist()
+        forest, out = _Forest(), []
+        for x in range(len(a)):
+            root = [forest.root(c) for c in cb]
+            others = np.flatnonzero(np.array(root) != forest.root(ca[x]))
+            if not len(others):
+                continue
+            for y in others[survivors(np.broadcast_to(sa[x], (len(others), HASHES)), sb[others])]:
+                if forest.join(ca[x], cb[y]):
+                    out.append((min(a[x], b[y]), max(a[x], b[y])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = signatures.schema["node"].dataType.simpleString()
+    return met.join(signatures.select("node", "signature"), "node").groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+
 def _verified(nodes: DataFrame) -> DataFrame:
     """node, links (linked texts), least linked node, from ``nodes`` (comp, node, n_texts, signature, text).
 
@@ -166,8 +228,7 @@ def _verified(nodes: DataFrame) -> DataFrame:
         same = group["i"].iloc[0] == group["j"].iloc[0]
         get = lambda df: (df["node"].to_numpy(), df["n_texts"].to_numpy(), np.frombuffer(b"".join(df["signature"]), dtype="<u2").reshape(-1, HASHES), [shingles(t) for t in df["text"]])
         (na, ta, ga, sa), (nb, tb, gb, sb) = get(left), get(right)
-        links, least = {n: 0 for n in [*na, *nb]}, {n: n for n in [*na, *nb]}
-        pairs: list[tuple[int, int]] = []
+        links, forest = {n: 0 for n in [*na, *nb]}, _Forest()
         for i in range(len(na)):
             others = np.arange(i + 1, len(nb)) if same else np.arange(len(nb))
             if not len(others):
@@ -177,18 +238,8 @@ def _verified(nodes: DataFrame) -> DataFrame:
                 if common >= THRESHOLD * (len(sa[i]) + len(sb[j]) - common) - 1e-9:
                     links[na[i]] += tb[j]
                     links[nb[j]] += ta[i]
-                    pairs.append((na[i], nb[j]))
-        # a spanning forest of the links says as much about classes as all of them
-        def root(x: int) -> int:
-            while least[x] != x:
-                least[x] = least[least[x]]
-                x = least[x]
-            return x
-
-        for a, b in pairs:
-            a, b = root(a), root(b)
-            least[max(a, b)] = min(a, b)
-        return pd.DataFrame({"node": list(links), "links": list(links.values()), "least": [root(n) for n in links]})
+                    forest.join(na[i], nb[j])  # says as much about classes as all links
+        return pd.DataFrame({"node": list(links), "links": list(links.values()), "least": [forest.root(n) for n in links]})
 
     kind = nodes.schema["node"].dataType.simpleString()
     return met.groupBy("comp", "i", "j").applyInPandas(compare, f"node {kind}, links bigint, least {kind}")
@@ -207,15 +258,20 @@ def classes(docs: DataFrame) -> DataFrame:
     bands = signatures.select("node", F.explode(keys).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1")
     members = staged(bands.join(shared, "band"), "members")
-    stars = _pruned(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), signatures)
-    stars = staged(stars, "stars")
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("members") / PART))
+    parts = members.where(F.col("members") > PART).select("band", "node", part.alias("part"))
+    heads = parts.groupBy("band", "part").agg(F.min("node").alias("least"))
+    star = lambda rows: rows.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    stars = staged(_pruned(star(members).unionByName(star(parts.join(heads, ["band", "part"]))).distinct(), signatures), "stars")
     comps = components(stars, "stars")
-    placed = members.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(comps, "node", "left").select("band", "node", "members", F.coalesce("comp", "node").alias("comp"))
     spread = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     placed = staged(placed.join(spread, "band"), "placed")
-    other = placed.select("band", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    cross = placed.select("band", F.col("node").alias("a"), "comp").join(other, "band").where("a < b AND comp <> comp_b").select("a", "b").distinct()
-    links = stars.unionByName(staged(_pruned(cross, signatures), "cross"))
+    small = placed.where(F.col("members") <= SMALL)
+    other = small.select("band", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    cross = small.select("band", F.col("node").alias("a"), "comp").join(other, "band").where("a < b AND comp <> comp_b").select("a", "b").distinct()
+    large = _block_links(placed.where(F.col("members") > SMALL).select("band", "node", "comp"), signatures)
+    links = stars.unionByName(staged(_pruned(cross, signatures).unionByName(large), "cross"))
     comps = components(links, "links")
     # texts of the nodes that have candidates, each once
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(comps, "node").dropDuplicates(["node"])
