@@ -1 +1 @@
-
+from . import evidence, exports, readers  # noqa: F401

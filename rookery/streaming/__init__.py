@@ -1 +1 @@
-
+from . import jobs  # noqa: F401
