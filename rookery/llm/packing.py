@@ -6,9 +6,8 @@ size. A block is packed best-fit in order of falling length; then documents are
 for two between underfull bins as long as the sum of squared fills grows, which empties bins.
 A block wastes at most a fraction of a sequence on its last bins.
 
-Token ids are those of the tokenizer file. Its pre-token pattern is applied first and each distinct pre-token is encoded
-once per task (bounded dictionary); texts with characters outside the Latin range, where Unicode tables of two
-libraries might differ, are encoded by the tokenizer as a whole.
+Token ids are those of the tokenizer file. Texts of Latin characters are encoded by its vocabulary and merge order in the faster of
+two libraries; texts with other characters, where the libraries' Unicode tables might differ, by the tokenizer itself.
 
 Defined cases: null and empty texts are one piece of length 1 (the end id); repeated rows are separate pieces; ties go to
 the bin found first; an empty table gives no rows; other columns are ignored by ``op7`` and kept by ``packed``.
@@ -30,31 +29,34 @@ from pyspark.sql import functions as F
 
 from ._util import arrow_batch, documents, rows_of, staged
 
-SEQUENCE, BLOCK, MEMO, PASSES = 2048, 16_384, 1 << 18, 4
-_PLAIN = regex.compile(r"[^\x00-ɏ‐-‧€]")
+SEQUENCE, BLOCK, PASSES = 2048, 16_384, 4
+_FOREIGN = regex.compile(r"[^\x00-ɏ‐-‧€]")
 
 
-class Tokens(dict):
-    """Pre-token -> little-endian 32-bit ids."""
+def _byte_of() -> dict[str, int]:
+    """Byte-level BPE writes each byte as a printable character: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+class Tokens:
+    """Little-endian 32-bit ids of texts. The file's vocabulary lists tokens in the order of their merges, so ids are ranks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return ids
+        byte, special = _byte_of(), {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
+        self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.pieces(text)))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if _FOREIGN.search(text) else self.fast(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def tokenised(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> DataFrame:
