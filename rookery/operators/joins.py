@@ -156,11 +156,11 @@ def first_disjoint(jobs: DataFrame) -> DataFrame:
     return sets.join(best, sets["s"] == best["a"]).select("job_id", "negative_id")
 
 
-@query("j18_dangling_rows", "v_embedding", "v_paragraph", sql="SELECT id, paragraph_id FROM v_embedding WHERE paragraph_id * 7 NOT IN (SELECT document_id FROM v_paragraph)")
+@query("j18_dangling_rows", "v_embedding", "v_paragraph", sql="SELECT id, paragraph_id FROM v_embedding WHERE paragraph_id * 97 NOT IN (SELECT document_id FROM v_paragraph)")
 def dangling_rows(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Rows whose source (here seven times the paragraph number) is gone."""
+    """Rows whose source (here 97 times the paragraph number) is gone."""
     known = paragraphs.select(F.col("document_id").alias("source")).distinct()
-    return rows.join(known, F.col("paragraph_id") * 7 == F.col("source"), "left_anti").select("id", "paragraph_id")
+    return rows.join(known, F.col("paragraph_id") * 97 == F.col("source"), "left_anti").select("id", "paragraph_id")
 
 
 @query("j19_candidate_detail", "v_candidate", "v_application", sql="""SELECT candidate_id, name, coalesce(string_agg(CAST(application_id AS STRING), ',' ORDER BY create_time DESC, application_id), '') AS applications FROM v_candidate LEFT JOIN v_application USING (candidate_id) GROUP BY 1, 2""")

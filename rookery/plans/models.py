@@ -74,7 +74,7 @@ def in_cells(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame
     return rows.withColumn("cell", F.explode(near("embedding")))
 
 
-def approximate_search(rows: DataFrame, queries: DataFrame, k: int = 5, count: int = 12, probes: int = 6) -> DataFrame:
+def approximate_search(rows: DataFrame, queries: DataFrame, k: int = 5, count: int = 12, probes: int = 9) -> DataFrame:
     """Top k per query among the rows of the probed cells: an equi join on the cell, scores in Arrow batches.
 
     The index holds every row once (``in_cells``, to be written partitioned by cell); ``probes`` trades recall for work.
