@@ -206,12 +206,21 @@ def blended(dense: DataFrame, sparse: DataFrame, k: int = K) -> DataFrame:
 _LEG = """x AS (SELECT CAST(20 * item_id AS BIGINT) AS query_id, p.document_id AS paragraph_id, 0.1 * count(*) / (0.1 * count(*) + 1) AS score FROM benchmark JOIN v_paragraph p ON contains(p.content, string_split(text, ' ')[1]) GROUP BY 1, 2)"""
 
 
+def term_hits(rows: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
+    """(keys, term): rows whose ``text`` contains a term of ``terms`` (column term, no white space inside).
+
+    Such a term lies within one word, so the substring test runs once per distinct word and term, not per text.
+    """
+    words = rows.select(*keys, F.explode(F.array_distinct(F.split(text, r"\s"))).alias("word"))
+    match = words.select("word").distinct().join(terms.select("term").distinct(), F.col("word").contains(F.col("term")))
+    return words.join(match, "word").select(*keys, "term").distinct()
+
+
 def _leg(paragraphs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(query_id, paragraph_id, score): lines of a document that contain an item's first word. The words are few; texts are split to distinct words once."""
+    """(query_id, paragraph_id, score): lines of a document that contain an item's first word."""
     asked = benchmark.select((F.col("item_id") * 20).cast("bigint").alias("query_id"), F.get(F.split("text", " "), F.lit(0)).alias("term"))
-    words = paragraphs.select("paragraph_id", "document_id", F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
-    match = words.select("word").distinct().join(asked, F.col("word").contains(F.col("term")))
-    lines = words.join(match, "word").select("query_id", "document_id", "paragraph_id").distinct().groupBy("query_id", F.col("document_id").alias("paragraph_id")).agg(F.count("*").alias("n"))
+    hits = term_hits(paragraphs, ["paragraph_id", "document_id"], "content", asked).join(asked, "term")
+    lines = hits.groupBy("query_id", F.col("document_id").alias("paragraph_id")).agg(F.count_distinct(hits["paragraph_id"]).alias("n"))
     return lines.select("query_id", "paragraph_id", (0.1 * F.col("n") / (0.1 * F.col("n") + 1)).alias("score"))
 
 
@@ -327,10 +336,10 @@ def dual_recall(rows: DataFrame, queries: DataFrame, documents: DataFrame, parag
 def skill_and(documents: DataFrame, jobs: DataFrame, limit: int = 20) -> DataFrame:
     """Ordered skills of each asked job as a bit vector per document: earlier skills weigh more.
 
-    A skill's text test is made once per distinct skill, and only hits travel further.
+    Only hits travel further.
     """
     asked = jobs.where("job_id % 20 = 0").select("job_id", F.posexplode(F.transform(F.slice("skills", 1, 2), lambda s: F.substring(s, 1, 3))).alias("i", "term"))
-    hits = documents.select("document_id", F.lower("content").alias("t")).join(F.broadcast(asked.select("term").distinct().limit(10_000)), F.col("t").contains(F.col("term"))).select("document_id", "term")
+    hits = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", asked)
     found = hits.join(asked, "term").groupBy("job_id", "document_id").agg(F.collect_set("i").alias("s"))
     bits = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.array_contains("s", i).cast("int"))
     ranked = found.withColumn("bits", bits).withColumn("rank", numbered("job_id", order=[F.desc("bits"), "document_id"])).where(F.col("rank") <= limit)
@@ -384,7 +393,7 @@ def job_candidate_match(documents: DataFrame, jobs: DataFrame, limit: int = 10)
     """Two points for each required skill found in the text."""
     asked = jobs.where("job_id % 20 = 0").select("job_id", F.explode(F.array_distinct("skills")).alias("skill"))
     terms = asked.select("skill", F.substring("skill", 1, 3).alias("term")).distinct()
-    hits = documents.select("document_id", F.lower("content").alias("t")).join(terms, F.col("t").contains(F.col("term"))).select("document_id", "skill")
+    hits = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", terms).join(terms, "term").select("document_id", "skill")
     points = hits.join(asked, "skill").groupBy("job_id", "document_id").agg((2 * F.count_distinct("skill")).alias("points"))
     return points.withColumn("rank", numbered("job_id", order=[F.desc("points"), "document_id"])).where(F.col("rank") <= limit)
 
