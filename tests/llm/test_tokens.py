@@ -163,7 +163,7 @@ def test_model_is_causal_and_a_distribution():
 def test_windows_score_each_id_once():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 255, n).astype(np.uint8) for n in (2, 5, 32, 33, 34, 57, 300)]
-    _, target, owner, _ = lm.windows(sequences)
+    _, target, owner = lm.windows(sequences)
     for i, s in enumerate(sequences):
         got = [t for row in target[owner == i] for t in row if t >= 0]
         assert got == s[1:].tolist()
