@@ -146,7 +146,8 @@ def f21(usage: DataFrame) -> DataFrame:
     return usage.select("id", safe.alias("m")).select("id", F.col("m")["api_key"].alias("secret"), F.col("m")["trace"].alias("trace"))
 
 
-@query("f22_cosine", "v_embedding", "v_query_vec", sql="""SELECT query_id, id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM v_embedding e, v_query_vec q WHERE e.id % 20 = q.query_id % 20 AND e.knowledge_id = 3""")
-def f22(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    pairs = rows.where("knowledge_id = 3 AND id % 20 = 0").select("id", "embedding").crossJoin(queries.select("query_id", F.col("embedding").alias("q")))
-    return pairs.select("query_id", "id", F.round(T.cosine("embedding", "q"), 6).alias("cosine"))
+@query("f22_cosine", "v_embedding", sql="""SELECT id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x, i: x * i)), 6) AS cosine FROM v_embedding""")
+def f22(rows: DataFrame) -> DataFrame:
+    """Each vector against itself with rising weights on its coordinates."""
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return rows.select("id", F.round(T.cosine("embedding", weighted), 6).alias("cosine"))

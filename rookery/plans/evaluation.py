@@ -45,10 +45,14 @@ def e02(rows: DataFrame, queries: DataFrame) -> DataFrame:
 @query("e03_structured_baseline", "v_job", sql="""WITH q AS (SELECT job_id, department, city FROM v_job WHERE job_id % 20 = 0), r AS (SELECT q.job_id, j.city = q.city AS ok FROM q JOIN v_job j ON j.department = q.department AND j.job_id <> q.job_id)
     SELECT job_id, count(*) AS returned, round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 6) AS condition_precision FROM r GROUP BY 1""")
 def structured_baseline(jobs: DataFrame) -> DataFrame:
-    """A pure filter as the baseline: the share of returned rows that satisfy the second condition."""
-    asked = jobs.where("job_id % 20 = 0").select(F.col("job_id").alias("asked"), "department", F.col("city").alias("wanted"))
-    rows = asked.join(jobs, "department").where("job_id <> asked")
-    return rows.groupBy(F.col("asked").alias("job_id")).agg(F.count("*").alias("returned"), F.round(F.avg(F.when(F.col("city") == F.col("wanted"), 1.0).otherwise(0.0)), 6).alias("condition_precision"))
+    """A pure filter on the department as the baseline: the share of returned rows that satisfy the second condition.
+
+    Counts per department and city answer every asked job without pairing jobs.
+    """
+    cities = jobs.groupBy("department", "city").agg(F.count("*").alias("same"))
+    totals = cities.groupBy("department").agg((F.sum("same") - 1).alias("returned")).where("returned > 0")
+    asked = jobs.where("job_id % 20 = 0").join(cities, ["department", "city"]).join(totals, "department")
+    return asked.select("job_id", "returned", F.round((F.col("same") - 1) / F.col("returned"), 6).alias("condition_precision"))
 
 
 @query("e04_anchor_grounding", "v_query_text", "v_document", sql="SELECT query_id FROM v_query_text WHERE query_id % 2 = 1 AND query_id * 7 NOT IN (SELECT document_id FROM v_document) OR query_id % 2 = 0 AND query_id NOT IN (SELECT document_id FROM v_document WHERE is_active)")
