@@ -118,22 +118,29 @@ def signed(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, comp): the least node of each connected component, for the nodes of ``edges`` (a, b).
 
-    Each round every node takes the least label among its neighbours and their labels' labels; labels halve their distance, so the
-    rounds grow with the logarithm of the diameter. Every round is a stored table.
+    In a round every node follows its least neighbour twice; then the edges are carried over to the nodes reached, and repeated ones and
+    loops drop out, so later rounds see a far smaller graph. Every round is a stored table.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), f"{name}-labels")
+
+    def tidy(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    left, labels = staged(tidy(edges.select("a", "b")), f"{name}-edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("seen"))
-        taken = labels.join(near, "node").select("node", "comp", F.least("comp", "seen").alias("new"))
-        # hook: the old label learns of the smaller one as well, then everyone follows its label's label
-        hooks = taken.where("new < comp").groupBy(F.col("comp").alias("node")).agg(F.min("new").alias("hook"))
-        hooked = taken.join(hooks, "node", "left").select("node", "comp", F.least("new", F.coalesce("hook", "new")).alias("new"))
-        hooked = staged(hooked, f"{name}-hooked")
-        root = hooked.select(F.col("node").alias("new"), F.col("new").alias("root"))
-        following = staged(hooked.join(root, "new").select("node", F.col("root").alias("comp"), (F.col("root") != F.col("comp")).alias("changed")), f"{name}-labels")
-        labels = following.select("node", "comp")
-        if following.where("changed").isEmpty():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
+        up = staged(up, f"{name}-up")
+        reached = staged(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"), f"{name}-reached")
+        if labels is None:
+            labels = reached.select("node", F.col("root").alias("comp"))
+        else:
+            labels = staged(labels.join(reached.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{name}-labels")
+        at = lambda side: reached.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        moved = left.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        # a node reached may itself have somewhere to go
+        further = reached.select("root").distinct().join(up.withColumnRenamed("node", "root"), "root").select(F.col("root").alias("a"), F.col("up").alias("b"))
+        left = staged(tidy(moved.union(further)), f"{name}-edges")
+        if left.isEmpty():
             return labels
 
 
