@@ -6,8 +6,7 @@ keep) by one masked self-attention layer with a feed-forward layer; an id's prob
 The product is a distribution over id sequences, ended by an end symbol.
 
 Learning: classes and first weights come from at most WARM_DOCS training documents. Then one pass over all training documents counts
-words and ids, and every partition continues the training on windows of each of its documents (one in EVERY, evenly
-spaced, one at least); the weights are averaged by the number of windows, parameter by parameter in the shuffle.
+words and ids, and every partition continues the training on every window of each of its documents; the weights are averaged by the number of windows, parameter by parameter in the shuffle.
 
 Scoring: windows of WINDOW ids overlap by WINDOW - STRIDE; each id is scored once, in the window that gives it the longest
 context. Windows of many documents form one batch with a shared causal mask.
@@ -36,7 +35,7 @@ from ._util import arrow_batch, crc_mod, documents, rows_of, staged
 CLASSES, OWN, WIDTH, HIDDEN = 256, 192, 16, 32
 END, UNSEEN = 255, 254
 WINDOW, STRIDE = 32, 24
-WARM_DOCS, WARM_STEPS, BATCH, EVERY = 1000, 1500, 64, 24
+WARM_DOCS, WARM_STEPS, BATCH, LARGE_BATCH = 1000, 1500, 64, 256
 WARM_RATE, RATE = 0.02, 0.004
 HEAD, FLUSH, MEMO = 1 << 17, 1 << 18, 1 << 19
 _LN10, _END = float(np.log(10)), np.array([END], dtype=np.uint8)
@@ -87,14 +86,16 @@ class Attention:
     def hidden(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         w = self.w
         x = w["E"][ids] + w["P"]
-        q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
+        flat = x.reshape(-1, WIDTH)
+        q, k, v = [(flat @ w[name]).reshape(x.shape) for name in "QKV"]
         s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask
         a = np.exp(s - s.max(axis=2, keepdims=True))
         a /= a.sum(axis=2, keepdims=True)
         c = a @ v
-        h = x + c @ w["O"]
+        h = flat + c.reshape(-1, WIDTH) @ w["O"]
         f = np.maximum(h @ w["F"] + w["f"], 0)
-        return x, q, k, v, a, c, h, f, h + f @ w["G"]
+        z = h + f @ w["G"]
+        return x, q, k, v, a, c, h.reshape(x.shape), f.reshape(*x.shape[:2], HIDDEN), z.reshape(x.shape)
 
     def logp(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of the targets that are not negative, row by row: ``hidden`` with its products folded."""
@@ -122,30 +123,32 @@ class Attention:
         """One Adam step on windows ``ids``; targets below 0 are padding. Returns the loss."""
         w = self.w
         x, q, k, v, a, c, h, f, z = self.hidden(ids)
-        real = (target >= 0).reshape(-1)
+        real = np.flatnonzero(target >= 0)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        y = np.where(real, target.reshape(-1), 0)
-        logits = flat(z) @ w["U"] + w["u"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        y, rows, out = target.reshape(-1)[real], np.arange(len(real)), flat(z)[real]
+        p = out @ w["U"] + w["u"]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        loss = -float(np.log(p[np.arange(len(y)), y] + 1e-30)[real].mean())
-        p[np.arange(len(y)), y] -= 1
-        p *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-        g = {"U": flat(z).T @ p, "u": p.sum(axis=0)}
-        dz = (p @ w["U"].T).reshape(z.shape)
-        df = (dz @ w["G"].T) * (f > 0)
+        loss = -float(np.log(p[rows, y] + 1e-30).mean()) if len(real) else 0.0
+        p[rows, y] -= 1
+        p /= p.dtype.type(max(1, len(real)))
+        g = {"U": out.T @ p, "u": p.sum(axis=0)}
+        dz = np.zeros_like(z)
+        flat(dz)[real] = p @ w["U"].T
+        df = (flat(dz) @ w["G"].T).reshape(f.shape) * (f > 0)
         g["G"], g["F"], g["f"] = flat(f).T @ flat(dz), flat(h).T @ flat(df), flat(df).sum(axis=0)
-        dh = dz + df @ w["F"].T
-        dc = dh @ w["O"].T
+        dh = dz + (flat(df) @ w["F"].T).reshape(dz.shape)
+        dc = (flat(dh) @ w["O"].T).reshape(dh.shape)
         g["O"] = flat(c).T @ flat(dh)
         da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
         ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g["Q"], g["K"], g["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-        one_hot = np.zeros((ids.size, CLASSES), dtype=np.float32)
-        one_hot[np.arange(ids.size), ids.reshape(-1)] = 1
-        g["E"], g["P"] = one_hot.T @ flat(dx), dx.sum(axis=0)
+        dx = dh + (flat(dq) @ w["Q"].T + flat(dk) @ w["K"].T + flat(dv) @ w["V"].T).reshape(dh.shape)
+        at = (ids.reshape(-1, 1) * np.int32(WIDTH) + np.arange(WIDTH, dtype=np.int32)).ravel()
+        g["E"] = np.bincount(at, dx.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(dx.dtype)
+        g["P"] = dx.sum(axis=0)
         self.steps += 1
         for name, grad in g.items():
             m, s = self.moments[name]
@@ -155,17 +158,16 @@ class Attention:
         return loss
 
 
-def windows(sequences: list[np.ndarray], every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets (-1 where a position is padding or was scored in the window before) and owner of each window.
 
-    A sequence is END, its classes, END. every: one window in so many of each sequence, one at least.
+    A sequence is END, its classes, END.
     """
     n = np.fromiter((len(s) - 1 for s in sequences), dtype=np.int32, count=len(sequences))  # predictions
     count = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
-    taken = -(-count // every)
     base = np.cumsum(np.append(0, n[:-1] + 1), dtype=np.int32)
-    owner = np.repeat(np.arange(len(n), dtype=np.int32), taken)
-    nth = (np.arange(len(owner), dtype=np.int32) - np.repeat(np.cumsum(taken) - taken, taken).astype(np.int32)) * every
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), count)
+    nth = np.arange(len(owner), dtype=np.int32) - np.repeat(np.cumsum(count) - count, count).astype(np.int32)
     last = (n[owner] - 1)[:, None]
     at = (nth * STRIDE)[:, None] + np.arange(WINDOW, dtype=np.int32)
     flat = np.concatenate(sequences)
@@ -177,13 +179,13 @@ def windows(sequences: list[np.ndarray], every: int = 1) -> tuple[np.ndarray, np
     return flat[spot], target, owner
 
 
-def _train(model: Attention, sequences: list[np.ndarray], every: int, rate: float, steps: int | None = None) -> int:
-    """Steps over windows of the sequences. Returns the number of windows used."""
-    ids, target, _ = windows(sequences, every)
+def _train(model: Attention, sequences: list[np.ndarray], rate: float, batch: int = BATCH, steps: int | None = None) -> int:
+    """Steps over all windows of the sequences. Returns the number of windows used."""
+    ids, target, _ = windows(sequences)
     order = np.random.default_rng(5).permutation(len(ids))
-    total = steps or -(-len(order) // BATCH)
+    total = steps or -(-len(order) // batch)
     for i in range(total):
-        some = np.take(order, np.arange(i * BATCH, (i + 1) * BATCH), mode="wrap") if steps else order[i * BATCH : (i + 1) * BATCH]
+        some = np.take(order, np.arange(i * batch, (i + 1) * batch), mode="wrap") if steps else order[i * batch : (i + 1) * batch]
         model.step(ids[some], target[some], rate * (1 - i / total) + rate * 0.05)
     return len(ids)
 
@@ -248,7 +250,7 @@ def learn(train: DataFrame) -> tuple[DataFrame, Scorer, int, int, int]:
     classes = _classes(np.bincount(np.concatenate([*sample, np.zeros(0, dtype=np.uint16)]), minlength=sub.size), sample)
     scorer = Scorer(np.zeros(sub.size), classes)
     if sample:
-        _train(model, [scorer.sequence(s) for s in sample], 1, WARM_RATE, WARM_STEPS)
+        _train(model, [scorer.sequence(s) for s in sample], WARM_RATE, steps=WARM_STEPS)
     start = spark.sparkContext.broadcast((scorer, model.w))  # bounded: the vocabulary and the weights
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +271,7 @@ def learn(train: DataFrame) -> tuple[DataFrame, Scorer, int, int, int]:
                 sequences.append(scorer.sequence(coded[-1]))
             docs += len(texts)
             ids += np.bincount(np.concatenate(coded), minlength=sub.size)
-            used += _train(own, sequences, EVERY, RATE)
+            used += _train(own, sequences, RATE, LARGE_BATCH)
             if len(words) > FLUSH:
                 yield rows("w", [w.decode() for w in words], list(words.values()))
                 words.clear()

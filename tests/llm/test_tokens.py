@@ -193,3 +193,13 @@ def test_lm_learns(spark):
     got = [r for r in lm.op10(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     per_word = sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got)
     assert per_word > -4.4  # an untrained model scores below -10
+
+
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    assert lm._train(lm.Attention(), [np.zeros(n, dtype=np.uint8) for n in (602, 33, 34)], lm.RATE) == 25 + 1 + 2
+    monkeypatch.setattr(lm, "WARM_DOCS", 1)
+    monkeypatch.setattr(lm, "WARM_STEPS", 1)
+    text = " ".join(["one"] * 40 + ["red", "blue"] * 230)  # 21 windows; the first never shows the rest
+    _, scorer, *_ = lm.learn(spark.createDataFrame([(i, text) for i in range(400)], "doc_id long, text string").repartition(1))
+    tail = scorer.sequence(lm.Subwords().ids(lm.words_of(text)))[-400:]
+    assert lm.log10_scores(lm.Attention(scorer.weights), [tail])[0] / len(tail) > -0.6
