@@ -5,8 +5,10 @@ predicts the class of the next id (frequent ids are classes of their own, the ot
 keep) by one masked self-attention layer with a feed-forward layer; an id's probability within its class comes from its count.
 The product is a distribution over id sequences, ended by an end symbol.
 
-Learning: classes and first weights come from at most WARM_DOCS training documents. Then one pass over all training documents counts
-words and ids, and every partition continues the training on every window of each of its documents; the weights are averaged by the number of windows, parameter by parameter in the shuffle.
+Learning: a first pass encodes the training documents, stages their ids and counts words and ids. A second counts the neighbours
+of each id in the whole corpus, from which the classes come. First weights come from at most WARM_DOCS documents; then every
+partition continues the training on every window of each of its documents, and the weights are averaged by the number of
+windows, parameter by parameter in the shuffle.
 
 Scoring: windows of WINDOW ids overlap by WINDOW - STRIDE; each id is scored once, in the window that gives it the longest
 context. Windows of many documents form one batch with a shared causal mask.
@@ -38,7 +40,9 @@ WINDOW, STRIDE = 32, 24
 WARM_DOCS, WARM_STEPS, BATCH, LARGE_BATCH = 1000, 1500, 64, 256
 WARM_RATE, RATE = 0.02, 0.004
 HEAD, FLUSH, MEMO = 1 << 17, 1 << 18, 1 << 19
-_LN10, _END = float(np.log(10)), np.array([END], dtype=np.uint8)
+#: Slots of the neighbours of an id: OWN ids and all others, left and right.
+NEAR = 2 * (OWN + 1)
+_LN10, _END, _GAP = float(np.log(10)), np.array([END], dtype=np.uint8), np.array([-1], dtype=np.int32)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -190,30 +194,39 @@ def _train(model: Attention, sequences: list[np.ndarray], rate: float, batch: in
     return len(ids)
 
 
-def _classes(counts: np.ndarray, sample: list[np.ndarray]) -> np.ndarray:
-    """Class of each id: the OWN most frequent alone, others by k-means on their neighbours in the sample, unseen ones together."""
+def _own(counts: np.ndarray) -> np.ndarray:
+    """The OWN most frequent ids."""
+    order = np.argsort(-counts, kind="stable")[:OWN]
+    return order[counts[order] > 0]
+
+
+def _neighbours(sequences: list[np.ndarray], slot: np.ndarray) -> np.ndarray:
+    """A key for each id without a class of its own and each of its two neighbours: id * NEAR + the neighbour's slot, left slots first."""
+    flat = np.concatenate([x for s in sequences for x in (s.astype(np.int32), _GAP)])
+    at = slot[flat]
+    left, right, old, new = flat[:-1], flat[1:], at[:-1], at[1:]
+    a, b = (right >= 0) & (new == OWN), (left >= 0) & (old == OWN)
+    first = flat[:1][(flat[:1] >= 0) & (at[:1] == OWN)]
+    return np.concatenate((first * NEAR + OWN, right[a] * NEAR + old[a], left[b] * NEAR + OWN + 1 + new[b]))
+
+
+def _classes(counts: np.ndarray, keys: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Class of each id: the OWN most frequent alone, others by k-means on their neighbours, unseen ones together.
+
+    keys, roots: those of ``_neighbours`` in all sequences and the square roots of their counts.
+    """
     out = np.full(len(counts), UNSEEN, dtype=np.uint8)
-    order = np.argsort(-counts, kind="stable")
-    own = order[:OWN][counts[order[:OWN]] > 0]
+    own = _own(counts)
     out[own] = np.arange(len(own))
-    slot = np.full(len(counts) + 1, OWN)
-    slot[own] = np.arange(len(own))
-    flat = np.concatenate([np.append(s.astype(np.int64), -1) for s in sample]) if sample else np.zeros(0, dtype=np.int64)
-    if len(flat) < 3:
-        return out
-    rare, seen = np.unique(flat[(flat >= 0) & (slot[flat] == OWN)], return_counts=True)
-    groups = UNSEEN - OWN
+    rare = np.flatnonzero((counts > 0) & (out == UNSEEN))
     if len(rare) == 0:
         return out
-    row = np.full(len(counts) + 1, -1)
+    row = np.zeros(len(counts), dtype=np.int64)
     row[rare] = np.arange(len(rare))
-    near = np.zeros((len(rare), 2 * (OWN + 1)), dtype=np.float32)
-    left, right = flat[:-1], flat[1:]
-    np.add.at(near, (row[right][row[right] >= 0], slot[left][row[right] >= 0]), 1)
-    np.add.at(near, (row[left][row[left] >= 0], OWN + 1 + slot[right][row[left] >= 0]), 1)
-    near = np.sqrt(near)
+    near = np.zeros((len(rare), NEAR), dtype=np.float32)
+    near[row[keys // NEAR], keys % NEAR] = roots
     near /= np.linalg.norm(near, axis=1, keepdims=True) + 1e-9
-    centres = near[np.argsort(-seen, kind="stable")[:groups]]
+    centres = near[np.argsort(-counts[rare], kind="stable")[: UNSEEN - OWN]]
     for _ in range(8):
         best = (near @ centres.T).argmax(axis=1)
         centres = np.stack([near[best == g].sum(axis=0) if (best == g).any() else centres[g] for g in range(len(centres))])
@@ -242,59 +255,87 @@ def log10_scores(model: Attention, sequences: list[np.ndarray], chunk: int = 64)
     return out / _LN10
 
 
-def learn(train: DataFrame) -> tuple[DataFrame, Scorer, int, int, int]:
-    """The stored counts of words, the model, and N, V and the number of training documents."""
-    spark, sub, model = train.sparkSession, Subwords(), Attention()
-    warm = train.where(F.length("text").between(200, 8000)).orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text").limit(WARM_DOCS).collect()
-    sample = [sub.ids(words_of(r["text"])) for r in warm]
-    classes = _classes(np.bincount(np.concatenate([*sample, np.zeros(0, dtype=np.uint16)]), minlength=sub.size), sample)
-    scorer = Scorer(np.zeros(sub.size), classes)
-    if sample:
-        _train(model, [scorer.sequence(s) for s in sample], WARM_RATE, steps=WARM_STEPS)
-    start = spark.sparkContext.broadcast((scorer, model.w))  # bounded: the vocabulary and the weights
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(kind, key, n, v): counts of words (w), subword ids (i) and documents (d), and weights (p); words are flushed when many."""
-        scorer, weights = start.value
-        sub, own = Subwords(), Attention({k: v.copy() for k, v in weights.items()})
-        words, ids, docs, used = Counter(), np.zeros(sub.size, dtype=np.int64), 0, 0
-
-        def rows(kind: str, keys: list[str], n: list[int], v: np.ndarray | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(np.zeros(len(keys)) if v is None else v)], names=["kind", "key", "n", "v"])
-
-        for (texts,) in rows_of(batches, "text", limit=1 << 20):
-            sequences, coded = [], []
-            for text in texts:
-                split = words_of(text)
-                words.update(split)
-                coded.append(sub.ids(split))
-                sequences.append(scorer.sequence(coded[-1]))
-            docs += len(texts)
-            ids += np.bincount(np.concatenate(coded), minlength=sub.size)
-            used += _train(own, sequences, RATE, LARGE_BATCH)
-            if len(words) > FLUSH:
-                yield rows("w", [w.decode() for w in words], list(words.values()))
-                words.clear()
-        if docs:
-            some = np.flatnonzero(ids)
-            flat = np.concatenate([x.ravel() for x in own.w.values()]).astype(np.float64)
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n, ids): the ids of each text (s), and counts of words (w), subword ids (i) and documents (d); words are flushed when many."""
+    sub = Subwords()
+    words, by_id, docs = Counter(), np.zeros(sub.size, dtype=np.int64), 0
+
+    def rows(kind: str, keys: list[str], n: list[int], ids: list[bytes] | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(ids or [None] * len(keys), pa.binary())], names=["kind", "key", "n", "ids"])
+
+    for (texts,) in rows_of(batches, "text", limit=1 << 20):
+        coded = []
+        for text in texts:
+            split = words_of(text)
+            words.update(split)
+            coded.append(sub.ids(split))
+        docs += len(texts)
+        by_id += np.bincount(np.concatenate(coded), minlength=sub.size)
+        yield rows("s", [""] * len(coded), [len(x) for x in coded], [x.tobytes() for x in coded])
+        if len(words) > FLUSH:
             yield rows("w", [w.decode() for w in words], list(words.values()))
-            yield rows("i", [str(i) for i in some], ids[some])
-            yield rows("d", [""], [docs])
-            yield rows("p", [str(i) for i in range(len(flat))], [used] * len(flat), flat * used)
+            words.clear()
+    if docs:
+        some = np.flatnonzero(by_id)
+        yield rows("w", [w.decode() for w in words], list(words.values()))
+        yield rows("i", [str(i) for i in some], by_id[some].tolist())
+        yield rows("d", [""], [docs])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The ids of the sequences of each batch, cut so that one piece stays near 2^18 ids."""
+    for (some,) in rows_of(batches, "ids", limit=1 << 19):
+        yield [np.frombuffer(x, dtype=np.uint16) for x in some]
+
 
-    counts = train.select("text").mapInArrow(gather, "kind string, key string, n bigint, v double").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    counts = staged(counts, "lm-counts")
+def learn(train: DataFrame) -> tuple[DataFrame, Scorer, int, int, int]:
+    """The stored counts of words, the model, and N, V and the number of training documents."""
+    spark, size, model = train.sparkSession, Subwords().size, Attention()
+    coded = staged(train.select("text").mapInArrow(_coded, "kind string, key string, n bigint, ids binary"), "lm-coded")
+    sequences = coded.where("kind = 's'").select("ids")
+    counts = staged(coded.where("kind <> 's'").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     sums = {r["kind"]: (r["n"], r["rows"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
     docs = sums.get("d", (0, 0))[0]
     total, distinct = sums.get("w", (0, 0))[0] + docs, sums.get("w", (0, 0))[1] + (docs > 0)
-    by_id = np.zeros(sub.size)
+    by_id = np.zeros(size)
+    for r in counts.where("kind = 'i'").collect():  # bounded by the vocabulary
+        by_id[int(r["key"])] = r["n"]
+    own = _own(by_id)
+    slot = np.full(size + 1, OWN, dtype=np.int32)
+    slot[own] = np.arange(len(own))
+    slots = spark.sparkContext.broadcast(slot)  # bounded by the vocabulary
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size * NEAR, dtype=np.int32)
+        for pieces in _pieces(batches):
+            np.add.at(found, _neighbours(pieces, slots.value), 1)
+        some = np.flatnonzero(found)
+        for a in range(0, len(some), 1 << 17):
+            part = some[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[part].astype(np.int64))], names=["near", "n"])
+
+    pairs = sequences.mapInArrow(near, "near int, n bigint").groupBy("near").agg(F.sqrt(F.sum("n")).cast("float").alias("root"))
+    pairs = pairs.toArrow()  # bounded: vocabulary x NEAR pairs of 8 bytes
+    classes = _classes(by_id, pairs.column("near").to_numpy(), pairs.column("root").to_numpy())
+    scorer = Scorer(by_id, classes)
+    warm = [np.frombuffer(r["ids"], dtype=np.uint16) for r in sequences.orderBy(F.xxhash64("ids"), "ids").limit(WARM_DOCS).collect()]
+    if warm:
+        _train(model, [scorer.sequence(s) for s in warm], WARM_RATE, steps=WARM_STEPS)
+    start = spark.sparkContext.broadcast((classes, model.w))  # bounded: the vocabulary and the weights
+
+    def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Weights times windows, and windows, after all windows of the partition."""
+        classes, weights = start.value
+        mine, used = Attention({k: v.copy() for k, v in weights.items()}), 0
+        for pieces in _pieces(batches):
+            used += _train(mine, [np.concatenate((_END, classes[x], _END)) for x in pieces], RATE, LARGE_BATCH)
+        if used:
+            flat = np.concatenate([x.ravel() for x in mine.w.values()]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array([used] * len(flat), pa.int64()), pa.array(flat * used)], names=["at", "n", "v"])
+
     flat = np.concatenate([x.ravel() for x in model.w.values()])
-    for r in counts.where("kind IN ('i', 'p')").collect():  # bounded by the vocabulary and the number of weights
-        if r["kind"] == "i":
-            by_id[int(r["key"])] = r["n"]
-        else:
-            flat[int(r["key"])] = r["v"] / r["n"]
+    for r in sequences.mapInArrow(tune, "at int, n bigint, v double").groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).collect():  # bounded by the number of weights
+        flat[r["at"]] = r["v"]
     ends = np.cumsum([x.size for x in model.w.values()])[:-1]
     weights = {k: part.reshape(model.w[k].shape) for k, part in zip(model.w, np.split(flat, ends), strict=True)}
     return counts.where("kind = 'w'").select(F.col("key").alias("word"), F.col("n").alias("c")), Scorer(by_id, classes, weights), total, distinct, docs

@@ -203,3 +203,30 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
     _, scorer, *_ = lm.learn(spark.createDataFrame([(i, text) for i in range(400)], "doc_id long, text string").repartition(1))
     tail = scorer.sequence(lm.Subwords().ids(lm.words_of(text)))[-400:]
     assert lm.log10_scores(lm.Attention(scorer.weights), [tail])[0] / len(tail) > -0.6
+
+
+def test_lm_classes_come_from_the_whole_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm, "WARM_DOCS", 2)
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(400)]
+    docs = [" ".join(rng.choice(names) for _ in range(12)) for _ in range(300)]  # all shorter than 200 characters
+    _, scorer, *_ = lm.learn(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    sub = lm.Subwords()
+    used = np.unique(np.concatenate([sub.ids(lm.words_of(t)) for t in docs]))
+    assert len(used) > lm.OWN and (scorer.classes[used] != lm.UNSEEN).all()
+    assert len(np.unique(scorer.classes[used])) > lm.OWN
+
+
+def test_neighbours_equal_brute_force():
+    rng = np.random.default_rng(7)
+    sequences = [rng.integers(0, 9, n).astype(np.uint16) for n in (0, 1, 6, 0, 30)]
+    slot = np.full(10, lm.OWN, dtype=np.int32)
+    slot[[2, 5]] = 0, 1
+    want = collections.Counter()
+    for s in sequences:
+        padded = [-1, *s.tolist(), -1]
+        for a, x, b in zip(padded, padded[1:], padded[2:]):
+            if slot[x] == lm.OWN:
+                want[x * lm.NEAR + slot[a]] += 1
+                want[x * lm.NEAR + lm.OWN + 1 + slot[b]] += 1
+    assert collections.Counter(lm._neighbours(sequences, slot).tolist()) == want
