@@ -5,7 +5,8 @@ the failure link names the node to go on from and the popped-token count says ho
 finished on the way; both are precomputed. A word of n characters costs O(n) steps, however its pieces overlap.
 
 The query uses the public 32k sentence-piece vocabulary as word pieces: an entry that begins with the word mark
-starts words, any other continues them. A word that cannot be covered counts as one unknown piece.
+starts words, any other continues them. A word that no such piece starts becomes the bare mark and continuations, and a
+character that no piece covers counts as its UTF-8 bytes, as the vocabulary has a piece for each byte.
 
 Defined cases: null and empty texts have no pieces; very long words are walked once; repeated rows and ties give the
 same numbers; an empty table gives no rows; other columns are ignored.
@@ -27,9 +28,14 @@ _NONE = -1
 
 
 class LongestMatch:
-    """Nodes are numbers: 0 is the word's root, 1 the root of continuations."""
+    """Nodes are numbers: 0 is the word's root, 1 the root of continuations.
 
-    def __init__(self, starts: list[str], rests: list[str]):
+    fallback: the bare word mark and a piece for each byte exist, so every word can be covered; without it, a word that
+    cannot be covered counts as one unknown piece.
+    """
+
+    def __init__(self, starts: list[str], rests: list[str], fallback: bool = False):
+        self.fallback = fallback
         self.edges: list[dict[str, int]] = [{}, {}]
         final: list[bool] = [False, False]
         for root, tokens in ((0, starts), (1, rests)):
@@ -46,6 +52,8 @@ class LongestMatch:
                     final[node] = True
         n = len(self.edges)
         self.fail, self.pops = [_NONE] * n, [0] * n
+        if fallback:  # the bare mark is a piece: leave the word's root for the continuations
+            self.fail[0], self.pops[0] = 1, 1
         todo = deque([0, 1])
         while todo:
             node = todo.popleft()
@@ -59,10 +67,12 @@ class LongestMatch:
                         at = self.fail[at]
                     if at != _NONE:
                         self.fail[child], self.pops[child] = self.edges[at][ch], popped
+                    elif fallback:  # only bytes cover this character
+                        self.fail[child], self.pops[child] = 1, popped + len(ch.encode())
                 todo.append(child)
 
     def length(self, word: str) -> int:
-        """Number of pieces of a word; 1 where it cannot be covered, 0 for the empty word."""
+        """Number of pieces of a word; 1 where it cannot be covered (never with fallback), 0 for the empty word."""
         node, count = 0, 0
         edges, fail, pops = self.edges, self.fail, self.pops
         for ch in word:
@@ -70,7 +80,11 @@ class LongestMatch:
             while nxt is None:
                 at = fail[node]
                 if at == _NONE:
-                    return 1
+                    if not self.fallback:
+                        return 1
+                    count += len(ch.encode())
+                    nxt = node
+                    break
                 count += pops[node]
                 node = at
                 nxt = edges[node].get(ch)
@@ -120,4 +134,4 @@ def counted(docs: DataFrame, automaton: LongestMatch) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(documents(spark, sf_dir), LongestMatch(*vocabulary()))
+    return counted(documents(spark, sf_dir), LongestMatch(*vocabulary(), fallback=True))

@@ -80,6 +80,39 @@ def test_word_pieces_equal_greedy_search(spark):
     assert wordpiece.counted(empty(spark), automaton).count() == 0
 
 
+def test_word_pieces_cover_every_word(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    size = range(model.get_piece_size())
+    full = {model.id_to_piece(i) for i in size if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    assert "▁" in full and sum(model.is_byte(i) for i in size) == 256
+
+    def greedy(word, full):
+        s, i, n = "▁" + word, 0, 0
+        while i < len(s):
+            j = next((j for j in range(len(s), i, -1) if s[i:j] in full and (i == 0 or s[i] != "▁")), None)
+            n += 1 if j else len(s[i].encode())
+            i = j or i + 1
+        return n
+
+    rng = random.Random(6)
+    words = ["2024-01-31", "9" * 50, "日本語の文章", "中文文本没有空格" * 30, "½", "🎉x🎉", "don't", "Über2", "\U00020000a", "a▁b"]
+    words += ["".join(rng.choice("0123abTheé日本語中ひカ½🎉\U00020000") for _ in range(rng.randint(1, 25))) for _ in range(2000)]
+    automaton = wordpiece.LongestMatch(*wordpiece.vocabulary(), fallback=True)
+    assert [automaton.length(w) for w in words] == [greedy(w, full) for w in words]
+    for _ in range(150):
+        make = lambda: {"".join(rng.choice("ab½") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 8))}
+        starts, rests = make(), make()
+        automaton, own = wordpiece.LongestMatch(sorted(starts), sorted(rests), fallback=True), {"▁", *rests, *("▁" + x for x in starts)}
+        for _ in range(40):
+            w = "".join(rng.choice("ab½d") for _ in range(rng.randint(1, 14)))
+            assert automaton.length(w) == greedy(w, own)
+    got = {r["doc_id"]: r["n_pieces"] for r in wordpiece.op8(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(50).collect()
+    assert all(got[r["doc_id"]] == sum(greedy(w.decode(), full) for w in (r["text"] or "").encode().split()) for r in rows)
+
+
 def test_token_ids_equal_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     ours, library = packing.Tokens(path), Tokenizer.from_file(path)
