@@ -3,8 +3,9 @@
 Learning counts hashed letter trigrams of every labelled training document per language (one row per task,
 language and trigram is shuffled). For a document, runs of trigrams are the observations; their likelihoods
 under each language drive EM for the document's proportions. The set of languages is chosen by penalised
-likelihood: nested sets of the strongest languages are refitted, and a further language must pay half the
-logarithm of the number of runs. The strongest language of the chosen set is the prediction.
+likelihood: nested sets of the strongest languages are refitted, up to all of them, and a further language must pay
+half the logarithm of the number of runs. A document is done when its best run by run likelihood could not pay for a
+larger set. The strongest language of the chosen set is the prediction.
 
 The model holds BUCKETS floats per language (256 KiB each), whatever the corpus size.
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from ._util import crc_mod, documents, rows_of
 
 BUCKETS = 1 << 16
-#: Trigrams in a run, weight of a trigram (three neighbours overlap), EM rounds, largest set tried.
-RUN, TEMPER, ROUNDS, MOST_LANGUAGES = 24, 1 / 3, 12, 3
+#: Trigrams in a run, weight of a trigram (three neighbours overlap), EM rounds.
+RUN, TEMPER, ROUNDS = 24, 1 / 3, 12
 UNKNOWN = "und"
 
 
@@ -88,26 +89,35 @@ class LanguageModel:
         top = likelihood.max(axis=1, keepdims=True)
         weight = np.exp(likelihood - top)
 
-        def fit(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def fit(share: np.ndarray, rounds: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Refitted shares of the documents ``some`` (ascending) and their log-likelihoods."""
+            n, own = runs[some], np.isin(of, some)
+            begin, to, w = np.append(0, np.cumsum(n)[:-1]), np.repeat(np.arange(len(some)), n), weight[own]
             for _ in range(rounds):
-                joint = weight * share[of] + 1e-300
+                joint = w * share[to] + 1e-300
                 joint /= joint.sum(axis=1, keepdims=True)
-                share = np.where(share > 0, np.add.reduceat(joint, first, axis=0) / runs[:, None], 0)
-            seen = np.log((weight * share[of]).sum(axis=1) + 1e-300) + top[:, 0]
-            return share, np.add.reduceat(seen, first)
+                share = np.where(share > 0, np.add.reduceat(joint, begin, axis=0) / n[:, None], 0)
+            seen = np.log((w * share[to]).sum(axis=1) + 1e-300) + top[own, 0]
+            return share, np.add.reduceat(seen, begin)
 
         k = len(self.langs)
-        share, _ = fit(np.full((len(docs), k), 1 / k), ROUNDS)
+        left = np.arange(len(docs))
+        share, _ = fit(np.full((len(docs), k), 1 / k), ROUNDS, left)
         order = np.argsort(-share, axis=1, kind="stable")
         best_value = np.full(len(docs), -np.inf)
         best, chosen = np.zeros_like(share), np.ones(len(docs), dtype=np.int64)
-        for size in range(1, min(k, MOST_LANGUAGES) + 1):
-            allowed = np.zeros_like(share)
-            np.put_along_axis(allowed, order[:, :size], 1 / size, axis=1)
-            fitted, value = fit(allowed, ROUNDS if size > 1 else 0)
-            value = value - (size - 1) * (2 + 0.5 * np.log(runs))
-            better = value > best_value
-            best_value, best, chosen = np.where(better, value, best_value), np.where(better[:, None], fitted, best), np.where(better, size, chosen)
+        most, cost = np.add.reduceat(top[:, 0], first), 2 + 0.5 * np.log(runs)  # no mixture is likelier than the best language of each run
+        for size in range(1, k + 1):
+            left = left[most[left] - (size - 1) * cost[left] > best_value[left]]
+            if not len(left):
+                break
+            allowed = np.zeros((len(left), k))
+            np.put_along_axis(allowed, order[left, :size], 1 / size, axis=1)
+            fitted, value = fit(allowed, ROUNDS if size > 1 else 0, left)
+            value = value - (size - 1) * cost[left]
+            better = value > best_value[left]
+            at = left[better]
+            best_value[at], best[at], chosen[at] = value[better], fitted[better], size
         total = np.add.reduceat(likelihood, first, axis=0)
         sure = np.exp(total - total.max(axis=1, keepdims=True))
         sure /= sure.sum(axis=1, keepdims=True)

@@ -62,6 +62,16 @@ def test_language_mixture_and_odd_rows(spark):
     assert langid.identified(empty(spark)).count() == 0
 
 
+def test_language_mixture_of_all_languages(spark):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(base)
+    texts = [base.where((base["lang"] == x) & (base["n_chars"] > 1500)).orderBy("doc_id").first()["text"][:1500] for x in model.langs]
+    assert len(texts) > 3
+    mixed, alone = model.mixtures(["\n".join(texts), texts[0]])
+    assert {x for x, _ in mixed} == set(model.langs) and all(abs(p - 1 / len(texts)) < 0.1 for _, p in mixed)
+    assert [x for x, _ in alone] == [model.langs[0]]
+
+
 def test_sharding(spark):
     df = shard.interleaved(frame(spark), 4)
     got = df.collect()
