@@ -139,19 +139,26 @@ class Bins:
                 if not 0 < self.fill[b] < self.capacity:
                     continue
                 gap, own = self.capacity - self.fill[b], self.bins[b]
-                offers: list[tuple[int, list[int]]] = [(0, []), *((self.lengths[y], [y]) for y in own)]
-                offers += [(self.lengths[own[i]] + self.lengths[own[j]], [own[i], own[j]]) for i in range(min(len(own), 12)) for j in range(i)]
+                kinds: dict[int, list[int]] = {}  # two documents of each length are enough; distinct lengths of a bin are few
+                for y in own:
+                    if len(kinds.setdefault(self.lengths[y], [])) < 2:
+                        kinds[self.lengths[y]].append(y)
+                offers: dict[int, list[int]] = {0: [], **{n: ys[:1] for n, ys in kinds.items()}}
+                each = list(kinds.items())
+                for i, (n, ys) in enumerate(each):
+                    if len(ys) > 1:
+                        offers.setdefault(2 * n, ys)
+                    for m, zs in each[:i]:
+                        offers.setdefault(n + m, [ys[0], zs[0]])
                 best, choice = 0, None
-                for given, out in offers:
-                    limit = min(self.capacity, given + gap)
-                    n = (some & ((1 << (limit + 1)) - 1)).bit_length() - 1
-                    if n - given <= best:
-                        continue
-                    for x in have[n][-1:-5:-1]:
-                        a = self.of[x]
-                        if a != b and self.lengths[x] == n and self.fill[a] <= self.fill[b]:
+                for given, out in offers.items():
+                    fits = some & ((1 << (min(self.capacity, given + gap) + 1)) - 1)
+                    while (n := fits.bit_length() - 1) - given > best:
+                        x = next((x for x in reversed(have[n]) if (a := self.of[x]) != b and self.fill[a] <= self.fill[b]), None)
+                        if x is not None:
                             best, choice = n - given, (out, x)
                             break
+                        fits &= ~(1 << n)  # no emptier bin holds this length
                     if best == gap:
                         break
                 if choice:

@@ -164,6 +164,15 @@ def test_local_search_only_raises_squared_fill():
     assert sum(map(bool, bins.bins)) == 3
 
 
+def test_local_search_sees_all_exchanges():
+    """Only the last two of fourteen documents of the fuller bin give a sum that makes room for the longer one."""
+    few = packing.Bins([*range(101, 113), 200, 201, 402, 600], 2048)
+    few.bins, few.fill, few.of = [list(range(14)), [14, 15]], [sum(few.lengths[:14]), 1002], [0] * 14 + [1, 1]
+    few.capacity = few.fill[0] + 1
+    few.local_search(1)
+    assert few.fill[0] == few.capacity and 14 in few.bins[0] and {12, 13} <= set(few.bins[1])
+
+
 def test_gradients():
     model = lm.Attention({k: v.astype(np.float64) for k, v in lm.Attention().w.items()})
     rng = np.random.default_rng(1)
