@@ -4,19 +4,18 @@ the registered queries run them once over all files (trigger availableNow) into
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..session import shared_dir
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared one the cluster names in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rookery-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A fresh folder below the one that driver and executors share."""
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
