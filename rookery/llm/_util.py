@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.session import ship, table
+from rookery.session import shared_dir, ship, table
 
 #: ASCII white space: what separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,25 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one when that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        existing = spark.sparkContext.getCheckpointDir()
-        path = existing or tempfile.mkdtemp(prefix="rookery-")
-        if not existing:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
     The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rookery/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)

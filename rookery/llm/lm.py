@@ -1,14 +1,15 @@
 """Language-model scoring: a causal self-attention model, trained in numpy on subword ids.
 
-Texts are lower-cased (A-Z), their words joined by one blank and encoded by the public byte-level BPE vocabulary. The model
-predicts the class of the next id (frequent ids are classes of their own, the others share classes by the company they
-keep) by one masked self-attention layer with a feed-forward layer; an id's probability within its class comes from its count.
-The product is a distribution over id sequences, ended by an end symbol.
+Texts are lower-cased (A-Z), their words joined by one blank and encoded by the public byte-level BPE vocabulary. Every id has an
+input vector of its own. One masked self-attention layer reads the last ids; the state, plus a vector for the last two ids together
+(hashed to PAIRS slots), gives the weights of PARTS output distributions over all ids. The probability of the next id is the mixture of
+its PARTS probabilities, so no normalisation over the vocabulary is needed. An end symbol closes every text.
 
-Learning: a first pass encodes the training documents, stages their ids and counts words and ids. A second counts the neighbours
-of each id in the whole corpus, from which the classes come. First weights come from at most WARM_DOCS documents; then every
-partition continues the training on every window of each of its documents, and the weights are averaged by the number of
-windows, parameter by parameter in the shuffle.
+Learning: the texts are encoded once and stored. The model starts from WARM_DOCS training documents on the driver (a fixed number of steps);
+then all training documents are dealt by a hash into groups of about GROUP ids, and each group trains a copy of all weights on every window
+of its documents. Weights are averaged (vectors of ids and pairs by how often the group met them); the output distributions
+are set from counts of (id, part) over the whole corpus, a part being drawn from each id's posterior. Averages and counts are
+sums of whole numbers over groups that depend on the rows alone, so neither partitions nor task order change the model.
 
 Scoring: windows of WINDOW ids overlap by WINDOW - STRIDE; each id is scored once, in the window that gives it the longest
 context. Windows of many documents form one batch with a shared causal mask.
@@ -16,8 +17,9 @@ context. Windows of many documents form one batch with a shared causal mask.
 The unigram base needs the count of every word: the HEAD most frequent words are broadcast (a bounded table), all others are joined
 in the shuffle.
 
-Defined cases: null and empty texts are the end symbol alone; a null doc_id counts as the empty text for the split; without
-training rows all counts are 0; repeated rows are scored alike; very long texts are scored in batches of windows; other columns are ignored.
+Defined cases: null and empty texts are the end symbol alone; a null doc_id counts as the empty text for the split and for the
+groups; without training rows all counts are 0; repeated rows are scored alike; very long texts are trained on and scored in batches of
+windows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +36,18 @@ from pyspark.sql import functions as F
 
 from ._util import arrow_batch, crc_mod, documents, rows_of, staged
 
-CLASSES, OWN, WIDTH, HIDDEN = 256, 192, 16, 32
-END, UNSEEN = 255, 254
-WINDOW, STRIDE = 32, 24
-WARM_DOCS, WARM_STEPS, BATCH, LARGE_BATCH = 1000, 1500, 64, 256
-WARM_RATE, RATE = 0.02, 0.004
-HEAD, FLUSH, MEMO = 1 << 17, 1 << 18, 1 << 19
-#: Slots of the neighbours of an id: OWN ids and all others, left and right.
-NEAR = 2 * (OWN + 1)
-_LN10, _END, _GAP = float(np.log(10)), np.array([END], dtype=np.uint8), np.array([-1], dtype=np.int32)
+WIDTH, PARTS, PAIRS = 24, 128, 1 << 16
+WINDOW, STRIDE = 16, 14
+WARM_DOCS, WARM_STEPS, REFIT, BATCH = 1000, 2000, 20, 128
+#: Adam rates of the shared weights, and how much faster the vectors of ids and pairs (Adagrad) move.
+WARM_RATE, RATE, ID_PACE, PAIR_PACE = 0.01, 0.006, 12, 60
+#: Ids in a group, most groups (beyond it groups grow), ids trained on at a time, weight of the unigram in each output distribution.
+GROUP, MOST_GROUPS, CHUNK, PRIOR = 1 << 23, 1 << 14, 1 << 18, 20
+HEAD, FLUSH = 1 << 17, 1 << 18
+#: Fixed-point unit of averaged weights.
+UNIT = 1 << 16
+_LN10 = float(np.log(10))
+_one = np.float32
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,8 +55,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-class Subwords(dict):
-    """Word (with its leading blank, but for the first) -> its ids as 16-bit numbers, kept up to MEMO words."""
+class Subwords:
+    """Ids of a text's words joined by one blank, as 16-bit numbers; ``size`` is the end symbol."""
 
     def __init__(self, path: str | None = None):
         import tiktoken
@@ -61,303 +66,378 @@ class Subwords(dict):
         self.encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = max(ranks.values()) + 1
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[word] = np.array(self.encode(" " + word.decode()), dtype=np.uint16).tobytes()
-        return ids
-
     def ids(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, dtype=np.uint16)
-        first = np.array(self.encode(words[0].decode()), dtype=np.uint16).tobytes()
-        return np.frombuffer(first + b"".join(map(self.__getitem__, words[1:])), dtype=np.uint16)
+        return np.array(self.encode(b" ".join(words).decode()), dtype=np.uint16)
+
+
+def pair_slots(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Slot of each pair of neighbouring ids."""
+    with np.errstate(over="ignore"):
+        h = before.astype(np.uint32) * np.uint32(0x9E3779B1) ^ ids.astype(np.uint32) * np.uint32(0x85EBCA77)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return ((h ^ (h >> np.uint32(13))) % np.uint32(PAIRS)).astype(np.int32)
+
+
+def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, pair slots, targets (-1 where a position is padding or was scored in the window before) and owner of each window.
+
+    A sequence is the end symbol, the ids of a text, the end symbol.
+    """
+    n = np.fromiter((len(s) - 1 for s in sequences), dtype=np.int64, count=len(sequences))  # predictions
+    count = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
+    base = np.cumsum(np.append(0, n[:-1] + 1))
+    owner = np.repeat(np.arange(len(n)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    last = (n[owner] - 1)[:, None]
+    at = (nth * STRIDE)[:, None] + np.arange(WINDOW)
+    flat = np.concatenate(sequences).astype(np.int32)
+    before = np.roll(flat, 1)
+    before[base] = flat[base]
+    spot = np.minimum(at, last) + base[owner][:, None]
+    target = flat[spot + 1]
+    target[at > last] = -1
+    target[nth > 0, : WINDOW - STRIDE] = -1
+    return flat[spot], pair_slots(before, flat)[spot], target, owner
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts 16-bit keys, the first place of each run of equal keys, and the key of each run."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return order, first, ordered[first]
 
 
 class Attention:
-    """Weights and passes of the model; arrays are float32."""
+    """Weights and passes of the model; arrays are float32.
 
-    SHAPES = {"E": (CLASSES, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "O": (WIDTH, WIDTH), "F": (WIDTH, HIDDEN), "f": (HIDDEN,), "G": (HIDDEN, WIDTH), "U": (WIDTH, CLASSES), "u": (CLASSES,)}
+    w: shared weights; E: vectors of ids, then of pairs; O: probability of each id in each part.
+    """
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 11):
+    SHAPES = {"P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "U": (WIDTH, PARTS), "u": (PARTS,)}
+
+    def __init__(self, size: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.w = weights or {k: (rng.normal(0, 0.08 if k in "EPU" else WIDTH**-0.5, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
-        self.seen = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
+        self.size = size  # with the end symbol
+        self.w = {k: (rng.normal(0, 0.1 if k == "P" else s[0] ** -0.5, s) if len(s) > 1 else np.zeros(s)).astype(_one) for k, s in self.SHAPES.items()}
+        self.E = rng.normal(0, 0.3, (size + PAIRS, WIDTH)).astype(_one)
+        self.E[size:] *= _one(0.3)
+        self.seen = np.zeros_like(self.E)
+        self.O = np.full((size, PARTS), 1 / size, dtype=_one)
+        self.start()
+
+    def start(self) -> None:
+        self.mask = np.tril(np.ones((WINDOW, WINDOW), dtype=_one))
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         self.steps = 0
 
-    def hidden(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        w = self.w
-        x = w["E"][ids] + w["P"]
+    def copy(self) -> Attention:
+        """A copy that can be trained; the output distributions are shared."""
+        other = object.__new__(Attention)
+        other.size, other.w, other.E, other.seen, other.O = self.size, {k: v.copy() for k, v in self.w.items()}, self.E.copy(), self.seen.copy(), self.O
+        other.start()
+        return other
+
+    def attend(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Inputs, queries, attention, mean of the inputs under it, and state, for windows of ids."""
+        x = np.take(self.E, ids, axis=0)
+        x += self.w["P"]
         flat = x.reshape(-1, WIDTH)
-        q, k, v = [(flat @ w[name]).reshape(x.shape) for name in "QKV"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask
-        a = np.exp(s - s.max(axis=2, keepdims=True))
+        q = (flat @ self.w["Q"]).reshape(x.shape)
+        a = np.matmul(q, x.transpose(0, 2, 1))
+        np.exp(np.minimum(a, 30, out=a), out=a)
+        a *= self.mask
         a /= a.sum(axis=2, keepdims=True)
-        c = a @ v
-        h = flat + c.reshape(-1, WIDTH) @ w["O"]
-        f = np.maximum(h @ w["F"] + w["f"], 0)
-        z = h + f @ w["G"]
-        return x, q, k, v, a, c, h.reshape(x.shape), f.reshape(*x.shape[:2], HIDDEN), z.reshape(x.shape)
-
-    def logp(self, ids: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log-probability of the targets that are not negative, row by row: ``hidden`` with its products folded."""
-        w, real = self.w, target >= 0
-        x = w["E"][ids]
-        x += w["P"]
-        flat = x.reshape(-1, WIDTH)
-        a = np.matmul((flat @ (w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5))).reshape(x.shape), x.transpose(0, 2, 1))
-        np.exp(np.minimum(a, 80, out=a), out=a)
-        a *= self.seen
-        a /= a.sum(axis=2, keepdims=True)
-        h = np.matmul(a, (flat @ (w["V"] @ w["O"])).reshape(x.shape))
-        h += x
-        h = h[real]
-        f = h @ w["F"]
-        f += w["f"]
-        h += np.maximum(f, 0, out=f) @ w["G"]
-        logits = h @ w["U"]
-        logits += w["u"]
-        np.minimum(logits, 80, out=logits)
-        picked = logits[np.arange(len(h)), target[real]]
-        return picked - np.log(np.exp(logits, out=logits).sum(axis=1))
-
-    def step(self, ids: np.ndarray, target: np.ndarray, rate: float) -> float:
-        """One Adam step on windows ``ids``; targets below 0 are padding. Returns the loss."""
+        c = np.matmul(a, x)
+        return x, q, a, c, c.reshape(-1, WIDTH) @ self.w["V"] + flat
+
+    def parts(self, h: np.ndarray) -> np.ndarray:
+        """Unnormalised weights of the parts."""
+        e = h @ self.w["U"]
+        e += self.w["u"]
+        return np.exp(np.clip(e, -60, 60, out=e), out=e)
+
+    def logp(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log-probability of the targets that are not negative, row by row."""
+        real = np.flatnonzero(target >= 0)
+        h = np.take(self.attend(ids)[-1], real, axis=0)
+        h += np.take(self.E, pairs.reshape(-1)[real] + self.size, axis=0)
+        e = self.parts(h)
+        chosen = np.take(self.O, target.reshape(-1)[real], axis=0)
+        return np.log(np.einsum("nc,nc->n", e, chosen) / e.sum(axis=1))
+
+    def step(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray, rate: float, gather=None) -> float:
+        """One step on windows; targets below 0 are left out. ``gather`` gets targets and their posteriors. Returns the mean log-probability."""
         w = self.w
-        x, q, k, v, a, c, h, f, z = self.hidden(ids)
+        x, q, a, c, h = self.attend(ids)
         real = np.flatnonzero(target >= 0)
+        y, pair, n = target.reshape(-1)[real], pairs.reshape(-1)[real], max(1, len(real))
+        h = np.take(h, real, axis=0)
+        h += np.take(self.E, pair + self.size, axis=0)
+        e = self.parts(h)
+        r = np.take(self.O, y, axis=0)
+        r *= e
+        joint, total = r.sum(axis=1), e.sum(axis=1)
+        r *= (1 / joint)[:, None]
+        if gather:
+            gather(y, r)
+        e *= (1 / total)[:, None]
+        e -= r  # slope of the loss at the logits of the parts
+        g = {"U": h.T @ e, "u": e.sum(axis=0)}
+        dh = e @ w["U"].T
+        full = np.zeros((ids.size, WIDTH), dtype=x.dtype)
+        full[real] = dh
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        y, rows, out = target.reshape(-1)[real], np.arange(len(real)), flat(z)[real]
-        p = out @ w["U"] + w["u"]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -float(np.log(p[rows, y] + 1e-30).mean()) if len(real) else 0.0
-        p[rows, y] -= 1
-        p /= p.dtype.type(max(1, len(real)))
-        g = {"U": out.T @ p, "u": p.sum(axis=0)}
-        dz = np.zeros_like(z)
-        flat(dz)[real] = p @ w["U"].T
-        df = (flat(dz) @ w["G"].T).reshape(f.shape) * (f > 0)
-        g["G"], g["F"], g["f"] = flat(f).T @ flat(dz), flat(h).T @ flat(df), flat(df).sum(axis=0)
-        dh = dz + (flat(df) @ w["F"].T).reshape(dz.shape)
-        dc = (flat(dh) @ w["O"].T).reshape(dh.shape)
-        g["O"] = flat(c).T @ flat(dh)
-        da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["Q"], g["K"], g["V"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dh + (flat(dq) @ w["Q"].T + flat(dk) @ w["K"].T + flat(dv) @ w["V"].T).reshape(dh.shape)
-        at = (ids.reshape(-1, 1) * np.int32(WIDTH) + np.arange(WIDTH, dtype=np.int32)).ravel()
-        g["E"] = np.bincount(at, dx.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(dx.dtype)
+        g["V"] = flat(c).T @ full
+        dc = (full @ w["V"].T).reshape(c.shape)
+        ds = np.matmul(dc, x.transpose(0, 2, 1))
+        ds -= np.einsum("bij,bij->bi", dc, c)[:, :, None]
+        ds *= a
+        dx = np.matmul(a.transpose(0, 2, 1), dc)
+        dx += full.reshape(x.shape)
+        dq = np.matmul(ds, x)
+        g["Q"] = flat(x).T @ flat(dq)
+        dx += (flat(dq) @ w["Q"].T).reshape(x.shape)
+        dx += np.matmul(ds.transpose(0, 2, 1), q)
         g["P"] = dx.sum(axis=0)
+        self._adagrad(ids.reshape(-1), 0, flat(dx), n, rate * ID_PACE)
+        self._adagrad(pair, self.size, dh, n, rate * PAIR_PACE)
         self.steps += 1
         for name, grad in g.items():
             m, s = self.moments[name]
+            grad /= n
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
-            w[name] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-        return loss
-
-
-def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets (-1 where a position is padding or was scored in the window before) and owner of each window.
-
-    A sequence is END, its classes, END.
-    """
-    n = np.fromiter((len(s) - 1 for s in sequences), dtype=np.int32, count=len(sequences))  # predictions
-    count = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
-    base = np.cumsum(np.append(0, n[:-1] + 1), dtype=np.int32)
-    owner = np.repeat(np.arange(len(n), dtype=np.int32), count)
-    nth = np.arange(len(owner), dtype=np.int32) - np.repeat(np.cumsum(count) - count, count).astype(np.int32)
-    last = (n[owner] - 1)[:, None]
-    at = (nth * STRIDE)[:, None] + np.arange(WINDOW, dtype=np.int32)
-    flat = np.concatenate(sequences)
-    spot = np.minimum(at, last)
-    spot += base[owner][:, None]
-    target = flat[spot + 1].astype(np.int16)
-    target[at > last] = -1
-    target[nth > 0, : WINDOW - STRIDE] = -1
-    return flat[spot], target, owner
-
-
-def _train(model: Attention, sequences: list[np.ndarray], rate: float, batch: int = BATCH, steps: int | None = None) -> int:
-    """Steps over all windows of the sequences. Returns the number of windows used."""
-    ids, target, _ = windows(sequences)
-    order = np.random.default_rng(5).permutation(len(ids))
-    total = steps or -(-len(order) // batch)
-    for i in range(total):
-        some = np.take(order, np.arange(i * batch, (i + 1) * batch), mode="wrap") if steps else order[i * batch : (i + 1) * batch]
-        model.step(ids[some], target[some], rate * (1 - i / total) + rate * 0.05)
-    return len(ids)
-
-
-def _own(counts: np.ndarray) -> np.ndarray:
-    """The OWN most frequent ids."""
-    order = np.argsort(-counts, kind="stable")[:OWN]
-    return order[counts[order] > 0]
-
-
-def _neighbours(sequences: list[np.ndarray], slot: np.ndarray) -> np.ndarray:
-    """A key for each id without a class of its own and each of its two neighbours: id * NEAR + the neighbour's slot, left slots first."""
-    flat = np.concatenate([x for s in sequences for x in (s.astype(np.int32), _GAP)])
-    at = slot[flat]
-    left, right, old, new = flat[:-1], flat[1:], at[:-1], at[1:]
-    a, b = (right >= 0) & (new == OWN), (left >= 0) & (old == OWN)
-    first = flat[:1][(flat[:1] >= 0) & (at[:1] == OWN)]
-    return np.concatenate((first * NEAR + OWN, right[a] * NEAR + old[a], left[b] * NEAR + OWN + 1 + new[b]))
-
-
-def _classes(counts: np.ndarray, keys: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Class of each id: the OWN most frequent alone, others by k-means on their neighbours, unseen ones together.
-
-    keys, roots: those of ``_neighbours`` in all sequences and the square roots of their counts.
-    """
-    out = np.full(len(counts), UNSEEN, dtype=np.uint8)
-    own = _own(counts)
-    out[own] = np.arange(len(own))
-    rare = np.flatnonzero((counts > 0) & (out == UNSEEN))
-    if len(rare) == 0:
-        return out
-    row = np.zeros(len(counts), dtype=np.int64)
-    row[rare] = np.arange(len(rare))
-    near = np.zeros((len(rare), NEAR), dtype=np.float32)
-    near[row[keys // NEAR], keys % NEAR] = roots
-    near /= np.linalg.norm(near, axis=1, keepdims=True) + 1e-9
-    centres = near[np.argsort(-counts[rare], kind="stable")[: UNSEEN - OWN]]
-    for _ in range(8):
-        best = (near @ centres.T).argmax(axis=1)
-        centres = np.stack([near[best == g].sum(axis=0) if (best == g).any() else centres[g] for g in range(len(centres))])
-        centres /= np.linalg.norm(centres, axis=1, keepdims=True) + 1e-9
-    out[rare] = OWN + best
-    return out
-
-
-class Scorer:
-    def __init__(self, counts: np.ndarray, classes: np.ndarray, weights: dict[str, np.ndarray] | None = None):
-        self.classes, self.weights = classes, weights
-        smooth = counts + 0.5
-        self.within = np.log10(smooth / np.bincount(classes, smooth, CLASSES)[classes])
-
-    def sequence(self, ids: np.ndarray) -> np.ndarray:
-        """END, the classes of the ids, END."""
-        return np.concatenate((_END, self.classes[ids], _END))
-
-
-def log10_scores(model: Attention, sequences: list[np.ndarray], chunk: int = 64) -> np.ndarray:
+            w[name] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)).astype(w[name].dtype)
+        return float(np.log(joint / total).mean()) if len(real) else 0.0
+
+    def _adagrad(self, keys: np.ndarray, base: int, slopes: np.ndarray, n: int, rate: float) -> None:
+        if not len(keys):
+            return
+        order, first, key = _runs(keys)
+        grad = np.add.reduceat(np.take(slopes, order, axis=0), first, axis=0)
+        grad /= n
+        key = key + base
+        seen = np.take(self.seen, key, axis=0)
+        seen += grad * grad
+        self.seen[key] = seen
+        np.sqrt(seen, out=seen)
+        seen += 1e-8
+        grad /= seen
+        grad *= grad.dtype.type(rate)
+        self.E[key] -= grad
+
+
+def outputs(counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """Probabilities of ids in each part from counts of (id, part), with PRIOR counts of the unigram."""
+    return ((counts + PRIOR * unigram[:, None]) / (counts.sum(axis=0) + PRIOR)).astype(_one)
+
+
+def unigram(by_id: np.ndarray) -> np.ndarray:
+    return (by_id + 0.5) / (by_id.sum() + 0.5 * len(by_id))
+
+
+def warmed(sequences: list[np.ndarray], prior: np.ndarray) -> Attention:
+    """First weights: WARM_STEPS steps over the windows of ``sequences``, the output distributions refitted every REFIT steps."""
+    model, rng = Attention(len(prior)), np.random.default_rng(5)
+    counts = (prior[:, None] * np.exp(rng.normal(0, 1, model.O.shape))).astype(_one)
+    counts *= 2000 / counts.sum(axis=0)
+    model.O = outputs(counts, prior)
+    if not sequences:
+        return model
+    ids, pairs, target, _ = windows(sequences)
+    order, fresh = rng.permutation(len(ids)), np.zeros_like(counts)
+
+    def gather(y: np.ndarray, r: np.ndarray) -> None:
+        at, first, key = _runs(y)
+        fresh[key] += np.add.reduceat(np.take(r, at, axis=0), first, axis=0)
+
+    for i in range(WARM_STEPS):
+        some = np.take(order, np.arange(i * BATCH, (i + 1) * BATCH), mode="wrap")
+        model.step(ids[some], pairs[some], target[some], WARM_RATE * (1 - i / WARM_STEPS) + WARM_RATE / 20, gather)
+        if i % REFIT == REFIT - 1:
+            new = max(0.03, 1 / (2 + i / REFIT))
+            counts *= 1 - new
+            counts += fresh * (new * len(ids) / (REFIT * BATCH))
+            fresh[:] = 0
+            model.O = outputs(counts, prior)
+    return model
+
+
+class Drawn:
+    """Counts of (id, part), the part of each id drawn from its posterior: whole numbers whose mean are the posterior's sums."""
+
+    def __init__(self, size: int, seed: int):
+        self.counts, self.rng = np.zeros(size * PARTS, dtype=np.int64), np.random.default_rng(seed)
+
+    def __call__(self, y: np.ndarray, r: np.ndarray) -> None:
+        upto = np.cumsum(r, axis=1)
+        part = (upto < (self.rng.random(len(y), dtype=_one) * upto[:, -1])[:, None]).sum(axis=1)
+        self.counts += np.bincount(y * PARTS + np.minimum(part, PARTS - 1), minlength=len(self.counts))
+
+
+def _framed(ids: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate(([end], ids, [end])).astype(np.int32)
+
+
+def trained(model: Attention, documents: Iterator[bytes], expected: int) -> tuple[Attention, Drawn, np.ndarray, int]:
+    """A copy of ``model`` after all windows of ``documents`` (ids), the drawn counts, how often each row of E was met, and the ids seen."""
+    mine, end = model.copy(), model.size - 1
+    drawn, met, done, held, size = Drawn(model.size, 17), np.zeros(len(model.E), dtype=np.int64), 0, [], 0
+
+    def train() -> None:
+        nonlocal done
+        ids, pairs, target, _ = windows(held)
+        met[: model.size] += np.bincount(ids.reshape(-1), minlength=model.size)
+        met[model.size :] += np.bincount(pairs[target >= 0], minlength=PAIRS)
+        order = np.random.default_rng(23).permutation(len(ids))
+        for a in range(0, len(order), BATCH):
+            some = order[a : a + BATCH]
+            left = max(0.05, 1 - (done + size * a / len(order)) / max(1, expected))
+            mine.step(ids[some], pairs[some], target[some], RATE * left, drawn)
+        done += size
+
+    for raw in documents:
+        held.append(_framed(np.frombuffer(raw, dtype=np.uint16), end))
+        size += len(held[-1]) - 1
+        if size >= CHUNK:
+            train()
+            held, size = [], 0
+    if held:
+        train()
+    return mine, drawn, met, done
+
+
+def log10_scores(model: Attention, sequences: list[np.ndarray], chunk: int = 128) -> np.ndarray:
     out = np.zeros(len(sequences))
-    ids, target, owner = windows(sequences)
+    ids, pairs, target, owner = windows(sequences)
     for a in range(0, len(ids), chunk):
         t = target[a : a + chunk]
-        out += np.bincount(np.repeat(owner[a : a + chunk], (t >= 0).sum(axis=1)), model.logp(ids[a : a + chunk], t), len(out))
+        out += np.bincount(np.repeat(owner[a : a + chunk], (t >= 0).sum(axis=1)), model.logp(ids[a : a + chunk], pairs[a : a + chunk], t), len(out))
     return out / _LN10
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n, ids): the ids of each text (s), and counts of words (w), subword ids (i) and documents (d); words are flushed when many."""
+    """Input rows (doc_id, text, train) as kind s with their ids; counts of the training words (w), subword ids (i) and documents (d). Words are flushed when many."""
     sub = Subwords()
-    words, by_id, docs = Counter(), np.zeros(sub.size, dtype=np.int64), 0
-
-    def rows(kind: str, keys: list[str], n: list[int], ids: list[bytes] | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(ids or [None] * len(keys), pa.binary())], names=["kind", "key", "n", "ids"])
-
-    for (texts,) in rows_of(batches, "text", limit=1 << 20):
-        coded = []
-        for text in texts:
-            split = words_of(text)
-            words.update(split)
-            coded.append(sub.ids(split))
-        docs += len(texts)
-        by_id += np.bincount(np.concatenate(coded), minlength=sub.size)
-        yield rows("s", [""] * len(coded), [len(x) for x in coded], [x.tobytes() for x in coded])
-        if len(words) > FLUSH:
-            yield rows("w", [w.decode() for w in words], list(words.values()))
-            words.clear()
+    words, by_id, docs, schema = Counter(), np.zeros(sub.size, dtype=np.int64), 0, None
+
+    def counts(kind: str, keys: list[str], n: list[int]) -> pa.RecordBatch:
+        empty = [None] * len(keys)
+        return arrow_batch(schema, [[kind] * len(keys), keys, n, empty, empty, empty, empty])
+
+    for batch in batches:
+        schema = pa.schema([("kind", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("train", pa.bool_()), ("text", pa.string()), ("ids", pa.binary())])
+        for ids, train, texts in rows_of(iter([batch]), "doc_id", "train", "text", limit=1 << 20):
+            coded = []
+            for learn, text in zip(train, texts, strict=True):
+                split = words_of(text)
+                coded.append(sub.ids(split))
+                if learn:
+                    words.update(split)
+                    docs += 1
+            own = [c for c, learn in zip(coded, train, strict=True) if learn]
+            if own:
+                by_id += np.bincount(np.concatenate(own), minlength=sub.size)
+            n = len(ids)
+            yield arrow_batch(schema, [["s"] * n, [None] * n, [len(c) for c in coded], ids, train, texts, [c.tobytes() for c in coded]])
+            if len(words) > FLUSH:
+                yield counts("w", [w.decode() for w in words], list(words.values()))
+                words.clear()
     if docs:
         some = np.flatnonzero(by_id)
-        yield rows("w", [w.decode() for w in words], list(words.values()))
-        yield rows("i", [str(i) for i in some], by_id[some].tolist())
-        yield rows("d", [""], [docs])
+        yield counts("w", [w.decode() for w in words], list(words.values()))
+        yield counts("i", [str(i) for i in some], by_id[some].tolist())
+        yield counts("d", [""], [docs])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The ids of the sequences of each batch, cut so that one piece stays near 2^18 ids."""
-    for (some,) in rows_of(batches, "ids", limit=1 << 19):
-        yield [np.frombuffer(x, dtype=np.uint16) for x in some]
+def coded(docs: DataFrame) -> DataFrame:
+    """Stored rows of ``_coded``. ``docs``: doc_id, text, train."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.mapInArrow(_coded, f"kind string, key string, n bigint, doc_id {kind}, train boolean, text string, ids binary")
+    return staged(rows, "lm-coded", compression="zstd")
 
 
-def learn(train: DataFrame) -> tuple[DataFrame, Scorer, int, int, int]:
-    """The stored counts of words, the model, and N, V and the number of training documents."""
-    spark, size, model = train.sparkSession, Subwords().size, Attention()
-    coded = staged(train.select("text").mapInArrow(_coded, "kind string, key string, n bigint, ids binary"), "lm-coded")
-    sequences = coded.where("kind = 's'").select("ids")
-    counts = staged(coded.where("kind <> 's'").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    sums = {r["kind"]: (r["n"], r["rows"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
-    docs = sums.get("d", (0, 0))[0]
-    total, distinct = sums.get("w", (0, 0))[0] + docs, sums.get("w", (0, 0))[1] + (docs > 0)
-    by_id = np.zeros(size)
-    for r in counts.where("kind = 'i'").collect():  # bounded by the vocabulary
+def learn(rows: DataFrame, counts: DataFrame) -> Attention:
+    """The model. ``rows``: doc_id and ids of the training documents; ``counts``: key and n of their subword ids."""
+    spark, end = rows.sparkSession, Subwords().size
+    by_id = np.zeros(end + 1)
+    for r in counts.collect():  # bounded by the vocabulary
         by_id[int(r["key"])] = r["n"]
-    own = _own(by_id)
-    slot = np.full(size + 1, OWN, dtype=np.int32)
-    slot[own] = np.arange(len(own))
-    slots = spark.sparkContext.broadcast(slot)  # bounded by the vocabulary
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(size * NEAR, dtype=np.int32)
-        for pieces in _pieces(batches):
-            np.add.at(found, _neighbours(pieces, slots.value), 1)
-        some = np.flatnonzero(found)
-        for a in range(0, len(some), 1 << 17):
-            part = some[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(found[part].astype(np.int64))], names=["near", "n"])
-
-    pairs = sequences.mapInArrow(near, "near int, n bigint").groupBy("near").agg(F.sqrt(F.sum("n")).cast("float").alias("root"))
-    pairs = pairs.toArrow()  # bounded: vocabulary x NEAR pairs of 8 bytes
-    classes = _classes(by_id, pairs.column("near").to_numpy(), pairs.column("root").to_numpy())
-    scorer = Scorer(by_id, classes)
-    warm = [np.frombuffer(r["ids"], dtype=np.uint16) for r in sequences.orderBy(F.xxhash64("ids"), "ids").limit(WARM_DOCS).collect()]
-    if warm:
-        _train(model, [scorer.sequence(s) for s in warm], WARM_RATE, steps=WARM_STEPS)
-    start = spark.sparkContext.broadcast((classes, model.w))  # bounded: the vocabulary and the weights
+    by_id[end] = rows.count()
+    prior, total = unigram(by_id), int(by_id.sum())
+    first = rows.orderBy(F.xxhash64("ids"), "ids").limit(WARM_DOCS).collect()
+    model = warmed([_framed(np.frombuffer(r["ids"], dtype=np.uint16), end) for r in first], prior)
+    if not first:
+        return model
+    groups = min(MOST_GROUPS, max(1, -(-total // GROUP)))
+    start, expected = spark.sparkContext.broadcast(model), total // groups  # bounded by the vocabulary, PAIRS and PARTS
+    columns = [f"v{i}" for i in range(WIDTH)]
+    schema = pa.schema([("kind", pa.string()), ("at", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in columns]])
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Weights times windows, and windows, after all windows of the partition."""
-        classes, weights = start.value
-        mine, used = Attention({k: v.copy() for k, v in weights.items()}), 0
-        for pieces in _pieces(batches):
-            used += _train(mine, [np.concatenate((_END, classes[x], _END)) for x in pieces], RATE, LARGE_BATCH)
-        if used:
-            flat = np.concatenate([x.ravel() for x in mine.w.values()]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array([used] * len(flat), pa.int64()), pa.array(flat * used)], names=["at", "n", "v"])
-
-    flat = np.concatenate([x.ravel() for x in model.w.values()])
-    for r in sequences.mapInArrow(tune, "at int, n bigint, v double").groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).collect():  # bounded by the number of weights
-        flat[r["at"]] = r["v"]
-    ends = np.cumsum([x.size for x in model.w.values()])[:-1]
-    weights = {k: part.reshape(model.w[k].shape) for k, part in zip(model.w, np.split(flat, ends), strict=True)}
-    return counts.where("kind = 'w'").select(F.col("key").alias("word"), F.col("n").alias("c")), Scorer(by_id, classes, weights), total, distinct, docs
-
-
-def scored(docs: DataFrame, train: DataFrame) -> DataFrame:
+        raw = (x.as_py() for batch in batches for x in batch.column(0))
+        mine, drawn, met, done = trained(start.value, raw, expected)
+        if not done:
+            return
+
+        def out(kind: str, at: np.ndarray, n: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(at), 1 << 14):
+                part = slice(a, a + (1 << 14))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at[part])), pa.array(at[part]), pa.array(n[part]), *[pa.array(values[part, i]) for i in range(WIDTH)]], schema=schema)
+
+        rows = np.flatnonzero(met)
+        yield from out("e", rows, met[rows], np.rint(mine.E[rows].astype(np.float64) * met[rows, None] * UNIT).astype(np.int64))
+        flat = np.concatenate([x.ravel() for x in mine.w.values()]).astype(np.float64)
+        flat = np.rint(np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH) * done * UNIT).astype(np.int64)
+        yield from out("w", np.arange(len(flat)), np.full(len(flat), done), flat)
+        some = np.flatnonzero(drawn.counts)  # counts of (id, part), WIDTH to a row
+        some = np.unique(some // WIDTH)
+        padded = np.pad(drawn.counts, (0, -len(drawn.counts) % WIDTH)).reshape(-1, WIDTH)
+        yield from out("o", some, np.zeros(len(some), dtype=np.int64), padded[some])
+
+    dealt = rows.select("ids", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "ids").alias("dice"))
+    dealt = dealt.repartitionById(groups, F.pmod("dice", F.lit(groups)).cast("int")).sortWithinPartitions("dice", "ids")
+    sums = dealt.select("ids").mapInArrow(tune, ", ".join(f"{f.name} {'string' if f.name == 'kind' else 'bigint'}" for f in schema))
+    sums = sums.groupBy("kind", "at").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toArrow()  # bounded as the model is
+    kind, at, n = (sums.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "at", "n"))
+    values = np.stack([sums.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
+    rows_, drawn = kind == "e", np.zeros(-(-len(prior) * PARTS // WIDTH) * WIDTH).reshape(-1, WIDTH)
+    model.E[at[rows_]] = values[rows_] / n[rows_, None] / UNIT
+    drawn[at[kind == "o"]] = values[kind == "o"]
+    model.O = outputs(drawn.ravel()[: len(prior) * PARTS].reshape(-1, PARTS), prior)
+    shared = kind == "w"
+    order = np.argsort(at[shared])
+    flat, ends = (values[shared] / n[shared, None] / UNIT)[order].ravel(), np.cumsum([0, *[x.size for x in model.w.values()]])
+    model.w = {k: flat[a:b].reshape(x.shape).astype(_one) for (k, x), a, b in zip(model.w.items(), ends, ends[1:], strict=False)}
+    return model
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """Scores of all rows of ``docs`` (doc_id, text, train); learnt from those whose train is true."""
     spark = docs.sparkSession
-    words, scorer, total, distinct, n_docs = learn(train)
+    rows = coded(docs.select("doc_id", "text", "train"))
+    counts = staged(rows.where("kind <> 's'").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    sums = {r["kind"]: (r["n"], r["rows"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    n_docs = sums.get("d", (0, 0))[0]
+    total, distinct = sums.get("w", (0, 0))[0] + n_docs, sums.get("w", (0, 0))[1] + (n_docs > 0)
+    rows = rows.where("kind = 's'")
+    model = learn(rows.where("train").select("doc_id", "ids"), counts.where("kind = 'i'").select("key", "n"))
+    words = counts.where("kind = 'w'").select(F.col("key").alias("word"), F.col("n").alias("c"))
     head_rows = words.orderBy(F.desc("c"), "word").limit(HEAD)
     head = {r["word"].encode(): float(np.log10(r["c"] + 0.1)) for r in head_rows.collect()}
-    shared = spark.sparkContext.broadcast((scorer, head))  # bounded: HEAD words, the vocabulary and the weights
+    model.seen, model.moments = None, {}
+    shared = spark.sparkContext.broadcast((model, head))  # bounded: HEAD words and the model
     per_token = float(np.log10(total + 0.1 * (distinct + 1)))
     end = float(np.log10(n_docs + 0.1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, head = shared.value
-        model, sub = Attention(scorer.weights), Subwords()
+        model, head = shared.value
         get = head.get
         for batch in batches:
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_tokens", pa.int64()), ("known", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string()))])
-            for ids, texts in rows_of(iter([batch]), "doc_id", "text", limit=1 << 20):
-                n, known, base, inner, tails, sequences = [], [], [], [], [], []
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string()))])
+            for ids, train, raw, texts in rows_of(iter([batch]), "doc_id", "train", "ids", "text", limit=1 << 20):
+                n, known, base, tails = [], [], [], []
                 for text in texts:
                     own = words_of(text)
                     values = list(map(get, own))
@@ -366,25 +446,22 @@ def scored(docs: DataFrame, train: DataFrame) -> DataFrame:
                     known.append(len(own) - len(tail) + (n_docs > 0))
                     base.append(sum(x for x in values if x is not None) + end if tail else sum(values) + end)
                     tails.append(tail)
-                    coded = sub.ids(own)
-                    sequences.append(scorer.sequence(coded))
-                    inner.append(float(scorer.within[coded].sum()))
-                yield arrow_batch(schema, [ids, n, known, base, (log10_scores(model, sequences) + inner).tolist(), tails])
+                sequences = [_framed(np.frombuffer(x, dtype=np.uint16), model.size - 1) for x in raw]
+                yield arrow_batch(schema, [ids, train, n, known, base, log10_scores(model, sequences).tolist(), tails])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, known bigint, head double, score double, tail array<string>")
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = rows.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
-    sums = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("tail_score"), F.count("c").alias("tail_known"))
+    found = rows.select("doc_id", "train", "text", "ids").mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens bigint, known bigint, head double, score double, tail array<string>")
+    found = staged(found.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rare = found.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
+    tails = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("tail_score"), F.count("c").alias("tail_known"))
     zero = F.lit(0)
-    return rows.drop("tail").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("tail_known", zero)).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
+    return found.drop("tail").join(tails, "row", "left").select(
+        "doc_id", "train", "n_tokens", (F.col("known") + F.coalesce("tail_known", zero)).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("head") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"), "score",
     )
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held = crc_mod("doc_id", 10) == 0
-    out = scored(docs, docs.where(~held))
-    return out.select("doc_id", held.alias("held_out"), *out.columns[1:])
+    out = scored(docs.select("doc_id", "text", (crc_mod("doc_id", 10) != 0).alias("train")))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), *out.columns[2:])

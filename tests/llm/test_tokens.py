@@ -1,4 +1,4 @@
-"""BPE, word pieces, packing, language model."""
+"""BPE, word pieces, packing."""
 
 import collections
 import hashlib
@@ -13,7 +13,7 @@ import tiktoken
 from helpers import ROWS, SF, empty, frame
 from tokenizers import Tokenizer
 
-from rookery.llm import bpe, lm, packing, wordpiece
+from rookery.llm import bpe, packing, wordpiece
 
 PARTS = ["a", "B", " ", "  ", "\n", "é", "ß", "\xa0", "\x85", "'s", "12", "<|endoftext|>", "\x1c", " the", "_", "\t", "½", "日本", "🎉"]
 
@@ -171,104 +171,3 @@ def test_local_search_sees_all_exchanges():
     few.capacity = few.fill[0] + 1
     few.local_search(1)
     assert few.fill[0] == few.capacity and 14 in few.bins[0] and {12, 13} <= set(few.bins[1])
-
-
-def test_gradients():
-    model = lm.Attention({k: v.astype(np.float64) for k, v in lm.Attention().w.items()})
-    rng = np.random.default_rng(1)
-    ids, target = rng.integers(0, 256, (3, lm.WINDOW)), rng.integers(0, 256, (3, lm.WINDOW))
-    target[2, 20:] = -1
-    for name, w in model.w.items():
-        at = (int(ids[0, 3]), 4) if name == "E" else tuple(int(rng.integers(0, s)) for s in w.shape)
-        losses = []
-        for step in (1e-5, -1e-5):
-            moved = lm.Attention({k: v.copy() for k, v in model.w.items()})
-            moved.w[name][at] += step
-            losses.append(-moved.logp(ids, target).mean())
-        own = lm.Attention({k: v.copy() for k, v in model.w.items()})
-        own.step(ids, target, 0.0)
-        assert own.moments[name][0][at] * 10 == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=1e-3, abs=1e-8)
-
-
-def test_model_is_causal_and_a_distribution():
-    model = lm.Attention(seed=3)
-    rng = np.random.default_rng(2)
-    ids = rng.integers(0, 256, (1, lm.WINDOW))
-    every = np.concatenate([model.logp(ids, np.where(np.arange(lm.WINDOW) == 5, c, -1)[None]) for c in range(256)])
-    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
-    other = ids.copy()
-    other[0, 6:] = rng.integers(0, 256, lm.WINDOW - 6)
-    target = np.where(np.arange(lm.WINDOW) == 5, 7, -1)[None]
-    assert model.logp(ids, target) == pytest.approx(model.logp(other, target), abs=1e-5)
-
-
-def test_windows_score_each_id_once():
-    rng = np.random.default_rng(2)
-    sequences = [rng.integers(0, 255, n).astype(np.uint8) for n in (2, 5, 32, 33, 34, 57, 300)]
-    _, target, owner = lm.windows(sequences)
-    for i, s in enumerate(sequences):
-        got = [t for row in target[owner == i] for t in row if t >= 0]
-        assert got == s[1:].tolist()
-
-
-def test_lm_scores(spark):
-    docs = frame(spark)
-    train = docs.where("doc_id > 0 AND doc_id % 2 = 1")
-    got = lm.scored(docs, train).collect()
-    words = lambda t: (t or "").encode().lower().split()
-    counts = collections.Counter(w for i, t, _, _ in ROWS if i is not None and i > 0 and i % 2 == 1 for w in words(t))
-    n_docs = sum(i is not None and i > 0 and i % 2 == 1 for i, *_ in ROWS)
-    total, distinct = sum(counts.values()) + n_docs, len(counts) + 1
-    want = {}
-    for i, t, _, _ in ROWS:
-        each = [counts[w] for w in words(t)] + [n_docs]
-        want[i] = (len(each), sum(c > 0 for c in each), sum(math.log10((c + 0.1) / (total + 0.1 * (distinct + 1))) for c in each))
-    assert len(got) == len(ROWS)
-    for r in got:
-        n, known, base = want[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
-    assert lm.scored(empty(spark), empty(spark)).count() == 0
-
-
-def test_lm_learns(spark):
-    got = [r for r in lm.op10(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
-    per_word = sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got)
-    assert per_word > -4.4  # an untrained model scores below -10
-
-
-def test_lm_trains_on_every_window(spark, monkeypatch):
-    assert lm._train(lm.Attention(), [np.zeros(n, dtype=np.uint8) for n in (602, 33, 34)], lm.RATE) == 25 + 1 + 2
-    monkeypatch.setattr(lm, "WARM_DOCS", 1)
-    monkeypatch.setattr(lm, "WARM_STEPS", 1)
-    text = " ".join(["one"] * 40 + ["red", "blue"] * 230)  # 21 windows; the first never shows the rest
-    _, scorer, *_ = lm.learn(spark.createDataFrame([(i, text) for i in range(400)], "doc_id long, text string").repartition(1))
-    tail = scorer.sequence(lm.Subwords().ids(lm.words_of(text)))[-400:]
-    assert lm.log10_scores(lm.Attention(scorer.weights), [tail])[0] / len(tail) > -0.6
-
-
-def test_lm_classes_come_from_the_whole_corpus(spark, monkeypatch):
-    monkeypatch.setattr(lm, "WARM_DOCS", 2)
-    rng = random.Random(5)
-    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(400)]
-    docs = [" ".join(rng.choice(names) for _ in range(12)) for _ in range(300)]  # all shorter than 200 characters
-    _, scorer, *_ = lm.learn(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
-    sub = lm.Subwords()
-    used = np.unique(np.concatenate([sub.ids(lm.words_of(t)) for t in docs]))
-    assert len(used) > lm.OWN and (scorer.classes[used] != lm.UNSEEN).all()
-    assert len(np.unique(scorer.classes[used])) > lm.OWN
-
-
-def test_neighbours_equal_brute_force():
-    rng = np.random.default_rng(7)
-    sequences = [rng.integers(0, 9, n).astype(np.uint16) for n in (0, 1, 6, 0, 30)]
-    slot = np.full(10, lm.OWN, dtype=np.int32)
-    slot[[2, 5]] = 0, 1
-    want = collections.Counter()
-    for s in sequences:
-        padded = [-1, *s.tolist(), -1]
-        for a, x, b in zip(padded, padded[1:], padded[2:]):
-            if slot[x] == lm.OWN:
-                want[x * lm.NEAR + slot[a]] += 1
-                want[x * lm.NEAR + lm.OWN + 1 + slot[b]] += 1
-    assert collections.Counter(lm._neighbours(sequences, slot).tolist()) == want
