@@ -4,8 +4,9 @@ Learning counts hashed letter trigrams of every labelled training document per l
 language and trigram is shuffled). For a document, runs of trigrams are the observations; their likelihoods
 under each language drive EM for the document's proportions. The set of languages is chosen by penalised
 likelihood: nested sets of the strongest languages are refitted, up to all of them, and a further language must pay
-half the logarithm of the number of runs. A document is done when its best run by run likelihood could not pay for a
-larger set. The strongest language of the chosen set is the prediction.
+two plus half the logarithm of the number of runs. A document is done when its best run by run likelihood could not pay for a
+larger set. The strongest language of the chosen set is the prediction. Its score is the expected share of the text in that language: its
+proportion times the posterior, among all learnt languages alike, of that language on the runs credited to it.
 
 The model holds BUCKETS floats per language (256 KiB each), whatever the corpus size.
 
@@ -75,7 +76,11 @@ class LanguageModel:
 
     def mixtures(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
         """(language, proportion) of the chosen set of each text, strongest first; empty when there is nothing to judge."""
-        out: list[list[tuple[str, float]]] = [[] for _ in texts]
+        return [mixture for mixture, _ in self.judged(texts)]
+
+    def judged(self, texts: list[str | None]) -> list[tuple[list[tuple[str, float]], float]]:
+        """Mixture and score of each text."""
+        out: list[tuple[list[tuple[str, float]], float]] = [([], 0.0) for _ in texts]
         buckets, owner = trigrams(texts)
         if not len(buckets) or not self.langs:
             return out
@@ -105,7 +110,7 @@ class LanguageModel:
         share, _ = fit(np.full((len(docs), k), 1 / k), ROUNDS, left)
         order = np.argsort(-share, axis=1, kind="stable")
         best_value = np.full(len(docs), -np.inf)
-        best, chosen = np.zeros_like(share), np.ones(len(docs), dtype=np.int64)
+        best = np.zeros_like(share)
         most, cost = np.add.reduceat(top[:, 0], first), 2 + 0.5 * np.log(runs)  # no mixture is likelier than the best language of each run
         for size in range(1, k + 1):
             left = left[most[left] - (size - 1) * cost[left] > best_value[left]]
@@ -117,16 +122,16 @@ class LanguageModel:
             value = value - (size - 1) * cost[left]
             better = value > best_value[left]
             at = left[better]
-            best_value[at], best[at], chosen[at] = value[better], fitted[better], size
-        total = np.add.reduceat(likelihood, first, axis=0)
+            best_value[at], best[at] = value[better], fitted[better]
+        strongest = best.argmax(axis=1)
+        joint = weight * best[of]
+        credit = joint[np.arange(len(of)), strongest[of]] / joint.sum(axis=1)
+        total = np.add.reduceat(likelihood * credit[:, None], first, axis=0)
         sure = np.exp(total - total.max(axis=1, keepdims=True))
         sure /= sure.sum(axis=1, keepdims=True)
         for i, d in enumerate(docs):
-            if chosen[i] == 1:  # one language: how sure it is
-                x = order[i, 0]
-                out[d] = [(self.langs[x], float(sure[i, x]))]
-            else:
-                out[d] = [(self.langs[x], float(best[i, x])) for x in np.argsort(-best[i], kind="stable") if best[i, x] > 0]
+            x = strongest[i]
+            out[d] = [(self.langs[x], float(best[i, x])) for x in np.argsort(-best[i], kind="stable") if best[i, x] > 0], min(1.0, float(best[i, x] * sure[i, x]))
         return out
 
 
@@ -158,8 +163,8 @@ def predict(texts: DataFrame, model: LanguageModel) -> DataFrame:
                 batch = batch.append_column("text", keys.field(keys.type.get_field_index("text")))
             at = 0
             for (some,) in rows_of(iter([batch]), "text", limit=1 << 20):
-                found = shared.value.mixtures(some)
-                judged = [[m[0][0] if m else UNKNOWN for m in found], [min(1.0, m[0][1]) if m else 0.0 for m in found], found]
+                found = shared.value.judged(some)
+                judged = [[m[0][0] if m else UNKNOWN for m, _ in found], [score for _, score in found], [m for m, _ in found]]
                 columns = [pa.array(c, type=f.type) for c, f in zip(judged, list(schema)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(some)), *columns], schema=schema)
                 at += len(some)

@@ -1,16 +1,18 @@
 """Quality rules with adaptive thresholds: one mergeable quantile sketch per language, source and measure.
 
-The sketch is a count of rows per whole-numbered value between 0 and LEVELS: sketches merge by adding counts,
-have a fixed size, and give quantiles that do not depend on partitions or task order. A fence lies
-SPREADS interquartile ranges (SLACK at least) beyond the upper quartile of the row's own language and source,
-so no share of rows has to fail; groups of fewer than LEAST_ROWS rows use the merged sketch of all groups.
-Rows are then judged by joining the fences on language and source.
+The sketch is a count of rows per level, the levels being whole numbers of six significant bits (so within 3 % of the value, at any
+size): sketches merge by adding counts, grow with the logarithm of the values only, and give quantiles that do not depend on partitions or task
+order. It holds the rows that pass the base rules. A fence lies SPREADS spreads above the upper quartile; a spread is the distance of
+the quartiles, but no less than what EVENTS harmless occurrences make in a short text of the same group (one of lower-quartile size). The fence
+of a language is drawn towards that of all rows, and the fence of a language and source towards that of its language, with the
+weight of SHRINK rows, so small groups lean on larger ones without a switch. Rows are then judged by joining the fences on language
+and source.
 
 The base rules come first (fewer than 50 words, or over half of the words inside repeated three-word windows).
 
 Defined cases: a null or empty text has no words and fails the base rules; null lang and source are groups of
-their own; long texts are measured whole; an empty table gives no rows; other columns are ignored by
-``op1`` and kept by ``keep``.
+their own; long texts are measured whole; repeated rows are judged alike and count as rows of their own; an empty table gives no rows; other
+columns are ignored by ``op1`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from pyspark.sql import functions as F
 
 from ._util import SPACE, documents, staged
 
-#: Values of a sketch, fence parameters, and the most fence rows that are broadcast.
-LEVELS, SPREADS, LEAST_ROWS, BROADCAST_ROWS = 1000, 3, 200, 200_000
-#: Least spread per measure, in its own unit (thousandths; hundredths of a character for word length).
-SLACK = {"symbols": 15, "dup_lines": 150, "repeats": 110, "long_words": 120, "capitals": 100}
+#: Fence parameters, rows that the wider group weighs, and the most fence rows that are broadcast.
+SPREADS, EVENTS, SHRINK, BROADCAST_ROWS = 5, 8, 200, 200_000
+#: Measure: count, size of the text it is related to, scale, and what one harmless occurrence adds to the count.
+MEASURES = {
+    "symbols": ("n_symbols", "chars", 1000, 1), "dup_lines": ("n_dup_lines", "lines", 1000, 1), "repeats": ("n_repeat_words", "words", 1000, 30),
+    "long_words": ("word_chars", "words", 50, 15), "capitals": ("n_capitals", "chars", 1000, 4),
+}
+SIZES = {"chars": "word_chars", "words": "n_words", "lines": "n_lines"}
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -59,14 +65,10 @@ def measured(docs: DataFrame) -> DataFrame:
         covered.cast("long").alias("n_repeat_words"), F.size("l").cast("long").alias("n_lines"),
         F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
     )
-    level = lambda part, whole, scale: F.least(F.lit(LEVELS), F.coalesce(F.expr(f"({part} * {scale}) DIV nullif({whole}, 0)"), F.lit(0))).cast("int")
+    ratio = lambda k: F.coalesce(F.expr(f"({MEASURES[k][0]} * {MEASURES[k][2]}) DIV nullif({SIZES[MEASURES[k][1]]}, 0)"), F.lit(0)).cast("long")
     return counts.select(
         "*", ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        F.struct(
-            level("n_symbols", "word_chars", 1000).alias("symbols"), level("n_dup_lines", "n_lines", 1000).alias("dup_lines"),
-            level("n_repeat_words", "n_words", 1000).alias("repeats"), level("word_chars", "n_words", 50).alias("long_words"),
-            level("n_capitals", "word_chars", 1000).alias("capitals"),
-        ).alias("m"),
+        F.struct(*[ratio(k).alias(k) for k in MEASURES], *[F.col(v).alias(k) for k, v in SIZES.items()]).alias("m"),
     )
 
 
@@ -75,44 +77,53 @@ def _group(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(name)))
 
 
+def level(value: Column) -> Column:
+    """The value cut to its six leading bits."""
+    return value - value % F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), F.length(F.bin(value)) - 6))
+
+
 def fences(rows: DataFrame) -> DataFrame:
-    """g_lang, g_source and the fence of each measure. ``rows``: g_lang, g_source and struct m."""
-    pairs = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in SLACK]), F.array(*[F.col(f"m.{k}") for k in SLACK])))
+    """g_lang, g_source and the fence of each measure. ``rows``: g_lang, g_source and struct m of the rows that count."""
+    names = [*MEASURES, *SIZES]
+    pairs = F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[level(F.col(f"m.{k}")) for k in names])))
     sketch = rows.select("g_lang", "g_source", pairs.alias("measure", "value")).groupBy("g_lang", "g_source", "measure", "value").agg(F.count("*").alias("n"))
-    sketch = staged(sketch, "quality-sketch")  # at most LEVELS + 1 rows per group and measure
-    merged = sketch.groupBy("measure", "value").agg(F.sum("n").alias("n"))
+    sketch = staged(sketch, "quality-sketch")
 
-    def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    def fence(keys: list[str]) -> DataFrame:
+        """n and the fences of the sketches merged by ``keys``."""
+        merged = sketch.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*keys, "measure")
-        ranked = counts.select(*keys, "measure", "value", F.sum("n").over(w.orderBy("value")).alias("upto"), F.sum("n").over(w).alias("total"))
-        upper = ranked.groupBy(*keys, "measure").agg(
-            F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("value"))).alias("q1"),
-            F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("value"))).alias("q3"), F.max("total").alias("rows"),
-        )
-        slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("measure"))
-        return upper.withColumn("fence", F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q1"), slack))
+        ranked = merged.select(*keys, "measure", "value", F.sum("n").over(w.orderBy("value")).alias("upto"), F.sum("n").over(w).alias("total"))
+        at = lambda k, share: F.min(F.when((F.col("measure") == k) & (4 * F.col("upto") >= share * F.col("total")), F.col("value")))
+        wide = ranked.groupBy(*keys).agg(F.max("total").alias("n"), *[at(k, 1).alias(f"low_{k}") for k in names], *[at(k, 3).alias(f"high_{k}") for k in MEASURES])
+        least = lambda k: F.expr(f"{EVENTS * MEASURES[k][2] * MEASURES[k][3]} DIV greatest(1, low_{MEASURES[k][1]})")
+        return wide.select(*keys, "n", *[(F.col(f"high_{k}") + SPREADS * F.greatest(F.col(f"high_{k}") - F.col(f"low_{k}"), least(k))).alias(k) for k in MEASURES])
 
-    own = quartiles(sketch, ["g_lang", "g_source"]).join(quartiles(merged, []).select("measure", F.col("fence").alias("common")), "measure")
-    fence = F.when(F.col("rows") >= LEAST_ROWS, F.col("fence")).otherwise(F.col("common"))
-    return own.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("measure") == k, fence)).alias(f"fence_{k}") for k in SLACK])
+    drawn = lambda own, wider: F.expr(f"(n * {own} + {SHRINK} * {wider}) DIV (n + {SHRINK})")
+    every = fence([]).first()  # one row of numbers
+    if every is None:
+        every = dict.fromkeys(MEASURES)
+    langs = fence(["g_lang"]).select("g_lang", *[drawn(k, "null" if every[k] is None else every[k]).alias(f"lang_{k}") for k in MEASURES])
+    return fence(["g_lang", "g_source"]).join(langs, "g_lang").select("g_lang", "g_source", *[drawn(k, f"lang_{k}").alias(f"fence_{k}") for k in MEASURES])
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``measured`` with the fences of their group and ``kept``."""
+    """``rows`` of ``measured``, stored, with the fences of their group and ``kept``."""
     keyed = rows.withColumns({"g_lang": _group("doc.lang"), "g_source": _group("doc.source")})
-    limits = staged(fences(keyed.select("g_lang", "g_source", "m")), "quality-fences")
+    limits = staged(fences(keyed.where("NOT base_failed").select("g_lang", "g_source", "m")), "quality-fences")
     if limits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # beyond it, a shuffled join that Spark may split
         limits = F.broadcast(limits)
-    # one number instead of a conjunction: Spark would push the parts down and repeat the measures inside each
-    faults = F.col("base_failed").cast("int")
-    for k in SLACK:
-        faults = faults + (F.col(f"m.{k}") > F.col(f"fence_{k}")).cast("int")
-    return keyed.join(limits, ["g_lang", "g_source"]).withColumn("kept", faults == 0)
+    fine = [F.col(f"m.{k}") <= F.col(f"fence_{k}") for k in MEASURES]
+    kept = ~F.col("base_failed")
+    for x in fine:
+        kept = kept & x
+    # groups without a row that passes the base rules have no fences
+    return keyed.join(limits, ["g_lang", "g_source"], "left").withColumn("kept", F.coalesce(kept, F.lit(False)))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    return judged(measured(docs)).where("kept").select("doc.*")
+    return judged(staged(measured(docs), "quality-measures", compression="zstd")).where("kept").select("doc.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +131,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = measured(docs).withColumn("doc", F.struct("doc.doc_id", "doc.lang", "doc.source"))
     return judged(staged(rows, "quality-measures")).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        *[F.col(f"m.{k}").alias(k) for k in SLACK], *[f"fence_{k}" for k in SLACK],
+        *[F.col(f"m.{k}").alias(k) for k in MEASURES], *[f"fence_{k}" for k in MEASURES],
     )
 
 
@@ -134,24 +145,25 @@ h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE c > 1) GROUP BY doc_id),
 b AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) AS n_capitals
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals
   FROM w LEFT JOIN r USING (doc_id)),
-m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  least(1000, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0))::INT AS symbols, least(1000, coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0))::INT AS dup_lines,
-  least(1000, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0))::INT AS repeats, least(1000, coalesce(word_chars * 50 // nullif(n_words, 0), 0))::INT AS long_words,
-  least(1000, coalesce(n_capitals * 1000 // nullif(word_chars, 0), 0))::INT AS capitals FROM b),
-u AS (UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, long_words, capitals FROM m) ON symbols, dup_lines, repeats, long_words, capitals INTO NAME measure VALUE value),
-own AS (SELECT lang, source, measure, count(*) AS n, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM u GROUP BY ALL),
-al AS (SELECT measure, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM u GROUP BY ALL),
-s(measure, slack) AS (VALUES {slack}),
-f AS (SELECT lang, source, o.measure, CASE WHEN n >= 200 THEN o.q3 + 3 * greatest(o.q3 - o.q1, slack) ELSE a.q3 + 3 * greatest(a.q3 - a.q1, slack) END AS fence
-  FROM own o JOIN al a USING (measure) JOIN s USING (measure)),
-p AS (SELECT lang, source, {fences} FROM f GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND symbols <= fence_symbols AND dup_lines <= fence_dup_lines AND repeats <= fence_repeats AND long_words <= fence_long_words AND capitals <= fence_capitals AS kept,
-  symbols, dup_lines, repeats, long_words, capitals, fence_symbols, fence_dup_lines, fence_repeats, fence_long_words, fence_capitals
-FROM m JOIN p ON m.lang IS NOT DISTINCT FROM p.lang AND m.source IS NOT DISTINCT FROM p.source
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars AS chars, n_words AS words, n_lines AS lines, {ratios} FROM b),
+p AS (SELECT lang, source, {names} FROM m WHERE NOT base_failed),
+u AS (SELECT lang, source, measure, value - value % (1::BIGINT << greatest(0, length(bin(value)) - 6)) AS value FROM (UNPIVOT p ON {names} INTO NAME measure VALUE value)),
+t AS (SELECT lang, source, 2 AS depth, measure, value FROM u UNION ALL SELECT lang, NULL, 1, measure, value FROM u UNION ALL SELECT NULL, NULL, 0, measure, value FROM u),
+q AS (SELECT lang, source, depth, measure, count(*) AS n, quantile_disc(value, 0.25) AS low, quantile_disc(value, 0.75) AS high FROM t GROUP BY ALL),
+v AS (SELECT a.lang, a.source, a.depth, a.measure, a.n, a.high + {spreads} * greatest(a.high - a.low, e.least // greatest(1, z.low)) AS fence
+  FROM q a JOIN (VALUES {least}) e(measure, size, least) USING (measure)
+  JOIN q z ON z.measure = e.size AND z.depth = a.depth AND z.lang IS NOT DISTINCT FROM a.lang AND z.source IS NOT DISTINCT FROM a.source),
+lf AS (SELECT v.lang, v.measure, (v.n * v.fence + {shrink} * a.fence) // (v.n + {shrink}) AS fence FROM v JOIN v a ON v.depth = 1 AND a.depth = 0 AND a.measure = v.measure),
+f AS (SELECT v.lang, v.source, v.measure, (v.n * v.fence + {shrink} * lf.fence) // (v.n + {shrink}) AS fence
+  FROM v JOIN lf ON v.depth = 2 AND lf.measure = v.measure AND lf.lang IS NOT DISTINCT FROM v.lang),
+x AS (SELECT lang, source, {fences} FROM f GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {fine}, false) AS kept, {measures}, {limits}
+FROM m LEFT JOIN x ON m.lang IS NOT DISTINCT FROM x.lang AND m.source IS NOT DISTINCT FROM x.source
 """.format(
-    slack=", ".join(f"('{k}', {v})" for k, v in SLACK.items()),
-    fences=", ".join(f"max(fence) FILTER (WHERE measure = '{k}')::INT AS fence_{k}" for k in SLACK),
+    spreads=SPREADS, shrink=SHRINK, names=", ".join([*MEASURES, *SIZES]), measures=", ".join(MEASURES), limits=", ".join(f"fence_{k}" for k in MEASURES),
+    ratios=", ".join(f"coalesce({c} * {scale} // nullif({SIZES[size]}, 0), 0)::BIGINT AS {k}" for k, (c, size, scale, _) in MEASURES.items()),
+    least=", ".join(f"('{k}', '{size}', {EVENTS * scale * harmless})" for k, (_, size, scale, harmless) in MEASURES.items()),
+    fences=", ".join(f"max(fence) FILTER (WHERE measure = '{k}')::BIGINT AS fence_{k}" for k in MEASURES), fine=" AND ".join(f"{k} <= fence_{k}" for k in MEASURES),
 )

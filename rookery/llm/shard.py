@@ -8,8 +8,10 @@ Neither ranking is done in one task: a source is split by the leading bits of th
 global order by the value of the fractional rank; row numbers inside a piece plus the count of all earlier
 pieces are the exact ranks, so a source that holds a third of the corpus spreads over many tasks.
 
+The number of pieces grows with the row count, so a piece holds about PIECE_ROWS rows at most.
+
 Law: ``rows`` (shard sizes at most one apart). Defined cases: a null source is a stratum of its own, a null
-text has no bytes (size 1, crc32 0), a null doc_id sorts first, repeated rows are separate rows, an empty table gives no
+text has no bytes (size 1, crc32 0), rows with a null doc_id are shuffled by their place in the table, repeated rows are separate rows with slots of their own, an empty table gives no
 rows, and other columns are ignored.
 """
 
@@ -18,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import documents
+from ._util import documents, staged
 
 SEED = 20240229
-#: Pieces of a source and of the global order: fixed, so the small tables of counts stay small at any size.
-SOURCE_BITS, ORDER_PIECES = 8, 1024
+#: Rows in a piece of a source or of the global order, and the least number of pieces (a power of two).
+PIECE_ROWS, LEAST_BITS = 1 << 20, 8
 
 
 def interleaved(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
@@ -33,8 +35,11 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFram
     ).select(
         "*",
         F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("stratum"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32").alias("dice"),
-    ).withColumn("piece", F.shiftright("dice", 64 - SOURCE_BITS))
+        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))), "text_crc32").alias("dice"),
+    )
+    rows = staged(rows, "shard-rows")  # the texts are read once
+    bits = max(LEAST_BITS, (rows.count() // PIECE_ROWS).bit_length())
+    rows, pieces = rows.withColumn("piece", F.shiftright("dice", 64 - bits)), 1 << bits
     whole = Window.partitionBy("stratum")
     counts = rows.groupBy("stratum", "piece").agg(F.count("*").alias("n")).select(
         "stratum", "piece",
@@ -45,9 +50,9 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFram
     ranked = rows.join(counts, ["stratum", "piece"]).withColumn(
         "rank", F.col("before") + F.row_number().over(Window.partitionBy("stratum", "piece").orderBy(*order))
     ).withColumn("fraction", (2 * F.col("rank") - 1) / (2 * F.col("stratum_rows"))).withColumn(
-        "slice", F.floor(F.col("fraction") * ORDER_PIECES).cast("int")
+        "slice", F.floor(F.col("fraction") * pieces).cast("int")
     )
-    # the table below has at most ORDER_PIECES rows, so the unpartitioned window and the broadcast are bounded
+    # one row per PIECE_ROWS rows: the unpartitioned window and the broadcast stay small
     slices = ranked.groupBy("slice").agg(F.count("*").alias("n"))
     all_before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     slices = slices.select(
