@@ -10,16 +10,20 @@ Bands that many nodes share are not expanded into all pairs. (1) Every member of
 member, and with the least of a random part of about PART members; the pairs that stay give components. (2) Members of
 one band that are still in different components are compared with each other: pair by pair in bands of up to SMALL
 members, in blocks inside the tasks in larger ones, where the members of the largest component are not compared among
-themselves. So every candidate pair is either compared or inside one component. (3) Components are
-verified exactly, in blocks of BLOCK nodes against blocks, which also counts each node's links; components of the
-verified links are the classes.
+themselves. So every candidate pair is either compared or inside one component. (3) Each node with a candidate is shingled once
+more; components are verified exactly on those hashed sets, in blocks of BLOCK nodes against blocks, which also counts each node's
+links; components of the verified links are the classes.
+
+A node is named by the digest of its shingle set, never by a doc_id, so rows with equal doc_ids and other texts stay apart.
 
 A pair at the threshold shares no band with probability below 1e-5, falling fast above it; shingles are compared by
 64-bit hashes. Recall against brute force is tested.
 
 Defined cases: texts without a word (null and empty ones too) have no shingles and are linked only to equal texts,
-null texts to none; a row with a null doc_id is returned unlinked with a null class; repeated rows count once;
-an empty table gives no rows; other columns are ignored by ``classes`` and kept by ``one_of_each``.
+null texts to none (rows with null text and equal doc_ids are one class); a class is named by its least doc_id; where several classes
+have the same least doc_id, the one whose texts hash lowest keeps it and the others, like classes without any doc_id, are named by a negative
+number drawn from their texts; repeated rows count once as texts; an empty table gives no rows; other columns are ignored by ``classes`` and
+kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import arrow_batch, documents, rows_of, staged
@@ -39,7 +43,7 @@ from .simhash import mixed, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 HASHES, STEP, TOLERANCE, BLOCK = BANDS * ROWS, 12, 1e-6, 256
-PART, SMALL = 8, 32
+PART, SMALL, LANE = 8, 32, 4096
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -92,6 +96,11 @@ def survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return left
 
 
+def text_key() -> Column:
+    """Digest of the text; rows without a text are told apart by doc_id."""
+    return F.md5(F.coalesce(F.concat(F.lit("+"), F.col("text")), F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).cast("binary"))
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, set_key, n_shingles and signature of each row."""
 
@@ -99,20 +108,19 @@ def signed(docs: DataFrame) -> DataFrame:
         import hashlib
 
         for batch in batches:
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("text_key", pa.binary()), ("set_key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
-            for ids, texts in rows_of(iter([batch]), "doc_id", "text"):
-                keys, sets, sizes, signatures = [], [], [], []
-                for doc_id, text in zip(ids, texts, strict=True):
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("text_key", pa.string()), ("set_key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary())])
+            for ids, keys, texts in rows_of(iter([batch]), "doc_id", "text_key", "text"):
+                sets, sizes, signatures = [], [], []
+                for key, text in zip(keys, texts, strict=True):
                     s = shingles(text or "")
-                    key = hashlib.md5((text or "").encode("utf-8", "replace")).digest() if text is not None else b"null %d" % (-1 if doc_id is None else doc_id)
-                    keys.append(key)
-                    sets.append(hashlib.md5(s.tobytes()).digest() if len(s) else b"-" + key)  # no shingles: only its equals
+                    sets.append(hashlib.md5(s.tobytes()).digest() if len(s) else b"-" + key.encode())  # no shingles: only its equals
                     sizes.append(len(s))
                     signatures.append(minhashes(s).tobytes() if len(s) else None)
                 yield arrow_batch(schema, [ids, keys, sets, sizes, signatures])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_key binary, set_key binary, n_shingles bigint, signature binary")
+    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key string, set_key binary, n_shingles bigint, signature binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -218,8 +226,43 @@ def _block_links(members: DataFrame, signatures: DataFrame) -> DataFrame:
     return met.join(signatures.select("node", "signature"), "node").groupBy("band", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
+def _shingled(texts: DataFrame) -> DataFrame:
+    """node and its sorted shingle hashes, from node and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, some in rows_of(iter([batch]), "node", "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([shingles(t).tobytes() for t in some], pa.binary())], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingles binary")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of common shingles of a[i] and b[j] for arrays of pairs.
+
+    Few pairs are intersected one by one; many, as among near copies, by products of 0/1 matrices over the shingles that
+    both sides hold, LANE of them at a time.
+    """
+    if len(i) <= 4 * (len(a) + len(b)):
+        return np.array([np.intersect1d(a[x], b[y], assume_unique=True).size for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+
+    def lanes(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+        grid = np.zeros((len(sets), len(some)), dtype=np.float32)
+        for row, s in zip(grid, sets, strict=True):
+            at = np.searchsorted(some, s)
+            row[at[(at < len(some)) & (some[np.minimum(at, len(some) - 1)] == s)]] = 1
+        return grid
+
+    for at in range(0, len(shared), LANE):
+        some = shared[at : at + LANE]
+        out += lanes(a, some) @ lanes(b, some).T
+    return out[i, j].astype(np.int64)
+
+
 def _verified(nodes: DataFrame) -> DataFrame:
-    """node, links (linked texts), least linked node, from ``nodes`` (comp, node, n_texts, signature, text).
+    """node, links (linked texts), least linked node, from ``nodes`` (comp, node, n_texts, signature, shingles).
 
     Rows meet in pairs of blocks of one component; a pair of blocks is one group of at most 2 * BLOCK rows.
     """
@@ -227,39 +270,56 @@ def _verified(nodes: DataFrame) -> DataFrame:
     dealt = nodes.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     low = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
     high = F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
-    met = dealt.select("comp", "node", "n_texts", "signature", "text", "block", F.inline(F.array_distinct(F.concat(low, high))))
+    met = dealt.select("comp", "node", "n_texts", "signature", "shingles", "block", F.inline(F.array_distinct(F.concat(low, high))))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", ignore_index=True)
         left = group[group["block"] == group["i"].iloc[0]]
         right = group[group["block"] == group["j"].iloc[0]]
         same = group["i"].iloc[0] == group["j"].iloc[0]
-        get = lambda df: (df["node"].to_numpy(), df["n_texts"].to_numpy(), np.frombuffer(b"".join(df["signature"]), dtype="<u2").reshape(-1, HASHES), [shingles(t) for t in df["text"]])
+        get = lambda df: (df["node"].tolist(), df["n_texts"].to_numpy(), np.frombuffer(b"".join(df["signature"]), dtype="<u2").reshape(-1, HASHES), [np.frombuffer(t, dtype=np.uint64) for t in df["shingles"]])
         (na, ta, ga, sa), (nb, tb, gb, sb) = get(left), get(right)
         links, forest = {n: 0 for n in [*na, *nb]}, _Forest()
+        if not na or not nb:
+            return pd.DataFrame({"node": list(links), "links": list(links.values()), "least": list(links)})
+        firsts, seconds = [], []
         for i in range(len(na)):
             others = np.arange(i + 1, len(nb)) if same else np.arange(len(nb))
-            if not len(others):
-                continue
-            for j in others[survivors(np.broadcast_to(ga[i], (len(others), HASHES)), gb[others])]:
-                common = np.intersect1d(sa[i], sb[j], assume_unique=True).size
-                if common >= THRESHOLD * (len(sa[i]) + len(sb[j]) - common) - 1e-9:
-                    links[na[i]] += tb[j]
-                    links[nb[j]] += ta[i]
-                    forest.join(na[i], nb[j])  # says as much about classes as all links
+            if len(others):
+                stay = others[survivors(np.broadcast_to(ga[i], (len(others), HASHES)), gb[others])]
+                firsts.append(np.full(len(stay), i))
+                seconds.append(stay)
+        i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (firsts, seconds))
+        size_a, size_b = np.array(list(map(len, sa))), np.array(list(map(len, sb)))
+        common = common_counts(sa, sb, i, j)
+        linked = common >= THRESHOLD * (size_a[i] + size_b[j] - common) - 1e-9
+        for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+            links[na[x]] += int(tb[y])
+            links[nb[y]] += int(ta[x])
+            forest.join(na[x], nb[y])  # says as much about classes as all links
         return pd.DataFrame({"node": list(links), "links": list(links.values()), "least": [forest.root(n) for n in links]})
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    return met.groupBy("comp", "i", "j").applyInPandas(compare, f"node {kind}, links bigint, least {kind}")
+    return met.groupBy("comp", "i", "j").applyInPandas(compare, "node binary, links bigint, least binary")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class) and n_links (other texts at or above the threshold) per row of ``docs``."""
+def _named(texts: DataFrame) -> DataFrame:
+    """comp and class_id, from comp and the least doc_id of each text."""
+    known = texts.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    first = known.where("least IS NOT NULL").groupBy("least").agg(F.min("comp").alias("first"))
+    own = F.when(F.col("comp") == F.col("first"), F.col("least")).otherwise(F.xxhash64("comp").bitwiseOR(F.lit(-(1 << 63))))
+    return known.join(first, "least", "left").select("comp", own.alias("class_id"))
+
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored signed rows of ``docs``, and set_key, comp, class_id and n_links of each shingle set."""
     rows = staged(signed(docs), "signed")
-    known = rows.where(F.col("doc_id").isNotNull())
-    nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count_distinct("text_key").alias("n_texts"), F.max("n_shingles").alias("n"))
-    nodes = staged(nodes, "nodes")
-    kept = nodes.where("n > 0").select("node", "n_texts", "set_key")
-    first = known.select(F.col("doc_id").alias("node"), "set_key", "signature").join(kept, ["node", "set_key"]).dropDuplicates(["node"])
+    texts = rows.groupBy("set_key", "text_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    texts = staged(texts, "texts")
+    nodes = texts.groupBy("set_key").agg(F.count("*").alias("n_texts"), F.max("n").alias("n"), F.min(F.struct("text_key", "doc_id")).alias("of"))
+    nodes = staged(nodes.select(F.col("set_key").alias("node"), "n_texts", "n", F.col("of.text_key").alias("of_text"), F.col("of.doc_id").alias("of_doc")), "nodes")
+    kept = nodes.where("n > 0").select("node", "n_texts", "of_text", "of_doc")
+    one_row = (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))  # and its repetitions
+    first = rows.select("doc_id", "text_key", "signature").join(kept, one_row).dropDuplicates(["node"])
     signatures = staged(first.select("node", "n_texts", "signature"), "signatures")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", (i * 2 * ROWS + 1), F.lit(2 * ROWS))))
     bands = signatures.select("node", F.explode(keys).alias("band"))
@@ -280,24 +340,37 @@ def classes(docs: DataFrame) -> DataFrame:
     large = _block_links(placed.where(F.col("members") > SMALL).select("band", "node", "comp"), signatures)
     links = stars.unionByName(staged(_pruned(cross, signatures).unionByName(large), "cross"))
     comps = components(links, "links")
-    # texts of the nodes that have candidates, each once
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(comps, "node").dropDuplicates(["node"])
-    checked = staged(_verified(texts.join(signatures, "node")), "verified")
+    # one row of each node that has candidates is shingled
+    asked = nodes.join(comps, "node").select("node", "of_text", "of_doc")
+    sets = docs.select("doc_id", text_key().alias("text_key"), "text").join(asked, one_row).select("node", "text")
+    sets = staged(_shingled(sets).dropDuplicates(["node"]), "shingled")
+    checked = staged(_verified(sets.join(comps, "node").join(signatures, "node")), "verified")
     final = components(checked.where("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")), "classes")
     totals = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    placed = texts.select(F.col("set_key").alias("node"), "doc_id").join(final, "node", "left").select(F.coalesce("comp", "node").alias("comp"), "doc_id")
+    names = staged(_named(placed), "names")
     out = nodes.join(totals, "node", "left").join(final, "node", "left")
-    out = out.select("set_key", F.coalesce("comp", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
-    return rows.select("doc_id", "set_key").join(out, "set_key", "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links")
-    )
+    out = out.select(F.col("node").alias("set_key"), F.coalesce("comp", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
+    return rows, out.join(names, "comp")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class) and n_links (other texts at or above the threshold) per row of ``docs``."""
+    rows, found = classified(docs)
+    return rows.select("doc_id", "set_key").join(found, "set_key").select("doc_id", "class_id", F.col("n_links").cast("bigint").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class (the least doc_id; one of repeated rows) and all rows without doc_id."""
-    found = staged(classes(docs), "classes")
-    keep = found.where("doc_id = class_id").select("doc_id").distinct()
-    with_id = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class: of its least doc_id (rows without one come last), then of its least text digest."""
+    rows, found = classified(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("best")
+    keep = rows.select("doc_id", "text_key", "set_key").join(found.select("set_key", "comp"), "set_key").groupBy("comp").agg(best)
+    keep = staged(keep.select(F.col("best.doc_id").alias("keep_doc"), F.col("best.text_key").alias("keep_text")), "keep")
+    names = docs.columns
+    columns = [F.col(f"`{c}`") for c in names]
+    marked = docs.select(F.struct(*columns).alias("row"), "doc_id", text_key().alias("text_key"))
+    kept = marked.join(keep, (F.col("text_key") == F.col("keep_text")) & F.col("doc_id").eqNullSafe(F.col("keep_doc")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_key"]).select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
