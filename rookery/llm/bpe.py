@@ -2,8 +2,8 @@
 
 Tier one: a minimal perfect hash over the vocabulary resolves a pre-token that is a token itself. Tier two: a
 pre-token that is not goes through the merges, lowest rank first and leftmost among equals, with a heap over
-doubly linked bytes, so a pre-token of n bytes costs O(n log n) however long it is. Results of pre-tokens are
-kept in a dictionary of bounded size per task.
+doubly linked bytes, so a pre-token of n bytes costs O(n log n) however long it is. Results of both tiers are
+kept in a dictionary of bounded size per task, so either tier is reached once per distinct pre-token and task.
 
 Decoding joins the bytes of the tokens; it reads the ids only.
 
@@ -83,8 +83,10 @@ class ByteBPE:
         self.ranks, self.pattern = ranks, pattern
         self.hash = MinimalPerfectHash(list(ranks))
         self.keys: list[bytes] = [b""] * len(ranks)
-        for token in ranks:
-            self.keys[self.hash(token)] = token
+        self.ids = [0] * len(ranks)  # in hash order, as the keys are
+        for token, rank in ranks.items():
+            slot = self.hash(token)
+            self.keys[slot], self.ids[slot] = token, rank
         self.bytes_of = {i: t for t, i in ranks.items()}
         self._find = None
 
@@ -93,8 +95,8 @@ class ByteBPE:
 
     def whole(self, piece: bytes) -> int | None:
         """The id of a piece that is a token, by the perfect hash."""
-        key = self.keys[self.hash(piece)]
-        return self.ranks[key] if key == piece else None
+        slot = self.hash(piece)
+        return self.ids[slot] if self.keys[slot] == piece else None
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of any piece by heap-ordered merges over linked bytes."""

@@ -1,9 +1,10 @@
 """Best-fit packing with swap-based local search.
 
 Documents become token ids; one longer than a sequence is cut into full pieces, its first piece taking the remainder.
-Pieces are dealt at random into blocks of about BLOCK pieces, so that one task holds a block whatever the corpus
+Pieces are dealt by a hash of their place in the stored table into blocks of about BLOCK pieces, so that one task holds a block whatever the corpus
 size. A block is packed best-fit in order of falling length; then documents are moved, exchanged one for one or one
-for two between underfull bins as long as the sum of squared fills grows, which empties bins.
+for two between underfull bins as long as any such exchange raises the sum of squared fills, which empties bins. The sum is a whole number
+that never exceeds the token count times the capacity and grows with every exchange, so the search ends by itself.
 A block wastes at most a fraction of a sequence on its last bins.
 
 Token ids are those of the tokenizer file. Texts of Latin characters are encoded by its vocabulary and merge order in the faster of
@@ -15,6 +16,7 @@ the bin found first; an empty table gives no rows; other columns are ignored by
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._util import arrow_batch, documents, rows_of, staged
 
-SEQUENCE, BLOCK, PASSES = 2048, 16_384, 4
+SEQUENCE, BLOCK = 2048, 16_384
 _FOREIGN = regex.compile(r"[^\x00-ɏ‐-‧€]")
 
 
@@ -123,9 +125,9 @@ class Bins:
         self.fill[a] -= change
         self.fill[b] += change
 
-    def local_search(self, passes: int = PASSES) -> None:
-        """Raise the sum of squared fills: bin b takes a longer document from an emptier bin for none, one or two of its own."""
-        for _ in range(passes):
+    def local_search(self, passes: int | None = None) -> None:
+        """Raise the sum of squared fills until no exchange does: bin b takes a longer document from an emptier bin for none, one or two of its own."""
+        for _ in itertools.count() if passes is None else range(passes):
             under = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b))
             have: list[list[int]] = [[] for _ in range(self.capacity + 1)]
             for b in reversed(under):  # emptier bins come last in each list, so first out
@@ -168,9 +170,8 @@ class Bins:
                     if not have[n]:
                         some &= ~(1 << n)
                     for y in out:  # now in the emptier bin
-                        if y not in have[self.lengths[y]][-8:]:
-                            have[self.lengths[y]].append(y)
-                            some |= 1 << self.lengths[y]
+                        have[self.lengths[y]].append(y)  # a second mention does no harm: its bin is looked up when it is used
+                        some |= 1 << self.lengths[y]
                     self._move(out, x, b)
                     moved = True
             if not moved:
@@ -197,7 +198,7 @@ def packed(pieces: DataFrame, capacity: int = SEQUENCE, block: int = BLOCK) -> D
     part = pieces.where(F.col("length") < capacity)
     whole = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     blocks = max(1, -(-part.count() // block))
-    dealt = part.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    dealt = part.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))  # by place: equal rows spread as well
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
