@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._util import arrow_batch, crc_mod, documents, rows_of, staged
 
-WIDTH, PARTS, PAIRS = 24, 128, 1 << 16
+WIDTH, PARTS, LANE, PAIRS = 24, 128, 16, 1 << 16
 WINDOW, STRIDE = 16, 14
 WARM_DOCS, WARM_STEPS, REFIT, BATCH = 1000, 2000, 20, 128
 #: Adam rates of the shared weights, and how much faster the vectors of ids and pairs (Adagrad) move.
@@ -131,12 +131,21 @@ class Attention:
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         self.steps = 0
 
-    def copy(self) -> Attention:
-        """A copy that can be trained; the output distributions are shared."""
-        other = object.__new__(Attention)
-        other.size, other.w, other.E, other.seen, other.O = self.size, {k: v.copy() for k, v in self.w.items()}, self.E.copy(), self.seen.copy(), self.O
-        other.start()
-        return other
+    def packed(self, used: np.ndarray) -> dict:
+        """What a task needs to rebuild the model: vectors that differ from the first ones, in half precision, and the output rows of the ids ``used``; all others are alike."""
+        at = np.flatnonzero((self.E != Attention(self.size).E).any(axis=1))
+        rest = np.setdiff1d(np.arange(self.size), used)[:1]
+        return {"size": self.size, "w": self.w, "at": at, "E": self.E[at].astype(np.float16), "seen": self.seen[at].mean(axis=1), "used": used, "O": self.O[used], "rest": self.O[rest]}
+
+    @staticmethod
+    def unpacked(parts: dict) -> Attention:
+        model = Attention(parts["size"])
+        model.w, model.E[parts["at"]], model.seen[parts["at"]] = {k: v.copy() for k, v in parts["w"].items()}, parts["E"], parts["seen"][:, None]
+        if len(parts["rest"]):
+            model.O[:] = parts["rest"]
+        model.O[parts["used"]] = parts["O"]
+        model.start()
+        return model
 
     def attend(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """Inputs, queries, attention, mean of the inputs under it, and state, for windows of ids."""
@@ -155,7 +164,8 @@ class Attention:
         """Unnormalised weights of the parts."""
         e = h @ self.w["U"]
         e += self.w["u"]
-        return np.exp(np.clip(e, -60, 60, out=e), out=e)
+        np.clip(e, -60, 60, out=e)
+        return np.exp(e, out=e)
 
     def logp(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of the targets that are not negative, row by row."""
@@ -164,7 +174,7 @@ class Attention:
         h += np.take(self.E, pairs.reshape(-1)[real] + self.size, axis=0)
         e = self.parts(h)
         chosen = np.take(self.O, target.reshape(-1)[real], axis=0)
-        return np.log(np.einsum("nc,nc->n", e, chosen) / e.sum(axis=1))
+        return np.log(np.einsum("nc,nc->n", e, chosen) / (e @ np.ones(PARTS, dtype=e.dtype)))
 
     def step(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray, rate: float, gather=None) -> float:
         """One step on windows; targets below 0 are left out. ``gather`` gets targets and their posteriors. Returns the mean log-probability."""
@@ -177,7 +187,8 @@ class Attention:
         e = self.parts(h)
         r = np.take(self.O, y, axis=0)
         r *= e
-        joint, total = r.sum(axis=1), e.sum(axis=1)
+        ones = np.ones(PARTS, dtype=r.dtype)
+        joint, total = r @ ones, e @ ones
         r *= (1 / joint)[:, None]
         if gather:
             gather(y, r)
@@ -271,18 +282,23 @@ class Drawn:
         self.counts, self.rng = np.zeros(size * PARTS, dtype=np.int64), np.random.default_rng(seed)
 
     def __call__(self, y: np.ndarray, r: np.ndarray) -> None:
-        upto = np.cumsum(r, axis=1)
-        part = (upto < (self.rng.random(len(y), dtype=_one) * upto[:, -1])[:, None]).sum(axis=1)
-        self.counts += np.bincount(y * PARTS + np.minimum(part, PARTS - 1), minlength=len(self.counts))
+        """First a lane of LANE parts is drawn, then a part of it: short running sums instead of one long one."""
+        rows, lanes = np.arange(len(y)), r.reshape(len(y), -1, LANE)
+        upto = np.cumsum(np.einsum("nlc->nl", lanes), axis=1)
+        at = self.rng.random(len(y), dtype=_one) * upto[:, -1]
+        lane = np.minimum((upto <= at[:, None]).sum(axis=1), lanes.shape[1] - 1)
+        at -= np.where(lane > 0, upto[rows, lane - 1], 0)
+        part = np.minimum((np.cumsum(lanes[rows, lane], axis=1) <= at[:, None]).sum(axis=1), LANE - 1)
+        np.add.at(self.counts, y * PARTS + lane * LANE + part, 1)
 
 
 def _framed(ids: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate(([end], ids, [end])).astype(np.int32)
 
 
-def trained(model: Attention, documents: Iterator[bytes], expected: int) -> tuple[Attention, Drawn, np.ndarray, int]:
-    """A copy of ``model`` after all windows of ``documents`` (ids), the drawn counts, how often each row of E was met, and the ids seen."""
-    mine, end = model.copy(), model.size - 1
+def trained(mine: Attention, documents: Iterator[bytes], expected: int) -> tuple[Drawn, np.ndarray, int]:
+    """Trains the model on all windows of ``documents`` (ids). Returns the drawn counts, how often each row of E was met, and the ids seen."""
+    model, end = mine, mine.size - 1
     drawn, met, done, held, size = Drawn(model.size, 17), np.zeros(len(model.E), dtype=np.int64), 0, [], 0
 
     def train() -> None:
@@ -305,7 +321,7 @@ def trained(model: Attention, documents: Iterator[bytes], expected: int) -> tupl
             held, size = [], 0
     if held:
         train()
-    return mine, drawn, met, done
+    return drawn, met, done
 
 
 def log10_scores(model: Attention, sequences: list[np.ndarray], chunk: int = 128) -> np.ndarray:
@@ -371,13 +387,15 @@ def learn(rows: DataFrame, counts: DataFrame) -> Attention:
     if not first:
         return model
     groups = min(MOST_GROUPS, max(1, -(-total // GROUP)))
-    start, expected = spark.sparkContext.broadcast(model), total // groups  # bounded by the vocabulary, PAIRS and PARTS
+    used = np.flatnonzero(by_id)
+    start, expected = spark.sparkContext.broadcast(model.packed(used)), total // groups  # bounded by the vocabulary, PAIRS and PARTS
     columns = [f"v{i}" for i in range(WIDTH)]
     schema = pa.schema([("kind", pa.string()), ("at", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in columns]])
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = (x.as_py() for batch in batches for x in batch.column(0))
-        mine, drawn, met, done = trained(start.value, raw, expected)
+        mine = Attention.unpacked(start.value)
+        drawn, met, done = trained(mine, raw, expected)
         if not done:
             return
 
@@ -400,6 +418,7 @@ def learn(rows: DataFrame, counts: DataFrame) -> Attention:
     dealt = dealt.repartitionById(groups, F.pmod("dice", F.lit(groups)).cast("int")).sortWithinPartitions("dice", "ids")
     sums = dealt.select("ids").mapInArrow(tune, ", ".join(f"{f.name} {'string' if f.name == 'kind' else 'bigint'}" for f in schema))
     sums = sums.groupBy("kind", "at").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toArrow()  # bounded as the model is
+    start.destroy()
     kind, at, n = (sums.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "at", "n"))
     values = np.stack([sums.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
     rows_, drawn = kind == "e", np.zeros(-(-len(prior) * PARTS // WIDTH) * WIDTH).reshape(-1, WIDTH)
@@ -410,7 +429,7 @@ def learn(rows: DataFrame, counts: DataFrame) -> Attention:
     order = np.argsort(at[shared])
     flat, ends = (values[shared] / n[shared, None] / UNIT)[order].ravel(), np.cumsum([0, *[x.size for x in model.w.values()]])
     model.w = {k: flat[a:b].reshape(x.shape).astype(_one) for (k, x), a, b in zip(model.w.items(), ends, ends[1:], strict=False)}
-    return model
+    return Attention.unpacked(model.packed(used))
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -426,14 +445,14 @@ def scored(docs: DataFrame) -> DataFrame:
     words = counts.where("kind = 'w'").select(F.col("key").alias("word"), F.col("n").alias("c"))
     head_rows = words.orderBy(F.desc("c"), "word").limit(HEAD)
     head = {r["word"].encode(): float(np.log10(r["c"] + 0.1)) for r in head_rows.collect()}
-    model.seen, model.moments = None, {}
-    shared = spark.sparkContext.broadcast((model, head))  # bounded: HEAD words and the model
+    used = np.array(sorted(int(r["key"]) for r in counts.where("kind = 'i'").collect()) + [model.size - 1])  # bounded by the vocabulary
+    shared = spark.sparkContext.broadcast((model.packed(used), head))  # bounded: HEAD words and the model
     per_token = float(np.log10(total + 0.1 * (distinct + 1)))
     end = float(np.log10(n_docs + 0.1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head = shared.value
-        get = head.get
+        parts, head = shared.value
+        model, get = Attention.unpacked(parts), head.get
         for batch in batches:
             schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("head", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string()))])
             for ids, train, raw, texts in rows_of(iter([batch]), "doc_id", "train", "ids", "text", limit=1 << 20):
