@@ -9,17 +9,26 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{IsLatin}\p{Nd}]+|[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 
 
-def tokens(text: str | Column, dictionary: list[str] | None = None) -> Column:
+def tokens(text: str | Column, dictionary: list[str] | Column | None = None) -> Column:
     """Lower-cased tokens in order; dictionary terms that occur in the text are added at the end (full cut)."""
     c = F.lower(F.col(text) if isinstance(text, str) else text)
     found = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
-    if dictionary:
-        terms = F.array(*[F.lit(t.lower()) for t in dictionary])
+    if dictionary is not None:
+        terms = dictionary if isinstance(dictionary, Column) else F.array(*[F.lit(t.lower()) for t in dictionary]).cast("array<string>")
         found = F.concat(found, F.filter(terms, lambda t: c.contains(t) & ~F.array_contains(found, t)))
     return found
 
 
-def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, positions): one row per token of a row, positions ascending from 1."""
-    flat = rows.select(key, F.posexplode(tokens(text)).alias("pos", "token"))
-    return flat.groupBy(key, "token").agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
+def postings(rows: DataFrame, keys: str | list[str], text: str, dictionary: list[str] | Column | None = None) -> DataFrame:
+    """(keys, token, positions): one row per token of a row, positions ascending from 1.
+
+    A row holds all its tokens, so they are grouped inside it, by sorting; nothing is shuffled.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    found = rows.select(*keys, F.transform(tokens(text, dictionary), lambda t, i: F.struct(t.alias("token"), (i + 1).alias("pos"))).alias("found"))
+    rows = found.select(*keys, F.sort_array("found").alias("pairs"), F.size("found").alias("n")).where("n > 0")  # a column of its own: lambdas would sort again
+    pair = lambda i: F.get("pairs", i)
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (pair(i)["token"] != pair(i - 1)["token"])))
+    own = lambda s, k: F.slice("pairs", s + 1, F.coalesce(F.get("starts", k + 1), F.col("n")) - s)
+    terms = F.transform("starts", lambda s, k: F.struct(pair(s)["token"].alias("token"), F.transform(own(s, k), lambda x: x["pos"]).alias("positions")))
+    return rows.select(*keys, F.inline(terms))

@@ -45,10 +45,24 @@ _BOTH = {
     "v_folder": """SELECT concat('r', r_regionkey) AS id, CAST(NULL AS STRING) AS parent_id, r_name AS name FROM region
         UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation
         UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier""",
+    "v_resume_text": """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('姓名： ', right(c_name, 4), '；phone +86-1380000', right(c_name, 4), ' mail u', c_custkey, '@mail.example.org')
+        WHEN 1 THEN concat('王小明', chr(10), '1390000', right(c_name, 4)) WHEN 2 THEN concat('contact: a.b+', c_custkey, '@x-y.org, none') ELSE '' END AS text FROM customer""",
+    "v_slot_query": """SELECT p_partkey AS query_id, concat(CASE p_size % 3 WHEN 0 THEN concat(p_size, ' 年以上') WHEN 1 THEN concat('20', lpad(CAST(p_size AS STRING), 2, '0'), '年毕业 ') ELSE '' END,
+        CASE p_partkey % 5 WHEN 0 THEN '本科' WHEN 1 THEN '硕士' WHEN 2 THEN '大专' WHEN 3 THEN '硕士博士' ELSE '' END, '  ', p_name, ' ',
+        CASE p_partkey % 4 WHEN 0 THEN 'NIGERIA' WHEN 1 THEN 'NIGER市 CHINA' WHEN 2 THEN 'PERU' ELSE '' END) AS query FROM part""",
+    "v_secret_json": """SELECT event_id AS id, concat(chr(123), '"', CASE event_id % 4 WHEN 0 THEN 'api_key' WHEN 1 THEN 'Password' WHEN 2 THEN 'note' ELSE 'token' END, '":"', CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END,
+        '","text":"', repeat(event_type, CAST(event_id % 90 AS INT)), '"', chr(125)) AS body FROM events""",
     "v_page_next": """SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN concat(html, '<!-- edited -->') ELSE html END AS html FROM pages WHERE page_id % 7 <> 0
         UNION ALL SELECT page_id + 1000000000, concat(url, '&new=', page_id), html FROM pages WHERE page_id % 11 = 0""",
 }
+# lines of a text as a resume has them: bracket headings, bullets, blank lines
+_LINE = """CASE WHEN i % 9 = 4 THEN concat('【', substring(line, 1, 10), '】') WHEN i % 11 = 0 OR (i = 1 AND doc_id % 3 = 0) THEN '' WHEN position(', ' IN line) > 0 THEN concat('- ', line) ELSE line END AS content"""
 _SPARK = {
+    "v_resume_line": rf"""SELECT doc_id AS document_id, CAST(i AS BIGINT) AS position, {_LINE} FROM (SELECT doc_id, pos + 1 AS i, line FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, line) FROM documents) u) t""",
+    "v_skill_list": """SELECT p_partkey AS id, concat(split(p_name, ' '), array(upper(p_name), concat(' ', p_name, '， '), 'x', concat('熟悉', p_type), p_type, p_brand, concat('"', p_brand, '"')),
+        CASE WHEN p_partkey % 10 = 0 THEN transform(sequence(1, 20), i -> concat('skill', i)) ELSE CAST(array() AS array<string>) END) AS skills FROM part""",
+    "v_term": "SELECT explode(split(p_name, ' ')) AS term FROM part",
+    "v_kb_term": "SELECT concat('src', item_id % 20) AS knowledge_id, lower(array_join(slice(split(text, ' '), 1, 2), ' ')) AS term FROM benchmark",
     "v_paragraph": r"""SELECT doc_id * 100000 + pos + 1 AS paragraph_id, doc_id AS document_id, source AS knowledge_id, CAST(pos + 1 AS BIGINT) AS position, line AS content
         FROM (SELECT doc_id, source, posexplode(split(text, '\n')) AS (pos, line) FROM documents) t WHERE trim(line) <> ''""",
     "v_query_text": "SELECT item_id AS query_id, array_join(slice(split(text, ' '), 1, 6), ' ') AS query, text FROM benchmark",
@@ -57,6 +71,11 @@ _SPARK = {
         (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS grant_id FROM lineitem""",
 }
 _DUCKDB = {
+    "v_resume_line": f"""SELECT doc_id AS document_id, i AS position, {_LINE} FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
+    "v_skill_list": """SELECT p_partkey AS id, list_concat(list_concat(string_split(p_name, ' '), [upper(p_name), ' ' || p_name || '， ', 'x', '熟悉' || p_type, p_type, p_brand, '"' || p_brand || '"']),
+        CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(1, 21), lambda i: 'skill' || i) ELSE [] END) AS skills FROM part""",
+    "v_term": "SELECT unnest(string_split(p_name, ' ')) AS term FROM part",
+    "v_kb_term": "SELECT 'src' || item_id % 20 AS knowledge_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS term FROM benchmark",
     "v_paragraph": """SELECT doc_id * 100000 + i AS paragraph_id, doc_id AS document_id, source AS knowledge_id, i AS position, line AS content
         FROM (SELECT doc_id, source, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> ''""",
     "v_query_text": "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query, text FROM benchmark",

@@ -15,23 +15,28 @@ from ..session import ship
 MOST, EXCERPT = 100, 1200
 
 
-def evidence_items(value: object) -> list[tuple[str, str]]:
-    """(path, excerpt) of every item of every list named ``evidence``, depth first, at most MOST."""
-    out: list[tuple[str, str]] = []
-    todo: list[tuple[str, object]] = [("$", value)]
+def evidence_items(value: object) -> list[tuple[str, str | None, str, float | None]]:
+    """(path, paragraph_id, excerpt, relevance) of the items of every list named ``evidence`` that are objects with an excerpt, depth first, at most MOST.
+
+    The items of a list come before what is inside them.
+    """
+    out: list[tuple[str, str | None, str, float | None]] = []
+    todo: list[tuple[str, object, bool]] = [("", value, False)]
     while todo and len(out) < MOST:
-        path, at = todo.pop()
+        path, at, named = todo.pop()
         if isinstance(at, dict):
-            found = at.get("evidence")
-            if isinstance(found, list):
-                out += [(f"{path}.evidence[{i}]", str(x.get("excerpt", "") if isinstance(x, dict) else x)[:EXCERPT]) for i, x in enumerate(found)]
-            todo += [(f"{path}.{k}", v) for k, v in reversed(list(at.items())) if k != "evidence"]
+            todo += [(f"{path}.{k}" if path else str(k), v, k == "evidence") for k, v in reversed(list(at.items()))]
         elif isinstance(at, list):
-            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(at)))]
+            for x in at if named else ():
+                if isinstance(x, dict) and (excerpt := str(x.get("excerpt") or "").strip()):
+                    paragraph, relevance = x.get("paragraph_id"), x.get("relevance")
+                    out.append((path, None if paragraph is None else str(paragraph), excerpt[:EXCERPT], float(relevance) if isinstance(relevance, (int, float)) else None))
+            todo += [(f"{path}[{i}]", v, False) for i, v in reversed(list(enumerate(at)))]
     return out[:MOST]
 
 
 def extracted(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, path, paragraph_id, excerpt, relevance from the JSON texts in ``column``."""
     ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
@@ -40,15 +45,22 @@ def extracted(rows: DataFrame, key: str, column: str) -> DataFrame:
             out = []
             for k, text in zip(batch[key], batch[column], strict=True):
                 try:
-                    out += [(k, p, e) for p, e in evidence_items(json.loads(text or "null"))]
+                    out += [(k, *item) for item in evidence_items(json.loads(text or "null"))]
                 except ValueError:
                     continue  # text that is not JSON holds no evidence
-            yield pd.DataFrame(out, columns=[key, "path", "excerpt"])
+            yield pd.DataFrame(out, columns=[key, "path", "paragraph_id", "excerpt", "relevance"])
 
-    return rows.select(key, column).mapInPandas(run, f"{key} {kind}, path string, excerpt string")
+    return rows.select(key, column).mapInPandas(run, f"{key} {kind}, path string, paragraph_id string, excerpt string, relevance double")
 
 
-@query("p16_nested_evidence", "v_agent_run", sql="SELECT id, '$.a[0].evidence[0]' AS path, agent_type AS excerpt FROM v_agent_run UNION ALL SELECT id, '$.a[0].b.evidence[0]', status FROM v_agent_run")
+@query("p16_nested_evidence", "v_agent_run", sql="""SELECT id, 'a[0].evidence' AS path, CAST(id AS STRING) AS paragraph_id, agent_type AS excerpt, (id % 10) / 10.0::DOUBLE AS relevance FROM v_agent_run
+    UNION ALL SELECT id, 'a[0].evidence', NULL, trim(status), NULL FROM v_agent_run WHERE id % 3 = 0 UNION ALL SELECT id, 'a[0].evidence[2].evidence', NULL, 'deep', NULL FROM v_agent_run WHERE id % 3 = 0
+    UNION ALL SELECT id, 'b.c.evidence', NULL, agent_type, NULL FROM v_agent_run WHERE id % 2 = 0""")
 def nested_evidence(runs: DataFrame) -> DataFrame:
-    item = F.struct(F.array(F.struct(F.col("agent_type").alias("excerpt"))).alias("evidence"), F.struct(F.array("status").alias("evidence")).alias("b"))
-    return extracted(runs.select("id", F.to_json(F.struct(F.array(item).alias("a"))).alias("payload")), "id", "payload")
+    """Payloads with blank excerpts, bare strings, evidence inside evidence and branches that some rows lack."""
+    n, item = F.col("id").cast("string"), F.concat(F.lit('{"excerpt":"'), "agent_type", F.lit('"'))
+    own = F.concat(item, F.lit(',"paragraph_id":'), n, F.lit(',"relevance":'), ((F.col("id") % 10) / 10.0).cast("string"), F.lit("}"))
+    deep = F.concat(F.lit(',{"excerpt":" '), F.when(F.col("id") % 3 == 0, F.col("status")).otherwise(" "), F.lit(' "'), F.when(F.col("id") % 3 == 0, ',"evidence":[{"excerpt":"deep"}]').otherwise(""), F.lit("}"))
+    other = F.when(F.col("id") % 2 == 0, F.concat(F.lit(',"b":{"c":{"evidence":['), item, F.lit("}]}}"))).otherwise("")
+    payload = F.concat(F.lit('{"a":[{"evidence":['), own, F.lit(',"bare"'), deep, F.lit("]}]"), other, F.lit("}"))
+    return extracted(runs.select("id", payload.alias("payload")), "id", "payload")

@@ -15,16 +15,26 @@ TEXTS = ["", "one", "a. b. c", "词语。" * 400, "no marks here " * 60, "x" * 1
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_cuts_lose_nothing(text):
-    assert "".join(chunking.sentence_cuts(text, 100)) == text
-    assert all(len(p) <= 100 for p in chunking.sentence_cuts(text, 100))
+    kept = chunking.sentence_cuts(text, 100)
+    assert "".join(kept) == text and all(len(p) <= 100 for p in kept)
     pieces = chunking.halving(text, 100)
-    assert all(len(p) <= 100 for p in pieces)
-    assert "".join("".join(pieces).split()) == "".join(text.split())
+    assert all(0 < len(p) <= 100 for p in pieces)
+    bare = lambda t: "".join(c for c in t if c not in chunking.PIECE_MARKS and not c.isspace())
+    assert bare("".join(pieces)) == bare(text)
 
 
 def test_sentence_cut_prefers_the_last_mark_of_the_second_half():
     assert chunking.sentence_cuts("aaaa. bbb. cccc", 12) == ["aaaa. bbb.", " cccc"]
     assert chunking.sentence_cuts("a. bbbbbbbbbbbbbb", 10) == ["a. bbbbbbb", "bbbbbbb"]
+    assert chunking.sentence_cuts("a; bbbb; cccc\ndd", 10) == ["a; bbbb; c", "ccc\ndd"]  # neither semicolons nor line breaks are marks
+    assert chunking.sentence_cuts("aaaa." + " " * 25, 10) == ["aaaa." + " " * 5]  # blank pieces go
+
+
+def test_halving_follows_the_rule():
+    assert chunking.halving("  short text, whole  ", 100) == ["short text, whole"]
+    assert chunking.halving("aaaa,bbbb。cccc", 10) == ["aaaa,bbbb", "cccc"]  # the mark nearest to the middle; marks go at the cut
+    assert chunking.halving("abcdefghij klmnop qrst", 10) == ["abcdefghij", "klmnop qrs", "t"]  # blanks are no marks: cut at the limit
+    assert chunking.halving("a," + "b" * 30, 10) == ["a,bbbbbbbb", "b" * 10, "b" * 10, "b" * 2]  # too far from the middle
 
 
 def test_heading_sections():
@@ -56,9 +66,11 @@ def test_question_table_roles():
 
 
 def test_evidence_paths():
-    value = {"a": [{"evidence": ["x", {"excerpt": "y" * 2000}]}], "evidence": []}
+    value = {"a": [{"evidence": ["x", {"excerpt": " y" * 2000, "paragraph_id": 7, "relevance": 0.5, "evidence": [{"excerpt": "deep"}]}, {"excerpt": " "}]}], "evidence": [{"paragraph_id": 1}], "b": {"evidence": {"excerpt": "no list"}}}
     got = evidence.evidence_items(value)
-    assert [p for p, _ in got] == ["$.a[0].evidence[0]", "$.a[0].evidence[1]"] and len(got[1][1]) == 1200
+    assert [g[0] for g in got] == ["a[0].evidence", "a[0].evidence[1].evidence"]
+    assert got[0][1] == "7" and len(got[0][2]) == 1200 and got[0][2].startswith("y y") and got[0][3] == 0.5 and got[1] == ("a[0].evidence[1].evidence", None, "deep", None)
+    assert len(evidence.evidence_items({"evidence": [{"excerpt": str(i)} for i in range(300)]})) == 100
 
 
 def test_feature_hashing_is_deterministic():
@@ -72,11 +84,34 @@ def one(spark, column, text):
 
 
 def test_masking(spark):
-    line = "call 13812345678 or a.b@example.org id 11010519491231002X not 138123456789"
-    assert one(spark, T.masked("c"), line) == "call [PII] or [PII] id [PII] not 138123456789"
+    m = T.MASK
+    line = "call 13812345678 or a.b@example.org id 11010520000101002X or 110105200001010021"
+    assert one(spark, T.masked("c"), line) == f"call {m} or {m} id {m} or {m}"
+    assert one(spark, T.masked("c"), "11010519491231002X") == f"110105{m}X"  # what looks like a phone goes first
+    for phone in ("138 1234 5678", "138-1234-5678", "+8613812345678", "86 13812345678", "+86-138 1234 5678"):
+        assert one(spark, T.masked("c"), f"tel {phone}!") == f"tel {m}!"
+    assert one(spark, T.masked("c"), "jos\u00e9.p@mail-x.example.org,") == f"{m},"
     assert one(spark, T.partly_masked("c"), "13812345678 abc@x.org") == "138****5678 ab***@x.org"
-    assert [one(spark, T.residual_pii("c"), t) for t in ("138 1234 5678", "123456789012345", "6222021234567890123", "1234")] == [True, True, True, False]
-    assert one(spark, T.masked_phone("c"), "123") == "****" and one(spark, T.masked_email("c"), "a@b.c") == "***@b.c"
+    for text in ("1 3 8 1 2 3 4 5 6 7 8", "138 12345 678", "1\u00a038\t12345678", "123456789012345", "6222021234567890123"):
+        assert one(spark, T.residual_pii("c"), text)
+    for text in ("1234", "2381234567", "12345678901234", "x123456789012345", "12 3456 7890"):
+        assert not one(spark, T.residual_pii("c"), text)
+    assert [one(spark, T.masked_phone("c"), t) for t in ("123", "1234567", "13812345678", "")] == ["****", "123****4567", "138****5678", ""]
+    assert [one(spark, T.masked_email("c"), t) for t in ("a@b.c", "abc@b.c", "none", "abc@d@e")] == ["***@b.c", "ab***@b.c", "none", "ab***@d@e"]
+
+
+def test_identity_slots_and_plain_text(spark):
+    names = lambda t: one(spark, F.array(*T.identity_fields("c")), t)
+    assert names("姓名：张三；电话 86-13812345678 邮箱 a_b@c-d.org") == ["张三", "a_b@c-d.org", "86-13812345678"]
+    assert names("简历\n李四\n") == ["简历", "", ""] and names("nothing") == ["", "", ""]
+    slots = lambda t, cities=("北京", "深圳市"): one(spark, F.to_json(F.array(*[x.cast("string") for x in T.query_slots("c", list(cities))])), t)
+    assert slots("北京市 5年以上 本科 Java") == '["5","2","[北京]","Java"]'
+    assert slots("2023年毕业 硕士或博士 深圳") == '[null,"4","[深圳市]","2023年毕业 或"]'
+    assert one(spark, T.plain_text("c"), "# T\n**a** __b__ *c* _d_ `e` [l](u) ![i](u) <b>x</b>\n\n\ny") == "T a b c d e l x y"
+    assert one(spark, T.ocr_lines("c"), "a；；b；c；d；\ne；f；") == "a\nb\nc\nd\ne\nf"
+    skills = spark.createDataFrame([(["Java", " java ", "x", "负责开发", "a：b", "c\nd", '"SQL"，', "y" * 31],)], "s array<string>")
+    assert skills.select(T.clean_skills("s").alias("r")).first()["r"] == ["Java", "SQL"]
+    assert spark.range(1).select(T.traced_items(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.repeat(F.lit("z"), i * 100))).alias("r")).first()["r"] == ["z" * n for n in (100, 200, 200, 200, 200)]
 
 
 def test_states_and_cells(spark):
