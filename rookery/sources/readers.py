@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.windows import numbered, packed_pieces
+from ..functions import text as T
+from ..operators.windows import numbered
 from ..registry import query
 from ..session import ship
+from .files import csv_read, csv_written, written
 
 _BLOCKS = {"p", "div", "li", "tr", "article", "section", "ul", "ol", "table", "br", "nav", "footer", "header"}
 _SKIP = {"script", "style", "head", "noscript", "template"}
@@ -85,16 +87,30 @@ def s05(pages: DataFrame) -> DataFrame:
     return pages_to_text(pages, ["article"])
 
 
-def child_links(pages: DataFrame) -> DataFrame:
-    """src_url, dst_url: absolute links below the page's own site, without fragment and trailing slash."""
+_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+
+
+def child_links(pages: DataFrame, prefix: str | None = None) -> DataFrame:
+    """src_url, dst_url: links below ``prefix`` (the page's own site), absolute, without fragment and trailing slash, each once.
+
+    Links may be absolute, from the root of the site, or relative to the page (to its folder where it is an HTML file).
+    """
     site = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    found = F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]*)"'), F.lit(1))
-    rows = pages.select("url", site.alias("site"), F.explode(found).alias("href"))
-    target = F.regexp_replace(F.regexp_replace(F.concat("site", "href"), "#.*$", ""), "/+$", "")
-    return rows.select(F.col("url").alias("src_url"), target.alias("dst_url")).distinct()
+    bare = F.regexp_replace("url", r"[?#].*$", "")
+    folder = F.when(bare.rlike(r"\.html?$"), F.regexp_replace(bare, "/[^/]*$", "")).otherwise(F.regexp_replace(bare, "/$", ""))
+    rows = pages.select("url", site.alias("site"), folder.alias("folder"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("href"))
+    rows = rows.where(~F.col("href").rlike("^(?i)(tel:|mailto:|javascript:|#|$)"))
+    target = F.when(F.col("href").rlike("^(?i)https?:"), F.col("href")).when(F.col("href").startswith("//"), F.concat(F.regexp_extract("site", "^https?:", 0), "href")).when(F.col("href").startswith("/"), F.concat("site", "href")).otherwise(F.concat("folder", F.lit("/"), "href"))
+    target = F.regexp_replace(F.regexp_replace(target, "#.*$", ""), "/$", "")
+    under = F.lit(prefix) if prefix else F.col("site")
+    links = rows.select(F.col("url").alias("src_url"), target.alias("dst_url"), under.alias("under"))
+    return links.where((F.col("dst_url") == F.col("under")) | F.col("dst_url").startswith(F.concat("under", F.lit("/")))).select("src_url", "dst_url").distinct()
 
 
-_LINKS = """SELECT DISTINCT url AS src_url, regexp_replace(regexp_replace(regexp_extract(url, '^(https?://[^/?#]+)', 1) || href, '#.*$', ''), '/+$', '') AS dst_url FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)"""
+_LINKS = r"""SELECT DISTINCT url AS src_url, dst AS dst_url FROM (SELECT url, site, regexp_replace(regexp_replace(CASE WHEN regexp_matches(href, '^(?i)https?:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(site, '^https?:') || href
+    WHEN starts_with(href, '/') THEN site || href ELSE CASE WHEN regexp_matches(bare, '\.html?$') THEN regexp_replace(bare, '/[^/]*$', '') ELSE regexp_replace(bare, '/$', '') END || '/' || href END, '#.*$', ''), '/$', '') AS dst FROM (
+    SELECT url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, regexp_replace(url, '[?#].*$', '') AS bare, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages)
+    WHERE NOT regexp_matches(href, '^(?i)(tel:|mailto:|javascript:|#|$)')) WHERE dst = site OR starts_with(dst, site || '/')"""
 
 
 @query("s06_child_links", "pages", sql=_LINKS)
@@ -102,134 +118,293 @@ def s06(pages: DataFrame) -> DataFrame:
     return child_links(pages)
 
 
-_SITES = "regexp_extract({u}, '^https?://([^/?#]+)', 1)"
-
-
-@query("s07_reachable_pages", "pages", sql=f"""WITH n AS (SELECT DISTINCT {_SITES.format(u='url')} AS site, substring(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), 1, 5) AS part FROM pages), e AS (SELECT DISTINCT a.site AS src, b.site AS dst FROM n a JOIN n b ON a.part = b.part AND a.site < b.site),
-    one AS (SELECT src AS start, dst AS node, 1 AS depth FROM e), two AS (SELECT start, e.dst AS node, 2 AS depth FROM one JOIN e ON node = src) SELECT start, node, min(depth)::BIGINT AS depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE start <> node GROUP BY 1, 2""")
-def reachable(pages: DataFrame, levels: int = 2) -> DataFrame:
-    """Nodes within ``levels`` steps over a link graph of sites; one join per level, known pairs are left out."""
-    nodes = pages.select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("site"), F.substring(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1), 1, 5).alias("part")).distinct()
-    edges = nodes.select(F.col("site").alias("src"), "part").join(nodes.select(F.col("site").alias("dst"), "part"), "part").where("src < dst").select("src", "dst").distinct()
-    seen = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("depth"))
+def reachable(edges: DataFrame, starts: DataFrame, levels: int = 2) -> DataFrame:
+    """start, node, depth: nodes within ``levels`` links of each start, at their least depth; nodes met before are not entered again."""
+    seen = starts.select(F.col("url").alias("start"), F.col("url").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
     last = seen
-    for level in range(2, levels + 1):
-        step = last.join(edges, last["node"] == edges["src"]).select("start", F.col("dst").alias("node")).where("start <> node").distinct()
+    for level in range(1, levels + 1):
+        step = last.select("start", F.col("node").alias("src_url")).join(edges, "src_url").select("start", F.col("dst_url").alias("node")).distinct()
         last = step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level).cast("bigint"))
         seen = seen.unionByName(last)
-    return seen
+    return seen.where("depth > 0")
 
 
-@query("s09_csv_to_markdown", "customer", sql="""SELECT c_nationkey, count(*) AS row_count, sum(length('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |'))::BIGINT AS characters FROM customer GROUP BY 1""")
-def csv_to_markdown(rows: DataFrame) -> DataFrame:
-    """Rows of a table packed into Markdown-table paragraphs that repeat the header; shown as totals per group."""
-    paragraphs = markdown_paragraphs(rows, "c_nationkey", ["c_custkey", "c_name", "c_mktsegment"], 1000)
-    body = F.slice(F.split("paragraph", "\n"), 3, 1 << 30)
-    lines = paragraphs.select("c_nationkey", F.explode(body).alias("line"))
-    return lines.groupBy("c_nationkey").agg(F.count("*").alias("row_count"), F.sum(F.char_length("line").cast("bigint")).alias("characters"))
+@query("s07_reachable_pages", "pages", sql=f"""WITH RECURSIVE e AS ({_LINKS}), f AS (SELECT * FROM e UNION SELECT dst_url, regexp_extract(dst_url, '^https?://[^/?#]+') FROM e WHERE dst_url <> regexp_extract(dst_url, '^https?://[^/?#]+')),
+    r AS (SELECT DISTINCT url AS start, url AS node, 0 AS depth FROM pages WHERE page_id % 20 = 0 UNION SELECT start, dst_url, depth + 1 FROM r JOIN f ON src_url = node WHERE depth < 2)
+    SELECT start, node, min(depth)::BIGINT AS depth FROM r WHERE node <> start GROUP BY 1, 2""")
+def s07(pages: DataFrame) -> DataFrame:
+    """From every twentieth page two links deep; linked pages that are not stored are taken to link back to the root of their site."""
+    links, root = child_links(pages), F.regexp_extract("dst_url", "^https?://[^/?#]+", 0)
+    back = links.select(F.col("dst_url").alias("src_url"), root.alias("dst_url")).where("src_url <> dst_url").distinct()
+    return reachable(links.unionByName(back).distinct(), pages.where("page_id % 20 = 0"))
 
 
-def markdown_paragraphs(rows: DataFrame, file: str, columns: list[str], limit: int) -> DataFrame:
-    """One Markdown table per paragraph; rows of a file are packed in order while the text is shorter than ``limit``.
+def markdown_rows(lines: DataFrame, file: str, head: str, limit: int) -> DataFrame:
+    """file, n, content: Markdown rows of each file packed in order while the text stays shorter than ``limit``; each paragraph begins with the head.
 
-    A file is dealt into runs of 1,000 rows, so no list of rows grows with the file.
+    ``lines``: file, k (order) and line. A file is dealt into runs of 10,000 rows, each packed in one row.
     """
-    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    run = F.floor((numbered(file, order=[columns[0]]) - 1) / 1000)
-    lines = rows.select(file, run.alias("run"), F.col(columns[0]).alias("k"), bar([F.col(c).cast("string") for c in columns]).alias("line"))
-    nested = lines.groupBy(file, "run").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
-    packed = nested.select(file, "run", F.posexplode(packed_pieces(F.transform("l", lambda x: x["line"]), limit, "\n")).alias("n", "body"))
-    head = "| " + " | ".join(columns) + " |\n" + "|" + " --- |" * len(columns) + "\n"
-    return packed.select(file, "run", "n", F.concat(F.lit(head), "body").alias("paragraph"))
+    run = F.floor((numbered(file, order=["k"]) - 1) / 10_000)
+    nested = lines.withColumn("run", run).groupBy(file, "run").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(s, x):
+        fresh = F.concat(F.lit(head), x["line"])
+        fits = F.char_length(s["open"]) + F.char_length(x["line"]) < limit
+        return F.when(s["open"] == "", F.struct(s["done"].alias("done"), fresh.alias("open"))).when(fits, F.struct(s["done"].alias("done"), F.concat(s["open"], x["line"]).alias("open"))).otherwise(
+            F.struct(F.array_append(s["done"], s["open"]).alias("done"), fresh.alias("open")))
+
+    packed = F.aggregate("l", start, add, lambda s: F.array_append(s["done"], s["open"]))
+    rows = nested.select(file, "run", F.posexplode(packed).alias("i", "content"))
+    return rows.select(file, numbered(file, order=["run", "i"]).alias("n"), "content")
 
 
-@query("s10_csv_key_values", "nation", sql="SELECT n_nationkey, 'n_nationkey:' || n_nationkey || '; n_name:' || n_name || '; n_regionkey:' || n_regionkey AS line FROM nation")
-def key_values(rows: DataFrame) -> DataFrame:
-    return rows.select("n_nationkey", F.concat_ws("; ", *[F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in rows.columns]).alias("line"))
+def markdown_cell(c: str):
+    return F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\n"), F.lit("<br>")), F.lit("|"), F.lit("&#124;"))
+
+
+@query("s09_csv_to_markdown", "customer", sql=r"""WITH RECURSIVE c AS (SELECT c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, '| ' || c_custkey || ' | ' || replace(c_name, '#', '&#124;') || ' | ' || c_mktsegment || '<br>' || c_custkey || ' |' || chr(10) AS line FROM customer),
+    h AS (SELECT '| c_custkey | c_name | note |' || chr(10) || '| --- | --- | --- |' || chr(10) AS head), f AS (SELECT file, i, 1 AS n, head || line AS open FROM c, h WHERE i = 1
+    UNION ALL SELECT f.file, c.i, CASE WHEN length(open) + length(line) < 1000 THEN n ELSE n + 1 END, CASE WHEN length(open) + length(line) < 1000 THEN open || line ELSE head || line END FROM f JOIN c ON c.file = f.file AND c.i = f.i + 1, h)
+    SELECT CAST(file AS INT) AS file, n::BIGINT AS n, arg_max(open, i) AS content FROM f GROUP BY 1, 2""")
+def csv_to_markdown(customers: DataFrame) -> DataFrame:
+    """One CSV file per nation is written, read back and packed into Markdown tables; cells hold bars and line breaks."""
+    columns = ["c_custkey", "c_name", "note"]
+    note = F.concat("c_mktsegment", F.lit("\n"), F.col("c_custkey").cast("string"))
+    path = csv_written(customers.select("c_custkey", F.replace("c_name", F.lit("#"), F.lit("|")).alias("c_name"), note.alias("note"), F.col("c_nationkey").alias("file")), "customers", ["file"])
+    rows = csv_read(customers.sparkSession, path, [*columns, "file"])
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n"))
+    head = "| " + " | ".join(columns) + " |\n| " + " | ".join(["---"] * len(columns)) + " |\n"
+    lines = rows.select(F.col("file").cast("int").alias("file"), F.col("c_custkey").cast("bigint").alias("k"), bar([markdown_cell(c) for c in columns]).alias("line"))
+    return markdown_rows(lines, "file", head, 1000)
+
+
+@query("s10_csv_key_values", "nation", sql="SELECT 'n_nationkey:' || n_nationkey || '; n_name:' || n_name || ', the \"' || n_regionkey || '\"; n_regionkey:' || n_regionkey AS line FROM nation")
+def key_values(nations: DataFrame) -> DataFrame:
+    """A CSV file with quoted commas and quotes, written and read back; one text per row."""
+    name = F.concat("n_name", F.lit(', the "'), F.col("n_regionkey").cast("string"), F.lit('"'))
+    path = csv_written(nations.select("n_nationkey", name.alias("n_name"), "n_regionkey"), "nations")
+    rows = csv_read(nations.sparkSession, path, nations.columns)
+    return rows.select(F.concat_ws("; ", *[F.concat(F.lit(f"{c}:"), F.col(c)) for c in rows.columns]).alias("line"))
+
+
+# How the headers of a question table begin.
+QA_PREFIXES = {"title": "分段标题", "content": "分段内容", "questions": "问题"}
 
 
 def qa_roles(header: list[str]) -> dict[str, str]:
-    """Column roles of a question table from its header alone: by prefix, else by position."""
-    roles = {}
-    for prefix, role in (("title", "title"), ("content", "content"), ("question", "questions")):
-        for h in header:
-            if h.lower().startswith(prefix):
-                roles.setdefault(role, h)
-    if not roles:
-        names = {1: ["content"], 2: ["title", "content"]}.get(len(header), ["title", "content", "questions"])
-        roles = dict(zip(names, header, strict=False))
+    """Column of each role of a question table: by position (content; title, content; title, content, questions), then by the prefix of a header, which wins."""
+    names = {1: ["content"], 2: ["title", "content"]}.get(len(header), ["title", "content", "questions"])
+    roles = dict(zip(names, header, strict=False))
+    for h in header:
+        for role, prefix in QA_PREFIXES.items():
+            if h and h.startswith(prefix):
+                roles[role] = h
+                break
     return roles
 
 
-@query("s11_question_table", "v_turn", sql="SELECT conv_id, turn, substring(question, 1, 255) AS title, substring(answer, 1, 102400) AS content, substring(trim(q), 1, 255) AS question FROM (SELECT *, unnest(string_split(question, chr(10))) AS q FROM v_turn) WHERE trim(q) <> ''")
-def question_table(turns: DataFrame) -> DataFrame:
-    table = turns.select("conv_id", "turn", F.col("question").alias("Title (short)"), F.col("answer").alias("Content"), F.col("question").alias("Questions"))
-    roles = qa_roles(table.columns[2:])
-    rows = table.select("conv_id", "turn", F.substring(F.col(f"`{roles['title']}`"), 1, 255).alias("title"), F.substring(roles["content"], 1, 102400).alias("content"), F.explode(F.split(roles["questions"], "\n")).alias("q"))
-    return rows.where(F.trim("q") != "").select("conv_id", "turn", "title", "content", F.substring(F.trim("q"), 1, 255).alias("question"))
+def question_rows(table: DataFrame, keys: list[str], header: list[str]) -> DataFrame:
+    """keys, title (255 characters), content (102,400) and questions (non-blank lines, 255 each); rows without content are left out."""
+    roles = qa_roles(header)
+    text = lambda role: F.coalesce(F.col(f"`{roles[role]}`"), F.lit("")) if role in roles else F.lit("")
+    questions = F.transform(F.filter(F.split(text("questions"), "\n"), lambda q: F.trim(q) != ""), lambda q: F.left(q, F.lit(255)))
+    return table.where(F.col(f"`{roles['content']}`").isNotNull()).select(*keys, F.left(text("title"), F.lit(255)).alias("title"), F.left(text("content"), F.lit(102_400)).alias("content"), questions.alias("questions"))
 
 
-@query("s12_markdown_question_tables", "v_turn")
-def markdown_question_tables(turns: DataFrame) -> DataFrame:
-    """Pipe tables under ``## `` headings, one text per conversation, parsed back to rows."""
-    line = F.concat(F.lit("| "), F.replace(F.replace("question", F.lit("|"), F.lit("&#124;")), F.lit("\n"), F.lit("<br>")), F.lit(" | "), F.replace(F.replace("answer", F.lit("|"), F.lit("&#124;")), F.lit("\n"), F.lit("<br>")), F.lit(" |"))
-    texts = turns.groupBy("conv_id").agg(F.concat(F.lit("## faq\n| title | content |\n| --- | --- |\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n")).alias("md"))
-    sheets = texts.select("conv_id", F.explode(F.filter(F.split("md", r"(?m)^## "), lambda s: s != "")).alias("sheet"))
-    lines = sheets.select("conv_id", F.substring_index("sheet", "\n", 1).alias("sheet"), F.posexplode(F.filter(F.split("sheet", "\n"), lambda x: x.startswith("|"))).alias("n", "line")).where("n >= 2")
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\| | \|$", ""), r" \| "), lambda c: F.replace(F.replace(c, F.lit("<br>"), F.lit("\n")), F.lit("&#124;"), F.lit("|")))
-    return lines.select("conv_id", "sheet", (F.col("n") - 1).alias("row_no"), cells.alias("c")).select("conv_id", "sheet", "row_no", F.get("c", F.lit(0)).alias("title"), F.get("c", F.lit(1)).alias("content"))
+@query("s11_question_table", "v_turn", sql="""SELECT conv_id, turn, substring(answer, 1, 255) AS title, substring(question, 1, 102400) AS content, array_to_string(list_transform(list_filter(string_split(question || chr(10) || ' ' || chr(10) || '"q" ' || answer, chr(10)), lambda q: trim(q) <> ''), lambda q: substring(q, 1, 255)), chr(10)) AS questions FROM v_turn""")
+def question_table(turns: DataFrame) -> DataFrame:
+    """A CSV file whose headers stand in another order than usual, with line breaks and quotes in its cells, written and read back."""
+    header = ["问题（一行一个）", "分段内容（必填）", "分段标题"]
+    asked = F.concat("question", F.lit('\n \n"q" '), "answer")
+    path = csv_written(turns.select("conv_id", "turn", asked.alias(header[0]), F.col("question").alias(header[1]), F.col("answer").alias(header[2])), "questions")
+    rows = csv_read(turns.sparkSession, path, ["conv_id", "turn", *header])
+    found = question_rows(rows, ["conv_id", "turn"], header)
+    return found.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "title", "content", F.array_join("questions", "\n").alias("questions"))
 
 
-RESUME = "struct<name: string, work: array<struct<period: string, employer: string, title: string>>, education: array<struct<school: string, degree: string>>>"
+def markdown_tables(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """key, sheet, row_no (from 1), cells of the pipe tables below ``## `` headings; a text without headings is one sheet named default."""
+    marked = F.when(F.col(column).rlike(r"(?m)^\s*## "), F.col(column)).otherwise(F.concat(F.lit("## default\n"), F.col(column)))
+    sheets = texts.select(key, F.posexplode(F.slice(F.split(marked, r"(?m)^\s*## "), 2, 1 << 30)).alias("s", "sheet"))
+    lines = sheets.select(key, "s", F.trim(F.substring_index("sheet", "\n", 1)).alias("name"), F.posexplode(F.transform(F.split("sheet", "\n"), F.trim)).alias("i", "line")).where("i > 0 AND startswith(line, '|')")
+    rows = lines.where(~F.col("line").rlike(r"^\|[\s\-:|]+\|$")).withColumn("row_no", numbered(key, "s", order=["i"]) - 1).where("row_no > 0")  # the first is the header
+    cells = F.transform(F.filter(F.split("line", r"\|"), lambda x, i: i > 0), lambda c: F.replace(F.replace(F.trim(c), F.lit("&#124;"), F.lit("|")), F.lit("|<br>|"), F.lit("|\n|")))
+    return rows.select(key, F.col("name").alias("sheet"), "row_no", F.slice(cells, F.lit(1), F.size(cells) - 1).alias("cells"))
 
 
-def resumes(candidates: DataFrame, applications: DataFrame) -> DataFrame:
-    """Nested JSON records of candidates with their applications as work entries."""
-    work = applications.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct(F.date_format("create_time", "yyyy-MM-dd").alias("period"), F.concat(F.lit("job "), "job_id").alias("employer"), "status"))).alias("w"))
-    record = F.struct("name", F.transform(F.coalesce("w", F.array().cast("array<struct<period:string,employer:string,status:string>>")), lambda x: F.struct(x["period"].alias("period"), x["employer"].alias("employer"), x["status"].alias("title"))).alias("work"), F.array(F.struct("segment", F.lit("master").alias("degree"))).alias("education"))
-    rows = candidates.join(work, "candidate_id", "left").select("candidate_id", F.to_json(record).alias("json"))
-    return rows.select("candidate_id", F.from_json(F.replace("json", F.lit('"segment"'), F.lit('"school"')), RESUME).alias("r"))
+_CELL = "trim(replace(replace({c}, '|', '/'), chr(10), ' '))"
 
 
-_RESUME = """SELECT candidate_id, name, segment, coalesce(string_agg('- ' || strftime(create_time, '%Y-%m-%d') || ' job ' || job_id || ' ' || a.status, chr(10) ORDER BY strftime(create_time, '%Y-%m-%d'), 'job ' || job_id, a.status), '') AS work FROM v_candidate LEFT JOIN v_application a USING (candidate_id) GROUP BY 1, 2, 3"""
+@query("s12_markdown_question_tables", "v_turn", sql=f"SELECT conv_id, 'faq' AS sheet, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS row_no, {_CELL.format(c='question')} || '|' AS title, {_CELL.format(c='answer')} || '|' || chr(10) || '|' AS content FROM v_turn")
+def markdown_question_tables(turns: DataFrame) -> DataFrame:
+    """Pipe tables under ``## `` headings in text files, one file per conversation, read whole and parsed back to rows."""
+    bare = lambda c: F.trim(F.replace(F.replace(F.col(c), F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" ")))
+    line = F.concat(F.lit("| "), bare("question"), F.lit("&#124; | "), bare("answer"), F.lit("&#124;<br>&#124; |"))
+    texts = turns.groupBy("conv_id").agg(F.concat(F.lit("intro\n## faq\n| title | content |\n| --- | --- |\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n")).alias("md"))
+    path = written(texts.select("conv_id", F.col("md").alias("value")), "text", "tables", ["conv_id"])
+    read = turns.sparkSession.read.text(path, wholetext=True)
+    rows = markdown_tables(read.withColumn("conv_id", F.col("conv_id").cast("bigint")), "conv_id", "value")
+    return rows.select("conv_id", "sheet", "row_no", F.get("cells", F.lit(0)).alias("title"), F.get("cells", F.lit(1)).alias("content"))
+
+
+RESUME = """candidate_id bigint, name string, birth string, origin string, education array<struct<graduated: string, school: string, degree: string>>,
+    work array<struct<period: string, employer: string, title: string, content: string>>, projects array<struct<period: string, name: string, duty: string>>"""
+# Degrees as they are written and their levels, what a period looks like, and the labels of the text.
+DEGREES = {"博士": "博士", "博士学位": "博士", "硕士": "硕士", "硕士学位": "硕士", "学士": "本科", "学士学位": "本科", "大专": "大专"}
+PERIOD = r"(\d{4})[./年-]+\d{1,2}[./年-]+(\d{4})"
+LABELS = {
+    "education": ("教育经历", [("毕业时间", "graduated"), ("毕业院校", "school"), ("学位", "degree")]),
+    "work": ("工作经历", [("工作时间", "period"), ("工作单位", "employer"), ("职务", "title"), ("工作内容", "content")]),
+    "projects": ("项目经历", [("项目时间", "period"), ("项目名称", "name"), ("项目责任", "duty")]),
+}
 
 
-@query("s13_resume_text", "v_candidate", "v_application", sql=f"SELECT candidate_id, rtrim(name || chr(10) || '[education]' || chr(10) || '- ' || segment || ' master' || chr(10) || '[work]' || chr(10) || work, chr(10)) AS text FROM ({_RESUME})")
+def resumes(candidates: DataFrame, applications: DataFrame) -> DataFrame:
+    """Nested records of candidates, written as JSON lines and read back: applications are work entries, every other one with a period of years; hired ones are projects too."""
+    year = F.year("create_time")
+    period = F.when(F.col("application_id") % 2 == 0, F.concat(year.cast("string"), F.lit(".03-"), (year + F.col("application_id") % 9).cast("string"), F.lit(".05"))).otherwise(F.concat(year.cast("string"), F.lit(".03-now")))
+    entry = F.struct("application_id", period.alias("period"), F.concat(F.lit("employer "), "job_id").alias("employer"), F.col("status").alias("title"), F.concat(F.repeat(F.concat(F.lit("did "), F.col("channel"), F.lit("。")), (F.col("application_id") % 60).cast("int")), F.lit("end")).alias("content"))
+    work = applications.groupBy("candidate_id").agg(F.array_sort(F.collect_list(entry)).alias("w"))
+    c = F.col("candidate_id")
+    school = lambda degree: F.struct(F.lit("2010.06").alias("graduated"), F.col("segment").alias("school"), degree.alias("degree"))
+    degree = F.when(c % 4 == 0, "硕士学位").when(c % 4 == 1, "学士").when(c % 4 == 2, "大专").otherwise("other")
+    none = F.array().cast("array<struct<application_id:bigint,period:string,employer:string,title:string,content:string>>")
+    rows = candidates.join(work, "candidate_id", "left").select("candidate_id", "name", F.when(c % 3 == 0, "1990.01").alias("birth"), F.when(c % 5 == 0, "here").alias("origin"), F.array(school(F.lit("none")), school(degree)).alias("education"), F.coalesce("w", none).alias("w"))
+    keep = lambda *fields: lambda x: F.struct(*[x[a].alias(b) for a, b in fields])
+    rows = rows.withColumn("work", F.transform("w", keep(("period", "period"), ("employer", "employer"), ("title", "title"), ("content", "content"))))
+    rows = rows.withColumn("projects", F.transform(F.filter("w", lambda x: x["title"] == "HIRED"), keep(("period", "period"), ("employer", "name"), ("title", "duty")))).drop("w")
+    return candidates.sparkSession.read.schema(RESUME).json(written(rows, "json", "resumes"))
+
+
+def highest_degree():
+    """Level of the first degree that is known; null without one."""
+    levels = F.create_map(*[F.lit(x) for kv in DEGREES.items() for x in kv])
+    return F.get(F.filter(F.transform("education", lambda e: F.try_element_at(levels, e["degree"])), lambda d: d.isNotNull()), F.lit(0))
+
+
+def entry_lines(x, fields: list[tuple[str, str]]):
+    return F.array_join(F.array(*[F.concat(F.lit(f"{label}："), F.coalesce(x[name], F.lit(""))) for label, name in fields]), "\n")
+
+
+_W = """a AS (SELECT application_id, candidate_id, year(create_time) || '.03-' || CASE WHEN application_id % 2 = 0 THEN (year(create_time) + application_id % 9) || '.05' ELSE 'now' END AS period, 'employer ' || job_id AS employer, status, repeat('did ' || channel || '。', CAST(application_id % 60 AS INT)) || 'end' AS content FROM v_application),
+    c AS (SELECT candidate_id, name, segment, CASE WHEN candidate_id % 3 = 0 THEN '1990.01' END AS birth, CASE WHEN candidate_id % 5 = 0 THEN 'here' END AS origin, CASE candidate_id % 4 WHEN 0 THEN '硕士学位' WHEN 1 THEN '学士' WHEN 2 THEN '大专' ELSE 'other' END AS degree,
+    CASE candidate_id % 4 WHEN 0 THEN '硕士' WHEN 1 THEN '本科' WHEN 2 THEN '大专' END AS level FROM v_candidate)"""
+_WORK = "'工作时间：' || period || chr(10) || '工作单位：' || employer || chr(10) || '职务：' || status || chr(10) || '工作内容：' || content"
+_PROJECT = "'项目时间：' || period || chr(10) || '项目名称：' || employer || chr(10) || '项目责任：' || status"
+_SCHOOL = "'毕业时间：2010.06' || chr(10) || '毕业院校：' || segment || chr(10) || '学位：'"
+
+
+@query("s13_resume_text", "v_candidate", "v_application", sql=f"""WITH {_W}, w AS (SELECT candidate_id, string_agg(chr(10) || chr(10) || '【工作经历】' || chr(10) || {_WORK}, '' ORDER BY application_id) AS t, string_agg(chr(10) || chr(10) || '【项目经历】' || chr(10) || {_PROJECT}, '' ORDER BY application_id) FILTER (WHERE status = 'HIRED') AS p FROM a GROUP BY 1)
+    SELECT candidate_id, '【基本信息】' || chr(10) || '姓名：' || name || coalesce(chr(10) || '出生年月：' || birth, '') || coalesce(chr(10) || '最高学历：' || level, '') || coalesce(chr(10) || '籍贯：' || origin, '')
+    || chr(10) || chr(10) || '【教育经历】' || chr(10) || {_SCHOOL} || 'none' || chr(10) || chr(10) || '【教育经历】' || chr(10) || {_SCHOOL} || degree || coalesce(t, '') || coalesce(p, '') AS text FROM c LEFT JOIN w USING (candidate_id)""")
 def resume_text(candidates: DataFrame, applications: DataFrame) -> DataFrame:
     """Sectioned text of nested resumes."""
     rows = resumes(candidates, applications)
-    education = F.transform("r.education", lambda e: F.concat_ws(" ", F.lit("-"), e["school"], e["degree"]))
-    work = F.transform("r.work", lambda e: F.concat_ws(" ", F.lit("-"), e["period"], e["employer"], e["title"]))
-    return rows.select("candidate_id", F.concat_ws("\n", F.array(F.col("r.name"), F.lit("[education]")), education, F.array(F.lit("[work]")), work).alias("text"))
+    head = F.array_compact(F.array(F.lit("【基本信息】"), F.concat(F.lit("姓名："), F.coalesce("name", F.lit("未知"))), F.concat(F.lit("出生年月："), "birth"), F.concat(F.lit("最高学历："), highest_degree()), F.concat(F.lit("籍贯："), "origin")))
+    parts = [F.transform(name, _section(title, fields)) for name, (title, fields) in LABELS.items()]
+    return rows.select("candidate_id", F.array_join(F.concat(head, *parts), "\n").alias("text"))
+
+
+def _section(title: str, fields: list[tuple[str, str]]):
+    return lambda x: F.concat(F.lit(f"\n【{title}】\n"), entry_lines(x, fields))
+
+
+def _titled(title: str, fields: list[tuple[str, str]], named: str):
+    return lambda x: F.struct(F.concat(F.lit(f"{title}-"), F.left(F.coalesce(x[named], F.lit("")), F.lit(10))).alias("title"), entry_lines(x, fields).alias("content"))
 
 
-@query("s14_resume_sections", "v_candidate", "v_application", sql="SELECT candidate_id, 'work' AS section, 'job ' || job_id || ' ' || status AS content FROM v_application JOIN v_candidate c USING (candidate_id) UNION ALL SELECT candidate_id, 'education', segment || ' master' FROM v_candidate".replace("' || status", "' || v_application.status"))
+def sentence_packed(c, limit: int):
+    """A text of up to ``limit`` characters whole; a longer one by sentences, packed while it stays within the limit, trimmed."""
+    sentences = F.filter(F.split(c, r"(?<=[。；！？\n])"), lambda x: F.trim(x) != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    over = lambda s, x: (F.char_length(s["open"]) + F.char_length(x) > limit) & (s["open"] != "")
+    add = lambda s, x: F.when(over(s, x), F.struct(F.array_append(s["done"], s["open"]).alias("done"), x.alias("open"))).otherwise(F.struct(s["done"].alias("done"), F.concat(s["open"], x).alias("open")))
+    packed = F.aggregate(sentences, start, add, lambda s: F.when(F.trim(s["open"]) != "", F.array_append(s["done"], s["open"])).otherwise(s["done"]))
+    return F.when(F.char_length(c) <= limit, F.array(c)).otherwise(F.transform(packed, lambda x: T.trimmed(x)))
+
+
+@query("s14_resume_sections", "v_candidate", "v_application", sql=f"""WITH RECURSIVE {_W}, e AS (SELECT candidate_id, '0' AS k, '基本信息' AS title, '姓名：' || name || coalesce(chr(10) || '最高学历：' || level, '') || coalesce(chr(10) || '出生年月：' || birth, '') AS content FROM c
+    UNION ALL SELECT candidate_id, '1', '教育经历-' || substring(segment, 1, 10), {_SCHOOL} || 'none' FROM c UNION ALL SELECT candidate_id, '2', '教育经历-' || substring(segment, 1, 10), {_SCHOOL} || degree FROM c
+    UNION ALL SELECT candidate_id, '3' || lpad(CAST(application_id AS STRING), 12, '0'), '工作经历-' || substring(employer, 1, 10), {_WORK} FROM a JOIN c USING (candidate_id) UNION ALL SELECT candidate_id, '4' || lpad(CAST(application_id AS STRING), 12, '0'), '项目经历-' || substring(employer, 1, 10), {_PROJECT} FROM a JOIN c USING (candidate_id) WHERE status = 'HIRED'),
+    s AS (SELECT candidate_id, k, title, list_filter(regexp_extract_all(content, '[^。；！？\\n]*[。；！？\\n]|[^。；！？\\n]+$'), lambda x: trim(x, ' ' || chr(10)) <> '') AS l FROM e WHERE length(content) > 500),
+    f AS (SELECT candidate_id, k, title, l, 1 AS i, 1 AS g, l[1] AS open FROM s UNION ALL SELECT candidate_id, k, title, l, i + 1, CASE WHEN length(open) + length(l[i + 1]) > 500 THEN g + 1 ELSE g END, CASE WHEN length(open) + length(l[i + 1]) > 500 THEN l[i + 1] ELSE open || l[i + 1] END FROM f WHERE i < len(l)),
+    u AS (SELECT candidate_id, k, 1 AS g, title, content FROM e WHERE length(content) <= 500 UNION ALL SELECT candidate_id, k, g, any_value(title), trim(arg_max(open, i), ' ' || chr(10)) FROM f GROUP BY 1, 2, 3)
+    SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY k, g) AS position, title, content FROM u""")
 def resume_sections(candidates: DataFrame, applications: DataFrame) -> DataFrame:
-    """One section per education and work entry."""
+    """One section for the person, and for each education, work and project entry; long ones are packed again by sentence."""
     rows = resumes(candidates, applications)
-    parts = F.concat(F.transform("r.work", lambda e: F.struct(F.lit("work").alias("section"), F.concat_ws(" ", e["employer"], e["title"]).alias("content"))), F.transform("r.education", lambda e: F.struct(F.lit("education").alias("section"), F.concat_ws(" ", e["school"], e["degree"]).alias("content"))))
-    return rows.select("candidate_id", F.inline(parts))
+    basic = F.array_join(F.array_compact(F.array(F.concat(F.lit("姓名："), "name"), F.concat(F.lit("最高学历："), highest_degree()), F.concat(F.lit("出生年月："), "birth"))), "\n")
+    named = {"education": "school", "work": "employer", "projects": "name"}
+    parts = [F.transform(name, _titled(title, fields, named[name])) for name, (title, fields) in LABELS.items()]
+    sections = F.concat(F.array(F.struct(F.lit("基本信息").alias("title"), basic.alias("content"))), *parts)
+    cut = rows.select("candidate_id", F.posexplode(sections).alias("i", "s")).select("candidate_id", "i", "s.title", F.posexplode(sentence_packed(F.col("s.content"), 500)).alias("g", "content"))
+    return cut.select("candidate_id", numbered("candidate_id", order=["i", "g"]).alias("position"), "title", "content")
 
 
-@query("f15_years_and_degree", "v_candidate", "v_application", sql="SELECT candidate_id, max(CAST(strftime(create_time, '%Y') AS BIGINT)) - min(CAST(strftime(create_time, '%Y') AS BIGINT)) AS years, 2 AS degree FROM v_candidate LEFT JOIN v_application USING (candidate_id) GROUP BY 1")
+@query("f15_years_and_degree", "v_candidate", "v_application", sql=f"""WITH {_W} SELECT candidate_id, max(greatest(1, application_id % 9)) FILTER (WHERE application_id % 2 = 0 AND year(create_time) + application_id % 9 <= 2030) AS years, any_value(level) AS degree FROM c LEFT JOIN (SELECT a.*, create_time FROM a JOIN v_application USING (application_id)) USING (candidate_id) GROUP BY 1""")
 def years_and_degree(candidates: DataFrame, applications: DataFrame) -> DataFrame:
-    """Span of the years in the work history; highest degree by rank."""
+    """Longest single span of years in the work history, one at least, within 1970 to 2030; level of the first known degree."""
     rows = resumes(candidates, applications)
-    years = F.transform("r.work", lambda e: F.regexp_extract(e["period"], r"^(\d{4})", 1).cast("bigint"))
-    ranks = F.create_map(*[F.lit(x) for kv in {"bachelor": 1, "master": 2, "doctor": 3}.items() for x in kv])
-    degree = F.array_max(F.transform("r.education", lambda e: F.try_element_at(ranks, e["degree"])))
-    return rows.select("candidate_id", (F.array_max(years) - F.array_min(years)).alias("years"), degree.alias("degree"))
-
-
-@query("s15_candidate_import", "v_candidate", sql="""WITH s AS (SELECT candidate_id, CASE WHEN candidate_id % 29 = 0 THEN '' ELSE name END AS name, phone FROM v_candidate), v AS (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY candidate_id) AS n FROM s WHERE name <> '')
-    SELECT candidate_id, CASE WHEN n > 1 THEN 'duplicate' ELSE 'created' END AS outcome FROM v UNION ALL SELECT candidate_id, 'failed' FROM s WHERE name = ''""")
-def candidate_import(rows: DataFrame) -> DataFrame:
-    """Rows without a name fail; a repeated phone is a duplicate of the first valid row and is still created."""
-    read = rows.select("candidate_id", F.when(F.col("candidate_id") % 29 == 0, "").otherwise(F.col("name")).alias("name"), "phone")
-    valid = F.col("name") != ""
-    first = read.where(valid).groupBy("phone").agg(F.min("candidate_id").alias("first"))
-    outcome = F.when(~valid, "failed").when(F.col("candidate_id") != F.col("first"), "duplicate").otherwise("created")
-    return read.join(first, "phone", "left").select("candidate_id", outcome.alias("outcome"))
+    year = lambda e, i: F.nullif(F.regexp_extract(e["period"], PERIOD, i), F.lit("")).cast("bigint")
+    spans = F.transform("work", lambda e: F.when((year(e, 1) >= 1970) & (year(e, 1) <= year(e, 2)) & (year(e, 2) <= 2030), F.greatest(F.lit(1).cast("bigint"), year(e, 2) - year(e, 1))))
+    return rows.select("candidate_id", F.array_max(spans).alias("years"), highest_degree().alias("degree"))
+
+
+MOST_IMPORT_ROWS, LONGEST_NAME, LONGEST_PHONE = 200, 128, 20
+
+
+def candidate_import(rows: DataFrame, stored: DataFrame, most: int = MOST_IMPORT_ROWS) -> DataFrame:
+    """file, row_no, name, status and reason of every row of candidate files (file, row_no, name, phone, email).
+
+    A row without a name, or with one or a phone that is too long, fails. A row whose phone or email (whatever its case) a stored candidate or
+    an earlier valid row of the file has is a duplicate, and created all the same. Every row of a file of more than ``most`` rows is rejected.
+    """
+    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = rows.select("file", "row_no", clean("name").alias("name"), clean("phone").alias("phone"), F.lower(clean("email")).alias("email"))
+    sizes = rows.groupBy("file").agg(F.count("*").alias("size"))
+    reason = F.when(F.col("size") > most, "too many rows").when(F.col("name") == "", "name is required").when(F.char_length("name") > LONGEST_NAME, "name is too long").when(F.char_length("phone") > LONGEST_PHONE, "phone is too long")
+    rows = rows.join(sizes, "file").withColumn("reason", reason)
+    valid = rows.where("reason IS NULL")
+
+    def hits(field: str) -> DataFrame:
+        known = stored.select(F.lower(field).alias(field)).where(f"{field} <> ''").distinct().withColumn("known", F.lit(True))
+        first = valid.where(f"{field} <> ''").groupBy("file", field).agg(F.min("row_no").alias(f"first_{field}"))
+        return first.join(known, field, "left").select("file", field, f"first_{field}", F.coalesce("known", F.lit(False)).alias(f"known_{field}"))
+
+    found = rows.join(hits("phone"), ["file", "phone"], "left").join(hits("email"), ["file", "email"], "left")
+    hit = lambda field: F.coalesce(F.col(f"known_{field}") | (F.col("row_no") > F.col(f"first_{field}")), F.lit(False))
+    status = F.when(F.col("reason").isNotNull(), "failed").when(hit("phone") | hit("email"), "duplicate").otherwise("created")
+    return found.select("file", "row_no", "name", status.alias("status"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+_IMPORT = """r AS (SELECT library_id AS file, row_number() OVER (PARTITION BY library_id ORDER BY candidate_id) + 1 AS row_no, CASE WHEN candidate_id % 29 = 0 THEN ' ' WHEN candidate_id % 31 = 0 THEN repeat('n', 130) ELSE name END AS name, CASE WHEN candidate_id % 37 = 0 THEN repeat('1', 21) ELSE phone END AS phone, email FROM v_candidate WHERE candidate_id % 7 <> 0)"""
+_IMPORTED = f"""{_IMPORT}, k AS (SELECT phone, lower(email) AS email FROM v_candidate WHERE candidate_id % 7 = 0), z AS (SELECT *, count(*) OVER (PARTITION BY file) AS size FROM r),
+    v AS (SELECT file, row_no, trim(name) AS name, phone, lower(email) AS email, CASE WHEN size > 200 THEN 'too many rows' WHEN trim(name) = '' THEN 'name is required' WHEN length(name) > 128 THEN 'name is too long' WHEN length(phone) > 20 THEN 'phone is too long' ELSE '' END AS reason FROM z),
+    i AS (SELECT file, row_no, name, CASE WHEN reason <> '' THEN 'failed' WHEN EXISTS (SELECT 1 FROM k WHERE k.phone = v.phone) OR EXISTS (SELECT 1 FROM k WHERE k.email = v.email)
+    OR EXISTS (SELECT 1 FROM v o WHERE o.file = v.file AND o.reason = '' AND o.row_no < v.row_no AND o.phone = v.phone) OR EXISTS (SELECT 1 FROM v o WHERE o.file = v.file AND o.reason = '' AND o.row_no < v.row_no AND o.email = v.email) THEN 'duplicate' ELSE 'created' END AS status, reason FROM v)"""
+
+
+def _imported(candidates: DataFrame) -> DataFrame:
+    """Candidate files, one per library and with a column that is not known, written and read back; every seventh candidate is stored already."""
+    c = F.col("candidate_id")
+    name = F.when(c % 29 == 0, " ").when(c % 31 == 0, F.repeat(F.lit("n"), 130)).otherwise(F.col("name"))
+    sent = candidates.where(c % 7 != 0).select(F.col("library_id").alias("file"), (numbered("library_id", order=["candidate_id"]) + 1).alias("row_no"), name.alias("name"), F.when(c % 37 == 0, F.repeat(F.lit("1"), 21)).otherwise(F.col("phone")).alias("phone"), "email", F.lit("x,y").alias("city"))
+    path = csv_written(sent, "candidates", ["file"])
+    rows = csv_read(candidates.sparkSession, path, ["row_no", "name", "phone", "email", "city", "file"])
+    rows = rows.select(F.col("file").cast("int").alias("file"), F.col("row_no").cast("bigint").alias("row_no"), "name", "phone", "email")
+    return candidate_import(rows, candidates.where(c % 7 == 0))
+
+
+@query("s15_candidate_import", "v_candidate", sql=f"WITH {_IMPORTED} SELECT * FROM i")
+def s15(candidates: DataFrame) -> DataFrame:
+    return _imported(candidates)
+
+
+@query("s15b_candidate_import_totals", "v_candidate", sql=f"WITH {_IMPORTED} SELECT file, count(*) AS total, count(*) FILTER (WHERE status = 'created') AS success, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'duplicate') AS duplicates FROM i GROUP BY 1")
+def import_totals(candidates: DataFrame) -> DataFrame:
+    count = lambda s: F.count_if(F.col("status") == s)
+    return _imported(candidates).groupBy("file").agg(F.count("*").alias("total"), count("created").alias("success"), count("failed").alias("failed"), count("duplicate").alias("duplicates"))
 
 
 def decoded_text(files: DataFrame) -> DataFrame:

@@ -61,8 +61,20 @@ def test_page_text_and_selectors():
 
 
 def test_question_table_roles():
-    assert readers.qa_roles(["Question (many)", "Title", "Content of it"]) == {"title": "Title", "content": "Content of it", "questions": "Question (many)"}
-    assert readers.qa_roles(["a", "b"]) == {"title": "a", "content": "b"}
+    assert readers.qa_roles(["c"]) == {"content": "c"} and readers.qa_roles(["t", "c"]) == {"title": "t", "content": "c"}
+    assert readers.qa_roles(["问题1", "分段内容x", "分段标题"]) == {"title": "分段标题", "content": "分段内容x", "questions": "问题1"}
+    assert readers.qa_roles(["a", "b", "c", "分段内容"]) == {"title": "a", "content": "分段内容", "questions": "c"}
+
+
+def test_links_of_all_kinds(spark):
+    html = """<A class="x" HREF='https://a.org/p/'>1</A><a href="/q#top">2</a><a href="r.html">3</a><a href="mailto:x@y.z">4</a><a href="#f">5</a><a href="https://b.org/">6</a><a href="//a.org/s">7</a>"""
+    pages = spark.createDataFrame([("https://a.org/d/i.html?x=1", html), ("https://a.org/e", '<a href="r">1</a>')], "url string, html string")
+    got = {(r["src_url"], r["dst_url"]) for r in readers.child_links(pages).collect()}
+    assert got == {("https://a.org/d/i.html?x=1", f"https://a.org/{p}") for p in ("p", "q", "d/r.html", "s")} | {("https://a.org/e", "https://a.org/e/r")}
+    assert [r["dst_url"] for r in readers.child_links(pages, "https://a.org/d").collect()] == ["https://a.org/d/r.html"]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a"), ("a", "c")], "src_url string, dst_url string")
+    got = {(r["node"], r["depth"]) for r in readers.reachable(edges, spark.createDataFrame([("a",)], "url string")).collect()}
+    assert got == {("b", 1), ("c", 1), ("d", 2)}
 
 
 def test_evidence_paths():
