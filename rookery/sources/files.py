@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 #: CSV as spreadsheets write it: quotes are doubled, cells may hold line breaks, empty cells are not nulls.
-CSV = {"header": True, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": "\\N"}
+CSV = {"header": True, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def fresh(spark: SparkSession, name: str) -> str:
