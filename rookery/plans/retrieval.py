@@ -11,64 +11,54 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.queries import MASKED_SQL, residual_sql
 from ..operators.windows import numbered
 from ..registry import query
 from ..session import ship
+from .keywords import RANKED_SQL, TOKENS_SQL, keyword_search, keyword_sql
 from .tokens import postings, tokens
 
-#: Query vectors that one pass holds as a matrix; more queries are answered in further passes over the rows.
-QUERY_BLOCK = 4096
+#: Query vectors in a block; a task multiplies a block with the rows of one part.
+QUERY_BLOCK, ROW_PART = 1024, 1 << 13
 K, THRESHOLD, CAP = 5, 0.2, 500
+_HIT = "query_id bigint, knowledge_id int, id bigint, paragraph_id bigint, document_id bigint, score double"
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Unit vectors of the queries, QUERY_BLOCK at a time in the order of their ids."""
-    last = None
-    while True:
-        some = queries if last is None else queries.where(F.col("query_id") > last)
-        rows = some.orderBy("query_id").limit(QUERY_BLOCK).select("query_id", "embedding").collect()
-        if not rows:
-            return
-        ids = [r["query_id"] for r in rows]
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        yield ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-        last = ids[-1]
+def _unit(vectors: list) -> np.ndarray:
+    v = np.stack(vectors).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, per_group: int) -> DataFrame:
-    """(query_id, knowledge_id, id, paragraph_id, document_id, score): every task keeps its ``per_group`` best per query and knowledge base.
+def nearest(rows: DataFrame, queries: DataFrame, per_group: int, by: str | None = None) -> DataFrame:
+    """(query_id, knowledge_id, id, paragraph_id, document_id, score): the ``per_group`` best rows per query and knowledge base of each part of the rows.
 
-    Arrow batches are multiplied with a block of query vectors, so the shuffle sees local winners only.
+    With ``by``, the best row of each value of that column instead, so all of them come out. Rows are dealt into parts of about ROW_PART, queries into blocks of
+    QUERY_BLOCK; each part meets each block in one group, where two matrices are multiplied. Neither side passes through the driver, and what is shuffled
+    behind are local winners.
     """
     ship(rows.sparkSession)
-    out = None
-    for ids, q in _query_blocks(queries):
-        names = np.array(ids, dtype=np.int64)
-
-        def run(batches: Iterator[pd.DataFrame], names: np.ndarray = names, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            held: list[pd.DataFrame] = []
-
-            def cut(parts: list[pd.DataFrame]) -> pd.DataFrame:
-                both = pd.concat(parts).sort_values(["score", "id"], ascending=[False, True], kind="stable")
-                return both.groupby(["query_id", "knowledge_id"], sort=False).head(per_group)
-
-            for batch in batches:
-                v = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)) @ q.T
-                for kb, index in batch.groupby("knowledge_id").indices.items():
-                    s = scores[index]
-                    keep = min(per_group, len(index))
-                    near = np.argpartition(-s, keep - 1, axis=0)[:keep] if keep < len(index) else np.tile(np.arange(len(index))[:, None], (1, len(names)))
-                    at = index[near].T.ravel()
-                    held.append(pd.DataFrame({"query_id": np.repeat(names, keep), "knowledge_id": kb, "id": batch["id"].to_numpy()[at], "paragraph_id": batch["paragraph_id"].to_numpy()[at], "document_id": batch["document_id"].to_numpy()[at], "score": s[near.T, np.arange(len(names))[:, None]].ravel()}))
-                if len(held) > 40:
-                    held = [cut(held)]
-            if held:
-                yield cut(held)
-
-        part = rows.select("id", "knowledge_id", "paragraph_id", "document_id", "embedding").mapInPandas(run, "query_id bigint, knowledge_id int, id bigint, paragraph_id bigint, document_id bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id bigint, knowledge_id int, id bigint, paragraph_id bigint, document_id bigint, score double")
+    parts = max(1, -(-rows.count() // ROW_PART))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("id", "knowledge_id", "paragraph_id", "document_id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).select("*", every(blocks).alias("block"))
+    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).select("*", every(parts).alias("part"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=["query_id", "knowledge_id", "id", "paragraph_id", "document_id", "score"])
+        a = a.sort_values("id", ignore_index=True)
+        scores = _unit(a["embedding"].to_list()) @ _unit(b["embedding"].to_list()).T
+        names, out = b["query_id"].to_numpy(), []
+        for kb, index in a.groupby(["knowledge_id"] if by is None else ["knowledge_id", by]).indices.items():
+            s = scores[index]
+            keep = min(per_group if by is None else 1, len(index))
+            near = np.argsort(-s, axis=0, kind="stable")[:keep]
+            at = index[near].T.ravel()
+            out.append((np.repeat(names, keep), at, s[near.T, np.arange(len(names))[:, None]].ravel()))
+        q, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": q, "score": score} | {c: a[c].to_numpy()[at] for c in ("knowledge_id", "id", "paragraph_id", "document_id")})[["query_id", "knowledge_id", "id", "paragraph_id", "document_id", "score"]]
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, _HIT)
 
 
 def dense_search(rows: DataFrame, queries: DataFrame, k: int = K, threshold: float = THRESHOLD, cap: bool = True) -> DataFrame:
@@ -76,9 +66,11 @@ def dense_search(rows: DataFrame, queries: DataFrame, k: int = K, threshold: flo
 
     Without ``cap`` all rows are candidates (the exact variant).
     """
-    near = nearest(rows, queries, min(10 * k, CAP) if cap else 1 << 30)
     if cap:
+        near = nearest(rows, queries, min(10 * k, CAP))
         near = near.withColumn("n", numbered("query_id", "knowledge_id", order=[F.desc("score"), "id"])).where(F.col("n") <= min(10 * k, CAP)).drop("n")
+    else:
+        near = nearest(rows, queries, 1, by="paragraph_id").where(F.col("score") > threshold)
     best = near.groupBy("query_id", "knowledge_id", "paragraph_id").agg(F.max_by(F.struct("document_id", "id", "score"), F.struct("score", -F.col("id"))).alias("b"))
     best = best.select("query_id", "knowledge_id", "paragraph_id", "b.*").where(F.col("score") > threshold)
     rank = numbered("query_id", "knowledge_id", order=[F.desc("score"), "paragraph_id"])
@@ -141,60 +133,6 @@ def v06(rows: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
     return hits.join(documents.select("document_id", "name", F.col("knowledge_id").alias("base")), "document_id", "left").select("query_id", "rank", "paragraph_id", "name", "base")
 
 
-# -- keyword search ----------------------------------------------------------------------------------------------
-
-
-def cover_density(lists: list[list[int]]) -> float:
-    """0.1 for each minimal cover of all terms, less for the gaps inside it; x / (x + 1) of the sum."""
-    if len(lists) == 1:
-        x = 0.1 * len(lists[0])
-        return x / (x + 1)
-    at = sorted((p, i) for i, ps in enumerate(lists) for p in ps)
-    last, total, begin = {}, 0.0, -1
-    for p, i in at:
-        last[i] = p
-        if len(last) == len(lists):
-            lo = min(last.values())
-            if lo > begin:
-                total += 0.1 / (1 + max(0, p - lo + 1 - len(lists)))
-                begin = lo
-    return total / (total + 1)
-
-
-def keyword_search(index: DataFrame, queries: DataFrame, most_terms: int, k: int = K) -> DataFrame:
-    """All query tokens must occur. ``index``: paragraph_id, token, positions; ``queries``: query_id, query."""
-    ship(index.sparkSession)
-    asked = queries.select("query_id", F.slice(F.array_distinct(F.filter(tokens("query"), lambda t: F.char_length(t) > 1)), 1, most_terms).alias("terms"))
-    terms = asked.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("token"))
-    hits = index.join(terms, "token").groupBy("query_id", "paragraph_id").agg(F.max("n").alias("n"), F.count("*").alias("found"), F.collect_list("positions").alias("lists")).where("n = found")
-    if most_terms == 1:  # one term needs no cover search
-        x = 0.1 * F.size(F.get("lists", F.lit(0)))
-        scored = hits.withColumn("score", x / (x + 1))
-    else:
-        score = F.pandas_udf(lambda s: s.map(lambda lists: cover_density([list(x) for x in lists])), "double")
-        scored = hits.withColumn("score", score("lists"))
-    rank = numbered("query_id", order=[F.desc("score"), "paragraph_id"])
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "paragraph_id", "score", "rank")
-
-
-_TOK = "regexp_extract_all(lower({c}), '[\\p{{Latin}}\\p{{Nd}}]+')"
-_SPARSE = f"""t AS (SELECT paragraph_id, unnest({_TOK.format(c='content')}) AS token FROM v_paragraph), q AS (SELECT query_id, list_filter({_TOK.format(c='query')}, lambda x: length(x) > 1)[1] AS token FROM v_query_text),
-    s AS (SELECT query_id, paragraph_id, 0.1 * count(*) / (0.1 * count(*) + 1) AS score FROM t JOIN q USING (token) GROUP BY 1, 2)"""
-
-
-@query("v02_keyword_search", "v_paragraph", "v_query_text", sql=f"WITH {_SPARSE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paragraph_id) AS rank FROM s) SELECT query_id, paragraph_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5")
-def v02(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    return keyword_search(postings(paragraphs, "paragraph_id", "content"), queries, 1).withColumn("score", F.round("score", 6))
-
-
-@query("v02b_keyword_search_all_terms", "v_paragraph", "v_query_text")
-def v02b(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    return keyword_search(postings(paragraphs, "paragraph_id", "content"), queries, 6).withColumn("score", F.round("score", 6))
-
-
-_EMB_Q = "q AS (SELECT query_id, query_id % 25 AS v FROM v_query_text)"
-
-
 def blended(dense: DataFrame, sparse: DataFrame, k: int = K) -> DataFrame:
     """Dense candidates only; a keyword score is added where there is one."""
     both = dense.select("query_id", "paragraph_id", "score").join(sparse.select("query_id", "paragraph_id", F.col("score").alias("extra")), ["query_id", "paragraph_id"], "left")
@@ -202,32 +140,34 @@ def blended(dense: DataFrame, sparse: DataFrame, k: int = K) -> DataFrame:
     return both.withColumn("rank", numbered("query_id", order=[F.desc("score"), "paragraph_id"])).where(F.col("rank") <= k).select("query_id", "paragraph_id", F.round("score", 6).alias("score"), "rank")
 
 
-# a keyword leg over the same ids as the vectors: documents whose number is the paragraph's, asked by benchmark item
-_LEG = """x AS (SELECT CAST(20 * item_id AS BIGINT) AS query_id, p.document_id AS paragraph_id, 0.1 * count(*) / (0.1 * count(*) + 1) AS score FROM benchmark JOIN v_paragraph p ON contains(p.content, string_split(text, ' ')[1]) GROUP BY 1, 2)"""
+# the keyword leg over the same ids as the vectors: the document whose number a paragraph has is its text; query 20 * i asks for benchmark item i
+_LEG = keyword_sql("v_document", "document_id", "content", 20)
+
+
+def _leg(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, paragraph_id, score of the keyword search over whole documents."""
+    index = postings(documents.select(F.col("document_id").alias("paragraph_id"), "content"), "paragraph_id", "content")
+    return keyword_search(index, asked.select((F.col("query_id") * 20).cast("bigint").alias("query_id"), "query"), None)
 
 
 def term_hits(rows: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
     """(keys, term): rows whose ``text`` contains a term of ``terms`` (column term, no white space inside).
 
-    Such a term lies within one word, so the substring test runs once per distinct word and term, not per text.
+    Such a term lies within one word, so the test runs once per distinct word and term, not per text. A word meets only terms that begin with three (for short
+    terms one or two) characters found in it, by an equality join.
     """
-    words = rows.select(*keys, F.explode(F.array_distinct(F.split(text, r"\s"))).alias("word"))
-    match = words.select("word").distinct().join(terms.select("term").distinct(), F.col("word").contains(F.col("term")))
+    words = rows.select(*keys, F.explode(F.array_distinct(F.split(text, r"\s"))).alias("word")).where("word <> ''")
+    wanted = terms.select("term").distinct().where("term <> ''").withColumn("head", F.left("term", F.lit(3)))
+    at = F.sequence(F.lit(1), F.char_length("word"))
+    heads = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("word"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    match = words.select("word").distinct().select("word", F.explode(heads).alias("head")).join(wanted, "head").where(F.col("word").contains(F.col("term"))).select("word", "term").distinct()
     return words.join(match, "word").select(*keys, "term").distinct()
 
 
-def _leg(paragraphs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(query_id, paragraph_id, score): lines of a document that contain an item's first word."""
-    asked = benchmark.select((F.col("item_id") * 20).cast("bigint").alias("query_id"), F.get(F.split("text", " "), F.lit(0)).alias("term"))
-    hits = term_hits(paragraphs, ["paragraph_id", "document_id"], "content", asked).join(asked, "term")
-    lines = hits.groupBy("query_id", F.col("document_id").alias("paragraph_id")).agg(F.count_distinct(hits["paragraph_id"]).alias("n"))
-    return lines.select("query_id", "paragraph_id", (0.1 * F.col("n") / (0.1 * F.col("n") + 1)).alias("score"))
-
-
-@query("v03_blend", "v_embedding", "v_query_vec", "v_paragraph", "benchmark", sql=f"""{_dense_sql()}, {_LEG}, y AS (SELECT h.query_id, h.paragraph_id, h.score + coalesce(x.score, 0) AS score FROM h LEFT JOIN x USING (query_id, paragraph_id)),
+@query("v03_blend", "v_embedding", "v_query_vec", "v_document", "v_keyword_query", sql=f"""{_dense_sql()}, {_LEG}, y AS (SELECT h.query_id, h.paragraph_id, h.score + coalesce(x.score, 0) AS score FROM h LEFT JOIN x USING (query_id, paragraph_id)),
     z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paragraph_id) AS rank FROM y) SELECT query_id, paragraph_id, round(score, 6) AS score, rank FROM z WHERE rank <= 5""")
-def v03(rows: DataFrame, queries: DataFrame, paragraphs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return blended(dense_search(rows, queries), _leg(paragraphs, benchmark))
+def v03(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
+    return blended(dense_search(rows, queries), _leg(documents, asked))
 
 
 def fused(legs: list[DataFrame], k: int = 60) -> DataFrame:
@@ -240,18 +180,18 @@ def fused(legs: list[DataFrame], k: int = 60) -> DataFrame:
 
 
 _RRF = f"""{_LEG}, d1 AS (SELECT query_id, paragraph_id, max(score) AS score FROM h GROUP BY 1, 2), f AS (SELECT query_id, paragraph_id, sum(1 / (60 + rn)) AS rrf, max(CASE WHEN leg = 'dense' THEN score END) AS dense, max(CASE WHEN leg = 'sparse' THEN score END) AS sparse FROM (
-    SELECT *, 'dense' AS leg, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paragraph_id) AS rn FROM d1 UNION ALL SELECT *, 'sparse', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paragraph_id) FROM x) GROUP BY 1, 2)"""
+    SELECT *, 'dense' AS leg, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, paragraph_id) AS rn FROM d1 UNION ALL SELECT *, 'sparse', row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, paragraph_id) FROM x) GROUP BY 1, 2)"""
 
 
-def _fused(rows: DataFrame, queries: DataFrame, paragraphs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _fused(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
     dense = dense_search(rows, queries).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
-    return fused([dense, _leg(paragraphs, benchmark)])
+    return fused([dense, _leg(documents, asked)])
 
 
-@query("v07_rank_fusion", "v_embedding", "v_query_vec", "v_paragraph", "benchmark", sql=f"{_dense_sql()}, {_RRF} SELECT query_id, paragraph_id, round(rrf, 6) AS rrf, round(dense, 6) AS dense, round(sparse, 6) AS sparse FROM f")
-def v07(rows: DataFrame, queries: DataFrame, paragraphs: DataFrame, benchmark: DataFrame) -> DataFrame:
+@query("v07_rank_fusion", "v_embedding", "v_query_vec", "v_document", "v_keyword_query", sql=f"{_dense_sql()}, {_RRF} SELECT query_id, paragraph_id, round(rrf, 6) AS rrf, round(dense, 6) AS dense, round(sparse, 6) AS sparse FROM f")
+def v07(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
     r = lambda c: F.round(c, 6).alias(c)
-    return _fused(rows, queries, paragraphs, benchmark).select("query_id", "paragraph_id", r("rrf"), r("dense"), r("sparse"))
+    return _fused(rows, queries, documents, asked).select("query_id", "paragraph_id", r("rrf"), r("dense"), r("sparse"))
 
 
 @query("w06_rank_as_score", "v_embedding", "v_query_vec", sql=f"{_dense_sql()} SELECT query_id, knowledge_id, paragraph_id, round(1 / (60 + rank), 9) AS score FROM h")
@@ -281,9 +221,11 @@ def reranked(hits: DataFrame, scorer=overlap_score) -> DataFrame:
     return scored.withColumn("final", final).withColumn("rank", numbered("query_id", order=[F.desc("final"), "paragraph_id"]))
 
 
-@query("v08_rerank", "v_paragraph", "v_query_text")
+@query("v08_rerank", "v_paragraph", "v_keyword_query", sql=f"""WITH {keyword_sql('v_paragraph', 'paragraph_id', 'content')}, {RANKED_SQL}, t AS (SELECT query_id, paragraph_id, 1 / (60 + rank) AS rrf, list_distinct(list_filter(regexp_split_to_array(query, '\\s+'), lambda s: s <> '')) AS q, list_distinct(regexp_split_to_array(content, '\\s+')) AS p
+    FROM k JOIN v_keyword_query USING (query_id) JOIN v_paragraph USING (paragraph_id) WHERE rank <= 5), o AS (SELECT query_id, paragraph_id, rrf, len(list_intersect(q, p)) / len(q) AS s FROM t), f AS (SELECT *, CASE WHEN s > 0 THEN s ELSE rrf END AS final FROM o)
+    SELECT query_id, paragraph_id, round(final, 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, paragraph_id) AS rank FROM f""")
 def v08(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    hits = keyword_search(postings(paragraphs, "paragraph_id", "content"), queries, 2).withColumn("rrf", 1 / (60 + F.col("rank"))).drop("score", "rank")
+    hits = keyword_search(postings(paragraphs, "paragraph_id", "content"), queries).withColumn("rrf", 1 / (60 + F.col("rank"))).drop("score", "rank")
     texts = hits.join(queries.select("query_id", "query"), "query_id").join(paragraphs.select("paragraph_id", F.col("content").alias("passage")), "paragraph_id")
     return reranked(texts).select("query_id", "paragraph_id", F.round("final", 6).alias("final"), "rank")
 
@@ -298,11 +240,12 @@ def document_scores(rows: DataFrame, queries: DataFrame, weight: float = 0.0) ->
 
 def _term_owners(paragraphs: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:
     terms = queries.select("query_id", F.explode(F.slice(F.array_distinct(F.filter(tokens("text"), lambda t: F.char_length(t) > 1)), 1, most)).alias("token"))
-    owners = paragraphs.select("document_id", F.explode(F.array_distinct(tokens("content"))).alias("token")).distinct()
+    asked = terms.select("token").distinct()  # most words are not asked for: they go before the texts of a document are put together
+    owners = paragraphs.select("document_id", F.explode(F.array_distinct(tokens("content"))).alias("token")).join(asked, "token", "left_semi").distinct()
     return terms.join(owners, "token")
 
 
-_OWN = f"""t AS (SELECT DISTINCT document_id, unnest({_TOK.format(c='content')}) AS token FROM v_paragraph), q AS (SELECT query_id, unnest(a[1:8]) AS token FROM (SELECT query_id, list_filter(list_distinct_ordered, lambda x: length(x) > 1) AS a FROM (SELECT query_id, list_reduce(list_transform({_TOK.format(c='text')}, lambda x: [x]), lambda acc, y: CASE WHEN list_contains(acc, y[1]) THEN acc ELSE list_concat(acc, y) END) AS list_distinct_ordered FROM v_query_text))),
+_OWN = f"""t AS (SELECT DISTINCT document_id, unnest({TOKENS_SQL.format(c='content')}) AS token FROM v_paragraph), q AS (SELECT query_id, unnest(a[1:8]) AS token FROM (SELECT query_id, list_filter(list_distinct_ordered, lambda x: length(x) > 1) AS a FROM (SELECT query_id, list_reduce(list_transform({TOKENS_SQL.format(c='text')}, lambda x: [x]), lambda acc, y: CASE WHEN list_contains(acc, y[1]) THEN acc ELSE list_concat(acc, y) END) AS list_distinct_ordered FROM v_query_text))),
     m AS (SELECT query_id, token, document_id FROM q JOIN t USING (token)), n AS (SELECT count(DISTINCT document_id) AS docs FROM t), c AS (SELECT query_id, token, count(*) AS owners FROM m GROUP BY 1, 2), k AS (SELECT query_id, token FROM c, n WHERE owners <= greatest(30, 0.5 * docs))"""
 
 
@@ -316,34 +259,53 @@ def keyword_guarantee(paragraphs: DataFrame, queries: DataFrame, limit: int = 10
     return counts.withColumn("rank", numbered("query_id", order=[F.desc("terms"), "document_id"])).where(F.col("rank") <= limit)
 
 
-@query("v11_sparse_query", "v_query_text", sql=f"SELECT query_id, array_to_string(list_filter({_TOK.format(c='text')}, lambda x: length(x) > 1 AND x NOT IN ('the', 'of', 'and'))[1:6], ' ') AS terms FROM v_query_text")
+@query("v11_sparse_query", "v_query_text", sql=f"SELECT query_id, array_to_string(list_filter({TOKENS_SQL.format(c='text')}, lambda x: length(x) > 1 AND x NOT IN ('the', 'of', 'and'))[1:6], ' ') AS terms FROM v_query_text")
 def sparse_query(queries: DataFrame, most: int = 6, stop: tuple[str, ...] = ("the", "of", "and")) -> DataFrame:
     kept = F.filter(tokens("text"), lambda t: (F.char_length(t) > 1) & ~t.isin(*stop))
     return queries.select("query_id", F.array_join(F.slice(kept, 1, most), " ").alias("terms"))
 
 
-@query("v12_dual_recall", "v_embedding", "v_query_vec", "v_document", "v_paragraph", "benchmark", sql=f"""{_dense_sql(where='WHERE document_id NOT IN (SELECT document_id FROM v_document WHERE NOT is_active)')}, {_LEG} SELECT query_id, paragraph_id, 'dense' AS leg, round(max(score), 6) AS score FROM h GROUP BY 1, 2
+@query("v12_dual_recall", "v_embedding", "v_query_vec", "v_document", "v_keyword_query", sql=f"""{_dense_sql(where='WHERE document_id NOT IN (SELECT document_id FROM v_document WHERE NOT is_active)')}, {_LEG} SELECT query_id, paragraph_id, 'dense' AS leg, round(max(score), 6) AS score FROM h GROUP BY 1, 2
     UNION ALL SELECT query_id, paragraph_id, 'sparse', round(score, 6) FROM x WHERE score > 0.01 AND paragraph_id NOT IN (SELECT document_id FROM v_document WHERE NOT is_active)""")
-def dual_recall(rows: DataFrame, queries: DataFrame, documents: DataFrame, paragraphs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def dual_recall(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Both legs over active documents only, the keyword leg from 0.01 on."""
     gone = documents.where("NOT is_active").select("document_id")
     dense = dense_search(rows.join(gone, "document_id", "left_anti"), queries).groupBy("query_id", "paragraph_id").agg(F.round(F.max("score"), 6).alias("score"))
-    sparse = _leg(paragraphs, benchmark).where("score > 0.01").join(gone.withColumnRenamed("document_id", "paragraph_id"), "paragraph_id", "left_anti")
+    sparse = _leg(documents.where("is_active"), asked).where("score > 0.01")
     return dense.select("query_id", "paragraph_id", F.lit("dense").alias("leg"), "score").unionByName(sparse.select("query_id", "paragraph_id", F.lit("sparse").alias("leg"), F.round("score", 6).alias("score")))
 
 
-@query("v13_skill_and", "v_document", "v_job", sql="""WITH q AS (SELECT job_id, skills FROM v_job WHERE job_id % 20 = 0), h AS (SELECT job_id, document_id, contains(lower(content), substring(skills[1], 1, 3)) AS a, contains(lower(content), substring(skills[2], 1, 3)) AS b FROM q, v_document)
-    SELECT job_id, document_id, bits, rank FROM (SELECT job_id, document_id, CAST(a::INT AS STRING) || CAST(b::INT AS STRING) AS bits, row_number() OVER (PARTITION BY job_id ORDER BY a DESC, b DESC, document_id) AS rank FROM h WHERE a OR b) WHERE rank <= 20""")
-def skill_and(documents: DataFrame, jobs: DataFrame, limit: int = 20) -> DataFrame:
-    """Ordered skills of each asked job as a bit vector per document: earlier skills weigh more.
+_SKILLED = """q AS (SELECT job_id, i - 1 AS i, skills[i] AS skill FROM (SELECT job_id, skills, unnest(range(1, len(skills) + 1)) AS i FROM v_job WHERE job_id % 20 = 0)), t AS (SELECT DISTINCT skill FROM q), w AS (SELECT DISTINCT document_id, unnest(regexp_split_to_array(lower(content), '\\s')) AS word FROM v_document),
+    m AS (SELECT DISTINCT document_id, skill FROM w JOIN t ON contains(word, skill)), d AS (SELECT q.query_id, e.document_id, max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM v_embedding e, v_query_vec q GROUP BY 1, 2),
+    c AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM d), n AS (SELECT query_id, document_id, score FROM c WHERE score >= greatest(0.2, 0.75 * top)),
+    h AS (SELECT job_id, i, document_id, 0.0::DOUBLE AS score FROM q JOIN m USING (skill) UNION ALL SELECT job_id, i, document_id, score FROM q JOIN n ON query_id = (job_id + i * 20) % 400)"""
+
+
+def skill_hits(documents: DataFrame, jobs: DataFrame, rows: DataFrame, queries: DataFrame, threshold: float = THRESHOLD, relative: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(job_id, i, document_id, score) of each ordered skill, and the asked skills (job_id, i, term).
 
-    Only hits travel further.
+    Hits are documents whose text has the skill (score 0), and those whose vectors come near enough to the skill's: at least the threshold and ``relative`` times
+    its best. The vector of skill i of job j is query (j + 20 i) mod 400.
     """
-    asked = jobs.where("job_id % 20 = 0").select("job_id", F.posexplode(F.transform(F.slice("skills", 1, 2), lambda s: F.substring(s, 1, 3))).alias("i", "term"))
-    hits = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", asked)
-    found = hits.join(asked, "term").groupBy("job_id", "document_id").agg(F.collect_set("i").alias("s"))
-    bits = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.array_contains("s", i).cast("int"))
-    ranked = found.withColumn("bits", bits).withColumn("rank", numbered("job_id", order=[F.desc("bits"), "document_id"])).where(F.col("rank") <= limit)
-    return ranked.select("job_id", "document_id", F.array_join("bits", "").alias("bits"), "rank")
+    asked = jobs.where("job_id % 20 = 0").select("job_id", F.posexplode("skills").alias("i", "term"))
+    texts = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", asked).join(asked, "term").select("job_id", "i", "document_id", F.lit(0.0).alias("score"))
+    near = nearest(rows.withColumn("knowledge_id", F.lit(0)), queries, 1, by="document_id").groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
+    best = near.groupBy("query_id").agg(F.max("score").alias("top"))
+    close = near.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(threshold), relative * F.col("top")))
+    dense = asked.withColumn("query_id", (F.col("job_id") + F.col("i") * 20) % 400).join(close, "query_id").select("job_id", "i", "document_id", "score")
+    return texts.unionByName(dense), asked
+
+
+@query("v13_skill_and", "v_document", "v_job", "v_embedding", "v_query_vec", sql=f"""WITH {_SKILLED}, g AS (SELECT job_id, document_id, list(DISTINCT i) AS s, max(score) AS score FROM h GROUP BY 1, 2), z AS (SELECT job_id, max(i) AS last FROM q GROUP BY 1),
+    b AS (SELECT job_id, document_id, array_to_string(list_transform(range(0, last + 1), lambda x: CASE WHEN list_contains(s, x) THEN 1 ELSE 0 END), '') AS bits, score FROM g JOIN z USING (job_id))
+    SELECT job_id, document_id, bits, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY bits DESC, round(score, 9) DESC, document_id) AS rank FROM b) WHERE rank <= 20""")
+def skill_and(documents: DataFrame, jobs: DataFrame, rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """Ordered skills of each asked job as a bit vector per document, by text or by vector: earlier skills weigh more, then the best score."""
+    hits, asked = skill_hits(documents, jobs, rows, queries)
+    found = hits.groupBy("job_id", "document_id").agg(F.collect_set("i").alias("s"), F.max("score").alias("score")).join(asked.groupBy("job_id").agg(F.max("i").alias("last")), "job_id")
+    bits = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.array_contains("s", i).cast("int"))
+    ranked = found.withColumn("bits", bits).withColumn("rank", numbered("job_id", order=[F.desc("bits"), F.desc(F.round("score", 9)), "document_id"]))
+    return ranked.where(F.col("rank") <= limit).select("job_id", "document_id", F.array_join("bits", "").alias("bits"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("v14_name_fast_path", "v_candidate", "v_application", sql="""WITH p AS (SELECT candidate_id, 1 AS tier, 1.0 AS score FROM v_candidate WHERE contains(name, '0042')), o AS (SELECT candidate_id, 2 AS tier, max(amount) AS score FROM v_application WHERE job_id = 9 AND candidate_id NOT IN (SELECT candidate_id FROM p) GROUP BY 1)
@@ -356,7 +318,7 @@ def name_fast_path(candidates: DataFrame, applications: DataFrame, name: str = "
     return top.select("candidate_id", F.row_number().over(W.orderBy("tier", F.desc("score"), "candidate_id")).cast("bigint").alias("rank"))
 
 
-@query("v15_routing", "v_query_text", sql=f"SELECT query_id, CASE WHEN len(list_filter({_TOK.format(c='query')}, lambda x: length(x) > 3)) >= 4 THEN 'skills' WHEN query_id % 7 = 0 THEN 'newest' ELSE 'phrase' END AS route FROM v_query_text")
+@query("v15_routing", "v_query_text", sql=f"SELECT query_id, CASE WHEN len(list_filter({TOKENS_SQL.format(c='query')}, lambda x: length(x) > 3)) >= 4 THEN 'skills' WHEN query_id % 7 = 0 THEN 'newest' ELSE 'phrase' END AS route FROM v_query_text")
 def routing(queries: DataFrame) -> DataFrame:
     long = F.size(F.filter(tokens("query"), lambda t: F.char_length(t) > 3))
     return queries.select("query_id", F.when(long >= 4, "skills").when(F.col("query_id") % 7 == 0, "newest").otherwise("phrase").alias("route"))
@@ -387,40 +349,40 @@ def prompt_context(paragraphs: DataFrame, _documents: DataFrame, budget: int = 8
     return nested.select("document_id", F.replace(F.lit("Context: {data}"), F.lit("{data}"), F.array_join(F.transform("l", lambda x: x["content"]), "\n")).alias("prompt"))
 
 
-@query("v19_job_candidate_match", "v_document", "v_job", sql="""WITH q AS (SELECT job_id, unnest(skills) AS skill FROM v_job WHERE job_id % 20 = 0), h AS (SELECT job_id, document_id, 2 * count(DISTINCT skill) AS points FROM q JOIN v_document ON contains(lower(content), substring(skill, 1, 3)) GROUP BY 1, 2)
-    SELECT job_id, document_id, points, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY points DESC, document_id) AS rank FROM h) WHERE rank <= 10""")
-def job_candidate_match(documents: DataFrame, jobs: DataFrame, limit: int = 10) -> DataFrame:
-    """Two points for each required skill found in the text."""
-    asked = jobs.where("job_id % 20 = 0").select("job_id", F.explode(F.array_distinct("skills")).alias("skill"))
-    terms = asked.select("skill", F.substring("skill", 1, 3).alias("term")).distinct()
-    hits = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", terms).join(terms, "term").select("document_id", "skill")
-    points = hits.join(asked, "skill").groupBy("job_id", "document_id").agg((2 * F.count_distinct("skill")).alias("points"))
-    return points.withColumn("rank", numbered("job_id", order=[F.desc("points"), "document_id"])).where(F.col("rank") <= limit)
-
-
-@query("v20_sourcing_list", "v_application", sql="""WITH r AS (SELECT job_id + 1 AS job_id, candidate_id, min(application_id) AS f FROM v_application WHERE status <> 'HIRED' GROUP BY 1, 2) SELECT job_id, candidate_id, row_number() OVER (PARTITION BY job_id ORDER BY f) AS rank FROM r WHERE (job_id, candidate_id) NOT IN (SELECT job_id, candidate_id FROM v_application)""")
-def sourcing_list(applications: DataFrame) -> DataFrame:
-    """Candidates of a neighbouring job, first occurrence wins, without past applicants of the job itself."""
-    pool = applications.where("status <> 'HIRED'").groupBy((F.col("job_id") + 1).alias("job_id"), "candidate_id").agg(F.min("application_id").alias("f"))
-    fresh = pool.join(applications, ["job_id", "candidate_id"], "left_anti")
-    return fresh.select("job_id", "candidate_id", numbered("job_id", order=["f"]).alias("rank"))
-
-
-@query("v21_evidence_bundle", "v_application", "v_paragraph", sql="""WITH p AS (SELECT document_id, paragraph_id, content, row_number() OVER (PARTITION BY document_id ORDER BY length(content) DESC, paragraph_id) AS n FROM v_paragraph)
-    SELECT application_id, paragraph_id, substring(regexp_replace(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[PII]', 'g'), 1, 60) AS excerpt FROM v_application JOIN p ON document_id = candidate_id WHERE n <= 3 AND job_id % 20 = 0
-    AND NOT regexp_matches(content, '[0-9]{9}') AND NOT regexp_matches(content, '1[3-9][0-9][ -][0-9]{4}[ -][0-9]{4}')""")
-def evidence_bundle(applications: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Top three paragraphs of the candidate's own document, masked, without residual personal data, cut."""
-    top = paragraphs.withColumn("n", numbered("document_id", order=[F.desc(F.char_length("content")), "paragraph_id"])).where("n <= 3")
-    safe = top.where(~F.col("content").rlike("[0-9]{9}") & ~F.col("content").rlike("1[3-9][0-9][ -][0-9]{4}[ -][0-9]{4}")).select(F.col("document_id").alias("candidate_id"), "paragraph_id", F.substring(T.masked("content"), 1, 60).alias("excerpt"))
-    return applications.where("job_id % 20 = 0").join(safe, "candidate_id").select("application_id", "paragraph_id", "excerpt")
-
-
-@query("v22_retrieval_log", "v_paragraph", "v_query_text", sql=f"WITH {_SPARSE} SELECT query_id, length(query) AS query_length, count(paragraph_id) AS hits FROM v_query_text LEFT JOIN s USING (query_id) GROUP BY 1, 2")
-def retrieval_log(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Length and hits, never the text of the query."""
-    hits = keyword_search(postings(paragraphs, "paragraph_id", "content"), queries, 1, 1 << 40).groupBy("query_id").agg(F.count("*").alias("hits"))
-    return queries.select("query_id", F.char_length("query").cast("bigint").alias("query_length")).join(hits, "query_id", "left").fillna(0, ["hits"])
+@query("v19_job_candidate_match", "v_document", "v_job", "v_embedding", "v_query_vec", sql=f"""WITH {_SKILLED}, k AS (SELECT job_id, document_id, 2 * count(DISTINCT skill) AS points, 0.0::DOUBLE AS score FROM (SELECT DISTINCT job_id, skill FROM q) JOIN m USING (skill) GROUP BY 1, 2),
+    e AS (SELECT job_id, document_id, CAST(least(2, greatest(1, round_even(6 * max(score), 0))) AS BIGINT) AS points, max(score) AS score FROM q JOIN n ON query_id = (job_id + i * 20) % 400 WHERE (job_id, document_id) NOT IN (SELECT (job_id, document_id) FROM k) GROUP BY 1, 2), u AS (SELECT *, 'text' AS kind FROM k UNION ALL SELECT *, 'semantic' FROM e)
+    SELECT job_id, document_id, points, kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY points DESC, round(score, 9) DESC, document_id) AS rank FROM u) WHERE rank <= 10""")
+def job_candidate_match(documents: DataFrame, jobs: DataFrame, rows: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """Two points for each required skill found in the text; documents that have none but come near get one or two for it."""
+    hits, asked = skill_hits(documents, jobs, rows, queries)
+    named = hits.join(asked, ["job_id", "i"])
+    text = named.where("score = 0").groupBy("job_id", "document_id").agg((2 * F.count_distinct("term")).alias("points"), F.lit(0.0).alias("score"))
+    extra = named.where("score > 0").groupBy("job_id", "document_id").agg(F.max("score").alias("score")).join(text, ["job_id", "document_id"], "left_anti")
+    extra = extra.select("job_id", "document_id", F.least(F.lit(2), F.greatest(F.lit(1), F.bround(6 * F.col("score"), 0))).cast("bigint").alias("points"), "score")
+    both = text.withColumn("kind", F.lit("text")).unionByName(extra.withColumn("kind", F.lit("semantic")))
+    return both.withColumn("rank", numbered("job_id", order=[F.desc("points"), F.desc(F.round("score", 9)), "document_id"])).where(F.col("rank") <= limit).select("job_id", "document_id", "points", "kind", "rank")
+
+
+@query("v20_sourcing_list", "v_application", "v_job", "v_embedding", "v_query_vec", sql=f"""{_dense_sql()}, {_MERGED}, q AS (SELECT job_id, unnest(range(1, 4)) AS n FROM v_job WHERE job_id % 20 = 0),
+    p AS (SELECT job_id, document_id AS candidate_id, min(n * 100 + rank) AS place FROM q JOIN m ON query_id = (job_id + 20 * (n - 1)) % 400 GROUP BY 1, 2) SELECT job_id, candidate_id, row_number() OVER (PARTITION BY job_id ORDER BY place, candidate_id) AS rank FROM p
+    WHERE NOT EXISTS (SELECT 1 FROM v_application a WHERE a.job_id = p.job_id AND a.candidate_id = p.candidate_id)""")
+def sourcing_list(applications: DataFrame, jobs: DataFrame, rows: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
+    """Up to ``most`` queries per asked job (query n of job j is vector j + 20 (n - 1) mod 400), their hits pooled in order; the first occurrence of a candidate counts, past applicants of the job are out."""
+    asked = jobs.where("job_id % 20 = 0").select("job_id", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
+    asked = asked.select("job_id", "n", ((F.col("job_id") + 20 * (F.col("n") - 1)) % 400).alias("query_id"))
+    pool = asked.join(merged(dense_search(rows, queries)), "query_id").groupBy("job_id", F.col("document_id").alias("candidate_id")).agg(F.min(F.col("n") * 100 + F.col("rank")).alias("place"))
+    return pool.join(applications, ["job_id", "candidate_id"], "left_anti").select("job_id", "candidate_id", numbered("job_id", order=["place", "candidate_id"]).alias("rank"))
+
+
+@query("v21_evidence_bundle", "v_application", "v_paragraph", sql=f"""WITH s AS (SELECT document_id, paragraph_id, content, len(list_filter({TOKENS_SQL.format(c='content')}, lambda t: contains(t, 'th'))) AS score FROM v_paragraph),
+    p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, paragraph_id) AS n FROM s WHERE score > 0), k AS (SELECT document_id, paragraph_id, n, {MASKED_SQL} AS t FROM p WHERE n <= 3)
+    SELECT application_id, paragraph_id, n AS rank, substring(t, 1, 60) AS excerpt FROM v_application JOIN k ON document_id = candidate_id WHERE NOT {residual_sql('t')}""")
+def evidence_bundle(applications: DataFrame, paragraphs: DataFrame, wanted: str = "th") -> DataFrame:
+    """For every application the three paragraphs of the candidate's own document with most words of the wanted kind; masked, without residual personal data, cut."""
+    score = F.size(F.filter(tokens("content"), lambda t: t.contains(wanted)))
+    top = paragraphs.withColumn("score", score).where("score > 0").withColumn("n", numbered("document_id", order=[F.desc("score"), "paragraph_id"])).where("n <= 3")
+    safe = top.select(F.col("document_id").alias("candidate_id"), "paragraph_id", F.col("n").alias("rank"), T.masked("content").alias("t")).where(~T.residual_pii("t"))
+    return applications.join(safe, "candidate_id").select("application_id", "paragraph_id", "rank", F.left("t", F.lit(60)).alias("excerpt"))
 
 
 @query("v23_evidence_integrity", "v_proposal", "v_application", sql="SELECT id, c AS cited FROM (SELECT id, unnest([target, target + 5000, part]) AS c FROM v_proposal) WHERE c NOT IN (SELECT application_id FROM v_application)")

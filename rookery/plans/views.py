@@ -61,6 +61,8 @@ _SPARK = {
     "v_resume_line": rf"""SELECT doc_id AS document_id, CAST(i AS BIGINT) AS position, {_LINE} FROM (SELECT doc_id, pos + 1 AS i, line FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, line) FROM documents) u) t""",
     "v_skill_list": """SELECT p_partkey AS id, concat(split(p_name, ' '), array(upper(p_name), concat(' ', p_name, '， '), 'x', concat('熟悉', p_type), p_type, p_brand, concat('"', p_brand, '"')),
         CASE WHEN p_partkey % 10 = 0 THEN transform(sequence(1, 20), i -> concat('skill', i)) ELSE CAST(array() AS array<string>) END) AS skills FROM part""",
+    "v_keyword_query": r"""SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN array_join(slice(w, 1, 6), ' ') WHEN 1 THEN concat('"', w[0], ' ', w[1], '" ', w[2]) WHEN 2 THEN concat(w[0], ' ', w[1], ' --', w[5])
+        ELSE concat(w[0], ' ', w[1], ' OR ', w[2], ' ', w[3]) END AS query FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-zß-öø-ÿ0-9]+', 0) AS w FROM benchmark) t WHERE size(w) > 5""",
     "v_term": "SELECT explode(split(p_name, ' ')) AS term FROM part",
     "v_kb_term": "SELECT concat('src', item_id % 20) AS knowledge_id, lower(array_join(slice(split(text, ' '), 1, 2), ' ')) AS term FROM benchmark",
     "v_paragraph": r"""SELECT doc_id * 100000 + pos + 1 AS paragraph_id, doc_id AS document_id, source AS knowledge_id, CAST(pos + 1 AS BIGINT) AS position, line AS content
@@ -74,6 +76,8 @@ _DUCKDB = {
     "v_resume_line": f"""SELECT doc_id AS document_id, i AS position, {_LINE} FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
     "v_skill_list": """SELECT p_partkey AS id, list_concat(list_concat(string_split(p_name, ' '), [upper(p_name), ' ' || p_name || '， ', 'x', '熟悉' || p_type, p_type, p_brand, '"' || p_brand || '"']),
         CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(1, 21), lambda i: 'skill' || i) ELSE [] END) AS skills FROM part""",
+    "v_keyword_query": r"""SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN array_to_string(w[1:6], ' ') WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '" ' || w[3] WHEN 2 THEN w[1] || ' ' || w[2] || ' --' || w[6]
+        ELSE w[1] || ' ' || w[2] || ' OR ' || w[3] || ' ' || w[4] END AS query FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-zß-öø-ÿ0-9]+') AS w FROM benchmark) WHERE len(w) > 5""",
     "v_term": "SELECT unnest(string_split(p_name, ' ')) AS term FROM part",
     "v_kb_term": "SELECT 'src' || item_id % 20 AS knowledge_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS term FROM benchmark",
     "v_paragraph": """SELECT doc_id * 100000 + i AS paragraph_id, doc_id AS document_id, source AS knowledge_id, i AS position, line AS content

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery import catalog
 from rookery.functions import text as T
-from rookery.plans import chunking, models, retrieval
+from rookery.plans import chunking, keywords, models, retrieval, tokens
 from rookery.sources import evidence, readers
 
 TEXTS = ["", "one", "a. b. c", "词语。" * 400, "no marks here " * 60, "x" * 1300, "line\nline two; three! four?" * 30]
@@ -46,11 +46,11 @@ def test_heading_sections():
 
 
 def test_cover_density():
-    assert retrieval.cover_density([[1, 5, 9, 12]]) == pytest.approx(0.4 / 1.4)  # four hits of one term
-    adjacent, apart = retrieval.cover_density([[1], [2]]), retrieval.cover_density([[1], [9]])
+    assert keywords.cover_density([[1, 5, 9, 12]]) == pytest.approx(0.4 / 1.4)  # four hits of one term
+    adjacent, apart = keywords.cover_density([[1], [2]]), keywords.cover_density([[1], [9]])
     assert adjacent == pytest.approx(0.1 / 1.1) and apart < adjacent
     total = 0.1 + 0.1 / 8 + 0.1  # covers 1-2, 2-10 with seven words between, 10-11
-    assert retrieval.cover_density([[1, 10], [2, 11]]) == pytest.approx(total / (total + 1))
+    assert keywords.cover_density([[1, 10], [2, 11]]) == pytest.approx(total / (total + 1))
 
 
 def test_page_text_and_selectors():
@@ -170,3 +170,16 @@ def test_stream_equals_batch_on_repeated_runs(spark):
     sf = "/root/testdata/sf0.001"
     a, b = (sorted(map(tuple, catalog.QUERIES["st01_live_trend"](spark, sf).collect())) for _ in range(2))
     assert a == b and len(a) > 5
+
+
+def test_keyword_queries_by_hand(spark):
+    texts = spark.createDataFrame([(1, "red fish blue fish"), (2, "blue red fish"), (3, "one red two blue"), (4, "green blue"), (5, "red fish green")], "paragraph_id long, content string")
+    index = tokens.postings(texts, "paragraph_id", "content")
+
+    def found(text):
+        return {r["paragraph_id"] for r in keywords.keyword_search(index, spark.createDataFrame([(1, text)], "query_id long, query string"), None).collect()}
+
+    assert found("red blue") == {1, 2, 3} and found('"red fish"') == {1, 2, 5} and found('"fish red"') == set()
+    assert found("red -blue") == {5} and found('blue -"red fish"') == {3, 4} and found("blue --green") == {1, 2, 3}
+    assert found("green OR one two") == {3, 4, 5} and found("-red") == set() and found("") == set() and found("red missing") == set()
+    assert found("red-fish") == {1, 2, 5} and found("RED red Fish") == {1, 2, 5}
