@@ -191,7 +191,7 @@ def _halving_sql(table: str, limit: int) -> str:
     before = f"length(regexp_extract(substring(t, lo + 1, mid - lo), '(?s)^(.*){marks}', 1))"
     behind = f"length(regexp_extract(substring(t, mid + 1, hi - mid), '(?s)^([^{PIECE_MARKS}]*){marks}', 1))"
     return rf"""halves AS (SELECT paragraph_id, '' AS path, {trim('content')} AS t, false AS done FROM {table} UNION ALL SELECT paragraph_id, p.path || side, piece, stop FROM (
-    SELECT *, length(l) > 0 AND length(r) > 0 AS found FROM (SELECT *, {trim(f"regexp_replace(substring(t, 1, cut), '{marks}+\z', '')")} AS l, {trim(f"regexp_replace(substring(t, cut + 1), '\A{marks}+', '')")} AS r FROM (
+    SELECT *, length(l) > 0 AND length(r) > 0 AS found FROM (SELECT *, {trim(f"regexp_replace(substring(t, 1, cut), '{marks}+\\z', '')")} AS l, {trim(f"regexp_replace(substring(t, cut + 1), '\\A{marks}+', '')")} AS r FROM (
     SELECT *, CASE WHEN has_a AND (NOT has_b OR mid - (lo + a) <= b) THEN lo + a WHEN has_b THEN mid + b ELSE 0 END AS cut FROM (
     SELECT *, {before} AS a, {behind} AS b, regexp_matches(substring(t, lo + 1, mid - lo), '{marks}') AS has_a, regexp_matches(substring(t, mid + 1, hi - mid), '{marks}') AS has_b FROM (
     SELECT *, greatest(0, mid - {half}) AS lo, least(length(t), mid + {half}) AS hi FROM (SELECT *, length(t) // 2 AS mid FROM halves WHERE NOT done))))) ) p,
@@ -257,7 +257,7 @@ def supplied_ranges(lines: DataFrame) -> DataFrame:
     return ranges.select("document_id", "n", (F.col("s") - F.when((d % 9 == 0) & (F.col("n") > 0), 1).otherwise(0)).alias("start_line"), (F.col("e") + F.when(d % 11 == 0, 100).otherwise(0)).alias("end_line"))
 
 
-_SUPPLIED = """r AS (SELECT document_id, (position - 1) // 5 AS n, min(position) - CASE WHEN document_id % 9 = 0 AND (position - 1) // 5 > 0 THEN 1 ELSE 0 END AS start_line, max(position) + CASE WHEN document_id % 11 = 0 THEN 100 ELSE 0 END AS end_line
+SUPPLIED_SQL = """r AS (SELECT document_id, (position - 1) // 5 AS n, min(position) - CASE WHEN document_id % 9 = 0 AND (position - 1) // 5 > 0 THEN 1 ELSE 0 END AS start_line, max(position) + CASE WHEN document_id % 11 = 0 THEN 100 ELSE 0 END AS end_line
     FROM v_resume_line GROUP BY document_id, (position - 1) // 5 HAVING NOT (document_id % 7 = 0 AND (position - 1) // 5 = 1))"""
 
 
@@ -270,7 +270,7 @@ def _valid_sql(ranges: str, name: str) -> str:
     bool_and(1 <= start_line AND start_line <= end_line AND end_line <= total) AND NOT bool_or(coalesce(start_line <= before, false)) AND NOT bool_or(end_line - start_line + 1 > 500 OR coalesce(chars > 500, false)) AND document_id NOT IN (SELECT document_id FROM {name}_m) AS valid FROM {name}_c GROUP BY 1)"""
 
 
-@query("t27_validate_ranges", "v_resume_line", sql=f"WITH {_SUPPLIED}, {_valid_sql('r', 'v')} SELECT * FROM v")
+@query("t27_validate_ranges", "v_resume_line", sql=f"WITH {SUPPLIED_SQL}, {_valid_sql('r', 'v')} SELECT * FROM v")
 def t27(lines: DataFrame) -> DataFrame:
     return validate_ranges(supplied_ranges(lines), lines)
 
@@ -285,14 +285,14 @@ def resolve_ranges(paragraphs: DataFrame) -> DataFrame:
     return lines.select("document_id", "range_no", F.array_join(F.transform("l", lambda x: x["content"]), "\n").alias("text"))
 
 
-def _joined_lines(lines: DataFrame, ranges: DataFrame, number: str) -> DataFrame:
+def joined_lines(lines: DataFrame, ranges: DataFrame, number: str) -> DataFrame:
     """document_id, n, chunk: the lines of each range, joined."""
     rows = lines.join(ranges.select("document_id", F.col(number).cast("bigint").alias("n"), "start_line", "end_line"), "document_id").where("position BETWEEN start_line AND end_line")
     nested = rows.groupBy("document_id", "n").agg(F.array_sort(F.collect_list(F.struct("position", "content"))).alias("l"))
     return nested.select("document_id", "n", F.array_join(F.transform("l", lambda x: x["content"]), "\n").alias("chunk"))
 
 
-@query("t29_fallback_chain", "v_resume_line", sql=f"""WITH RECURSIVE {_SUPPLIED}, {_valid_sql('r', 'v')}, {_RULED}, {_valid_sql('s', 'w')}, ok AS (SELECT document_id FROM v WHERE valid), ruled AS (SELECT document_id FROM w WHERE valid AND document_id NOT IN (SELECT document_id FROM ok)),
+@query("t29_fallback_chain", "v_resume_line", sql=f"""WITH RECURSIVE {SUPPLIED_SQL}, {_valid_sql('r', 'v')}, {_RULED}, {_valid_sql('s', 'w')}, ok AS (SELECT document_id FROM v WHERE valid), ruled AS (SELECT document_id FROM w WHERE valid AND document_id NOT IN (SELECT document_id FROM ok)),
     rest AS (SELECT document_id, string_agg(content, chr(10) ORDER BY position) AS content FROM v_resume_line WHERE document_id NOT IN (SELECT document_id FROM ok UNION ALL SELECT document_id FROM ruled) GROUP BY 1), {_sentence_sql('rest', 500)}
     SELECT document_id, n::BIGINT AS n, string_agg(content, chr(10) ORDER BY position) AS chunk, 'supplied' AS path FROM v_resume_line JOIN r USING (document_id) WHERE document_id IN (SELECT document_id FROM ok) AND position BETWEEN start_line AND end_line GROUP BY 1, 2
     UNION ALL SELECT document_id, section, string_agg(content, chr(10) ORDER BY position), 'rules' FROM v_resume_line JOIN s USING (document_id) WHERE document_id IN (SELECT document_id FROM ruled) AND position BETWEEN start_line AND end_line GROUP BY 1, 2
@@ -306,7 +306,7 @@ def fallback_chain(lines: DataFrame) -> DataFrame:
     rest = lines.join(valid, "document_id", "left_anti").join(by_rule, "document_id", "left_anti").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("position", "content"))).alias("l"))
     texts = rest.select("document_id", F.array_join(F.transform("l", lambda x: x["content"]), "\n").alias("content")).where(F.col("content").rlike(f"[^{T.BLANK}]"))
     cut = t24(texts).select("document_id", F.col("piece_no").alias("n"), F.col("piece").alias("chunk"))
-    parts = [_joined_lines(lines, given.join(valid, "document_id", "left_semi"), "n"), _joined_lines(lines, ruled.join(by_rule, "document_id", "left_semi"), "section"), cut]
+    parts = [joined_lines(lines, given.join(valid, "document_id", "left_semi"), "n"), joined_lines(lines, ruled.join(by_rule, "document_id", "left_semi"), "section"), cut]
     return tagged(parts[0], "supplied").unionByName(tagged(parts[1], "rules")).unionByName(tagged(parts[2], "sentences"))
 
 

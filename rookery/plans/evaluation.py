@@ -8,38 +8,56 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.windows import numbered
 from ..registry import query
-from .chunking import resolve_ranges
-from .retrieval import dense_search, merged
-
-# a hit counts for a query when it comes from the query's own group of 16 vectors
-_HITS = """c AS (SELECT query_id, id, paragraph_id, document_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, knowledge_id FROM v_embedding e, v_query_vec q),
-    n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, knowledge_id ORDER BY score DESC, id) AS n FROM c) WHERE n <= 50), b AS (SELECT query_id, knowledge_id, paragraph_id, any_value(document_id) AS document_id, max(score) AS score FROM n GROUP BY 1, 2, 3),
-    r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, knowledge_id ORDER BY score DESC, paragraph_id) AS k FROM b WHERE score > 0.2) WHERE k <= 5),
-    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paragraph_id, knowledge_id) AS rank FROM r) WHERE rank <= 5),
-    f AS (SELECT query_id, min(CASE WHEN document_id = query_id // 16 THEN rank END) AS first FROM v_query_vec q LEFT JOIN m USING (query_id) GROUP BY 1)"""
+from ..functions.queries import MASKED_SQL
+from .chunking import SUPPLIED_SQL, joined_lines, supplied_ranges
+from .keywords import keyword_search
+from .retrieval import _RRF, K, _dense_sql, _leg, dense_search, fused
+from .tokens import postings, tokens
+
+# targets of a query are the two groups of 16 vectors from its own on; a hit counts for the group of its paragraph
+_MODES = f"""{_dense_sql()}, {_RRF}, a AS (SELECT 'dense' AS mode, query_id, paragraph_id, score FROM d1 UNION ALL SELECT 'sparse', query_id, paragraph_id, score FROM x UNION ALL SELECT 'fused', query_id, paragraph_id, rrf FROM f),
+    s AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 12) DESC, paragraph_id) AS rank FROM a), t AS (SELECT mode, query_id, unnest([query_id // 16, query_id // 16 + 1]) AS target FROM v_query_vec, (SELECT unnest(['dense', 'sparse', 'fused']) AS mode)),
+    g AS (SELECT t.mode, t.query_id, target, min(rank) AS rank FROM t LEFT JOIN s ON s.mode = t.mode AND s.query_id = t.query_id AND s.paragraph_id // 4 = target AND rank <= 5 GROUP BY 1, 2, 3),
+    o AS (SELECT mode, query_id, min(rank) AS first, coalesce(sum(1.0::DOUBLE / rank), 0) / count(*) AS mrr FROM g GROUP BY 1, 2)"""
 _METRICS = """count(*) AS queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS recall5, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0 END), 6) AS recall3,
-    round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr"""
+    round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(mrr), 6) AS mrr, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS first_mrr"""
 
 
-def first_ranks(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    hits = merged(dense_search(rows, queries))
-    return queries.select("query_id").join(hits, "query_id", "left").groupBy("query_id").agg(F.min(F.when(F.col("document_id") == F.floor(F.col("query_id") / 16), F.col("rank"))).alias("first"))
+def target_ranks(hits: DataFrame, targets: DataFrame, k: int = K) -> DataFrame:
+    """mode, query_id, first (rank of the first target found among the first k) and mrr (mean of 1 / rank over all targets of the query, 0 for a missing one).
+
+    ``hits``: mode, query_id, target, rank; ``targets``: mode, query_id, target.
+    """
+    found = targets.join(hits.where(F.col("rank") <= k), ["mode", "query_id", "target"], "left").groupBy("mode", "query_id", "target").agg(F.min("rank").alias("rank"))
+    return found.groupBy("mode", "query_id").agg(F.min("rank").alias("first"), (F.coalesce(F.sum(1 / F.col("rank")), F.lit(0.0)) / F.count("*")).alias("mrr"))
+
+
+def ranked_modes(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """``target_ranks`` of the dense, the keyword and the fused mode."""
+    dense = dense_search(rows, queries).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
+    sparse = _leg(documents, asked).select("query_id", "paragraph_id", "score")
+    legs = {"dense": dense, "sparse": sparse, "fused": fused([dense, sparse]).select("query_id", "paragraph_id", F.col("rrf").alias("score"))}
+    every = [leg.select(F.lit(mode).alias("mode"), "query_id", "paragraph_id", "score") for mode, leg in legs.items()]
+    ranked = every[0].unionByName(every[1]).unionByName(every[2]).withColumn("rank", numbered("mode", "query_id", order=[F.desc(F.round("score", 12)), "paragraph_id"]))
+    own = F.floor(F.col("query_id") / 16)
+    targets = queries.select("query_id", F.explode(F.array(own, own + 1)).alias("target")).select(F.explode(F.array(*[F.lit(m) for m in legs])).alias("mode"), "query_id", "target")
+    return target_ranks(ranked.select("mode", "query_id", F.floor(F.col("paragraph_id") / 4).alias("target"), "rank"), targets)
 
 
 def metrics() -> list:
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     first = F.col("first")
-    return [F.count("*").alias("queries"), share(first <= 5).alias("recall5"), share(first <= 3).alias("recall3"), share(first == 1).alias("top1"), F.round(F.avg(F.coalesce(1 / first, F.lit(0.0))), 6).alias("mrr")]
+    return [F.count("*").alias("queries"), share(first <= 5).alias("recall5"), share(first <= 3).alias("recall3"), share(first == 1).alias("top1"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg(F.coalesce(1 / first, F.lit(0.0))), 6).alias("first_mrr")]
 
 
-@query("e01_retrieval_metrics", "v_embedding", "v_query_vec", sql=f"WITH {_HITS} SELECT {_METRICS} FROM f")
-def e01(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    return first_ranks(rows, queries).agg(*metrics())
+@query("e01_retrieval_metrics", "v_embedding", "v_query_vec", "v_document", "v_keyword_query", sql=f"{_MODES} SELECT mode, {_METRICS} FROM o GROUP BY 1")
+def e01(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
+    return ranked_modes(rows, queries, documents, asked).groupBy("mode").agg(*metrics())
 
 
-@query("e02_metrics_by_type", "v_embedding", "v_query_vec", sql=f"WITH {_HITS} SELECT query_id % 3 AS kind, {_METRICS} FROM f GROUP BY 1")
-def e02(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    return first_ranks(rows, queries).groupBy((F.col("query_id") % 3).alias("kind")).agg(*metrics())
+@query("e02_metrics_by_type", "v_embedding", "v_query_vec", "v_document", "v_keyword_query", sql=f"{_MODES} SELECT mode, query_id % 3 AS kind, {_METRICS} FROM o GROUP BY 1, 2")
+def e02(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
+    return ranked_modes(rows, queries, documents, asked).groupBy("mode", (F.col("query_id") % 3).alias("kind")).agg(*metrics())
 
 
 @query("e03_structured_baseline", "v_job", sql="""WITH q AS (SELECT job_id, department, city FROM v_job WHERE job_id % 20 = 0), r AS (SELECT q.job_id, j.city = q.city AS ok FROM q JOIN v_job j ON j.department = q.department AND j.job_id <> q.job_id)
@@ -55,12 +73,19 @@ def structured_baseline(jobs: DataFrame) -> DataFrame:
     return asked.select("job_id", "returned", F.round((F.col("same") - 1) / F.col("returned"), 6).alias("condition_precision"))
 
 
-@query("e04_anchor_grounding", "v_query_text", "v_document", sql="SELECT query_id FROM v_query_text WHERE query_id % 2 = 1 AND query_id * 7 NOT IN (SELECT document_id FROM v_document) OR query_id % 2 = 0 AND query_id NOT IN (SELECT document_id FROM v_document WHERE is_active)")
+@query("e04_anchor_grounding", "v_query_text", "v_document", sql="SELECT q.query_id, count(d.document_id) AS targets, coalesce(bool_or(d.is_active), false) AS active FROM v_query_text q LEFT JOIN v_document d ON contains(d.content, q.text) GROUP BY 1")
 def anchor_grounding(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Anchors whose target is not in the corpus; even ones must be active as well."""
-    odd = queries.where("query_id % 2 = 1").join(documents.select((F.col("document_id") / 7).alias("query_id")), "query_id", "left_anti")
-    even = queries.where("query_id % 2 = 0").join(documents.where("is_active").select(F.col("document_id").alias("query_id")), "query_id", "left_anti")
-    return odd.select("query_id").unionByName(even.select("query_id"))
+    """Anchors with the number of documents that hold their whole passage, and whether one of those is active; 0 means not grounded.
+
+    A passage is looked up as a phrase, without its first and last word, which other characters may touch; what is found is then compared character by character.
+    """
+    words = tokens("text")
+    phrase = F.concat(F.lit('"'), F.array_join(F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words), " "), F.lit('"'))
+    index = postings(documents.select(F.col("document_id").alias("paragraph_id"), "content"), "paragraph_id", "content")
+    near = keyword_search(index, queries.select("query_id", phrase.alias("query")), None).select("query_id", F.col("paragraph_id").alias("document_id"))
+    held = near.join(queries.select("query_id", "text"), "query_id").join(documents.select("document_id", "content", "is_active"), "document_id").where(F.col("content").contains(F.col("text")))
+    counts = held.groupBy("query_id").agg(F.count("*").alias("targets"), F.bool_or("is_active").alias("active"))
+    return queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("targets", F.lit(0)).alias("targets"), F.coalesce("active", F.lit(False)).alias("active"))
 
 
 @query("e05_latency_percentiles", "v_agent_run", sql="""SELECT agent_type, list_sort(list(duration_ms))[greatest(1, CAST(floor(0.5 * count(*)) AS INT))] AS p50, list_sort(list(duration_ms))[greatest(1, CAST(floor(0.95 * count(*)) AS INT))] AS p95, max(duration_ms) AS longest FROM v_agent_run GROUP BY 1""")
@@ -75,21 +100,29 @@ def latency_percentiles(runs: DataFrame) -> DataFrame:
     return ranked.groupBy("agent_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("duration_ms").alias("longest"))
 
 
-@query("e06_seeded_sample", "v_document")
+@query("e06_seeded_sample", "v_document", sql="SELECT document_id, knowledge_id FROM v_document ORDER BY md5(concat(document_id, '-7')), document_id LIMIT 100")
 def seeded_sample(documents: DataFrame, seed: int = 7, n: int = 100) -> DataFrame:
-    """The n rows with the least seeded hash: the same rows in every run."""
-    return documents.orderBy(F.xxhash64("document_id", F.lit(seed)), "document_id").limit(n).select("document_id", "knowledge_id")
-
-
-@query("e07_splitter_quality", "v_paragraph", sql="""WITH c AS (SELECT document_id, (position - 1) // 5 AS n, string_agg(content, chr(10) ORDER BY position) AS t, count(*) AS l FROM v_paragraph GROUP BY 1, 2)
-    SELECT document_id, true AS verbatim, count(*) AS chunks, max(length(t)) AS longest, round(avg(length(t)), 6) AS mean_length FROM c GROUP BY 1""")
-def splitter_quality(paragraphs: DataFrame) -> DataFrame:
-    """Chunks joined again equal the source without white space; number and lengths of chunks."""
-    chunks = resolve_ranges(paragraphs)
-    bare = lambda c: F.regexp_replace(c, r"\s", "")
-    whole = paragraphs.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("position", "content"))).alias("l")).select("document_id", bare(F.array_join(F.transform("l", lambda x: x["content"]), "")).alias("source"))
-    again = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("range_no", "text"))).alias("l"), F.count("*").alias("chunks"), F.max(F.char_length("text")).cast("bigint").alias("longest"), F.round(F.avg(F.char_length("text")), 6).alias("mean_length"))
-    return again.join(whole, "document_id").select("document_id", (bare(F.array_join(F.transform("l", lambda x: x["text"]), "")) == F.col("source")).alias("verbatim"), "chunks", "longest", "mean_length")
+    """The n rows with the least seeded digest: the same rows in every run and engine."""
+    return documents.orderBy(F.md5(F.concat(F.col("document_id").cast("string"), F.lit(f"-{seed}")).cast("binary")), "document_id").limit(n).select("document_id", "knowledge_id")
+
+
+@query("e07_splitter_quality", "v_resume_line", sql=f"""WITH {SUPPLIED_SQL}, k AS (SELECT document_id, n, string_agg(content, chr(10) ORDER BY position) AS t FROM v_resume_line l JOIN r USING (document_id) WHERE position BETWEEN start_line AND end_line GROUP BY 1, 2),
+    c AS (SELECT document_id, string_agg(t, '' ORDER BY n) AS again, count(*) AS chunks, max(length(t)) AS longest, round(avg(length(t)), 6) AS mean_length, sum((length(m) - length(replace(m, '{T.MASK}', ''))) // {len(T.MASK)}) AS mask_hits FROM (SELECT *, {MASKED_SQL.replace('content', 't')} AS m FROM k) GROUP BY 1),
+    w AS (SELECT document_id, string_agg(content, '' ORDER BY position) AS source, count(*) FILTER (WHERE regexp_matches(content, '[^{T.BLANK}]')) AS ink, count(*) FILTER (WHERE regexp_matches(content, '[^{T.BLANK}]') AND EXISTS (SELECT 1 FROM r WHERE r.document_id = l.document_id AND l.position BETWEEN start_line AND end_line)) AS inside FROM v_resume_line l GROUP BY 1)
+    SELECT document_id, regexp_replace(again, '[{T.BLANK}]', '', 'g') = regexp_replace(source, '[{T.BLANK}]', '', 'g') AS verbatim, round(inside / nullif(ink, 0), 6) AS coverage, mask_hits::BIGINT AS mask_hits, chunks, longest, mean_length FROM c JOIN w USING (document_id)""")
+def splitter_quality(lines: DataFrame) -> DataFrame:
+    """Per document: whether the chunks joined again equal the source without white space, the share of written lines inside a range, masks applied, number and lengths of chunks."""
+    ranges = supplied_ranges(lines)
+    chunks = joined_lines(lines, ranges, "n").withColumn("m", T.masked("chunk"))
+    bare = lambda c: F.regexp_replace(c, f"[{T.BLANK}]", "")
+    text = lambda name, key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, name))), lambda x: x[name]), "")
+    hits = ((F.char_length("m") - F.char_length(F.replace("m", F.lit(T.MASK), F.lit("")))) / len(T.MASK)).cast("bigint")
+    again = chunks.groupBy("document_id").agg(bare(text("chunk", "n")).alias("again"), F.count("*").alias("chunks"), F.max(F.char_length("chunk")).cast("bigint").alias("longest"), F.round(F.avg(F.char_length("chunk")), 6).alias("mean_length"), F.sum(hits).alias("mask_hits"))
+    written = lines.where(F.col("content").rlike(f"[^{T.BLANK}]"))
+    inside = written.join(ranges.select("document_id", "start_line", "end_line"), "document_id").where("position BETWEEN start_line AND end_line").select("document_id", "position").distinct().groupBy("document_id").agg(F.count("*").alias("inside"))
+    whole = lines.groupBy("document_id").agg(bare(text("content", "position")).alias("source")).join(written.groupBy("document_id").agg(F.count("*").alias("ink")), "document_id", "left").join(inside, "document_id", "left")
+    coverage = F.round(F.coalesce("inside", F.lit(0)) / F.col("ink"), 6)
+    return again.join(whole, "document_id").select("document_id", (F.col("again") == F.col("source")).alias("verbatim"), coverage.alias("coverage"), "mask_hits", "chunks", "longest", "mean_length")
 
 
 @query("e08_decision_derivation", "v_job", sql="""WITH f AS (SELECT job_id, level, [(p, least(1.0, greatest(0.0, level / 40.0 + p / 10.0)), CASE WHEN (level + p) % 4 = 0 THEN 0 ELSE least(1.0, 0.6 + 0.05 * ((level + p) % 4 - 1)) END) FOR p IN [0, 1, 2]] AS facts FROM v_job),
@@ -107,20 +140,46 @@ def decision_derivation(jobs: DataFrame, high: int = 80, low: int = 48) -> DataF
     return rows.withColumn("action", F.when(~F.col("evidence_ok"), "HOLD").when(F.col("score") >= high, "ADVANCE").when(F.col("score") < low, "DECLINE").otherwise("HOLD"))
 
 
-@query("e09_screening_agreement", "labels", "v_proposal", sql="""WITH p AS (SELECT target, arg_max(action, id) AS action FROM v_proposal GROUP BY 1), j AS (SELECT quality, action, CASE WHEN quality = 1 THEN action <> 'DECLINE' ELSE action <> 'ADVANCE' END AS loose, CASE WHEN quality = 1 THEN action = 'ADVANCE' ELSE action = 'DECLINE' END AS strict FROM labels JOIN p ON target = doc_id)
-    SELECT quality, count(*) AS pairs, round(avg(CASE WHEN loose THEN 1.0 ELSE 0 END), 6) AS loose, round(avg(CASE WHEN strict THEN 1.0 ELSE 0 END), 6) AS strict FROM j GROUP BY 1""")
-def screening_agreement(labels: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Loose: no opposite decision; strict: the same decision. Each from its own flag."""
-    last = proposals.groupBy(F.col("target").alias("doc_id")).agg(F.max_by("action", "id").alias("action"))
-    rows = labels.join(last, "doc_id")
+_JUDGED = """p AS (SELECT target, arg_max(action, id) AS action, arg_max(CASE WHEN score IS NULL THEN -1 ELSE score END, id) AS score FROM v_proposal GROUP BY 1), j AS (SELECT quality, action, CASE WHEN score < 0 THEN 'none' WHEN score >= 80 THEN 'high' WHEN score >= 48 THEN 'middle' ELSE 'low' END AS band,
+    CASE WHEN quality = 1 THEN action <> 'DECLINE' ELSE action <> 'ADVANCE' END AS loose, CASE WHEN quality = 1 THEN action = 'ADVANCE' ELSE action = 'DECLINE' END AS strict FROM labels JOIN p ON target = doc_id)"""
+
+
+def judged_pairs(labels: DataFrame, proposals: DataFrame, high: int = 80, low: int = 48) -> DataFrame:
+    """quality, action, band, loose, strict of each labelled pair by its last proposal. Loose: no opposite decision; strict: the same decision; band none: no evidence, so no score."""
+    last = proposals.groupBy(F.col("target").alias("doc_id")).agg(F.max_by(F.struct("action", "score"), "id").alias("p")).select("doc_id", "p.*")
     good, a = F.col("quality") == 1, F.col("action")
+    band = F.when(F.col("score").isNull(), "none").when(F.col("score") >= high, "high").when(F.col("score") >= low, "middle").otherwise("low")
+    return labels.join(last, "doc_id").select("quality", "action", band.alias("band"), F.when(good, a != "DECLINE").otherwise(a != "ADVANCE").alias("loose"), F.when(good, a == "ADVANCE").otherwise(a == "DECLINE").alias("strict"))
+
+
+@query("e09_screening_agreement", "labels", "v_proposal", sql=f"""WITH {_JUDGED} SELECT quality, count(*) AS pairs, round(avg(CASE WHEN loose THEN 1.0 ELSE 0 END), 6) AS loose, round(avg(CASE WHEN strict THEN 1.0 ELSE 0 END), 6) AS strict, round(avg(CASE WHEN band = 'none' THEN 1.0 ELSE 0 END), 6) AS no_evidence FROM j GROUP BY 1""")
+def screening_agreement(labels: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Agreement rates, each from its own flag, and the share of pairs without evidence."""
     rate = lambda yes: F.round(F.avg(F.when(yes, 1.0).otherwise(0.0)), 6)
-    return rows.groupBy("quality").agg(F.count("*").alias("pairs"), rate(F.when(good, a != "DECLINE").otherwise(a != "ADVANCE")).alias("loose"), rate(F.when(good, a == "ADVANCE").otherwise(a == "DECLINE")).alias("strict"))
+    return judged_pairs(labels, proposals).groupBy("quality").agg(F.count("*").alias("pairs"), rate(F.col("loose")).alias("loose"), rate(F.col("strict")).alias("strict"), rate(F.col("band") == "none").alias("no_evidence"))
 
 
-@query("e10_pair_building", "v_job", sql="""WITH o AS (SELECT a.job_id, max_by(b.job_id, (len(list_intersect(a.skills, b.skills)), -b.job_id)) AS positive_id FROM v_job a JOIN v_job b ON a.job_id <> b.job_id AND a.department = b.department WHERE a.job_id % 20 = 0 GROUP BY 1) SELECT job_id, positive_id FROM o""")
+@query("e09b_action_matrix", "labels", "v_proposal", sql=f"WITH {_JUDGED} SELECT quality, action, band, count(*) AS pairs FROM j GROUP BY 1, 2, 3")
+def action_matrix(labels: DataFrame, proposals: DataFrame) -> DataFrame:
+    return judged_pairs(labels, proposals).groupBy("quality", "action", "band").agg(F.count("*").alias("pairs"))
+
+
+@query("e10_pair_building", "v_job", sql="""WITH o AS (SELECT a.job_id, max_by(b.job_id, (len(list_intersect(a.skills, b.skills)), -b.job_id)) AS positive_id FROM v_job a JOIN v_job b ON a.job_id <> b.job_id AND a.department = b.department WHERE a.job_id % 20 = 0 GROUP BY 1),
+    n AS (SELECT a.job_id, min(b.job_id) AS negative_id FROM v_job a JOIN v_job b ON a.job_id <> b.job_id AND len(list_intersect(a.skills, b.skills)) = 0 WHERE a.job_id % 20 = 0 GROUP BY 1) SELECT job_id, positive_id, negative_id FROM o LEFT JOIN n USING (job_id)""")
 def pair_building(jobs: DataFrame) -> DataFrame:
-    """For each asked job the job of the same department with the best skill overlap, lower ids first."""
-    asked = jobs.where("job_id % 20 = 0").select(F.col("job_id").alias("asked"), F.col("skills").alias("own"), "department")
-    pairs = asked.join(jobs, "department").where("job_id <> asked").select("asked", "job_id", F.size(F.array_intersect("own", "skills")).alias("n"))
-    return pairs.groupBy(F.col("asked").alias("job_id")).agg(F.max_by("job_id", F.struct("n", -F.col("job_id"))).alias("positive_id"))
+    """For each asked job the job of the same department with the best skill overlap, and the first job of all without any common skill; lower ids first.
+
+    Jobs are first reduced to their least two ids per department and skill set, so what is paired grows with the vocabulary, not with the jobs.
+    """
+    from ..operators.joins import first_disjoint
+
+    sets = jobs.withColumn("s", F.array_sort(F.array_distinct("skills")))
+    least = sets.groupBy("department", "s").agg(F.min("job_id").alias("first"))
+    second = sets.join(least, ["department", "s"]).where("job_id > first").groupBy("department", "s").agg(F.min("job_id").alias("second"))
+    two = least.join(second, ["department", "s"], "left").select("department", F.col("s").alias("other"), F.explode(F.array_compact(F.array("first", "second"))).alias("id"))
+    asked = sets.where("job_id % 20 = 0").select("job_id", "department", "s")
+    pairs = asked.select("department", "s").distinct().join(two, "department").select("department", "s", "id", F.size(F.array_intersect("s", "other")).alias("n"))
+    # the best two of each set are enough: one of them may be the asked job itself
+    best = pairs.withColumn("place", numbered("department", "s", order=[F.desc("n"), "id"])).where("place <= 3")
+    positive = asked.join(best, ["department", "s"]).where("id <> job_id").groupBy("job_id").agg(F.min_by("id", "place").alias("positive_id"))
+    return positive.join(first_disjoint(jobs), "job_id", "left").select("job_id", "positive_id", "negative_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import numbered
 from ..registry import query
 from ..session import ship
+from .retrieval import HIT, ROW_PART, best_of
 
 WIDTH = 64
 
@@ -50,7 +52,7 @@ def t34(paragraphs: DataFrame) -> DataFrame:
 
 def cells(rows: DataFrame, count: int, sample_rows: int = 20_000, rounds: int = 10, seed: int = 3) -> np.ndarray:
     """Unit centroids by k-means on a bounded sample of the rows (least seeded hashes)."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).select("embedding").collect()
+    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sample_rows, 20 * count)).select("embedding").collect()
     x = np.array([r["embedding"] for r in sample], dtype=np.float64)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     centres = x[:: max(1, len(x) // count)][:count].copy()
@@ -74,24 +76,26 @@ def in_cells(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame
     return rows.withColumn("cell", F.explode(near("embedding")))
 
 
-def approximate_search(rows: DataFrame, queries: DataFrame, k: int = 5, count: int = 12, probes: int = 9) -> DataFrame:
-    """Top k per query among the rows of the probed cells: an equi join on the cell, scores in Arrow batches.
+def approximate_search(rows: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.25, copies: int = 3) -> DataFrame:
+    """Top k per query over all knowledge bases among the rows of the probed cells.
 
-    The index holds every row once (``in_cells``, to be written partitioned by cell); ``probes`` trades recall for work.
+    There are as many cells as the square root of the number of rows; every row stands in its ``copies`` nearest cells, and a query probes the ``share`` of the
+    cells nearest to it, so the work per query grows with the square root of the rows times the rows in a cell. A cell is dealt into parts of about ROW_PART rows, and each
+    part meets the block of its queries as two matrices.
     """
     ship(rows.sparkSession)
+    total = rows.count()
+    count = max(1, math.ceil(math.sqrt(total)))
     centres = cells(rows, count)
-    asked = in_cells(queries, centres, probes).select("query_id", "cell", F.col("embedding").alias("q"))
-    placed = in_cells(rows, centres).select("id", "cell", "embedding")
-
-    @F.pandas_udf("double")
-    def score(v: pd.Series, q: pd.Series) -> pd.Series:
-        a, b = np.stack(v.to_numpy()).astype(np.float64), np.stack(q.to_numpy()).astype(np.float64)
-        return pd.Series((a * b).sum(axis=1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-30))
-
-    pairs = placed.join(asked, "cell").select("query_id", "id", score("embedding", "q").alias("score"))
-    best = pairs.withColumn("rank", numbered("query_id", order=[F.desc("score"), "id"])).where(F.col("rank") <= k)
-    return best.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    probes = max(1, math.ceil(share * len(centres)))
+    placed = in_cells(rows, centres, min(copies, len(centres))).select("id", "knowledge_id", "paragraph_id", "document_id", "embedding", "cell")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / ROW_PART).cast("int").alias("parts"))
+    left = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    asked = in_cells(queries.select("query_id", "embedding"), centres, probes).join(parts, "cell").select("query_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = left.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(best_of(k), HIT)
+    once = near.groupBy("query_id", "knowledge_id", "id").agg(F.max("score").alias("score"))
+    best = once.withColumn("rank", numbered("query_id", order=[F.desc("score"), "id"])).where(F.col("rank") <= k)
+    return best.select("query_id", "knowledge_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("t39_cell_index_search", "v_embedding", "v_query_vec")

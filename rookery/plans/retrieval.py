@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from .tokens import postings, tokens
 #: Query vectors in a block; a task multiplies a block with the rows of one part.
 QUERY_BLOCK, ROW_PART = 1024, 1 << 13
 K, THRESHOLD, CAP = 5, 0.2, 500
-_HIT = "query_id bigint, knowledge_id int, id bigint, paragraph_id bigint, document_id bigint, score double"
+HIT = "query_id bigint, knowledge_id int, id bigint, paragraph_id bigint, document_id bigint, score double"
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -29,19 +29,8 @@ def _unit(vectors: list) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, per_group: int, by: str | None = None) -> DataFrame:
-    """(query_id, knowledge_id, id, paragraph_id, document_id, score): the ``per_group`` best rows per query and knowledge base of each part of the rows.
-
-    With ``by``, the best row of each value of that column instead, so all of them come out. Rows are dealt into parts of about ROW_PART, queries into blocks of
-    QUERY_BLOCK; each part meets each block in one group, where two matrices are multiplied. Neither side passes through the driver, and what is shuffled
-    behind are local winners.
-    """
-    ship(rows.sparkSession)
-    parts = max(1, -(-rows.count() // ROW_PART))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "knowledge_id", "paragraph_id", "document_id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).select("*", every(blocks).alias("block"))
-    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).select("*", every(parts).alias("part"))
+def best_of(per_group: int, by: str | None = None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The ``per_group`` best rows per query and knowledge base of one group of rows and one of queries; with ``by``, the best row of each value of that column."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -58,7 +47,24 @@ def nearest(rows: DataFrame, queries: DataFrame, per_group: int, by: str | None
         q, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"query_id": q, "score": score} | {c: a[c].to_numpy()[at] for c in ("knowledge_id", "id", "paragraph_id", "document_id")})[["query_id", "knowledge_id", "id", "paragraph_id", "document_id", "score"]]
 
-    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, _HIT)
+    return best
+
+
+def nearest(rows: DataFrame, queries: DataFrame, per_group: int, by: str | None = None) -> DataFrame:
+    """(query_id, knowledge_id, id, paragraph_id, document_id, score): the ``per_group`` best rows per query and knowledge base of each part of the rows.
+
+    With ``by``, the best row of each value of that column instead, so all of them come out. Rows are dealt into parts of about ROW_PART, queries into blocks of
+    QUERY_BLOCK; each part meets each block in one group, where two matrices are multiplied. Neither side passes through the driver, and what is shuffled
+    behind are local winners.
+    """
+    ship(rows.sparkSession)
+    parts = max(1, -(-rows.count() // ROW_PART))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("id", "knowledge_id", "paragraph_id", "document_id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).select("*", every(blocks).alias("block"))
+    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).select("*", every(parts).alias("part"))
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best_of(per_group, by), HIT)
 
 
 def dense_search(rows: DataFrame, queries: DataFrame, k: int = K, threshold: float = THRESHOLD, cap: bool = True) -> DataFrame:
