@@ -1 +1 @@
-from . import aggregates, filters, joins, lifecycle, sets, topk, windows  # noqa: F401
+from . import aggregates, cascades, filters, joins, lifecycle, sets, topk, windows  # noqa: F401

@@ -83,21 +83,29 @@ def array_membership(records: DataFrame, candidates: DataFrame) -> DataFrame:
     return ids.join(candidates, "candidate_id", "left").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
+#: Most rows that may be selected on the left of new pairs.
+MOST_SELECTED = 1000
+
+
 @query("j11_new_pairs", "region", "nation", "customer", sql="""SELECT r_regionkey, n_nationkey FROM region, nation WHERE (r_regionkey, n_nationkey) NOT IN (SELECT n_regionkey, n_nationkey FROM nation)""")
 def new_pairs(left: DataFrame, right: DataFrame, _customers: DataFrame) -> DataFrame:
     """All pairs of two selected small sets except the existing ones."""
-    pairs = left.select("r_regionkey").crossJoin(right.select("n_nationkey"))
-    return pairs.join(right, (pairs["r_regionkey"] == right["n_regionkey"]) & (pairs["n_nationkey"] == right["n_nationkey"]), "left_anti")
+    some = left.agg(F.collect_set("r_regionkey").alias("l"))  # the selected left side is a short list, checked below
+    chosen = some.select(F.size("l").alias("n"), "l").first()
+    if chosen["n"] > MOST_SELECTED:
+        raise ValueError(f"at most {MOST_SELECTED} rows can be selected on the left")
+    pairs = right.select("n_nationkey", F.explode(F.array(*[F.lit(x) for x in sorted(chosen["l"])])).alias("r_regionkey")) if chosen["n"] else right.select("n_nationkey", F.lit(None).cast("int").alias("r_regionkey")).limit(0)
+    known = right.select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey")
+    return pairs.select("r_regionkey", "n_nationkey").join(known, ["r_regionkey", "n_nationkey"], "left_anti")
 
 
 @query("j12_terms_in_text", "v_job", "v_candidate", sql="""WITH t AS (SELECT DISTINCT lower(unnest(skills)) AS term FROM v_job) SELECT term, count(*) AS hits FROM t JOIN v_job j ON contains(lower(j.title), term) GROUP BY 1""")
 def terms_in_text(jobs: DataFrame, _candidates: DataFrame) -> DataFrame:
     """Substring hits of a term set. Every term here is free of blanks, so words that contain a term are found once per distinct word."""
     terms = jobs.select(F.explode("skills").alias("t")).select(F.lower("t").alias("term")).distinct()
-    words = jobs.select("job_id", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("word"))
-    distinct = words.select("word").distinct()
-    hits = distinct.join(terms, F.col("word").contains(F.col("term")))
-    return words.join(hits, "word").groupBy("term").agg(F.count_distinct("job_id").alias("hits"))
+    from ..plans.retrieval import term_hits
+
+    return term_hits(jobs.select("job_id", F.lower("title").alias("text")), ["job_id"], "text", terms).groupBy("term").agg(F.count_distinct("job_id").alias("hits"))
 
 
 @query("j13_library_scope", "v_application", "v_membership", sql="SELECT application_id FROM v_application WHERE candidate_id IN (SELECT candidate_id FROM v_membership WHERE library_id IN (3, 7, 11)) AND candidate_id IN (SELECT candidate_id FROM v_candidate WHERE status = 'ACTIVE')")
@@ -108,15 +116,16 @@ def library_scope(applications: DataFrame, membership: DataFrame, libraries: tup
     return applications.join(inside, "candidate_id", "left_semi").where(F.col("candidate_id") % 13 != 0).select("application_id")
 
 
-@query("j14_duplicates", "v_candidate", sql="""SELECT a.candidate_id, string_agg(CAST(b.candidate_id AS STRING), ',' ORDER BY b.candidate_id) AS duplicates, count(*) AS n FROM v_candidate a JOIN v_candidate b
-    ON a.candidate_id <> b.candidate_id AND (a.phone = b.phone OR lower(a.email) = lower(b.email)) GROUP BY 1""")
+@query("j14_duplicates", "v_candidate", sql="""WITH k AS (SELECT candidate_id, library_id, 'p' || phone AS key FROM v_candidate UNION ALL SELECT candidate_id, library_id, 'e' || lower(email) FROM v_candidate)
+    SELECT library_id, key, candidate_id, min(candidate_id) OVER w AS first_id, count(*) OVER w AS members FROM k WINDOW w AS (PARTITION BY library_id, key) QUALIFY members > 1""")
 def duplicates(candidates: DataFrame) -> DataFrame:
-    """Same phone, or same email whatever its case. Members are gathered once per key and looked up, never paired by an OR."""
-    keys = candidates.select("candidate_id", F.explode(F.array(F.concat(F.lit("p"), "phone"), F.concat(F.lit("e"), F.lower("email")))).alias("key")).where("key IS NOT NULL")
-    groups = keys.groupBy("key").agg(F.collect_set("candidate_id").alias("members")).where(F.size("members") > 1)
-    found = keys.join(groups, "key").groupBy("candidate_id").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("m"))
-    found = found.withColumn("m", F.array_sort(F.array_remove("m", F.col("candidate_id"))))
-    return found.select("candidate_id", F.array_join("m", ",").alias("duplicates"), F.size("m").cast("bigint").alias("n"))
+    """Same phone, or same email whatever its case, within a tenant (here the library): one row per member and key, with the first member and their number.
+
+    Members are counted per key and joined back; they are never listed in one row nor paired.
+    """
+    keys = candidates.select("library_id", "candidate_id", F.explode(F.array(F.concat(F.lit("p"), "phone"), F.concat(F.lit("e"), F.lower("email")))).alias("key")).where("key IS NOT NULL")
+    groups = keys.groupBy("library_id", "key").agg(F.min("candidate_id").alias("first_id"), F.count("*").alias("members")).where("members > 1")
+    return keys.join(groups, ["library_id", "key"]).select("library_id", "key", "candidate_id", "first_id", "members")
 
 
 @query("j15_never_applied", "v_candidate", "v_application", sql="SELECT candidate_id FROM v_candidate WHERE candidate_id NOT IN (SELECT candidate_id FROM v_application WHERE job_id = 17)")

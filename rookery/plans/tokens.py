@@ -25,10 +25,11 @@ def postings(rows: DataFrame, keys: str | list[str], text: str, dictionary: list
     A row holds all its tokens, so they are grouped inside it, by sorting; nothing is shuffled.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    found = rows.select(*keys, F.transform(tokens(text, dictionary), lambda t, i: F.struct(t.alias("token"), (i + 1).alias("pos"))).alias("found"))
-    rows = found.select(*keys, F.sort_array("found").alias("pairs"), F.size("found").alias("n")).where("n > 0")  # a column of its own: lambdas would sort again
-    pair = lambda i: F.get("pairs", i)
-    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (pair(i)["token"] != pair(i - 1)["token"])))
-    own = lambda s, k: F.slice("pairs", s + 1, F.coalesce(F.get("starts", k + 1), F.col("n")) - s)
-    terms = F.transform("starts", lambda s, k: F.struct(pair(s)["token"].alias("token"), F.transform(own(s, k), lambda x: x["pos"]).alias("positions")))
+    # names of its own: the keys may have any
+    found = rows.select(*keys, F.transform(tokens(text, dictionary), lambda t, i: F.struct(t.alias("token"), (i + 1).alias("pos"))).alias("_found"))
+    rows = found.select(*keys, F.sort_array("_found").alias("_pairs"), F.size("_found").alias("_n")).where("_n > 0")  # a column of its own: lambdas would sort again
+    pair = lambda i: F.get("_pairs", i)
+    rows = rows.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (pair(i)["token"] != pair(i - 1)["token"])))
+    own = lambda s, k: F.slice("_pairs", s + 1, F.coalesce(F.get("_starts", k + 1), F.col("_n")) - s)
+    terms = F.transform("_starts", lambda s, k: F.struct(pair(s)["token"].alias("token"), F.transform(own(s, k), lambda x: x["pos"]).alias("positions")))
     return rows.select(*keys, F.inline(terms))

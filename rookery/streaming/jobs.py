@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.queries import MASKED_SQL, residual_sql
 from ..registry import query
 from ..session import shared_dir
 
@@ -38,14 +40,15 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def live_trend(stream: DataFrame) -> DataFrame:
-    """Daily counters; rows later than a day behind the newest are dropped."""
+    """Daily counters, tokens and distinct users (a sketch, exact for few users); rows later than a day behind the newest are dropped."""
     day = F.window("ts", "1 day")
     return stream.withWatermark("ts", "1 day").groupBy(day).agg(
         F.count_if(F.col("event_type") == "click").alias("star_num"), F.count_if(F.col("event_type") == "error").alias("trample_num"), F.count("*").alias("records"),
-    ).select(F.to_date("window.start").alias("day"), "star_num", "trample_num", "records")
+        F.sum(F.floor("value").cast("bigint") + F.col("event_id") % 50).alias("tokens"), F.approx_count_distinct("user_id", 0.01).alias("users"),
+    ).select(F.to_date("window.start").alias("day"), "star_num", "trample_num", "records", "tokens", "users")
 
 
-@query("st01_live_trend", "@spark", "@dir", sql="SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS star_num, count(*) FILTER (event_type = 'error') AS trample_num, count(*) AS records FROM events GROUP BY 1")
+@query("st01_live_trend", "@spark", "@dir", sql="SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'click') AS star_num, count(*) FILTER (event_type = 'error') AS trample_num, count(*) AS records, sum(CAST(floor(value) AS BIGINT) + event_id % 50)::BIGINT AS tokens, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def st01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(live_trend(records(spark, sf_dir)), "complete")
 
@@ -62,12 +65,12 @@ def st02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_windows(stream: DataFrame) -> DataFrame:
-    """Runs per type in hours that start every five minutes, skipped ones not counted."""
-    counts = stream.withWatermark("ts", "2 hours").where("event_id % 5 <> 1").groupBy(F.window("ts", "1 hour", "5 minutes"), "event_type").agg(F.count("*").alias("runs"))
-    return counts.select(F.col("window.start").alias("start"), "event_type", "runs")
+    """Runs per type in hours that start every five minutes, skipped ones not counted, and the users that run at the same time in them."""
+    counts = stream.withWatermark("ts", "2 hours").where("event_id % 5 <> 1").groupBy(F.window("ts", "1 hour", "5 minutes"), "event_type").agg(F.count("*").alias("runs"), F.size(F.collect_set("user_id")).cast("bigint").alias("concurrent"))
+    return counts.select(F.col("window.start").alias("start"), "event_type", "runs", "concurrent")
 
 
-@query("st03_rate_windows", "@spark", "@dir", sql="""WITH e AS (SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events WHERE event_id % 5 <> 1) SELECT b - INTERVAL 5 MINUTE * i AS start, event_type, count(*) AS runs FROM e, range(0, 12) t(i) GROUP BY 1, 2""")
+@query("st03_rate_windows", "@spark", "@dir", sql="""WITH e AS (SELECT event_type, user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events WHERE event_id % 5 <> 1) SELECT b - INTERVAL 5 MINUTE * i AS start, event_type, count(*) AS runs, count(DISTINCT user_id) AS concurrent FROM e, range(0, 12) t(i) GROUP BY 1, 2""")
 def st03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(rate_windows(records(spark, sf_dir)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
@@ -83,26 +86,73 @@ def st04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(ledger(records(spark, sf_dir)), "append")
 
 
-def ingest_batch(documents: DataFrame, path: str) -> None:
-    """One micro-batch: sanitise, mask, split, gate; accepted chunks, rejects and a log row per document."""
-    from ..functions import text as T
-    from ..plans.chunking import boundary_chunks
+def current_state(spark: SparkSession, stream: DataFrame, path: str) -> DataFrame:
+    """The last event of each user and type, kept up by every micro-batch: the batch is merged into the state before it, under the number of the batch, so a replay changes nothing."""
+    kept = "user_id bigint, event_type string, event_id bigint, ts timestamp"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = batch.select("user_id", "event_type", "event_id", "ts")
+        if number > 0:
+            new = new.unionByName(spark.read.schema(kept).parquet(f"{path}/state/batch={number - 1}"))
+        last = new.groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("e")).select("user_id", "event_type", "e.*")
+        last.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        spark.createDataFrame([(number,)], "number bigint").write.mode("overwrite").parquet(f"{path}/last")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    number = spark.read.schema("number bigint").parquet(f"{path}/last").first()[0]
+    return spark.read.schema(kept).parquet(f"{path}/state/batch={number}")
 
-    clean = documents.select("doc_id", T.masked(T.sanitised("text")).alias("text"))
-    flagged = clean.withColumn("rejected", T.residual_pii("text"))
-    chunks = flagged.where("NOT rejected").select("doc_id", F.posexplode(boundary_chunks("text")).alias("n", "chunk"))
-    chunks.write.mode("append").parquet(f"{path}/chunks")
-    flagged.select("doc_id", F.when(F.col("rejected"), "rejected").otherwise("indexed").alias("outcome")).write.mode("append").parquet(f"{path}/log")
 
+@query("st04b_current_state", "@spark", "@dir", sql="SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def st04b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_state(spark, records(spark, sf_dir), scratch(spark)).select("user_id", "event_type", "event_id")
 
-@query("st05_continuous_ingest", "@spark", "@dir")
+
+def ingest_batch(documents: DataFrame, path: str, batch: int) -> None:
+    """One micro-batch through the nodes extract, mask, split, gate and index, with a log row per document and node.
+
+    Everything is written below the number of the batch and replaces what an earlier try of the same batch left, so a replay changes nothing.
+    """
+    from ..plans.chunking import boundary_chunks
+    from ..plans.tokens import postings
+
+    spark = documents.sparkSession
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        target = f"{path}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(target)
+        return spark.read.schema(df.schema).parquet(target)
+
+    clean = documents.select("doc_id", T.sanitised("text").alias("extracted"))
+    masked = T.masked("extracted")
+    texts = put("texts", clean.select("doc_id", F.char_length("extracted").cast("bigint").alias("characters"), masked.alias("text"), T.residual_pii(masked).alias("rejected")))
+    chunks = put("chunks", texts.select("doc_id", "rejected", F.posexplode(boundary_chunks("text")).alias("n", "chunk")))
+    index = put("index", postings(chunks.where("NOT rejected"), ["doc_id", "n"], "chunk"))
+    masks = ((F.char_length("text") - F.char_length(F.replace("text", F.lit(T.MASK), F.lit("")))) / len(T.MASK)).cast("bigint")
+    entry = lambda df, node, outcome, n: df.select("doc_id", F.lit(node).alias("node"), outcome.alias("outcome"), n.alias("n"))
+    counted = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("c"))
+    done = F.lit("done")
+    log = entry(texts, "extract", done, F.col("characters")).unionByName(entry(texts, "mask", done, masks)).unionByName(entry(counted(chunks), "split", done, F.col("c")))
+    log = log.unionByName(entry(texts, "gate", F.when(F.col("rejected"), "rejected").otherwise("accepted"), F.lit(1).cast("bigint"))).unionByName(entry(counted(index), "index", done, F.col("c")))
+    put("log", log)
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))"
+_CUT = "'(?s).{1,256}[!?.;\\n。！？；]'"
+
+
+@query("st05_continuous_ingest", "@spark", "@dir", sql=f"""WITH e AS (SELECT doc_id, {_CLEAN} AS content FROM documents), m AS (SELECT doc_id, length(content) AS characters, {MASKED_SQL} AS t FROM e), g AS (SELECT *, {residual_sql('t')} AS rejected FROM m),
+    k AS (SELECT doc_id, rejected, list_filter(list_concat(regexp_extract_all(t, {_CUT}), list_filter(flatten(list_transform(regexp_split_to_array(t, {_CUT}), lambda x: regexp_extract_all(x, '(?s).{{1,256}}'))), lambda x: x <> '')), lambda x: trim(x) <> '') AS c FROM g),
+    i AS (SELECT doc_id, sum(len(list_distinct(regexp_extract_all(lower(chunk), '[\\p{{Latin}}\\p{{Nd}}]+|[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]'))))::BIGINT AS n FROM (SELECT doc_id, unnest(c) AS chunk FROM k WHERE NOT rejected) GROUP BY 1)
+    SELECT doc_id, 'extract' AS node, 'done' AS outcome, characters AS n FROM g UNION ALL SELECT doc_id, 'mask', 'done', ((length(t) - length(replace(t, '{T.MASK}', ''))) // {len(T.MASK)})::BIGINT FROM g UNION ALL SELECT doc_id, 'split', 'done', len(c) FROM k WHERE len(c) > 0
+    UNION ALL SELECT doc_id, 'gate', CASE WHEN rejected THEN 'rejected' ELSE 'accepted' END, 1 FROM g UNION ALL SELECT doc_id, 'index', 'done', n FROM i WHERE n > 0""")
 def st05(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = scratch(spark)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/documents.parquet*")
-    writer = stream.writeStream.foreachBatch(lambda df, _id: ingest_batch(df, where)).option("checkpointLocation", f"{where}/checkpoint")
+    writer = stream.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, where, batch)).option("checkpointLocation", f"{where}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{where}/log")
+    return spark.read.schema("doc_id bigint, node string, outcome string, n bigint").parquet(f"{where}/log").select("doc_id", "node", "outcome", "n")
 
 
 @query("st06_scheduled_expiry", "@spark", "@dir", sql="SELECT event_id FROM events WHERE NOT (ts < TIMESTAMP '2024-01-10 00:00:00' - (CASE event_id % 3 WHEN 0 THEN INTERVAL 30 MINUTE WHEN 1 THEN INTERVAL 120 MINUTE ELSE INTERVAL 1 DAY END))")

@@ -184,3 +184,15 @@ def test_keyword_queries_by_hand(spark):
     assert found("red -blue") == {5} and found('blue -"red fish"') == {3, 4} and found("blue --green") == {1, 2, 3}
     assert found("green OR one two") == {3, 4, 5} and found("-red") == set() and found("") == set() and found("red missing") == set()
     assert found("red-fish") == {1, 2, 5} and found("RED red Fish") == {1, 2, 5}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    from rookery.streaming import jobs
+
+    docs = spark.createDataFrame([(1, "one two. three"), (2, "call 1 3 8 1 2 3 4 5 6 7 8 now"), (3, "mail a@b.org")], "doc_id long, text string")
+    for _ in range(2):
+        jobs.ingest_batch(docs, str(tmp_path), 0)
+    jobs.ingest_batch(docs.where("doc_id = 1"), str(tmp_path), 1)
+    log = {(r["batch"], r["doc_id"], r["node"]): (r["outcome"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/log").collect()}
+    assert len(log) == spark.read.parquet(f"{tmp_path}/log").count() == 5 + 4 + 5 + 5
+    assert log[0, 2, "gate"] == ("rejected", 1) and (0, 2, "index") not in log and log[0, 3, "mask"] == ("done", 1) and log[0, 1, "index"] == ("done", 3)
