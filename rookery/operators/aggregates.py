@@ -112,6 +112,22 @@ def window_totals(usage: DataFrame, start: str = "2024-01-05", end: str = "2024-
     return usage.where(inside).agg(F.count("*").alias("records"), F.coalesce(F.sum(tokens()), F.lit(0)).alias("tokens"))
 
 
+@query("a07b_permitted_token_ranking", "v_usage", "v_grant", sql="""SELECT chat_user_id, chat_user_type, sum(message_tokens + answer_tokens)::BIGINT AS tokens, count(DISTINCT id) AS records FROM v_usage WHERE chat_user_id IS NOT NULL AND create_time >= TIMESTAMP '2024-01-05 00:00:00' AND create_time < TIMESTAMP '2024-01-20 00:00:00'
+    AND application_id IN (SELECT target FROM v_grant WHERE list_contains(permission_list, 'VIEW')) GROUP BY 1, 2""")
+def permitted_token_ranking(usage: DataFrame, grants: DataFrame, since: str = "2024-01-05", until: str = "2024-01-20") -> DataFrame:
+    """Tokens and records per user and type in a window of record time, of the applications that may be viewed."""
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    seen = grants.where(F.array_contains("permission_list", "VIEW")).select(F.col("target").alias("application_id"))
+    rows = usage.where(F.col("chat_user_id").isNotNull() & (F.col("create_time") >= day(since)) & (F.col("create_time") < day(until))).join(seen, "application_id", "left_semi")
+    return rows.groupBy("chat_user_id", "chat_user_type").agg(F.sum(tokens()).alias("tokens"), F.count_distinct("id").alias("records"))
+
+
+@query("a12b_models_by_kind", "part", sql="SELECT p_type AS kind, count(*) AS total, count(*) FILTER (p_size > 10) AS published, count(*) FILTER (NOT p_size > 10) AS unpublished FROM part GROUP BY 1")
+def models_by_kind(models: DataFrame) -> DataFrame:
+    published = F.col("p_size") > 10
+    return models.groupBy(F.col("p_type").alias("kind")).agg(F.count("*").alias("total"), F.count_if(published).alias("published"), F.count_if(~published).alias("unpublished"))
+
+
 @query("a12_resource_kpi", "v_application", "v_document", sql="""SELECT 'application' AS kind, count(*) AS total, count(*) FILTER (status = 'HIRED') AS marked, count(DISTINCT job_id) AS groups FROM v_application
     UNION ALL SELECT 'document', count(*), count(*) FILTER (contains(status, '3')), count(DISTINCT knowledge_id) FROM v_document""")
 def resource_kpi(applications: DataFrame, documents: DataFrame) -> DataFrame:

@@ -44,6 +44,14 @@ def document_filter(documents: DataFrame, tags: DataFrame) -> DataFrame:
     return base.join(wanted, "document_id", "left_semi").unionByName(base.join(tags, "document_id", "left_anti")).select("document_id").distinct()
 
 
+@query("p04b_untagged_by_method", "v_document", "v_tag", sql="""SELECT document_id FROM v_document WHERE document_id % 3 = 0 AND document_id NOT IN (SELECT document_id FROM v_tag) UNION ALL SELECT document_id FROM v_document WHERE document_id % 3 = 1 AND document_id NOT IN (SELECT document_id FROM v_tag WHERE key = 'toxic' AND value = '1')""")
+def untagged_by_method(documents: DataFrame, tags: DataFrame) -> DataFrame:
+    """Of one hit method (the number modulo 3 stands for it) those without any tag; of another those without one of the excluded tags."""
+    method = F.col("document_id") % 3
+    excluded = tags.where("key = 'toxic' AND value = '1'")
+    return documents.where(method == 0).join(tags, "document_id", "left_anti").select("document_id").unionByName(documents.where(method == 1).join(excluded, "document_id", "left_anti").select("document_id"))
+
+
 @query("p05_task_state", "v_document", sql="""SELECT document_id, CASE WHEN length(status) >= 1 THEN substring(reverse(status), 1, 1) ELSE 'n' END AS task1, CASE WHEN length(status) >= 2 THEN substring(reverse(status), 2, 1) ELSE 'n' END AS task2,
     regexp_full_match(status, '[2n]*') AS all_done FROM v_document""")
 def task_states(documents: DataFrame) -> DataFrame:
@@ -59,6 +67,12 @@ def conversation_filter(usage: DataFrame, either: bool = True) -> DataFrame:
     return chats.where((F.col("t") >= F.lit("2024-01-03").cast("timestamp_ntz")) & F.col("named") & ((liked | disliked) if either else (liked & disliked))).select("chat_id", "star", "trample")
 
 
+@query("p06b_conversation_abstract", "v_turn", sql="SELECT conv_id, min(turn) AS turn FROM v_turn WHERE contains(lower(substring(question, 1, 256)), 'the ') GROUP BY 1")
+def conversation_abstract(turns: DataFrame, text: str = "the ") -> DataFrame:
+    """Conversations with the searched text in an abstract, which is the beginning of a question; the first such turn."""
+    return turns.where(has(F.left("question", F.lit(256)), text)).groupBy("conv_id").agg(F.min("turn").alias("turn"))
+
+
 @query("p07_local_day_range", "v_usage", sql="SELECT id FROM v_usage WHERE CAST(create_time AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-09'")
 def day_range(usage: DataFrame, start: str = "2024-01-03", end: str = "2024-01-09") -> DataFrame:
     """Half-open on the column itself, so the bounds reach the Parquet scan."""

@@ -152,6 +152,16 @@ def proposal_expiry(proposals: DataFrame, applications: DataFrame) -> DataFrame:
     return proposals.join(state, "target", "left").select("id", F.when(stale, "EXPIRED").otherwise(F.col("status")).alias("status"))
 
 
+@query("m18b_stale_targets", "v_proposal", "v_application", "v_job", sql="""SELECT p.id, CASE WHEN p.status <> 'PENDING' THEN p.status WHEN agent_type = 'SCREENING' AND (a.application_id IS NULL OR a.stage <> '1') THEN 'EXPIRED' WHEN agent_type = 'SOURCING' AND (j.job_id IS NULL OR j.level > 40) THEN 'EXPIRED'
+    WHEN agent_type = 'COPILOT' AND create_time_p < TIMESTAMP '1997-01-01 00:00:00' THEN 'EXPIRED' ELSE 'PENDING' END AS status FROM (SELECT id, status, agent_type, target, part, create_time AS create_time_p FROM v_proposal) p LEFT JOIN v_application a ON a.application_id = p.target LEFT JOIN v_job j ON j.job_id = p.part""")
+def stale_targets(proposals: DataFrame, applications: DataFrame, jobs: DataFrame, now: str = "1997-01-01") -> DataFrame:
+    """Pending proposals of three kinds of targets: an application that is gone or has moved on from its stage, a job that is gone or closed (a level above 40 stands for it), an interview that is over."""
+    rows = proposals.join(applications.select(F.col("application_id").alias("target"), "stage"), "target", "left").join(jobs.select(F.col("job_id").alias("part"), "level"), "part", "left")
+    kind = F.col("agent_type")
+    stale = F.when(kind == "SCREENING", F.coalesce(F.col("stage") != "1", F.lit(True))).when(kind == "SOURCING", F.coalesce(F.col("level") > 40, F.lit(True))).otherwise(F.col("create_time") < F.lit(now).cast("timestamp_ntz"))
+    return rows.select("id", F.when(F.col("status") != "PENDING", F.col("status")).when(stale, "EXPIRED").otherwise("PENDING").alias("status"))
+
+
 @query("m19_feedback_to_knowledge", "v_turn", "v_paragraph", sql="""WITH n AS (SELECT conv_id AS document_id, turn, answer AS content, sha256(question) AS problem_id FROM v_turn WHERE length(answer) > 200), c AS (SELECT document_id, count(*) AS c FROM n GROUP BY 1)
     SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY turn) AS position, content, problem_id FROM n UNION ALL SELECT p.document_id, position + coalesce(c, 0), content, NULL FROM v_paragraph p LEFT JOIN c USING (document_id)""")
 def feedback_to_knowledge(turns: DataFrame, paragraphs: DataFrame) -> DataFrame:

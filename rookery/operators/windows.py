@@ -46,6 +46,13 @@ def reapply_number(applications: DataFrame, since: str = "1998-01-01") -> DataFr
     return new.select("application_id", (F.coalesce("m", F.lit(0)) + numbered("candidate_id", "job_id", order=["create_time", "application_id"])).alias("reapply_no"))
 
 
+@query("w04b_round_and_version", "v_proposal", sql="""SELECT id, 'round' AS kind, row_number() OVER (PARTITION BY target ORDER BY create_time, id) + 2 AS number FROM v_proposal WHERE action = 'ADVANCE' UNION ALL SELECT id, 'version', row_number() OVER (PARTITION BY target, part ORDER BY create_time, id) FROM v_proposal WHERE action = 'HOLD'""")
+def round_and_version(proposals: DataFrame, rounds: int = 2) -> DataFrame:
+    """Interview rounds go on after those held already (two per application), offer versions start at one per application and part."""
+    held = proposals.where("action = 'ADVANCE'").select("id", F.lit("round").alias("kind"), (numbered("target", order=["create_time", "id"]) + rounds).alias("number"))
+    return held.unionByName(proposals.where("action = 'HOLD'").select("id", F.lit("version").alias("kind"), numbered("target", "part", order=["create_time", "id"]).alias("number")))
+
+
 @query("w05_prepend_and_renumber", "v_paragraph", sql="""SELECT paragraph_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN position % 5 = 0 THEN 0 ELSE 1 END, position) AS new_position FROM v_paragraph""")
 def prepend(paragraphs: DataFrame, is_new: str = "position % 5 = 0") -> DataFrame:
     """Rows that count as new come first; all positions are given again."""
@@ -108,10 +115,15 @@ def greedy_packing(documents: DataFrame, limit: int = 500) -> DataFrame:
 
 @query("w11_rate_guard", "v_agent_run", sql="""SELECT id, agent_type, count(*) FILTER (status <> 'SKIPPED') OVER (PARTITION BY agent_type ORDER BY create_time RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM v_agent_run""")
 def rate_guard(runs: DataFrame) -> DataFrame:
-    """Runs of the same type in the hour up to each run, skipped ones not counted."""
-    micros = F.unix_micros(F.col("create_time").cast("timestamp"))
-    hour = W.partitionBy("agent_type").orderBy(micros).rangeBetween(-3_600_000_000, 0)
-    return runs.select("id", "agent_type", F.count(F.when(F.col("status") != "SKIPPED", 1)).over(hour).alias("last_hour"))
+    """Runs of the same type in the hour up to each run, skipped ones not counted.
+
+    A run stands in its own hour and in the next, so a window sees one type and hour and no type is one group.
+    """
+    micros, hour = F.unix_micros(F.col("create_time").cast("timestamp")), 3_600_000_000
+    rows = runs.select("id", "agent_type", "status", micros.alias("t")).withColumn("own", F.floor(F.col("t") / hour))
+    dealt = rows.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("bucket"))
+    trailing = W.partitionBy("agent_type", "bucket").orderBy("t").rangeBetween(-hour, 0)
+    return dealt.withColumn("last_hour", F.count(F.when(F.col("status") != "SKIPPED", 1)).over(trailing)).where("own = bucket").select("id", "agent_type", "last_hour")
 
 
 @query("w12_first_stage", "v_application", sql="SELECT job_id, arg_min(stage, (stage, application_id)) AS first_stage FROM v_application GROUP BY 1")

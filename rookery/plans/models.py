@@ -32,18 +32,33 @@ def feature_hashing(texts: pd.Series) -> list[list[float]]:
     return out
 
 
-def embedded(rows: DataFrame, key: str, text: str, model: Callable[[pd.Series], list[list[float]]] = feature_hashing) -> DataFrame:
-    """key, embedding for every row; the model sees Arrow batches."""
+def embedded(rows: DataFrame, key: str, text: str, model: Callable[[pd.Series], list[list[float]]] = feature_hashing, size: int = 10) -> DataFrame:
+    """key, embedding for every row; the model sees ``size`` texts at a time."""
     ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "embedding": model(batch[text])})
+            parts = (batch[text].iloc[a : a + size] for a in range(0, len(batch), size))
+            yield pd.DataFrame({key: batch[key], "embedding": [v for part in parts for v in model(part)]})
 
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
 
 
+def replaced(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """An index after some paragraphs were embedded again: their old rows go, all new ones come."""
+    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+@query("t34b_replaced_vectors", "v_embedding", sql="SELECT paragraph_id, count(*) AS n, count(*) FILTER (WHERE paragraph_id % 4 = 0) AS made FROM (SELECT paragraph_id FROM v_embedding WHERE paragraph_id % 4 <> 0 UNION ALL SELECT DISTINCT paragraph_id FROM v_embedding WHERE paragraph_id % 4 = 0) GROUP BY 1")
+def replaced_vectors(rows: DataFrame) -> DataFrame:
+    """Every fourth paragraph is embedded again as one row (here from its number as text)."""
+    stored = rows.select("paragraph_id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(0).alias("made"))
+    again = rows.where("paragraph_id % 4 = 0").select("paragraph_id", F.col("paragraph_id").cast("string").alias("content")).distinct()
+    new = embedded(again, "paragraph_id", "content").withColumn("made", F.lit(1))
+    return replaced(stored, new, "paragraph_id").groupBy("paragraph_id").agg(F.count("*").alias("n"), F.sum("made").alias("made"))
+
+
 @query("t34_embedding_batch", "v_paragraph")
 def t34(paragraphs: DataFrame) -> DataFrame:
     vectors = embedded(paragraphs, "paragraph_id", "content")
