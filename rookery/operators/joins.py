@@ -157,12 +157,30 @@ def similar_jobs(jobs: DataFrame, limit: int = 5) -> DataFrame:
 
 
 @query("j17_first_disjoint", "v_job", sql="""SELECT a.job_id, min(b.job_id) AS negative_id FROM v_job a JOIN v_job b ON a.job_id <> b.job_id AND len(list_intersect(a.skills, b.skills)) = 0 WHERE len(a.skills) > 0 AND len(b.skills) > 0 GROUP BY 1""")
-def first_disjoint(jobs: DataFrame) -> DataFrame:
-    """The first other job with no skill in common: decided once per distinct skill set, then joined back."""
+def first_disjoint(jobs: DataFrame, block: int = 200) -> DataFrame:
+    """The first other job with no skill in common, decided once per distinct skill set.
+
+    Skill sets are tried in the order of their first job, ``block`` of them at a time as constants of the plan; only sets that none of them suits
+    go on to the next block, so pairs of sets are not formed.
+    """
     sets = jobs.where(F.size("skills") > 0).withColumn("s", F.array_sort(F.array_distinct("skills")))
     groups = sets.groupBy("s").agg(F.min("job_id").alias("first_id"))
-    best = groups.select(F.col("s").alias("a")).join(groups.select(F.col("s").alias("b"), "first_id"), ~F.arrays_overlap("a", "b")).groupBy("a").agg(F.min("first_id").alias("negative_id"))
-    return sets.join(best, sets["s"] == best["a"]).select("job_id", "negative_id")
+    left, found, last = groups.select("s"), None, None
+    while True:
+        some = (groups if last is None else groups.where(F.col("first_id") > last)).orderBy("first_id").limit(block).collect()
+        if not some:
+            break
+        last = some[-1]["first_id"]
+        tried = F.array(*[F.struct(F.lit(r["first_id"]).alias("id"), F.array(*[F.lit(x) for x in r["s"]]).alias("s")) for r in some])
+        answered = left.withColumn("negative_id", F.get(F.filter(tried, lambda c: ~F.arrays_overlap(c["s"], F.col("s"))), F.lit(0))["id"])
+        hits = answered.where("negative_id IS NOT NULL")
+        found = hits if found is None else found.unionByName(hits)
+        left = answered.where("negative_id IS NULL").select("s")
+        if len(some) < block or left.isEmpty():
+            break
+    if found is None:
+        return sets.select("job_id", F.col("job_id").alias("negative_id")).limit(0)
+    return sets.join(found, "s").select("job_id", "negative_id")
 
 
 @query("j18_dangling_rows", "v_embedding", "v_paragraph", sql="SELECT id, paragraph_id FROM v_embedding WHERE paragraph_id * 97 NOT IN (SELECT document_id FROM v_paragraph)")

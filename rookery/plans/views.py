@@ -65,7 +65,7 @@ _SPARK = {
         ELSE concat(w[0], ' ', w[1], ' OR ', w[2], ' ', w[3]) END AS query FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-zß-öø-ÿ0-9]+', 0) AS w FROM benchmark) t WHERE size(w) > 5""",
     "v_term": "SELECT explode(split(p_name, ' ')) AS term FROM part",
     "v_kb_term": "SELECT concat('src', item_id % 20) AS knowledge_id, lower(array_join(slice(split(text, ' '), 1, 2), ' ')) AS term FROM benchmark",
-    "v_paragraph": r"""SELECT doc_id * 100000 + pos + 1 AS paragraph_id, doc_id AS document_id, source AS knowledge_id, CAST(pos + 1 AS BIGINT) AS position, line AS content
+    "v_paragraph": r"""SELECT doc_id * 10000000 + pos + 1 AS paragraph_id, doc_id AS document_id, source AS knowledge_id, CAST(pos + 1 AS BIGINT) AS position, line AS content
         FROM (SELECT doc_id, source, posexplode(split(text, '\n')) AS (pos, line) FROM documents) t WHERE trim(line) <> ''""",
     "v_query_text": "SELECT item_id AS query_id, array_join(slice(split(text, ' '), 1, 6), ' ') AS query, text FROM benchmark",
     "v_job": "SELECT p_partkey AS job_id, split(p_name, ' ') AS skills, p_brand AS department, p_type AS city, p_size AS level, p_name AS title FROM part",
@@ -80,7 +80,7 @@ _DUCKDB = {
         ELSE w[1] || ' ' || w[2] || ' OR ' || w[3] || ' ' || w[4] END AS query FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-zß-öø-ÿ0-9]+') AS w FROM benchmark) WHERE len(w) > 5""",
     "v_term": "SELECT unnest(string_split(p_name, ' ')) AS term FROM part",
     "v_kb_term": "SELECT 'src' || item_id % 20 AS knowledge_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS term FROM benchmark",
-    "v_paragraph": """SELECT doc_id * 100000 + i AS paragraph_id, doc_id AS document_id, source AS knowledge_id, i AS position, line AS content
+    "v_paragraph": """SELECT doc_id * 10000000 + i AS paragraph_id, doc_id AS document_id, source AS knowledge_id, i AS position, line AS content
         FROM (SELECT doc_id, source, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> ''""",
     "v_query_text": "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query, text FROM benchmark",
     "v_job": "SELECT p_partkey AS job_id, string_split(p_name, ' ') AS skills, p_brand AS department, p_type AS city, p_size AS level, p_name AS title FROM part",
