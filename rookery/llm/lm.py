@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from ._util import arrow_batch, crc_mod, documents, rows_of, staged
 
-WIDTH, PARTS, LANE, PAIRS = 24, 128, 16, 1 << 16
+WIDTH, PARTS, LANE, PAIRS = 24, 96, 8, 1 << 16
 WINDOW, STRIDE = 16, 14
-WARM_DOCS, WARM_STEPS, REFIT, BATCH = 1000, 2000, 20, 128
+WARM_DOCS, WARM_STEPS, REFIT, BATCH = 1000, 2500, 20, 128
 #: Adam rates of the shared weights, and how much faster the vectors of ids and pairs (Adagrad) move.
 WARM_RATE, RATE, ID_PACE, PAIR_PACE = 0.01, 0.006, 12, 60
 #: Ids in a group, most groups (beyond it groups grow), ids trained on at a time, weight of the unigram in each output distribution.
