@@ -187,7 +187,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     own = staged(blocks(rows), "merkle-blocks")
     height = F.when(F.col("n") > ARITY**2, 3).when(F.col("n") > ARITY, 2).when(F.col("n") > 1, 1).otherwise(0)
-    bottom = own.select("tree", height.alias("level"), F.col("block").alias("index"), "digest", F.ceil(F.col("n") / BLOCK).alias("count"), "source")
+    bottom = own.select("tree", height.alias("level"), F.col("block").alias("index"), "digest", F.ceil(F.col("n") / BLOCK).alias("count"))
     levels = above(bottom, "merkle-nodes")
     subroots = union([f.where("count = 1").select("tree", "digest") for f in levels]).join(own.where("block = 0").select("tree", "source"), "tree")
     ordered = staged(placed(subroots.select("source", "digest").withColumn("all", F.lit(TOP)), "all", ["source"], "merkle-subroots"), "merkle-sources")
