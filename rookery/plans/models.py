@@ -1,8 +1,7 @@
-"""Embedding jobs with pluggable models, and the cell-partitioned index for approximate search."""
+"""Embedding jobs with pluggable models, and approximate search."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,10 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.windows import numbered
 from ..registry import query
 from ..session import ship
-from .retrieval import HIT, ROW_PART, best_of
+from .cells import approximate_search, coded_index
 
 WIDTH = 64
 
@@ -65,54 +63,8 @@ def t34(paragraphs: DataFrame) -> DataFrame:
     return vectors.select("paragraph_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"), F.size("embedding").alias("width"))
 
 
-def cells(rows: DataFrame, count: int, sample_rows: int = 20_000, rounds: int = 10, seed: int = 3) -> np.ndarray:
-    """Unit centroids by k-means on a bounded sample of the rows (least seeded hashes)."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(sample_rows, 20 * count)).select("embedding").collect()
-    x = np.array([r["embedding"] for r in sample], dtype=np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    centres = x[:: max(1, len(x) // count)][:count].copy()
-    for _ in range(rounds):
-        best = (x @ centres.T).argmax(axis=1)
-        for c in range(len(centres)):
-            if (best == c).any():
-                centres[c] = x[best == c].sum(axis=0)
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
-    return centres
-
-
-def in_cells(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
-    """``rows`` with ``cell``: each row once in its nearest cell, or in its ``probes`` nearest ones (for queries)."""
-
-    @F.pandas_udf("array<int>")
-    def near(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        return pd.Series(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].tolist())
-
-    return rows.withColumn("cell", F.explode(near("embedding")))
-
-
-def approximate_search(rows: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.25, copies: int = 3) -> DataFrame:
-    """Top k per query over all knowledge bases among the rows of the probed cells.
-
-    There are as many cells as the square root of the number of rows; every row stands in its ``copies`` nearest cells, and a query probes the ``share`` of the
-    cells nearest to it, so the work per query grows with the square root of the rows times the rows in a cell. A cell is dealt into parts of about ROW_PART rows, and each
-    part meets the block of its queries as two matrices.
-    """
-    ship(rows.sparkSession)
-    total = rows.count()
-    count = max(1, math.ceil(math.sqrt(total)))
-    centres = cells(rows, count)
-    probes = max(1, math.ceil(share * len(centres)))
-    placed = in_cells(rows, centres, min(copies, len(centres))).select("id", "knowledge_id", "paragraph_id", "document_id", "embedding", "cell")
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / ROW_PART).cast("int").alias("parts"))
-    left = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = in_cells(queries.select("query_id", "embedding"), centres, probes).join(parts, "cell").select("query_id", "embedding", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    near = left.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(best_of(k), HIT)
-    once = near.groupBy("query_id", "knowledge_id", "id").agg(F.max("score").alias("score"))
-    best = once.withColumn("rank", numbered("query_id", order=[F.desc("score"), "id"])).where(F.col("rank") <= k)
-    return best.select("query_id", "knowledge_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
 @query("t39_cell_index_search", "v_embedding", "v_query_vec")
 def t39(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    return approximate_search(rows, queries)
+    """The five nearest rows per query and knowledge base by the stored index of quantised residuals (see cells.py)."""
+    hits, _ = approximate_search(coded_index(rows), queries)
+    return hits.select("query_id", "knowledge_id", "id", F.round("score", 6).alias("score"), "rank")

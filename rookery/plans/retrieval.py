@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,68 +14,26 @@ from ..functions.queries import MASKED_SQL, residual_sql
 from ..operators.windows import numbered
 from ..registry import query
 from ..session import ship
+from .cells import ROW_PART, exact_candidates, indexed
 from .keywords import RANKED_SQL, TOKENS_SQL, keyword_search, keyword_sql
 from .tokens import postings, tokens
 
-#: Query vectors in a block; a task multiplies a block with the rows of one part.
-QUERY_BLOCK, ROW_PART = 1024, 1 << 13
 K, THRESHOLD, CAP = 5, 0.2, 500
-HIT = "query_id bigint, knowledge_id int, id bigint, paragraph_id bigint, document_id bigint, score double"
 
 
-def _unit(vectors: list) -> np.ndarray:
-    v = np.stack(vectors).astype(np.float64)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-
-
-def best_of(per_group: int, by: str | None = None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """The ``per_group`` best rows per query and knowledge base of one group of rows and one of queries; with ``by``, the best row of each value of that column."""
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["query_id", "knowledge_id", "id", "paragraph_id", "document_id", "score"])
-        a = a.sort_values("id", ignore_index=True)
-        scores = _unit(a["embedding"].to_list()) @ _unit(b["embedding"].to_list()).T
-        names, out = b["query_id"].to_numpy(), []
-        for kb, index in a.groupby(["knowledge_id"] if by is None else ["knowledge_id", by]).indices.items():
-            s = scores[index]
-            keep = min(per_group if by is None else 1, len(index))
-            near = np.argsort(-s, axis=0, kind="stable")[:keep]
-            at = index[near].T.ravel()
-            out.append((np.repeat(names, keep), at, s[near.T, np.arange(len(names))[:, None]].ravel()))
-        q, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": q, "score": score} | {c: a[c].to_numpy()[at] for c in ("knowledge_id", "id", "paragraph_id", "document_id")})[["query_id", "knowledge_id", "id", "paragraph_id", "document_id", "score"]]
-
-    return best
-
-
-def nearest(rows: DataFrame, queries: DataFrame, per_group: int, by: str | None = None) -> DataFrame:
-    """(query_id, knowledge_id, id, paragraph_id, document_id, score): the ``per_group`` best rows per query and knowledge base of each part of the rows.
-
-    With ``by``, the best row of each value of that column instead, so all of them come out. Rows are dealt into parts of about ROW_PART, queries into blocks of
-    QUERY_BLOCK; each part meets each block in one group, where two matrices are multiplied. Neither side passes through the driver, and what is shuffled
-    behind are local winners.
-    """
-    ship(rows.sparkSession)
-    parts = max(1, -(-rows.count() // ROW_PART))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "knowledge_id", "paragraph_id", "document_id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).select("*", every(blocks).alias("block"))
-    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).select("*", every(parts).alias("part"))
-
-    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best_of(per_group, by), HIT)
-
-
-def dense_search(rows: DataFrame, queries: DataFrame, k: int = K, threshold: float = THRESHOLD, cap: bool = True) -> DataFrame:
+def dense_search(rows: DataFrame, queries: DataFrame, k: int = K, threshold: float = THRESHOLD, cap: bool = True, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per query and knowledge base: the nearest min(10k, 500) rows, the best of each paragraph, above the threshold, the first k.
 
-    Without ``cap`` all rows are candidates (the exact variant).
+    Exact, by the stored cells of ``rows`` (see cells.py): cells that cannot hold a hit are skipped. Without ``cap`` all rows are candidates. ``allowed`` filters the
+    rows; the bounds of the cells hold for any part of them.
     """
+    index = indexed(rows)
+    if allowed:
+        index = index._replace(placed=allowed(index.placed))
+    most = min(10 * k, CAP)
+    near, _ = exact_candidates(index, queries, k, most if cap else k, None if cap else "paragraph_id", threshold)
     if cap:
-        near = nearest(rows, queries, min(10 * k, CAP))
-        near = near.withColumn("n", numbered("query_id", "knowledge_id", order=[F.desc("score"), "id"])).where(F.col("n") <= min(10 * k, CAP)).drop("n")
-    else:
-        near = nearest(rows, queries, 1, by="paragraph_id").where(F.col("score") > threshold)
+        near = near.withColumn("n", numbered("query_id", "knowledge_id", order=[F.desc("score"), "id"])).where(F.col("n") <= most).drop("n")
     best = near.groupBy("query_id", "knowledge_id", "paragraph_id").agg(F.max_by(F.struct("document_id", "id", "score"), F.struct("score", -F.col("id"))).alias("b"))
     best = best.select("query_id", "knowledge_id", "paragraph_id", "b.*").where(F.col("score") > threshold)
     rank = numbered("query_id", "knowledge_id", order=[F.desc("score"), "paragraph_id"])
@@ -129,8 +86,8 @@ def t02(rows: DataFrame, queries: DataFrame) -> DataFrame:
 
 @query("v05_fan_out_with_exclusions", "v_embedding", "v_query_vec", "v_document", sql=f"{_dense_sql(where='WHERE e.is_active AND e.knowledge_id IN (1, 2, 5) AND document_id NOT IN (SELECT document_id FROM v_document WHERE NOT is_active)')}, {_MERGED} {_SHOW_M}")
 def v05(rows: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    allowed = rows.where("is_active AND knowledge_id IN (1, 2, 5)").join(documents.where("NOT is_active"), "document_id", "left_anti")
-    return _out(merged(dense_search(allowed, queries)))
+    allowed = lambda r: r.where("is_active AND knowledge_id IN (1, 2, 5)").join(documents.where("NOT is_active"), "document_id", "left_anti")
+    return _out(merged(dense_search(rows, queries, allowed=allowed)))
 
 
 @query("v06_hit_test_report", "v_embedding", "v_query_vec", "v_document", sql=f"{_dense_sql()}, {_MERGED} SELECT query_id, rank, m.paragraph_id, d.name, d.knowledge_id AS base FROM m LEFT JOIN v_document d USING (document_id)")
@@ -276,7 +233,7 @@ def sparse_query(queries: DataFrame, most: int = 6, stop: tuple[str, ...] = ("th
 def dual_recall(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
     """Both legs over active documents only, the keyword leg from 0.01 on."""
     gone = documents.where("NOT is_active").select("document_id")
-    dense = dense_search(rows.join(gone, "document_id", "left_anti"), queries).groupBy("query_id", "paragraph_id").agg(F.round(F.max("score"), 6).alias("score"))
+    dense = dense_search(rows, queries, allowed=lambda r: r.join(gone, "document_id", "left_anti")).groupBy("query_id", "paragraph_id").agg(F.round(F.max("score"), 6).alias("score"))
     sparse = _leg(documents.where("is_active"), asked).where("score > 0.01")
     return dense.select("query_id", "paragraph_id", F.lit("dense").alias("leg"), "score").unionByName(sparse.select("query_id", "paragraph_id", F.lit("sparse").alias("leg"), F.round("score", 6).alias("score")))
 
@@ -295,7 +252,9 @@ def skill_hits(documents: DataFrame, jobs: DataFrame, rows: DataFrame, queries:
     """
     asked = jobs.where("job_id % 20 = 0").select("job_id", F.posexplode("skills").alias("i", "term"))
     texts = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", asked).join(asked, "term").select("job_id", "i", "document_id", F.lit(0.0).alias("score"))
-    near = nearest(rows.withColumn("knowledge_id", F.lit(0)), queries, 1, by="document_id").groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
+    index = indexed(rows.withColumn("knowledge_id", F.lit(0)))
+    near, _ = exact_candidates(index, queries, 1, ROW_PART, "document_id", threshold, "document_id", relative)
+    near = near.groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
     best = near.groupBy("query_id").agg(F.max("score").alias("top"))
     close = near.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(threshold), relative * F.col("top")))
     dense = asked.withColumn("query_id", (F.col("job_id") + F.col("i") * 20) % 400).join(close, "query_id").select("job_id", "i", "document_id", "score")
@@ -333,7 +292,7 @@ def routing(queries: DataFrame) -> DataFrame:
 @query("v16_allow_listed_search", "v_embedding", "v_query_vec", sql=f"{_dense_sql(where='WHERE e.knowledge_id IN (0, 4, 8) AND e.source_type = 1')}, f AS (SELECT query_id, knowledge_id, paragraph_id, 1 / (60 + rank) AS rrf FROM h) SELECT query_id, knowledge_id, paragraph_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, knowledge_id, paragraph_id) AS rank FROM f) WHERE rank <= 5")
 def allow_listed_search(rows: DataFrame, queries: DataFrame, allowed: tuple[int, ...] = (0, 4, 8)) -> DataFrame:
     """Each allowed, unprotected base is searched alone; fused scores are pooled."""
-    hits = dense_search(rows.where(F.col("knowledge_id").isin(*allowed) & (F.col("source_type") == 1)), queries).withColumn("rrf", 1 / (60 + F.col("rank")))
+    hits = dense_search(rows, queries, allowed=lambda r: r.where(F.col("knowledge_id").isin(*allowed) & (F.col("source_type") == 1))).withColumn("rrf", 1 / (60 + F.col("rank")))
     return hits.withColumn("rank", numbered("query_id", order=[F.desc("rrf"), "knowledge_id", "paragraph_id"])).where("rank <= 5").select("query_id", "knowledge_id", "paragraph_id", "rank")
 
 

@@ -6,6 +6,8 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,5 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the driver's JVM ends."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def staged(df: DataFrame, name: str, compression: str = "snappy", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors. It goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = delete_at_end(spark, f"{shared_dir(spark)}/rookery/{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[tuple] = []
+
+
+def stored(rows: DataFrame, name: str, build: Callable[[DataFrame], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """The tables that ``build`` makes of ``rows``, made once per application, name and plan of ``rows``: an index as of the time it was built."""
+    context = rows.sparkSession.sparkContext
+    for owner, kind, of, made in _STORED:
+        if owner == context.applicationId and kind == name and of.sameSemantics(rows):
+            return made
+    made = build(rows)
+    _STORED.append((context.applicationId, name, rows, made))
+    return made
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

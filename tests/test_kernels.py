@@ -138,19 +138,6 @@ def test_gbk_fallback(spark):
     assert {r["path"]: r["text"] for r in readers.decoded_text(files).collect()} == {"u": "中文", "g": "中文"}
 
 
-def test_cell_index_recall(spark):
-    sf = "/root/testdata/sf0.1"
-    rows, queries = views.load(spark, sf, "v_embedding"), views.load(spark, sf, "v_query_vec")
-    exact = retrieval.nearest(rows, queries, 5).collect()
-    want = {}
-    for r in sorted(exact, key=lambda r: (-r["score"], r["id"])):
-        best = want.setdefault(r["query_id"], [])
-        if len(best) < 5:
-            best.append(r["id"])
-    got = {(r["query_id"], r["id"]) for r in models.approximate_search(rows, queries).collect()}
-    assert sum((q, i) in got for q, ids in want.items() for i in ids) >= 0.9 * sum(map(len, want.values()))
-
-
 def test_rerank_keeps_order_when_the_model_fails(spark):
     hits = spark.createDataFrame([(1, 1, "a b", "a", 0.5), (1, 2, "a b", "a b", 0.4)], "query_id long, paragraph_id long, query string, passage string, rrf double")
 
