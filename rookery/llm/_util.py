@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.session import shared_dir, ship, table  # noqa: F401
+from rookery.session import ship, staged, table  # noqa: F401
 
 #: ASCII white space: what separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,20 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rookery/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -25,10 +25,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ._util import arrow_batch, documents, rows_of
+from ._util import arrow_batch, documents, rows_of, ship
 
-#: Entries kept per task for pre-tokens already encoded.
-MEMO = 1 << 19
+#: Characters kept per task of pre-tokens already encoded, an entry counting as ENTRY more, and the longest pre-token that is kept.
+MEMO, ENTRY, MEMO_PIECE = 1 << 26, 100, 64
 _MASK, _MIX_A, _MIX_B = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -157,18 +157,23 @@ class _Memo(dict):
     """Pre-token -> (number of ids, the ids as decimal text, their bytes decoded again)."""
 
     def __init__(self, bpe: ByteBPE):
-        self.bpe = bpe
+        self.bpe, self.used = bpe, 0
 
     def __missing__(self, piece: str) -> tuple[int, str, bytes]:
-        if len(self) >= MEMO:
-            self.clear()
         ids = self.bpe.encode_piece(piece.encode("utf-8", "replace"))
-        entry = self[piece] = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+        entry = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+        if len(piece) <= MEMO_PIECE:
+            self.used += ENTRY + len(piece)
+            if self.used > MEMO:
+                self.clear()
+                self.used = ENTRY + len(piece)
+            self[piece] = entry
         return entry
 
 
 def digests(docs: DataFrame, bpe: ByteBPE) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes of each text."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bpe)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, documents, rows_of, staged
+from ._util import arrow_batch, documents, rows_of, ship, staged
 from .simhash import mixed, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -103,6 +103,7 @@ def text_key() -> Column:
 
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, set_key, n_shingles and signature of each row."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -154,6 +155,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 def _pruned(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) that the posterior keeps."""
+    ship(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +191,7 @@ def _block_links(members: DataFrame, signatures: DataFrame) -> DataFrame:
     Members outside the band's largest component form minor blocks, those inside major blocks; minor blocks meet all blocks, major
     ones only minor ones. A group is a pair of blocks and returns links that join components, at most one per member.
     """
+    ship(members.sparkSession)
     sizes = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("major"), F.sum("n").alias("n"))
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
@@ -228,6 +231,7 @@ def _block_links(members: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def _shingled(texts: DataFrame) -> DataFrame:
     """node and its sorted shingle hashes, from node and text."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,6 +270,7 @@ def _verified(nodes: DataFrame) -> DataFrame:
 
     Rows meet in pairs of blocks of one component; a pair of blocks is one group of at most 2 * BLOCK rows.
     """
+    ship(nodes.sparkSession)
     sizes = nodes.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = nodes.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     low = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))

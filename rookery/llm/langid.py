@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import crc_mod, documents, rows_of
+from ._util import crc_mod, documents, rows_of, ship
 
 BUCKETS = 1 << 16
 #: Trigrams in a run, weight of a trigram (three neighbours overlap), EM rounds.
@@ -137,6 +137,7 @@ class LanguageModel:
 
 def learn(docs: DataFrame) -> LanguageModel:
     """Trigram counts per language of all rows of ``docs`` whose lang is known."""
+    ship(docs.sparkSession)
     counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(_count, "lang string, bucket bigint, n bigint")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows per language
     langs = sorted(rows["lang"].unique())
@@ -150,6 +151,7 @@ def predict(texts: DataFrame, model: LanguageModel) -> DataFrame:
 
     Without a column ``text``, the key is a struct that holds it.
     """
+    ship(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS floats per language
     kind = texts.schema["key"].dataType.simpleString()
 

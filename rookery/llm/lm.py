@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, crc_mod, documents, rows_of, staged
+from ._util import arrow_batch, crc_mod, documents, rows_of, ship, staged
 
 WIDTH, PARTS, LANE, PAIRS = 24, 96, 8, 1 << 16
 WINDOW, STRIDE = 16, 14
@@ -369,6 +369,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def coded(docs: DataFrame) -> DataFrame:
     """Stored rows of ``_coded``. ``docs``: doc_id, text, train."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(_coded, f"kind string, key string, n bigint, doc_id {kind}, train boolean, text string, ids binary")
     return staged(rows, "lm-coded", compression="zstd")
@@ -376,6 +377,7 @@ def coded(docs: DataFrame) -> DataFrame:
 
 def learn(rows: DataFrame, counts: DataFrame) -> Attention:
     """The model. ``rows``: doc_id and ids of the training documents; ``counts``: key and n of their subword ids."""
+    ship(rows.sparkSession)
     spark, end = rows.sparkSession, Subwords().size
     by_id = np.zeros(end + 1)
     for r in counts.collect():  # bounded by the vocabulary
@@ -434,6 +436,7 @@ def learn(rows: DataFrame, counts: DataFrame) -> Attention:
 
 def scored(docs: DataFrame) -> DataFrame:
     """Scores of all rows of ``docs`` (doc_id, text, train); learnt from those whose train is true."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = coded(docs.select("doc_id", "text", "train"))
     counts = staged(rows.where("kind <> 's'").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")

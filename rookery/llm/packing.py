@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, documents, rows_of, staged
+from ._util import arrow_batch, documents, rows_of, ship, staged
 
 SEQUENCE, BLOCK = 2048, 16_384
 _FOREIGN = regex.compile(r"[^\x00-ɏ‐-‧€]")
@@ -63,6 +63,7 @@ class Tokens:
 
 def tokenised(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    ship(docs.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,90 @@ class Bins:
         self.fill[b] += change
 
     def local_search(self, passes: int | None = None) -> None:
-        """Raise the sum of squared fills until no exchange does: bin b takes a longer document from an emptier bin for none, one or two of its own."""
+        """Raise the sum of squared fills until no move, one-for-one or two-for-one exchange between two bins does.
+
+        Quick passes come first, in which a bin takes a longer document from an emptier bin for none, one or two of its own; then passes over all exchanges.
+        """
+        self._quick(passes)
+        if passes is None:
+            while self._exchanges():
+                pass
+
+    def _offers(self, b: int) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+        """By their sum: one document of bin b, two of its documents."""
+        kinds: dict[int, list[int]] = {}
+        for y in self.bins[b]:
+            if len(kinds.setdefault(self.lengths[y], [])) < 2:
+                kinds[self.lengths[y]].append(y)
+        each, pairs = list(kinds.items()), {}
+        for i, (n, ys) in enumerate(each):
+            if len(ys) > 1:
+                pairs.setdefault(2 * n, ys)
+            for m, zs in each[:i]:
+                pairs.setdefault(n + m, [ys[0], zs[0]])
+        return {n: ys[:1] for n, ys in each}, pairs
+
+    def _exchanges(self) -> bool:
+        """One pass over all exchanges; whether any was made.
+
+        Bin b gains d = given by a - given by b, which raises the sum of squares if d > fill of a - fill of b. For every sum that some bin can give, the two
+        least filled bins are known, so the best partner of b is found by a minimum over the window of sums that fit its gap. A pass without
+        an exchange has seen the fills as they are.
+        """
+        under = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
+        top = 2 * self.capacity + 2
+        able: list[tuple[np.ndarray, np.ndarray]] = []  # for one and for two documents: least filled bin and second by the sum they give
+        kept = {b: self._offers(b) for b in under}
+        for two in (0, 1):
+            least, second = np.full(top, -1), np.full(top, -1)
+            for b in under:  # emptier bins first
+                sums = np.fromiter(kept[b][two], dtype=np.int64, count=len(kept[b][two]))
+                second[sums] = np.where((least[sums] >= 0) & (second[sums] < 0), b, second[sums])
+                least[sums] = np.where(least[sums] < 0, b, least[sums])
+            able.append((least, second))
+        fill, moved = np.array(self.fill), False
+        for b in under:
+            gap = self.capacity - self.fill[b]
+            if gap <= 0 or not self.fill[b]:
+                continue
+            one, pairs = self._offers(b)
+            for two, gives in ((0, {0: [], **one, **{t: p for t, p in pairs.items() if t not in one}}), (1, one)):
+                least, second = able[two]
+                partner = np.where(least == b, second, least)
+                need = np.where(partner >= 0, fill[partner] - np.arange(top), np.iinfo(np.int64).max)  # must be below fill of b - given by b
+                window, width = need, 1  # minima over [n, n + width)
+                while 2 * width <= gap:
+                    window = np.minimum(window, np.append(window[width:], np.full(width, np.iinfo(np.int64).max)))
+                    width *= 2
+                rest = gap - width
+                if rest:
+                    window = np.minimum(window, np.append(window[rest:], np.full(rest, np.iinfo(np.int64).max)))
+                given = np.fromiter(gives, dtype=np.int64, count=len(gives))
+                good = given[window[given + 1] < self.fill[b] - given]
+                if not len(good):
+                    continue
+                t = int(good[0])
+                n = t + 1 + int(need[t + 1 : t + 1 + gap].argmin())
+                a = int(partner[n])
+                out = self._offers(a)[two].get(n)
+                d = n - t
+                if out and d > self.fill[a] - self.fill[b]:  # else the table is behind an exchange of this pass
+                    self._swap(a, out, b, gives[t])
+                    moved = True
+                    fill[[a, b]] = self.fill[a], self.fill[b]
+                    break
+        return moved
+
+    def _swap(self, a: int, given: list[int], b: int, back: list[int]) -> None:
+        for source, target, docs in ((a, b, given), (b, a, back)):
+            for x in docs:
+                self.bins[source].remove(x)
+                self.bins[target].append(x)
+                self.of[x] = target
+                self.fill[source] -= self.lengths[x]
+                self.fill[target] += self.lengths[x]
+
+    def _quick(self, passes: int | None) -> None:
         for _ in itertools.count() if passes is None else range(passes):
             under = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b))
             have: list[list[int]] = [[] for _ in range(self.capacity + 1)]
@@ -195,6 +279,7 @@ def pack_block(lengths: list[int], capacity: int = SEQUENCE) -> tuple[list[int],
 
 def packed(pieces: DataFrame, capacity: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset. ``pieces`` must be a stored table."""
+    ship(pieces.sparkSession)
     part = pieces.where(F.col("length") < capacity)
     whole = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     blocks = max(1, -(-part.count() // block))

@@ -2,9 +2,11 @@
 
 The sketch is a count of rows per level, the levels being whole numbers of six significant bits (so within 3 % of the value, at any
 size): sketches merge by adding counts, grow with the logarithm of the values only, and give quantiles that do not depend on partitions or task
-order. It holds the rows that pass the base rules. A fence lies SPREADS spreads above the upper quartile; a spread is the distance of
-the quartiles, but no less than what EVENTS harmless occurrences make in a short text of the same group (one of lower-quartile size). The fence
-of a language is drawn towards that of all rows, and the fence of a language and source towards that of its language, with the
+order. It holds the rows that pass the base rules. A fence lies some spreads above a quantile of the sketch, a spread being the distance of that quantile from a
+lower one. Measures in which up to a fourth of the rows may be junk (symbols, words without blanks) use the quartiles; measures with a long tail of sound
+texts (repeated lines, repeated windows, capitals), whose quartiles are mostly 0, use the 0.99 and 0.9 quantiles. A spread is no less than what
+EVENTS harmless occurrences make in a short text of the same group (one of lower-quartile size), and this least spread no more than LEAST, so it cannot pass what a
+share can be. The fence of a language is drawn towards that of all rows, and the fence of a language and source towards that of its language, with the
 weight of SHRINK rows, so small groups lean on larger ones without a switch. Rows are then judged by joining the fences on language
 and source.
 
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from ._util import SPACE, documents, staged
 
-#: Fence parameters, rows that the wider group weighs, and the most fence rows that are broadcast.
-SPREADS, EVENTS, SHRINK, BROADCAST_ROWS = 5, 8, 200, 200_000
-#: Measure: count, size of the text it is related to, scale, and what one harmless occurrence adds to the count.
+#: Harmless occurrences, the most that they make up of a spread, rows that the wider group weighs, and the most fence rows that are broadcast.
+EVENTS, LEAST, SHRINK, BROADCAST_ROWS = 2, 100, 200, 200_000
+#: Lower and upper quantile (per mille), and tenths of spreads above the upper one.
+QUARTILES, TAIL = (250, 750, 50), (900, 990, 5)
+#: Measure: count, size of the text it is related to, scale, what one harmless occurrence adds to the count, and quantiles.
 MEASURES = {
-    "symbols": ("n_symbols", "chars", 1000, 1), "dup_lines": ("n_dup_lines", "lines", 1000, 1), "repeats": ("n_repeat_words", "words", 1000, 30),
-    "long_words": ("word_chars", "words", 50, 15), "capitals": ("n_capitals", "chars", 1000, 4),
+    "symbols": ("n_symbols", "chars", 1000, 1, QUARTILES), "dup_lines": ("n_dup_lines", "lines", 1000, 1, TAIL), "repeats": ("n_repeat_words", "words", 1000, 5, TAIL),
+    "long_words": ("word_chars", "words", 50, 5, QUARTILES), "capitals": ("n_capitals", "chars", 1000, 1, TAIL),
 }
 SIZES = {"chars": "word_chars", "words": "n_words", "lines": "n_lines"}
 
@@ -94,10 +98,12 @@ def fences(rows: DataFrame) -> DataFrame:
         merged = sketch.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*keys, "measure")
         ranked = merged.select(*keys, "measure", "value", F.sum("n").over(w.orderBy("value")).alias("upto"), F.sum("n").over(w).alias("total"))
-        at = lambda k, share: F.min(F.when((F.col("measure") == k) & (4 * F.col("upto") >= share * F.col("total")), F.col("value")))
-        wide = ranked.groupBy(*keys).agg(F.max("total").alias("n"), *[at(k, 1).alias(f"low_{k}") for k in names], *[at(k, 3).alias(f"high_{k}") for k in MEASURES])
-        least = lambda k: F.expr(f"{EVENTS * MEASURES[k][2] * MEASURES[k][3]} DIV greatest(1, low_{MEASURES[k][1]})")
-        return wide.select(*keys, "n", *[(F.col(f"high_{k}") + SPREADS * F.greatest(F.col(f"high_{k}") - F.col(f"low_{k}"), least(k))).alias(k) for k in MEASURES])
+        at = lambda k, share: F.min(F.when((F.col("measure") == k) & (1000 * F.col("upto") >= share * F.col("total")), F.col("value")))
+        wide = ranked.groupBy(*keys).agg(
+            F.max("total").alias("n"), *[at(k, 250).alias(f"low_{k}") for k in SIZES], *[at(k, m[4][0]).alias(f"low_{k}") for k, m in MEASURES.items()], *[at(k, m[4][1]).alias(f"high_{k}") for k, m in MEASURES.items()]
+        )
+        least = lambda k: f"least({LEAST}, {EVENTS * MEASURES[k][2] * MEASURES[k][3]} DIV greatest(1, low_{MEASURES[k][1]}))"
+        return wide.select(*keys, "n", *[F.expr(f"high_{k} + ({MEASURES[k][4][2]} * greatest(high_{k} - low_{k}, {least(k)})) DIV 10").alias(k) for k in MEASURES])
 
     drawn = lambda own, wider: F.expr(f"(n * {own} + {SHRINK} * {wider}) DIV (n + {SHRINK})")
     every = fence([]).first()  # one row of numbers
@@ -151,9 +157,10 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 p AS (SELECT lang, source, {names} FROM m WHERE NOT base_failed),
 u AS (SELECT lang, source, measure, value - value % (1::BIGINT << greatest(0, length(bin(value)) - 6)) AS value FROM (UNPIVOT p ON {names} INTO NAME measure VALUE value)),
 t AS (SELECT lang, source, 2 AS depth, measure, value FROM u UNION ALL SELECT lang, NULL, 1, measure, value FROM u UNION ALL SELECT NULL, NULL, 0, measure, value FROM u),
-q AS (SELECT lang, source, depth, measure, count(*) AS n, quantile_disc(value, 0.25) AS low, quantile_disc(value, 0.75) AS high FROM t GROUP BY ALL),
-v AS (SELECT a.lang, a.source, a.depth, a.measure, a.n, a.high + {spreads} * greatest(a.high - a.low, e.least // greatest(1, z.low)) AS fence
-  FROM q a JOIN (VALUES {least}) e(measure, size, least) USING (measure)
+q AS (SELECT lang, source, depth, measure, count(*) AS n, quantile_disc(value, 0.25) AS small, quantile_disc(value, [0.25, 0.75]) AS quartiles, quantile_disc(value, [0.9, 0.99]) AS tail FROM t GROUP BY ALL),
+v AS (SELECT a.lang, a.source, a.depth, a.measure, a.n, CASE WHEN e.tailed THEN a.tail[2] + 5 * greatest(a.tail[2] - a.tail[1], least({least_spread}, e.least // greatest(1, z.small))) // 10
+    ELSE a.quartiles[2] + 5 * greatest(a.quartiles[2] - a.quartiles[1], least({least_spread}, e.least // greatest(1, z.small))) END AS fence
+  FROM q a JOIN (VALUES {least}) e(measure, size, least, tailed) USING (measure)
   JOIN q z ON z.measure = e.size AND z.depth = a.depth AND z.lang IS NOT DISTINCT FROM a.lang AND z.source IS NOT DISTINCT FROM a.source),
 lf AS (SELECT v.lang, v.measure, (v.n * v.fence + {shrink} * a.fence) // (v.n + {shrink}) AS fence FROM v JOIN v a ON v.depth = 1 AND a.depth = 0 AND a.measure = v.measure),
 f AS (SELECT v.lang, v.source, v.measure, (v.n * v.fence + {shrink} * lf.fence) // (v.n + {shrink}) AS fence
@@ -162,8 +169,8 @@ x AS (SELECT lang, source, {fences} FROM f GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {fine}, false) AS kept, {measures}, {limits}
 FROM m LEFT JOIN x ON m.lang IS NOT DISTINCT FROM x.lang AND m.source IS NOT DISTINCT FROM x.source
 """.format(
-    spreads=SPREADS, shrink=SHRINK, names=", ".join([*MEASURES, *SIZES]), measures=", ".join(MEASURES), limits=", ".join(f"fence_{k}" for k in MEASURES),
-    ratios=", ".join(f"coalesce({c} * {scale} // nullif({SIZES[size]}, 0), 0)::BIGINT AS {k}" for k, (c, size, scale, _) in MEASURES.items()),
-    least=", ".join(f"('{k}', '{size}', {EVENTS * scale * harmless})" for k, (_, size, scale, harmless) in MEASURES.items()),
+    least_spread=LEAST, shrink=SHRINK, names=", ".join([*MEASURES, *SIZES]), measures=", ".join(MEASURES), limits=", ".join(f"fence_{k}" for k in MEASURES),
+    ratios=", ".join(f"coalesce({c} * {scale} // nullif({SIZES[size]}, 0), 0)::BIGINT AS {k}" for k, (c, size, scale, *_) in MEASURES.items()),
+    least=", ".join(f"('{k}', '{size}', {EVENTS * scale * harmless}, {quantiles is TAIL})" for k, (_, size, scale, harmless, quantiles) in MEASURES.items()),
     fences=", ".join(f"max(fence) FILTER (WHERE measure = '{k}')::BIGINT AS fence_{k}" for k in MEASURES), fine=" AND ".join(f"{k} <= fence_{k}" for k in MEASURES),
 )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import documents, partitions, staged
+from ._util import documents, partitions, ship, staged
 
 RADIUS, BLOCKS = 3, 5
 _SPACE = np.zeros(256, dtype=bool)
@@ -86,6 +86,7 @@ def _signed(x: int) -> int:
 
 def with_successor(docs: DataFrame) -> DataFrame:
     """fingerprints of each text and of its text edited with the next document's beginning."""
+    ship(docs.sparkSession)
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("bigint").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     # n - 1 bounds from a mergeable quantile summary, and the least key of each range: both of a fixed size

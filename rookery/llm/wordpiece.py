@@ -21,9 +21,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._util import arrow_batch, documents, rows_of
+from ._util import arrow_batch, documents, rows_of, ship
 
-MEMO = 1 << 18
+#: Characters kept per task of words already counted, an entry counting as ENTRY more, and the longest word that is kept.
+MEMO, ENTRY, MEMO_WORD = 1 << 25, 100, 64
 _NONE = -1
 
 
@@ -99,12 +100,16 @@ class LongestMatch:
 
 class _Lengths(dict):
     def __init__(self, automaton: LongestMatch):
-        self.automaton = automaton
+        self.automaton, self.used = automaton, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[word] = self.automaton.length(word)
+        n = self.automaton.length(word)
+        if len(word) <= MEMO_WORD:
+            self.used += ENTRY + len(word)
+            if self.used > MEMO:
+                self.clear()
+                self.used = ENTRY + len(word)
+            self[word] = n
         return n
 
 
@@ -119,6 +124,7 @@ def vocabulary(path: str | None = None) -> tuple[list[str], list[str]]:
 
 def counted(docs: DataFrame, automaton: LongestMatch) -> DataFrame:
     """doc_id, n_words and n_pieces of each text; words are runs of anything but ASCII white space."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automaton)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import itertools
 import random
 import zlib
 
@@ -171,3 +172,44 @@ def test_local_search_sees_all_exchanges():
     few.capacity = few.fill[0] + 1
     few.local_search(1)
     assert few.fill[0] == few.capacity and 14 in few.bins[0] and {12, 13} <= set(few.bins[1])
+
+
+def improving(bins):
+    """An exchange (a, given, b, back) that raises the sum of squared fills, by trying all of them."""
+    parts = lambda b, sizes: [c for k in sizes for c in itertools.combinations(bins.bins[b], k)]
+    size = lambda docs: sum(bins.lengths[x] for x in docs)
+    for a, b in itertools.permutations([b for b in range(len(bins.bins)) if 0 < bins.fill[b] < bins.capacity], 2):
+        for given in parts(a, (1, 2)):
+            for back in parts(b, (0, 1, 2) if len(given) == 1 else (1,)):
+                d = size(given) - size(back)
+                if 0 < d <= bins.capacity - bins.fill[b] and d > bins.fill[a] - bins.fill[b]:
+                    return a, given, b, back
+    return None
+
+
+def test_no_exchange_is_left():
+    rng = random.Random(3)
+    for trial in range(60):
+        n, top = rng.choice([(2, 2000), (30, 2047), (60, 1200), (60, 700), (25, 300)])
+        bins = packing.Bins([rng.randint(1, top) for _ in range(n)], 2048)
+        if trial % 2:
+            bins.best_fit()
+        else:  # from a bad start
+            bins.bins = [[x] for x in range(n)]
+            bins.fill, bins.of = list(bins.lengths), list(range(n))
+        bins.local_search()
+        assert improving(bins) is None
+        assert sorted(x for b in bins.bins for x in b) == list(range(n))
+        assert all(sum(bins.lengths[x] for x in b) == f <= 2048 for b, f in zip(bins.bins, bins.fill))
+        assert all(bins.of[x] == i for i, b in enumerate(bins.bins) for x in b)
+
+
+def test_exchanges_in_both_directions():
+    two_for_one = packing.Bins([1000, 900, 520, 500], 2048)  # 520 + 500 of the emptier bin for 900
+    two_for_one.bins, two_for_one.fill, two_for_one.of = [[0, 1], [2, 3]], [1900, 1020], [0, 0, 1, 1]
+    two_for_one.local_search()
+    assert sorted(two_for_one.fill, reverse=True)[0] == 2020
+    to_the_emptier = packing.Bins([1900, 100, 148], 2048)  # the emptier bin of two ends up the fuller one
+    to_the_emptier.bins, to_the_emptier.fill, to_the_emptier.of = [[0, 1], [2]], [2000, 148], [0, 0, 1]
+    to_the_emptier.local_search()
+    assert max(to_the_emptier.fill) == 2048
