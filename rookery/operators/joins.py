@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..session import staged
+from .windows import global_numbers
 
 
 @query("j01_lookup", "v_application", "v_candidate", sql="SELECT application_id, a.candidate_id, c.name, a.status FROM v_application a LEFT JOIN v_candidate c USING (candidate_id)")
@@ -83,6 +85,8 @@ def array_membership(records: DataFrame, candidates: DataFrame) -> DataFrame:
     return ids.join(candidates, "candidate_id", "left").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
+#: Numbers of a bitmap of Spark's bitmap functions.
+BUCKET = 32768
 #: Most rows that may be selected on the left of new pairs.
 MOST_SELECTED = 1000
 
@@ -90,11 +94,10 @@ MOST_SELECTED = 1000
 @query("j11_new_pairs", "region", "nation", "customer", sql="""SELECT r_regionkey, n_nationkey FROM region, nation WHERE (r_regionkey, n_nationkey) NOT IN (SELECT n_regionkey, n_nationkey FROM nation)""")
 def new_pairs(left: DataFrame, right: DataFrame, _customers: DataFrame) -> DataFrame:
     """All pairs of two selected small sets except the existing ones."""
-    some = left.agg(F.collect_set("r_regionkey").alias("l"))  # the selected left side is a short list, checked below
-    chosen = some.select(F.size("l").alias("n"), "l").first()
-    if chosen["n"] > MOST_SELECTED:
+    chosen = [r[0] for r in left.select("r_regionkey").distinct().limit(MOST_SELECTED + 1).collect()]
+    if len(chosen) > MOST_SELECTED:
         raise ValueError(f"at most {MOST_SELECTED} rows can be selected on the left")
-    pairs = right.select("n_nationkey", F.explode(F.array(*[F.lit(x) for x in sorted(chosen["l"])])).alias("r_regionkey")) if chosen["n"] else right.select("n_nationkey", F.lit(None).cast("int").alias("r_regionkey")).limit(0)
+    pairs = right.select("n_nationkey", F.explode(F.array(*[F.lit(x) for x in sorted(chosen)])).alias("r_regionkey")) if chosen else right.select("n_nationkey", F.lit(None).cast("int").alias("r_regionkey")).limit(0)
     known = right.select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey")
     return pairs.select("r_regionkey", "n_nationkey").join(known, ["r_regionkey", "n_nationkey"], "left_anti")
 
@@ -141,46 +144,77 @@ _SCORE = "0.4 * {common} / {own} + CASE WHEN a.department = b.department THEN 0.
 def similar_jobs(jobs: DataFrame, limit: int = 5) -> DataFrame:
     """0.4 skill share of the asked job + 0.3 department + 0.3 city. Asked jobs: ids divisible by 20.
 
-    Scores come from matching attributes: each side is exploded into attributes and their weights are summed per pair.
+    Jobs with equal skills, department and city are one class, so pairs are formed of classes. An asked class first meets those of its department and city; its
+    k-th score there is a floor. Its attributes are then taken off from the most frequent on as long as their weights together stay below the floor: who
+    shares only these cannot reach it, so their lists are not read. Classes that share another attribute are scored in full.
     """
-    def attributes(df: DataFrame) -> DataFrame:
-        weight = 0.4 / F.size("skills")
-        kinds = F.concat(F.transform(F.array_distinct("skills"), lambda s: F.struct(F.concat(F.lit("s:"), s).alias("key"), weight.alias("w"))),
-                         F.array(F.struct(F.concat(F.lit("d:"), "department").alias("key"), F.lit(0.3).alias("w")), F.struct(F.concat(F.lit("c:"), "city").alias("key"), F.lit(0.3).alias("w"))))
-        return df.select("job_id", F.inline(kinds))
-
-    asked = attributes(jobs.where("job_id % 20 = 0"))
-    other = attributes(jobs).select(F.col("job_id").alias("other_id"), "key")
-    scores = asked.join(other, "key").where("job_id <> other_id").groupBy("job_id", "other_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("job_id").orderBy(F.desc("score"), "other_id")).cast("bigint")
-    return scores.withColumn("k", rank).where(F.col("k") <= limit).select("job_id", "other_id", "score", "k")
+    own = F.array_sort(F.array_distinct("skills"))
+    rows = jobs.select("job_id", own.alias("s"), F.size("skills").alias("own"), "department", "city")
+    kind = F.xxhash64("s", "department", "city")  # names a class together with what it stands for
+    named = staged(rows.withColumn("cls", F.struct(kind.alias("h"), "s", "department", "city")), "similar-jobs")
+    members = named.withColumn("place", numbered_in("cls", ["job_id"])).where(F.col("place") <= limit + 1)  # one of them may be the asked job
+    classes = staged(members.groupBy("cls").agg(F.sort_array(F.collect_list("job_id")).alias("ids")).select(F.xxhash64("cls").alias("id"), "cls.s", "cls.department", "cls.city", "ids"), "similar-classes")
+    asked = named.where("job_id % 20 = 0").select("job_id", F.xxhash64("cls").alias("id"), "s", "own", "department", "city")
+    askers = staged(asked.select("id", "own", "s", "department", "city").distinct(), "similar-asked")
+    other = classes.select(F.col("id").alias("other"), F.col("s").alias("os"), F.col("department").alias("od"), F.col("city").alias("oc"), "ids")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        same = lambda x, y: F.when(F.col(x) == F.col(y), 0.3).otherwise(0.0)
+        score = F.round(F.coalesce(0.4 * F.size(F.array_intersect("s", "os")) / F.col("own"), F.lit(0.0)) + same("department", "od") + same("city", "oc"), 6)
+        return pairs.select("id", "own", "other", score.alias("score"), "ids").where("score > 0")
+
+    def best(hits: DataFrame, most: int) -> DataFrame:
+        each = hits.select("id", "own", "score", F.explode("ids").alias("other_id"))
+        return each.withColumn("r", numbered_in(["id", "own"], [F.desc("score"), "other_id"])).where(F.col("r") <= most)
+
+    near = staged(scored(askers.join(other, (F.col("department") == F.col("od")) & (F.col("city") == F.col("oc")))), "similar-near")
+    floors = best(near, limit + 1).where(F.col("r") == limit + 1).select("id", "own", F.col("score").alias("floor"))
+
+    attributes = lambda df, *more: df.select(*more, F.explode(F.concat(F.transform("s", lambda x: F.concat(F.lit("s:"), x)), F.array(F.concat(F.lit("d:"), "department"), F.concat(F.lit("c:"), "city")))).alias("key"))
+    lists = attributes(classes, "id")
+    sizes = lists.groupBy("key").agg(F.count("*").alias("n"))
+    wanted = attributes(askers, "id", "own").where("key IS NOT NULL").join(sizes, "key").join(floors, ["id", "own"], "left")
+    weight = F.when(F.col("key").startswith("s:"), 0.4 / F.col("own")).otherwise(0.3)
+    upto = F.sum(weight).over(W.partitionBy("id", "own").orderBy(F.desc("n"), "key").rowsBetween(W.unboundedPreceding, 0))
+    read = wanted.withColumn("upto", upto).where(F.col("upto") + 1e-6 >= F.coalesce("floor", F.lit(0.0))).select("id", "own", "key")
+    pairs = read.join(lists.select(F.col("id").alias("other"), "key"), "key").select("id", "own", "other").distinct().join(near.select("id", "own", "other"), ["id", "own", "other"], "left_anti")
+    rest = scored(pairs.join(askers, ["id", "own"]).join(other, "other"))
+    top = best(near.unionByName(rest), limit + 1).select("id", "own", "score", "other_id")
+    found = asked.select("job_id", "id", "own").join(top, ["id", "own"]).where("job_id <> other_id")
+    return found.withColumn("k", numbered_in("job_id", [F.desc("score"), "other_id"])).where(F.col("k") <= limit).select("job_id", "other_id", "score", "k")
+
+
+def numbered_in(by: str | list[str], order: list) -> Column:
+    return F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("bigint")
 
 
 @query("j17_first_disjoint", "v_job", sql="""SELECT a.job_id, min(b.job_id) AS negative_id FROM v_job a JOIN v_job b ON a.job_id <> b.job_id AND len(list_intersect(a.skills, b.skills)) = 0 WHERE len(a.skills) > 0 AND len(b.skills) > 0 GROUP BY 1""")
-def first_disjoint(jobs: DataFrame, block: int = 200) -> DataFrame:
+def first_disjoint(jobs: DataFrame) -> DataFrame:
     """The first other job with no skill in common, decided once per distinct skill set.
 
-    Skill sets are tried in the order of their first job, ``block`` of them at a time as constants of the plan; only sets that none of them suits
-    go on to the next block, so pairs of sets are not formed.
+    Skill sets are numbered by their first job. Every skill has bitmaps over the numbers of the sets that hold it, one for each bucket of BUCKET numbers. The
+    answer for a set is the first zero bit of the union of its skills' bitmaps. Counts tell beforehand which buckets matter: none behind the
+    first in which the skills together hold fewer sets than there are, and none in which one skill holds them all. Pairs of sets are not formed.
     """
     sets = jobs.where(F.size("skills") > 0).withColumn("s", F.array_sort(F.array_distinct("skills")))
-    groups = sets.groupBy("s").agg(F.min("job_id").alias("first_id"))
-    left, found, last = groups.select("s"), None, None
-    while True:
-        some = (groups if last is None else groups.where(F.col("first_id") > last)).orderBy("first_id").limit(block).collect()
-        if not some:
-            break
-        last = some[-1]["first_id"]
-        tried = F.array(*[F.struct(F.lit(r["first_id"]).alias("id"), F.array(*[F.lit(x) for x in r["s"]]).alias("s")) for r in some])
-        answered = left.withColumn("negative_id", F.get(F.filter(tried, lambda c: ~F.arrays_overlap(c["s"], F.col("s"))), F.lit(0))["id"])
-        hits = answered.where("negative_id IS NOT NULL")
-        found = hits if found is None else found.unionByName(hits)
-        left = answered.where("negative_id IS NULL").select("s")
-        if len(some) < block or left.isEmpty():
-            break
-    if found is None:
-        return sets.select("job_id", F.col("job_id").alias("negative_id")).limit(0)
-    return sets.join(found, "s").select("job_id", "negative_id")
+    groups = staged(global_numbers(sets.groupBy("s").agg(F.min("job_id").alias("first_id")), ["first_id"]).withColumn("number", F.col("number") + 1), "skill-sets")
+    bucket = F.bitmap_bucket_number("number")
+    member = groups.select("number", F.explode("s").alias("skill"))
+    maps = staged(member.groupBy("skill", bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.count("*").alias("n")), "skill-maps")
+    totals = groups.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("total"))
+    every = groups.select("number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, -(-groups.count() // BUCKET))).cast("bigint"))).alias("bucket"))
+    held = member.join(maps.select("skill", "bucket", "n"), "skill").groupBy("number", "bucket").agg(F.sum("n").alias("together"), F.max("n").alias("largest"))
+    seen = every.join(totals, "bucket").join(held, ["number", "bucket"], "left").fillna(0, ["together", "largest"])
+    sure = F.min(F.when(F.col("together") < F.col("total"), F.col("bucket"))).over(W.partitionBy("number"))
+    open_ = seen.withColumn("sure", sure).where("largest < total AND bucket <= coalesce(sure, bucket)").select("number", "bucket", "total")
+    union = open_.join(member, "number").join(maps.drop("n"), ["skill", "bucket"], "left").groupBy("number", "bucket", "total").agg(F.bitmap_or_agg("bits").alias("bits"))
+    full = F.length(F.regexp_extract(F.hex("bits"), "^(?:FF)*", 0)) / 2  # bytes without a zero bit
+    byte = F.conv(F.substring(F.hex("bits"), (2 * full + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    bit = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("shiftright", byte, i).bitwiseAND(F.lit(1))), 0) - 1
+    place = (8 * full + bit).cast("bigint")
+    answers = union.withColumn("place", place).where(F.col("place") < F.col("total")).groupBy("number").agg(F.min((F.col("bucket") - 1) * BUCKET + F.col("place") + 1).alias("answer"))
+    found = answers.join(groups.select(F.col("number").alias("answer"), F.col("first_id").alias("negative_id")), "answer").join(groups.select("number", "s"), "number")
+    return sets.join(found.select("s", "negative_id"), "s").select("job_id", "negative_id")
 
 
 @query("j18_dangling_rows", "v_embedding", "v_paragraph", sql="SELECT id, paragraph_id FROM v_embedding WHERE paragraph_id * 97 NOT IN (SELECT document_id FROM v_paragraph)")

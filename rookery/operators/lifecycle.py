@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..session import staged
 from .windows import numbered
 
 
@@ -174,11 +175,24 @@ def feedback_to_knowledge(turns: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 
 @query("m20_folder_closure", "v_folder", sql="""WITH RECURSIVE t AS (SELECT id, id AS ancestor, 0 AS depth FROM v_folder UNION ALL SELECT t.id, f.parent_id, depth + 1 FROM t JOIN v_folder f ON f.id = t.ancestor WHERE f.parent_id IS NOT NULL) SELECT id, ancestor, depth::BIGINT AS depth FROM t""")
-def folder_closure(folders: DataFrame, most: int = 50) -> DataFrame:
-    """(id, ancestor, depth) of a parent-pointer tree as a recursive query; a tree deeper than Spark's recursion limit fails."""
-    return folders.sparkSession.sql(
-        """WITH RECURSIVE t (id, ancestor, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM {folders}
-        UNION ALL SELECT t.id, f.parent_id, t.depth + 1 FROM t JOIN {folders} f ON f.id = t.ancestor WHERE f.parent_id IS NOT NULL) SELECT id, ancestor, depth FROM t""", folders=folders)
+def folder_closure(folders: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of a parent-pointer tree by doubling: after k rounds all ancestors nearer than 2^k are known, so the joins are log2 of the depth.
+
+    A folder with an ancestor further away than there are folders lies on or below a cycle, which is an error.
+    """
+    folders = staged(folders.select("id", "parent_id"), "folders")
+    count = folders.count()
+    jump = folders.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up"))
+    every = folders.select("id").unionByName(jump.select(F.col("up").alias("id"))).distinct()
+    known, reach = every.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth")), 1
+    while not jump.isEmpty():
+        if reach > count:
+            raise ValueError(f"folders in a cycle, or below one: {[r['id'] for r in jump.orderBy('id').limit(5).collect()]}")
+        beyond = jump.join(known.select(F.col("id").alias("up"), "ancestor", "depth"), "up").select("id", "ancestor", (F.col("depth") + reach).alias("depth"))
+        known = staged(known.unionByName(beyond), "folder-closure")
+        jump = staged(jump.alias("a").join(jump.select(F.col("id").alias("up"), F.col("up").alias("further")), "up").select("id", F.col("further").alias("up")), "folder-jumps")
+        reach *= 2
+    return known.join(folders.select("id"), "id", "left_semi")
 
 
 @query("m21_permission_union", "v_job", "v_grant", sql="SELECT job_id, user_id, coalesce(granted, 'ROLE') AS granted FROM v_job LEFT JOIN (SELECT target, min(user_id) AS user_id, CASE WHEN bool_or(list_contains(permission_list, 'MANAGE')) THEN 'MANAGE' ELSE 'VIEW' END AS granted FROM v_grant WHERE user_id % 3 = 0 GROUP BY 1) ON target = job_id")

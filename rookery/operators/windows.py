@@ -7,12 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..session import staged
 
 
 def numbered(*keys: str, order: list) -> Column:
     return F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")
 
 
+def global_numbers(df: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """``df`` with its place in the order from 0: places in sorted ranges plus the rows of earlier ranges (one count per range)."""
+    at = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbers")
+    at = at.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = at.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    return at.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_at", "_range", "_place", "_before")
+
+
 @query("w01_latest_label", "v_usage", sql="""SELECT chat_user_id, chat_user_type, asker FROM (SELECT *, row_number() OVER (PARTITION BY chat_user_id, chat_user_type ORDER BY create_time DESC, id) AS k
     FROM v_usage WHERE chat_user_id IS NOT NULL) WHERE k = 1""")
 def latest_label(usage: DataFrame) -> DataFrame:

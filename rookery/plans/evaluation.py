@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.windows import numbered
 from ..registry import query
+from ..session import staged
 from ..functions.queries import MASKED_SQL
 from .chunking import SUPPLIED_SQL, joined_lines, supplied_ranges
-from .keywords import keyword_search
+from .keywords import keyword_index, keyword_search
 from .retrieval import _RRF, K, _dense_sql, _leg, dense_search, fused
-from .tokens import postings, tokens
+from .tokens import tokens
 
 # targets of a query are the two groups of 16 vectors from its own on; a hit counts for the group of its paragraph
 _MODES = f"""{_dense_sql()}, {_RRF}, a AS (SELECT 'dense' AS mode, query_id, paragraph_id, score FROM d1 UNION ALL SELECT 'sparse', query_id, paragraph_id, score FROM x UNION ALL SELECT 'fused', query_id, paragraph_id, rrf FROM f),
@@ -34,8 +35,8 @@ def target_ranks(hits: DataFrame, targets: DataFrame, k: int = K) -> DataFrame:
 
 def ranked_modes(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
     """``target_ranks`` of the dense, the keyword and the fused mode."""
-    dense = dense_search(rows, queries).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
-    sparse = _leg(documents, asked).select("query_id", "paragraph_id", "score")
+    dense = staged(dense_search(rows, queries).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score")), "dense-leg")
+    sparse = staged(_leg(documents, asked).select("query_id", "paragraph_id", "score"), "sparse-leg")
     legs = {"dense": dense, "sparse": sparse, "fused": fused([dense, sparse]).select("query_id", "paragraph_id", F.col("rrf").alias("score"))}
     every = [leg.select(F.lit(mode).alias("mode"), "query_id", "paragraph_id", "score") for mode, leg in legs.items()]
     ranked = every[0].unionByName(every[1]).unionByName(every[2]).withColumn("rank", numbered("mode", "query_id", order=[F.desc(F.round("score", 12)), "paragraph_id"]))
@@ -81,7 +82,7 @@ def anchor_grounding(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """
     words = tokens("text")
     phrase = F.concat(F.lit('"'), F.array_join(F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words), " "), F.lit('"'))
-    index = postings(documents.select(F.col("document_id").alias("paragraph_id"), "content"), "paragraph_id", "content")
+    index = keyword_index(documents, "document_id")
     near = keyword_search(index, queries.select("query_id", phrase.alias("query")), None).select("query_id", F.col("paragraph_id").alias("document_id"))
     held = near.join(queries.select("query_id", "text"), "query_id").join(documents.select("document_id", "content", "is_active"), "document_id").where(F.col("content").contains(F.col("text")))
     counts = held.groupBy("query_id").agg(F.count("*").alias("targets"), F.bool_or("is_active").alias("active"))

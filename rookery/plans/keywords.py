@@ -1,16 +1,51 @@
-"""Keyword search over postings: groups of literals, phrases, negation, cover density."""
+"""Keyword search over a stored posting table: groups of literals, phrases, negation, cover density.
+
+The table is written once per corpus. A posting's impact is the number of places of its token in the paragraph; the postings of a token with one
+impact are a block, and a second table holds the number of postings of each block. No paragraph can score more for a group than its rarest token's impact
+allows, so the blocks of that token are read from the highest impact down: first enough of them to fill the k best, then only those whose bound reaches the k-th score.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.windows import numbered
 from ..registry import query
-from ..session import ship
+from ..session import ship, staged, stored
 from .tokens import postings, tokens
 
 K = 5
+#: Postings that are read before the k-th score is taken as a floor, as a multiple of k; slack for rounding.
+FIRST_READ, SLACK = 8, 1e-9
+
+
+class KeywordIndex(NamedTuple):
+    """postings: token, impact, paragraph_id, positions, sorted; blocks: token, impact, n."""
+
+    postings: DataFrame
+    blocks: DataFrame
+
+
+def keyword_index(rows: DataFrame, key: str = "paragraph_id", text: str = "content") -> KeywordIndex:
+    """The stored index of ``rows``, built when first asked for."""
+    return KeywordIndex(*stored(rows.select(F.col(key).alias("paragraph_id"), F.col(text).alias("content")), "keywords", _build))
+
+
+def _build(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = postings(rows, "paragraph_id", "content").select("token", F.size("positions").alias("impact"), "paragraph_id", "positions")
+    order = ["token", F.desc("impact"), "paragraph_id"]  # a frequent token spreads over many files
+    table = staged(found.repartitionByRange(*order).sortWithinPartitions(*order), "keyword-postings")
+    return table, staged(table.groupBy("token", "impact").agg(F.count("*").alias("n")), "keyword-blocks")
+
+
+def score_bound(impact: Column, literals: Column) -> Column:
+    """No group scores more: each place of a token is in one minimal cover per literal at most, and a cover gives 0.1 at most."""
+    x = 0.1 * impact * literals
+    return x / (x + 1)
 
 
 def cover_density(lists: list[list[int]]) -> float:
@@ -43,18 +78,9 @@ def literals(queries: DataFrame) -> DataFrame:
     return once.select("query_id", "grp", "lit", "neg", F.size("toks").alias("size"), F.posexplode("toks").alias("seq", "token"))
 
 
-def keyword_search(index: DataFrame, queries: DataFrame, k: int | None = K, threshold: float = 0.0) -> DataFrame:
-    """query_id, paragraph_id, score, rank: paragraphs for which a group of the query holds; the cover density of its best group is the score.
-
-    ``index``: paragraph_id, token, positions; ``queries``: query_id, query. A group is looked up by its rarest token first, so frequent tokens
-    are only met in paragraphs that hold the rarest. A phrase stands at the place of its first token. Without ``k`` all hits are returned.
-    """
-    ship(index.sparkSession)
-    lits = literals(queries)
-    own = index.join(lits.select("token").distinct(), "token", "left_semi")
-    counts = own.groupBy("token").agg(F.count("*").alias("n"))
-    rare = lits.where("NOT neg").join(counts, "token").groupBy("query_id", "grp").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    met = rare.join(own.select("token", "paragraph_id"), "token").select("query_id", "grp", "paragraph_id").join(lits, ["query_id", "grp"]).join(own, ["paragraph_id", "token"])
+def _scored(met: DataFrame, lits: DataFrame, own: DataFrame) -> DataFrame:
+    """query_id, paragraph_id, score of the best group that holds. ``met``: query_id, grp, paragraph_id to look at."""
+    met = met.join(lits, ["query_id", "grp"]).join(own, ["paragraph_id", "token"])
     held = met.groupBy("query_id", "grp", "lit", "neg", "size", "paragraph_id").agg(F.array_sort(F.collect_list(F.struct("seq", "positions"))).alias("l")).where(F.size("l") == F.col("size"))
     spots = F.filter(F.get("l", F.lit(0))["positions"], lambda p: F.forall("l", lambda x: F.array_contains(x["positions"], p + x["seq"])))
     held = held.withColumn("spots", spots).where(F.size("spots") > 0)
@@ -62,8 +88,39 @@ def keyword_search(index: DataFrame, queries: DataFrame, k: int | None = K, thre
     groups = held.groupBy("query_id", "grp", "paragraph_id").agg(F.count_if(~F.col("neg")).alias("found"), F.bool_or("neg").alias("out"), F.array_sort(F.collect_list(F.when(~F.col("neg"), F.struct("lit", "spots")))).alias("l"))
     groups = groups.join(wanted, ["query_id", "grp"]).where("found = wanted AND NOT out").select("query_id", "paragraph_id", F.transform("l", lambda x: x["spots"]).alias("lists"))
     dense = F.pandas_udf(lambda s: s.map(lambda lists: cover_density([list(x) for x in lists])), "double")
-    scored = groups.withColumn("score", dense("lists")).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score")).where(F.col("score") > threshold)
-    ranked = scored.withColumn("rank", numbered("query_id", order=[F.desc(F.round("score", 12)), "paragraph_id"]))
+    return groups.withColumn("score", dense("lists")).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
+
+
+def read_order(index: KeywordIndex, lits: DataFrame) -> DataFrame:
+    """query_id, grp, token, impact, n, earlier (postings in blocks before), bound: the blocks of each group's rarest token."""
+    mine = index.blocks.join(F.broadcast(lits.select("token").distinct()), "token", "left_semi") if lits.select("token").distinct().limit(10_001).count() <= 10_000 else index.blocks.join(lits.select("token").distinct(), "token", "left_semi")
+    sizes = mine.groupBy("token").agg(F.sum("n").alias("df"))
+    rare = lits.where("NOT neg").join(sizes, "token").groupBy("query_id", "grp").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.count_distinct("lit").alias("literals"))
+    down = W.partitionBy("query_id", "grp").orderBy(F.desc("impact")).rowsBetween(W.unboundedPreceding, 0)
+    return rare.join(mine, "token").select("query_id", "grp", "token", "impact", "n", (F.sum("n").over(down) - F.col("n")).alias("earlier"), score_bound(F.col("impact"), F.col("literals")).alias("bound"))
+
+
+def keyword_search(index: KeywordIndex, queries: DataFrame, k: int | None = K, threshold: float = 0.0) -> DataFrame:
+    """query_id, paragraph_id, score, rank: paragraphs for which a group of the query holds; the cover density of its best group is the score.
+
+    ``queries``: query_id, query. A group is looked up by its rarest token, so frequent tokens are only met in paragraphs that hold the rarest. A phrase
+    stands at the place of its first token. Without ``k`` all hits above the threshold are returned.
+    """
+    ship(index.postings.sparkSession)
+    lits = staged(literals(queries), "keyword-literals")
+    blocks = staged(read_order(index, lits).where(F.col("bound") + SLACK > threshold), "keyword-blocks-asked")
+    own = staged(index.postings.join(lits.select("token").distinct(), "token", "left_semi"), "keyword-asked")
+    places = own.select("token", "impact", "paragraph_id")
+    own = own.select("token", "paragraph_id", "positions")
+    met = lambda some: places.join(some.select("query_id", "grp", "token", "impact"), ["token", "impact"]).select("query_id", "grp", "paragraph_id")
+    if k is None:
+        scored = _scored(met(blocks), lits, own)
+    else:
+        first = staged(_scored(met(blocks.where(F.col("earlier") < FIRST_READ * k)), lits, own), "keyword-first")
+        floor = first.withColumn("r", numbered("query_id", order=[F.desc("score")])).where(F.col("r") == k).select("query_id", F.col("score").alias("floor"))
+        rest = blocks.where(F.col("earlier") >= FIRST_READ * k).join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")))
+        scored = first.unionByName(_scored(met(rest), lits, own)).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
+    ranked = scored.where(F.col("score") > threshold).withColumn("rank", numbered("query_id", order=[F.desc(F.round("score", 12)), "paragraph_id"]))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
@@ -90,16 +147,16 @@ _SQL = keyword_sql("v_paragraph", "paragraph_id", "content")
 
 @query("v02_keyword_search", "v_paragraph", "v_keyword_query", sql=f"WITH {_SQL}, {RANKED_SQL} SELECT query_id, paragraph_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5")
 def v02(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    return keyword_search(postings(paragraphs, "paragraph_id", "content"), queries).withColumn("score", F.round("score", 6))
+    return keyword_search(keyword_index(paragraphs), queries).withColumn("score", F.round("score", 6))
 
 
 @query("v02b_keyword_search_all_hits", "v_paragraph", "v_keyword_query", sql=f"WITH {_SQL} SELECT query_id, paragraph_id, round(score, 6) AS score FROM x WHERE score > 0.1")
 def v02b(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    return keyword_search(postings(paragraphs, "paragraph_id", "content"), queries, None, 0.1).select("query_id", "paragraph_id", F.round("score", 6).alias("score"))
+    return keyword_search(keyword_index(paragraphs), queries, None, 0.1).select("query_id", "paragraph_id", F.round("score", 6).alias("score"))
 
 
 @query("v22_retrieval_log", "v_paragraph", "v_keyword_query", sql=f"WITH {_SQL} SELECT query_id, length(any_value(query)) AS query_length, 5 AS k, 'phrase' AS mode, count(paragraph_id) AS hits, round(max(score), 6) AS best FROM v_keyword_query LEFT JOIN x USING (query_id) GROUP BY 1")
 def retrieval_log(paragraphs: DataFrame, queries: DataFrame, k: int = K, mode: str = "phrase") -> DataFrame:
     """Length, settings, hits and best score, never the text of the query."""
-    hits = keyword_search(postings(paragraphs, "paragraph_id", "content"), queries, None).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
+    hits = keyword_search(keyword_index(paragraphs), queries, None).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
     return queries.select("query_id", F.char_length("query").cast("bigint").alias("query_length"), F.lit(k).alias("k"), F.lit(mode).alias("mode")).join(hits, "query_id", "left").fillna(0, ["hits"])

@@ -15,8 +15,8 @@ from ..operators.windows import numbered
 from ..registry import query
 from ..session import ship
 from .cells import ROW_PART, exact_candidates, indexed
-from .keywords import RANKED_SQL, TOKENS_SQL, keyword_search, keyword_sql
-from .tokens import postings, tokens
+from .keywords import RANKED_SQL, TOKENS_SQL, keyword_index, keyword_search, keyword_sql
+from .tokens import tokens
 
 K, THRESHOLD, CAP = 5, 0.2, 500
 
@@ -109,8 +109,7 @@ _LEG = keyword_sql("v_document", "document_id", "content", 20)
 
 def _leg(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, paragraph_id, score of the keyword search over whole documents."""
-    index = postings(documents.select(F.col("document_id").alias("paragraph_id"), "content"), "paragraph_id", "content")
-    return keyword_search(index, asked.select((F.col("query_id") * 20).cast("bigint").alias("query_id"), "query"), None)
+    return keyword_search(keyword_index(documents, "document_id"), asked.select((F.col("query_id") * 20).cast("bigint").alias("query_id"), "query"), None)
 
 
 def term_hits(rows: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
@@ -188,7 +187,7 @@ def reranked(hits: DataFrame, scorer=overlap_score) -> DataFrame:
     FROM k JOIN v_keyword_query USING (query_id) JOIN v_paragraph USING (paragraph_id) WHERE rank <= 5), o AS (SELECT query_id, paragraph_id, rrf, len(list_intersect(q, p)) / len(q) AS s FROM t), f AS (SELECT *, CASE WHEN s > 0 THEN s ELSE rrf END AS final FROM o)
     SELECT query_id, paragraph_id, round(final, 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, paragraph_id) AS rank FROM f""")
 def v08(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    hits = keyword_search(postings(paragraphs, "paragraph_id", "content"), queries).withColumn("rrf", 1 / (60 + F.col("rank"))).drop("score", "rank")
+    hits = keyword_search(keyword_index(paragraphs), queries).withColumn("rrf", 1 / (60 + F.col("rank"))).drop("score", "rank")
     texts = hits.join(queries.select("query_id", "query"), "query_id").join(paragraphs.select("paragraph_id", F.col("content").alias("passage")), "paragraph_id")
     return reranked(texts).select("query_id", "paragraph_id", F.round("final", 6).alias("final"), "rank")
 
@@ -234,7 +233,7 @@ def dual_recall(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked
     """Both legs over active documents only, the keyword leg from 0.01 on."""
     gone = documents.where("NOT is_active").select("document_id")
     dense = dense_search(rows, queries, allowed=lambda r: r.join(gone, "document_id", "left_anti")).groupBy("query_id", "paragraph_id").agg(F.round(F.max("score"), 6).alias("score"))
-    sparse = _leg(documents.where("is_active"), asked).where("score > 0.01")
+    sparse = _leg(documents, asked).where("score > 0.01").join(gone.select(F.col("document_id").alias("paragraph_id")), "paragraph_id", "left_anti")
     return dense.select("query_id", "paragraph_id", F.lit("dense").alias("leg"), "score").unionByName(sparse.select("query_id", "paragraph_id", F.lit("sparse").alias("leg"), F.round("score", 6).alias("score")))
 
 
