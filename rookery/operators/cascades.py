@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
+from .lifecycle import ORPHANS_SQL, orphans
 
 
 def tagged(name: str, df: DataFrame, key: str) -> DataFrame:
@@ -107,14 +108,14 @@ def retained_users(usage: DataFrame, now: str = "2024-01-31") -> DataFrame:
     return together(tagged("user", users, "id"), tagged("file", usage.where("id % 4 = 0").join(kept.select("chat_id").distinct(), "chat_id", "left_semi"), "id"))
 
 
-@query("m14b_orphan_traces", "v_document", "v_candidate", "v_embedding", sql="""WITH o AS (SELECT document_id FROM v_document WHERE TIMESTAMP '2024-03-01 00:00:00' - INTERVAL (document_id % 60) DAY < TIMESTAMP '2024-03-01 00:00:00' - INTERVAL 30 DAY AND document_id NOT IN (SELECT candidate_id * 3 FROM v_candidate))
-    SELECT 'document' AS tab, CAST(document_id AS STRING) AS id FROM v_document WHERE document_id NOT IN (SELECT * FROM o) UNION ALL SELECT 'index', CAST(id AS STRING) FROM v_embedding WHERE document_id NOT IN (SELECT * FROM o)""")
-def orphan_traces(documents: DataFrame, owners: DataFrame, index: DataFrame, now: str = "2024-03-01", days: int = 30) -> DataFrame:
-    """Documents and index rows that stay when documents without an owner go after 30 days (a document is its number modulo 60 days old)."""
-    moment = F.lit(now).cast("timestamp_ntz")
-    old = documents.where(moment - F.make_interval(days=(F.col("document_id") % 60).cast("int")) < moment - F.make_interval(days=F.lit(days)))
-    gone = old.join(owners.select((F.col("candidate_id") * 3).alias("document_id")), "document_id", "left_anti").select("document_id")
-    return together(tagged("document", documents.join(gone, "document_id", "left_anti"), "document_id"), tagged("index", index.join(gone, "document_id", "left_anti"), "id"))
+@query("m14b_orphan_traces", "v_document", "v_agent_run", "v_candidate", "v_embedding", sql=f"""WITH {ORPHANS_SQL} SELECT 'document' AS tab, CAST(document_id AS STRING) AS id FROM v_document WHERE document_id NOT IN (SELECT * FROM o)
+    UNION ALL SELECT 'index', CAST(id AS STRING) FROM v_embedding WHERE document_id NOT IN (SELECT * FROM o) UNION ALL SELECT 'log', CAST(id AS STRING) FROM v_agent_run WHERE id // 2 NOT IN (SELECT * FROM o)
+    UNION ALL SELECT 'audit', CAST(document_id AS STRING) FROM o""")
+def orphan_traces(documents: DataFrame, log: DataFrame, owners: DataFrame, index: DataFrame) -> DataFrame:
+    """Documents, index rows and log entries (two for each document) that stay when orphans go, and an audit entry for each orphan."""
+    gone = orphans(documents, log, owners)
+    entries = log.withColumn("document_id", F.floor(F.col("id") / 2))
+    return together(*[tagged(tab, df.join(gone, "document_id", "left_anti"), key) for tab, df, key in (("document", documents, "document_id"), ("index", index, "id"), ("log", entries, "id"))], tagged("audit", gone, "document_id"))
 
 
 @query("m16b_full_reset", "pages", "v_page_next", sql="SELECT url, 'remove' AS change FROM pages GROUP BY 1 UNION ALL SELECT url, 'insert' FROM v_page_next GROUP BY 1")

@@ -118,11 +118,19 @@ def file_ttl(files: DataFrame, now: str = "2024-01-10") -> DataFrame:
     return files.where(~(F.col("create_time") < F.lit(now).cast("timestamp_ntz") - F.make_interval(mins=minutes))).select("id")
 
 
-@query("m14_orphan_purge", "v_document", "v_candidate", sql="SELECT document_id FROM v_document WHERE document_id % 2 = 0 OR document_id IN (SELECT candidate_id * 3 FROM v_candidate)")
-def orphan_purge(documents: DataFrame, owners: DataFrame) -> DataFrame:
-    """Documents without an owner go, unless they are recent (even ids)."""
-    orphans = documents.where("document_id % 2 = 1").join(owners.select((F.col("candidate_id") * 3).alias("document_id")), "document_id", "left_anti")
-    return documents.join(orphans, "document_id", "left_anti").select("document_id")
+ORPHANS_SQL = """o AS (SELECT d.document_id FROM v_document d JOIN v_agent_run r ON r.id = d.document_id WHERE r.create_time < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 30 DAY AND document_id NOT IN (SELECT candidate_id * 3 FROM v_candidate))"""
+
+
+def orphans(documents: DataFrame, uploads: DataFrame, owners: DataFrame, now: str = "2024-02-01", days: int = 30) -> DataFrame:
+    """document_id of documents that were uploaded more than ``days`` ago and have no owner."""
+    old = uploads.where(F.col("create_time") < F.lit(now).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))).select(F.col("id").alias("document_id"))
+    return documents.select("document_id").join(old, "document_id", "left_semi").join(owners.select((F.col("candidate_id") * 3).alias("document_id")), "document_id", "left_anti")
+
+
+@query("m14_orphan_purge", "v_document", "v_agent_run", "v_candidate", sql=f"WITH {ORPHANS_SQL} SELECT document_id FROM v_document WHERE document_id NOT IN (SELECT * FROM o)")
+def orphan_purge(documents: DataFrame, uploads: DataFrame, owners: DataFrame) -> DataFrame:
+    """The documents that stay; the first log entry of a document (the run with its number) tells when it came."""
+    return documents.join(orphans(documents, uploads, owners), "document_id", "left_anti").select("document_id")
 
 
 @query("m15_orphan_questions", "v_query_text", "v_document", sql="SELECT query_id FROM v_query_text WHERE query_id IN (SELECT document_id FROM v_document WHERE creator <> 2)")

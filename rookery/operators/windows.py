@@ -123,17 +123,40 @@ def greedy_packing(documents: DataFrame, limit: int = 500) -> DataFrame:
     return chunks.select("doc_id", (F.col("n") + 1).cast("bigint").alias("chunk_no"), "chunk")
 
 
-@query("w11_rate_guard", "v_agent_run", sql="""SELECT id, agent_type, count(*) FILTER (status <> 'SKIPPED') OVER (PARTITION BY agent_type ORDER BY create_time RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM v_agent_run""")
+#: Runs of a type at a time and in an hour before further ones are skipped.
+MOST_RUNNING, MOST_IN_AN_HOUR = 3, 20
+HOUR = 3_600_000_000
+
+
+@query("w11_rate_guard", "v_agent_run", sql="""WITH r AS (SELECT id, agent_type, status, create_time AS s, create_time + INTERVAL 1 SECOND * duration_ms AS e FROM v_agent_run), l AS (SELECT id, agent_type, count(*) FILTER (status <> 'SKIPPED') OVER (PARTITION BY agent_type ORDER BY s RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM r),
+    c AS (SELECT a.id, count(b.id) AS running FROM r a LEFT JOIN r b ON a.agent_type = b.agent_type AND a.id <> b.id AND b.status <> 'SKIPPED' AND b.s <= a.s AND b.e > a.s GROUP BY 1) SELECT id, agent_type, last_hour, running, CASE WHEN running >= 3 THEN 'concurrent' WHEN last_hour > 20 THEN 'rate' END AS reason FROM l JOIN c USING (id)""")
+def w11(runs: DataFrame) -> DataFrame:
+    """A run lasts as many seconds as its duration counts."""
+    start = F.unix_micros(F.col("create_time").cast("timestamp"))
+    return rate_guard(runs.select("id", "agent_type", "status", start.alias("t"), (start + F.col("duration_ms") * 1_000_000).alias("e")))
+
+
 def rate_guard(runs: DataFrame) -> DataFrame:
-    """Runs of the same type in the hour up to each run, skipped ones not counted.
+    """id, agent_type, last_hour (runs of the type in the hour up to this one), running (others that had begun and not ended) and the reason to skip it.
 
-    A run stands in its own hour and in the next, so a window sees one type and hour and no type is one group.
+    ``runs``: id, agent_type, status, t and e (begin and end in microseconds); skipped runs count for neither. A run stands in its own hour and in the next, so
+    the trailing window sees one type and hour. Running ones are a sweep: begins less ends inside the hour, plus the sum over all hours before, which are
+    added up per type and hour first; so no type is one group.
     """
-    micros, hour = F.unix_micros(F.col("create_time").cast("timestamp")), 3_600_000_000
-    rows = runs.select("id", "agent_type", "status", micros.alias("t")).withColumn("own", F.floor(F.col("t") / hour))
+    rows = runs.withColumn("own", F.floor(F.col("t") / HOUR))
+    counts = F.col("status") != "SKIPPED"
     dealt = rows.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("bucket"))
-    trailing = W.partitionBy("agent_type", "bucket").orderBy("t").rangeBetween(-hour, 0)
-    return dealt.withColumn("last_hour", F.count(F.when(F.col("status") != "SKIPPED", 1)).over(trailing)).where("own = bucket").select("id", "agent_type", "last_hour")
+    trailing = W.partitionBy("agent_type", "bucket").orderBy("t").rangeBetween(-HOUR, 0)
+    recent = dealt.withColumn("last_hour", F.count(F.when(counts, 1)).over(trailing)).where("own = bucket").select("id", "agent_type", "last_hour")
+    marks = rows.select("agent_type", F.inline(F.array(*[F.struct(at.alias("at"), step.alias("step"), who.alias("id"), own.alias("mine")) for at, step, who, own in (
+        (F.col("t"), counts.cast("int"), F.col("id"), (counts & (F.col("e") > F.col("t"))).cast("int")), (F.col("e"), -counts.cast("int"), F.lit(None).cast("long"), F.lit(0)))])))
+    marks = marks.withColumn("hour", F.floor(F.col("at") / HOUR))
+    hours = marks.groupBy("agent_type", "hour").agg(F.sum("step").alias("net"))
+    before = hours.select("agent_type", "hour", (F.sum("net").over(W.partitionBy("agent_type").orderBy("hour").rowsBetween(W.unboundedPreceding, 0)) - F.col("net")).alias("before"))
+    sweep = W.partitionBy("agent_type", "hour").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    running = marks.withColumn("inside", F.sum("step").over(sweep)).where("id IS NOT NULL").join(before, ["agent_type", "hour"])
+    found = recent.join(running.select("id", (F.col("before") + F.col("inside") - F.col("mine")).alias("running")), "id")
+    return found.withColumn("reason", F.when(F.col("running") >= MOST_RUNNING, "concurrent").when(F.col("last_hour") > MOST_IN_AN_HOUR, "rate"))
 
 
 @query("w12_first_stage", "v_application", sql="SELECT job_id, arg_min(stage, (stage, application_id)) AS first_stage FROM v_application GROUP BY 1")

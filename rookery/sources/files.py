@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import delete_at_end, shared_dir
 
 #: CSV as spreadsheets write it: quotes are doubled, cells may hold line breaks, empty cells are not nulls.
 CSV = {"header": True, "quote": '"', "escape": '"', "quoteAll": True, "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder; what is written there goes when the driver ends."""
+    return delete_at_end(spark, f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, kind: str, name: str, partition_by: list[str] | None = None, append_to: str | None = None, **options) -> str:

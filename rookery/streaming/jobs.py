@@ -5,19 +5,24 @@ the registered queries run them once over all files (trigger availableNow) into
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
 from ..functions.queries import MASKED_SQL, residual_sql
 from ..registry import query
-from ..session import shared_dir
+from ..operators.windows import HOUR
+from ..session import delete_at_end, shared_dir
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the one that driver and executors share."""
-    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    """A fresh folder below the one that driver and executors share; it goes when the driver ends."""
+    return delete_at_end(spark, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,15 +77,79 @@ def st02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(daily_quota(records(spark, sf_dir)), "complete")
 
 
-def rate_windows(stream: DataFrame) -> DataFrame:
-    """Runs per type in hours that start every five minutes, skipped ones not counted, and the users that run at the same time in them."""
-    counts = stream.withWatermark("ts", "2 hours").where("event_id % 5 <> 1").groupBy(F.window("ts", "1 hour", "5 minutes"), "event_type").agg(F.count("*").alias("runs"), F.size(F.collect_set("user_id")).cast("bigint").alias("concurrent"))
-    return counts.select(F.col("window.start").alias("start"), "event_type", "runs", "concurrent")
+GUARDED = "id bigint, event_type string, last_hour bigint, running bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@query("st03_rate_windows", "@spark", "@dir", sql="""WITH e AS (SELECT event_type, user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events WHERE event_id % 5 <> 1) SELECT b - INTERVAL 5 MINUTE * i AS start, event_type, count(*) AS runs, count(DISTINCT user_id) AS concurrent FROM e, range(0, 12) t(i) GROUP BY 1, 2""")
+def swept(rows: list[tuple[int, int, int, bool]], begin: int, end: int) -> list[tuple[int, int, int]]:
+    """(id, last_hour, running) of the runs (begin, end, id, skipped) that begin in [begin, end): a sweep over begins and ends; all times in microseconds."""
+    live = [r for r in rows if not r[3]]
+    starts, ends = np.sort([r[0] for r in live]), np.sort([r[1] for r in live])
+    out = []
+    for t, e, i, skipped in rows:
+        if begin <= t < end:
+            upto = np.searchsorted(starts, t, "right")
+            running = upto - np.searchsorted(ends, t, "right") - (not skipped and e > t)
+            out.append((i, int(upto - np.searchsorted(starts, t - HOUR, "left")), int(running)))
+    return out
+
+
+class HourGuard(StatefulProcessor):
+    """State of one type and hour: the runs that can matter in it, by id, so a run that comes again changes nothing. A timer at its end writes the results."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getMapState("runs", "id bigint", "t bigint, e bigint, skipped boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        if not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer((int(key[1]) + 1) * HOUR // 1000)
+        for batch in rows:
+            for i, t, e, skipped in zip(batch["id"], batch["t"], batch["e"], batch["skipped"], strict=True):
+                self.runs.updateValue((int(i),), (int(t), int(e), bool(skipped)))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held = [(v[0], v[1], k[0], v[2]) for k, v in self.runs.iterator()]
+        self.runs.clear()
+        found = swept(held, int(key[1]) * HOUR, (int(key[1]) + 1) * HOUR)
+        yield pd.DataFrame({"id": [f[0] for f in found], "event_type": key[0], "last_hour": [f[1] for f in found], "running": [f[2] for f in found]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_guard(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """id, event_type, last_hour, running of every run once its hour is over. ``stream``: id, event_type, ts, t, e, skipped.
+
+    A run goes to every hour that it can matter in: from its own to the one after its begin and the one of its end. So a state is one type and hour.
+    """
+    own = F.floor(F.col("t") / HOUR)
+    last = F.greatest(own + 1, F.floor(F.col("e") / HOUR))
+    rows = stream.withWatermark("ts", late).select("ts", "event_type", "id", "t", "e", "skipped", F.explode(F.sequence(own, last)).alias("hour"))
+    return rows.groupBy("event_type", "hour").transformWithStateInPandas(HourGuard(), GUARDED, "Append", "EventTime")
+
+
+def runs_of(stream: DataFrame) -> DataFrame:
+    """The records as runs that last ten seconds for each unit of their value; every fifth is skipped."""
+    t = F.unix_micros("ts")
+    return stream.select("ts", F.col("event_id").alias("id"), "event_type", t.alias("t"), (t + F.floor("value").cast("bigint") * 10_000_000).alias("e"), (F.col("event_id") % 5 == 1).alias("skipped"))
+
+
+@query("st03_rate_windows", "@spark", "@dir", sql="""WITH r AS (SELECT event_id AS id, event_type, event_id % 5 = 1 AS skipped, ts AS s, ts + INTERVAL 10 SECOND * CAST(floor(value) AS BIGINT) AS e FROM events), w AS (SELECT * FROM r WHERE date_trunc('hour', s) + INTERVAL 1 HOUR <= (SELECT max(s) FROM r)),
+    c AS (SELECT a.id, count(b.id) AS running FROM w a LEFT JOIN r b ON a.event_type = b.event_type AND a.id <> b.id AND NOT b.skipped AND b.s <= a.s AND b.e > a.s GROUP BY 1), h AS (SELECT id, event_type, count(*) FILTER (NOT skipped) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour FROM r)
+    SELECT id, event_type, last_hour, running FROM c JOIN h USING (id)""")
 def st03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_once(rate_windows(records(spark, sf_dir)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """All hours that are over; the last one waits for its end."""
+    from ..session import ship
+
+    ship(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # what this kind of state needs
+    try:
+        return run_once(live_guard(runs_of(records(spark, sf_dir))), "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def ledger(stream: DataFrame) -> DataFrame:
@@ -168,3 +237,25 @@ def st06(spark: SparkSession, sf_dir: str, now: str = "2024-01-10") -> DataFrame
     minutes = F.when(F.col("event_id") % 3 == 0, 30).when(F.col("event_id") % 3 == 1, 120).otherwise(1440)
     kept = records(spark, sf_dir).where(~(F.col("ts").cast("timestamp_ntz") < F.lit(now).cast("timestamp_ntz") - F.make_interval(mins=minutes)))
     return run_once(kept.select("event_id"), "append")
+
+
+def orphan_expiry(objects: DataFrame, owners: DataFrame, days: int = 30, late: str = "1 hour") -> DataFrame:
+    """object_id of objects (object_id, ts) that no owner (object_id, ts) took within ``days`` of their upload; an owner that comes later finds them expired.
+
+    Both are streams. An object waits in the state of the join until the watermark has passed its days.
+    """
+    left, right = objects.withWatermark("ts", late).alias("o"), owners.withWatermark("ts", late).alias("w")
+    inside = (F.col("w.ts") >= F.col("o.ts")) & (F.col("w.ts") <= F.col("o.ts") + F.expr(f"INTERVAL {days} DAYS"))
+    met = left.join(right, (F.col("o.object_id") == F.col("w.object_id")) & inside, "left_outer")
+    return met.where("w.object_id IS NULL").select(F.col("o.object_id").alias("object_id"))
+
+
+@query("st06b_orphan_expiry", "@spark", "@dir", sql="""WITH o AS (SELECT event_id AS object_id, ts FROM events WHERE event_id % 3 = 0), w AS (SELECT event_id - CASE WHEN event_id % 4 = 0 THEN 4 ELSE 3 * (event_id // 6) + 1 END AS object_id, ts FROM events WHERE event_id % 3 = 1 AND event_id % 5 <> 0),
+    m AS (SELECT least((SELECT max(ts) FROM o), (SELECT max(ts) FROM w)) - INTERVAL 1 HOUR AS mark) SELECT object_id FROM o, m WHERE ts + INTERVAL 7 DAY < mark AND NOT EXISTS (SELECT 1 FROM w WHERE w.object_id = o.object_id AND w.ts BETWEEN o.ts AND o.ts + INTERVAL 7 DAY)""")
+def st06b(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:
+    """Every third record is an upload; owners claim the one four records before, or one from half the table's length ago, which is too late for most."""
+    n = F.col("event_id")
+    objects = records(spark, sf_dir).where(n % 3 == 0).select(n.alias("object_id"), "ts")
+    claimed = n - F.when(n % 4 == 0, F.lit(4)).otherwise(3 * F.floor(n / 6) + 1)
+    owners = records(spark, sf_dir).where((n % 3 == 1) & (n % 5 != 0)).select(claimed.alias("object_id"), "ts")
+    return run_once(orphan_expiry(objects, owners, days), "append")

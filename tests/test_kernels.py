@@ -1,5 +1,7 @@
 """Golden cases and invariants of the row kernels."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -77,12 +79,35 @@ def test_links_of_all_kinds(spark):
     assert got == {("b", 1), ("c", 1), ("d", 2)}
 
 
-def test_evidence_paths():
-    value = {"a": [{"evidence": ["x", {"excerpt": " y" * 2000, "paragraph_id": 7, "relevance": 0.5, "evidence": [{"excerpt": "deep"}]}, {"excerpt": " "}]}], "evidence": [{"paragraph_id": 1}], "b": {"evidence": {"excerpt": "no list"}}}
-    got = evidence.evidence_items(value)
-    assert [g[0] for g in got] == ["a[0].evidence", "a[0].evidence[1].evidence"]
-    assert got[0][1] == "7" and len(got[0][2]) == 1200 and got[0][2].startswith("y y") and got[0][3] == 0.5 and got[1] == ("a[0].evidence[1].evidence", None, "deep", None)
-    assert len(evidence.evidence_items({"evidence": [{"excerpt": str(i)} for i in range(300)]})) == 100
+def evidence_items(value, most=100):
+    """(path, paragraph_id, excerpt, relevance) by walking the value: members by name, the items of a list before what is inside them."""
+    out, todo = [], [("", value, False)]
+    while todo:
+        path, at, named = todo.pop()
+        if isinstance(at, dict):
+            todo += [(f"{path}.{k}" if path else k, v, k == "evidence") for k, v in sorted(at.items(), reverse=True)]
+        elif isinstance(at, list):
+            for x in at if named else ():
+                if isinstance(x, dict) and (excerpt := str(x.get("excerpt") or "").strip()):
+                    p, r = x.get("paragraph_id"), x.get("relevance")
+                    out.append((path, None if p is None else str(p), excerpt[:1200], float(r) if isinstance(r, (int, float)) else None))
+            todo += [(f"{path}[{i}]", v, False) for i, v in reversed(list(enumerate(at)))]
+    return out[:most]
+
+
+def test_evidence_paths(spark):
+    values = [
+        {"a": [{"evidence": ["x", {"excerpt": " y" * 2000, "paragraph_id": 7, "relevance": 0.5, "evidence": [{"excerpt": "deep"}]}, {"excerpt": " "}]}], "evidence": [{"paragraph_id": 1}], "b": {"evidence": {"excerpt": "no list"}}},
+        {"evidence": [{"excerpt": str(i)} for i in range(300)]}, {"evidence": [{"excerpt": "e", "relevance": "0.5", "paragraph_id": "p"}, [{"evidence": [{"excerpt": 12, "relevance": 3}]}]]},
+        [[[{"evidence": [{"excerpt": "in lists"}]}]]], {"evidence": [{"z": {"evidence": [{"excerpt": f"{i}a"} for i in range(60)]}, "excerpt": f"top{i}"} for i in range(3)]}, {}, 5, None,
+    ]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(values)] + [(90, "{not json"), (91, None), (92, "")]
+    got = {}
+    for r in evidence.extracted(spark.createDataFrame(rows, "id long, payload string"), "id", "payload").collect():
+        got.setdefault(r["id"], []).append((r["path"], r["paragraph_id"], r["excerpt"], r["relevance"]))
+    want = {i: items for i, v in enumerate(values) if (items := evidence_items(v))}
+    assert {i: sorted(map(repr, x)) for i, x in got.items()} == {i: sorted(map(repr, x)) for i, x in want.items()}
+    assert len(got[1]) == 100 and len(got[4]) == 100
 
 
 def test_feature_hashing_is_deterministic():
@@ -133,9 +158,15 @@ def test_states_and_cells(spark):
     assert one(spark, T.ocr_lines("c"), "a；b；c；d；e；f") == "a\nb\nc\nd\ne\nf"
 
 
-def test_gbk_fallback(spark):
-    files = spark.createDataFrame([("u", "中文".encode()), ("g", "中文".encode("gbk"))], "path string, content binary")
-    assert {r["path"]: r["text"] for r in readers.decoded_text(files).collect()} == {"u": "中文", "g": "中文"}
+def test_gbk_fallback(spark, tmp_path):
+    long = "\n".join(f"第{i}行 line" for i in range(3000))
+    for name, data in {"u.txt": "中文".encode(), "g.txt": "中文".encode("gbk"), "long-u.txt": long.encode(), "long-g.txt": long.encode("gbk"), "empty.txt": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {}
+    for r in readers.text_files(spark, f"{tmp_path}", most=1000).collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["piece"], r["text"]))
+    assert {k: "".join(t for _, t in sorted(v)) for k, v in got.items()} == {"u.txt": "中文", "g.txt": "中文", "long-u.txt": long, "long-g.txt": long, "empty.txt": ""}
+    assert len(got["long-g.txt"]) > 1 and len(got["g.txt"]) == 1
 
 
 def test_rerank_keeps_order_when_the_model_fails(spark):
