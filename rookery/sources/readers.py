@@ -7,14 +7,15 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.windows import numbered
 from ..registry import query
-from ..session import ship
-from .files import csv_read, csv_written, written
+from ..session import ship, staged
+from .files import csv_read, csv_written, fresh, written
 
 _BLOCKS = {"p", "div", "li", "tr", "article", "section", "ul", "ol", "table", "br", "nav", "footer", "header"}
 _SKIP = {"script", "style", "head", "noscript", "template"}
@@ -414,11 +415,43 @@ def decoded_text(files: DataFrame) -> DataFrame:
     return files.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(gbk("content")).alias("text"))
 
 
-@query("s08_text_with_fallback", "v_query_text")
-def s08(texts: DataFrame) -> DataFrame:
-    """Texts as bytes, every third in GBK, read back."""
-    to_gbk = F.pandas_udf(lambda s: s.map(lambda t: ("中文 " + t).encode("gbk", "replace")), "binary")
-    raw = texts.select(F.col("query_id").cast("string").alias("path"), F.when(F.col("query_id") % 3 == 0, to_gbk("query")).otherwise(F.encode("query", "UTF-8")).alias("content"))
-    return decoded_text(raw)
+#: Files of more bytes than this are read in pieces of lines.
+MOST_BYTES = 1 << 26
+
 
+def text_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """path, piece, text of the files below ``path``: whole up to ``most`` bytes, longer ones line by line.
 
+    The lines of a long file are split among tasks; its piece is the place of the line. A file is UTF-8 if all of it is, else GBK, in which no line break is
+    part of a character either. Spark's file sources leave out empty files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = decoded_text(files.where(F.col("length") <= most).select("path", "content")).select("path", F.lit(0).cast("bigint").alias("piece"), "text")
+    large = files.where(F.col("length") > most).select("path")
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + 0).alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("content"))
+    lines = staged(lines.join(F.broadcast(large) if large.limit(10_001).count() <= 10_000 else large, "path", "left_semi").select("*", F.is_valid_utf8("content").alias("fine")), "text-lines")
+    kinds = lines.groupBy("path").agg(F.bool_and("fine").alias("utf8"), F.max(F.struct("block", "at")).alias("last"))
+    ship(spark)
+    gbk = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("gbk", "replace")), "string")
+    each = lines.join(kinds, "path")
+    text = F.when(F.col("utf8"), F.col("content")).otherwise(gbk(F.col("content").cast("binary")))
+    ended = F.when(F.struct("block", "at") == F.col("last"), text).otherwise(F.concat(text, F.lit("\n")))
+    numbered_ = each.select("path", "block", "at", ended.alias("text"))
+    first = numbered_.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = first.select("path", "block", "first", (F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    pieces = numbered_.join(before, ["path", "block"]).select("path", (F.col("before") + F.col("at") - F.col("first")).alias("piece"), "text")
+    return small.unionByName(pieces)
+
+
+@query("s08_text_with_fallback", "v_query_text", sql="SELECT CAST(query_id AS STRING) AS name, CASE WHEN query_id % 3 = 0 THEN '中文 ' || regexp_replace(query, '[^\\x00-\\x7F]', '', 'g') ELSE query END AS text FROM v_query_text")
+def s08(texts: DataFrame) -> DataFrame:
+    """Texts written as files, every third in GBK, and read back; a text that ends in a line break loses it, as the writer ends every file with one."""
+    spark = texts.sparkSession
+    ship(spark)
+    to_gbk = F.pandas_udf(lambda s: s.map(lambda t: ("中文 " + t).encode("gbk")), "binary")
+    raw = F.when(F.col("query_id") % 3 == 0, to_gbk(F.regexp_replace("query", r"[^\x00-\x7F]", ""))).otherwise(F.encode("query", "UTF-8"))
+    path = fresh(spark, "texts")
+    texts.select(F.col("query_id").alias("name"), raw.cast("string").alias("value")).repartition("name").write.partitionBy("name").text(path)  # bytes go out as they are
+    read = text_files(spark, path)
+    return read.select(F.regexp_extract("path", "/name=([^/]*)/", 1).alias("name"), F.regexp_replace("text", "\n$", "").alias("text"))
