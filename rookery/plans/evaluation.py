@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.windows import numbered
 from ..registry import query
-from ..session import staged
+from ..session import staged, stored
 from ..functions.queries import MASKED_SQL
 from .chunking import SUPPLIED_SQL, joined_lines, supplied_ranges
-from .keywords import keyword_index, keyword_search
-from .retrieval import _RRF, K, _dense_sql, _leg, dense_search, fused
+from .cells import ROW_PART, exact_candidates, indexed
+from .keywords import keyword_index, keyword_search, keyword_sql
+from .models import embedded
+from .retrieval import K
 from .tokens import tokens
 
-# targets of a query are the two groups of 16 vectors from its own on; a hit counts for the group of its paragraph
-_MODES = f"""{_dense_sql()}, {_RRF}, a AS (SELECT 'dense' AS mode, query_id, paragraph_id, score FROM d1 UNION ALL SELECT 'sparse', query_id, paragraph_id, score FROM x UNION ALL SELECT 'fused', query_id, paragraph_id, rrf FROM f),
-    s AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 12) DESC, paragraph_id) AS rank FROM a), t AS (SELECT mode, query_id, unnest([query_id // 16, query_id // 16 + 1]) AS target FROM v_query_vec, (SELECT unnest(['dense', 'sparse', 'fused']) AS mode)),
-    g AS (SELECT t.mode, t.query_id, target, min(rank) AS rank FROM t LEFT JOIN s ON s.mode = t.mode AND s.query_id = t.query_id AND s.paragraph_id // 4 = target AND rank <= 5 GROUP BY 1, 2, 3),
+# Feature hashing as in models.py: words counted into 64 signed numbers, unit length, single precision.
+_HASHED = """{name} AS (SELECT id, list(CAST(v / greatest(1e-9, norm) AS FLOAT) ORDER BY k) AS e FROM (SELECT id, k, coalesce(sum(sgn * n), 0)::DOUBLE AS v, sqrt(sum(coalesce(sum(sgn * n), 0)::DOUBLE ** 2) OVER (PARTITION BY id)) AS norm FROM (SELECT id, unnest(range(64)) AS k FROM {table}) g
+    LEFT JOIN (SELECT id, h % 64 AS k, CASE WHEN (h // 65536) % 2 = 1 THEN 1 ELSE -1 END AS sgn, count(*) AS n FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {table}) JOIN hw USING (w) GROUP BY 1, 2, 3) USING (id, k) GROUP BY 1, 2) GROUP BY 1)"""
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(w))), lambda i: CAST(get_bit_byte AS BIGINT))), lambda s, x: list_reduce(list_prepend(xor(s, x), CAST(range(8) AS BIGINT[])), lambda a, j: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)".replace(
+    "CAST(get_bit_byte AS BIGINT)", "CAST('0x' || hex(encode(w))[2 * i + 1:2 * i + 2] AS BIGINT)")
+_TEXTS = "dt AS (SELECT document_id AS id, content AS text FROM v_document), qt AS (SELECT item_id AS id, text FROM benchmark)"
+_MODES = f"""{_TEXTS}, hw AS (SELECT w, {_CRC} AS h FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM (SELECT text FROM dt UNION ALL SELECT text FROM qt))), {_HASHED.format(name='de', table='dt')}, {_HASHED.format(name='qe', table='qt')},
+    dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rn FROM (SELECT q.id AS query_id, d.id AS document_id, round(list_cosine_similarity(q.e::DOUBLE[], d.e::DOUBLE[]), 9) AS score FROM qe q, de d) WHERE score > 0) WHERE rn <= 15),
+    {keyword_sql('v_document', 'document_id', 'content', 1)}, sl AS (SELECT query_id, paragraph_id AS document_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paragraph_id) AS rn FROM x WHERE score > 0.01),
+    a AS (SELECT 'dense' AS mode, query_id, document_id, rn AS rank FROM dl UNION ALL SELECT 'sparse', query_id, document_id, rn FROM sl UNION ALL SELECT 'fused', query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, document_id) FROM
+      (SELECT query_id, document_id, sum(1 / (60 + rn)) AS rrf FROM (SELECT query_id, document_id, rn FROM dl UNION ALL SELECT query_id, document_id, rn FROM sl) GROUP BY 1, 2)),
+    t AS (SELECT mode, q.item_id AS query_id, d.document_id AS target FROM benchmark q JOIN v_document d ON contains(d.content, q.text), (SELECT unnest(['dense', 'sparse', 'fused']) AS mode)),
+    g AS (SELECT t.mode, t.query_id, target, min(rank) AS rank FROM t LEFT JOIN a ON a.mode = t.mode AND a.query_id = t.query_id AND a.document_id = target AND rank <= 5 GROUP BY 1, 2, 3),
     o AS (SELECT mode, query_id, min(rank) AS first, coalesce(sum(1.0::DOUBLE / rank), 0) / count(*) AS mrr FROM g GROUP BY 1, 2)"""
 _METRICS = """count(*) AS queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS recall5, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0 END), 6) AS recall3,
     round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(mrr), 6) AS mrr, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS first_mrr"""
@@ -33,16 +44,41 @@ def target_ranks(hits: DataFrame, targets: DataFrame, k: int = K) -> DataFrame:
     return found.groupBy("mode", "query_id").agg(F.min("rank").alias("first"), (F.coalesce(F.sum(1 / F.col("rank")), F.lit(0.0)) / F.count("*")).alias("mrr"))
 
 
-def ranked_modes(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """``target_ranks`` of the dense, the keyword and the fused mode."""
-    dense = staged(dense_search(rows, queries).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score")), "dense-leg")
-    sparse = staged(_leg(documents, asked).select("query_id", "paragraph_id", "score"), "sparse-leg")
-    legs = {"dense": dense, "sparse": sparse, "fused": fused([dense, sparse]).select("query_id", "paragraph_id", F.col("rrf").alias("score"))}
-    every = [leg.select(F.lit(mode).alias("mode"), "query_id", "paragraph_id", "score") for mode, leg in legs.items()]
-    ranked = every[0].unionByName(every[1]).unionByName(every[2]).withColumn("rank", numbered("mode", "query_id", order=[F.desc(F.round("score", 12)), "paragraph_id"]))
-    own = F.floor(F.col("query_id") / 16)
-    targets = queries.select("query_id", F.explode(F.array(own, own + 1)).alias("target")).select(F.explode(F.array(*[F.lit(m) for m in legs])).alias("mode"), "query_id", "target")
-    return target_ranks(ranked.select("mode", "query_id", F.floor(F.col("paragraph_id") / 4).alias("target"), "rank"), targets)
+def grounded(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """query_id, document_id, is_active of the documents that hold the whole passage (text) of a query.
+
+    A passage is looked up as a phrase, without its first and last word, which other characters may touch; what is found is then compared character by character.
+    """
+    words = tokens("text")
+    phrase = F.concat(F.lit('"'), F.array_join(F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words), " "), F.lit('"'))
+    near = keyword_search(keyword_index(documents, "document_id"), queries.select("query_id", phrase.alias("query")), None).select("query_id", F.col("paragraph_id").alias("document_id"))
+    held = near.join(queries.select("query_id", "text"), "query_id").join(documents.select("document_id", "content", "is_active"), "document_id")
+    return held.where(F.col("content").contains(F.col("text"))).select("query_id", "document_id", "is_active")
+
+
+def ranked_modes(documents: DataFrame, queries: DataFrame, asked: DataFrame, k: int = K) -> DataFrame:
+    """``target_ranks`` of the dense, the keyword and the fused mode on grounded targets.
+
+    Documents and queries (query_id, text) are embedded by the model of models.py, so both legs find documents; the keyword leg asks ``asked`` (query_id, query). The
+    targets of a query are the documents that hold its whole passage; a query without one is not counted. Each leg recalls clamp(3 k, 5, 60) documents
+    (the keyword leg all above 0.01).
+    """
+    recall = min(60, max(5, 3 * k))
+    vectors = lambda df, key: embedded(df, key, "content")
+    (stored_vectors,) = stored(documents.select("document_id", "content"), "document vectors", lambda d: (staged(vectors(d, "document_id"), "document-vectors"),))
+    rows = stored_vectors.select(F.col("document_id").alias("id"), F.lit(0).alias("knowledge_id"), F.col("document_id").alias("paragraph_id"), "document_id", "embedding")
+    wanted = staged(vectors(queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("text").alias("content")), "query_id"), "query-vectors")
+    near, _ = exact_candidates(indexed(rows), wanted, recall, ROW_PART, None, 0.0)
+    score = F.round("score", 9)
+    ranked = lambda df: df.withColumn("rank", numbered("query_id", order=[F.desc("score"), "document_id"]))
+    dense = staged(ranked(near.select("query_id", "document_id", score.alias("score")).where("score > 0")).where(F.col("rank") <= recall), "dense-leg")
+    sparse = keyword_search(keyword_index(documents, "document_id"), asked.select(F.col("query_id").cast("bigint").alias("query_id"), "query"), None, 0.01)
+    sparse = staged(ranked(sparse.select("query_id", F.col("paragraph_id").alias("document_id"), score.alias("score"))), "sparse-leg")
+    both = dense.unionByName(sparse).groupBy("query_id", "document_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 12).alias("score"))
+    legs = {"dense": dense, "sparse": sparse, "fused": ranked(both)}
+    hits = [leg.where(F.col("rank") <= k).select(F.lit(mode).alias("mode"), "query_id", F.col("document_id").alias("target"), "rank") for mode, leg in legs.items()]
+    targets = grounded(queries, documents).select(F.explode(F.array(*[F.lit(m) for m in legs])).alias("mode"), "query_id", F.col("document_id").alias("target"))
+    return target_ranks(hits[0].unionByName(hits[1]).unionByName(hits[2]), targets, k)
 
 
 def metrics() -> list:
@@ -51,14 +87,18 @@ def metrics() -> list:
     return [F.count("*").alias("queries"), share(first <= 5).alias("recall5"), share(first <= 3).alias("recall3"), share(first == 1).alias("top1"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg(F.coalesce(1 / first, F.lit(0.0))), 6).alias("first_mrr")]
 
 
-@query("e01_retrieval_metrics", "v_embedding", "v_query_vec", "v_document", "v_keyword_query", sql=f"{_MODES} SELECT mode, {_METRICS} FROM o GROUP BY 1")
-def e01(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
-    return ranked_modes(rows, queries, documents, asked).groupBy("mode").agg(*metrics())
+@query("e01_retrieval_metrics", "v_document", "v_query_text", "v_keyword_query", sql=f"WITH {_MODES} SELECT mode, {_METRICS} FROM o GROUP BY 1")
+def e01(documents: DataFrame, queries: DataFrame, asked: DataFrame) -> DataFrame:
+    return ranked_modes(documents, queries, asked).groupBy("mode").agg(*metrics())
+
 
+_KIND = "CASE query_id % 4 WHEN 0 THEN 'words' WHEN 1 THEN 'phrase' WHEN 2 THEN 'exclusion' ELSE 'alternatives' END"
 
-@query("e02_metrics_by_type", "v_embedding", "v_query_vec", "v_document", "v_keyword_query", sql=f"{_MODES} SELECT mode, query_id % 3 AS kind, {_METRICS} FROM o GROUP BY 1, 2")
-def e02(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
-    return ranked_modes(rows, queries, documents, asked).groupBy("mode", (F.col("query_id") % 3).alias("kind")).agg(*metrics())
+
+@query("e02_metrics_by_type", "v_document", "v_query_text", "v_keyword_query", sql=f"WITH {_MODES} SELECT mode, {_KIND} AS kind, {_METRICS} FROM o GROUP BY 1, 2")
+def e02(documents: DataFrame, queries: DataFrame, asked: DataFrame) -> DataFrame:
+    """By what the query asks for (see v_keyword_query)."""
+    return ranked_modes(documents, queries, asked).groupBy("mode", F.expr(_KIND).alias("kind")).agg(*metrics())
 
 
 @query("e03_structured_baseline", "v_job", sql="""WITH q AS (SELECT job_id, department, city FROM v_job WHERE job_id % 20 = 0), r AS (SELECT q.job_id, j.city = q.city AS ok FROM q JOIN v_job j ON j.department = q.department AND j.job_id <> q.job_id)
@@ -76,15 +116,8 @@ def structured_baseline(jobs: DataFrame) -> DataFrame:
 
 @query("e04_anchor_grounding", "v_query_text", "v_document", sql="SELECT q.query_id, count(d.document_id) AS targets, coalesce(bool_or(d.is_active), false) AS active FROM v_query_text q LEFT JOIN v_document d ON contains(d.content, q.text) GROUP BY 1")
 def anchor_grounding(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Anchors with the number of documents that hold their whole passage, and whether one of those is active; 0 means not grounded.
-
-    A passage is looked up as a phrase, without its first and last word, which other characters may touch; what is found is then compared character by character.
-    """
-    words = tokens("text")
-    phrase = F.concat(F.lit('"'), F.array_join(F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words), " "), F.lit('"'))
-    index = keyword_index(documents, "document_id")
-    near = keyword_search(index, queries.select("query_id", phrase.alias("query")), None).select("query_id", F.col("paragraph_id").alias("document_id"))
-    held = near.join(queries.select("query_id", "text"), "query_id").join(documents.select("document_id", "content", "is_active"), "document_id").where(F.col("content").contains(F.col("text")))
+    """Anchors with the number of documents that hold their whole passage, and whether one of those is active; 0 means not grounded."""
+    held = grounded(queries, documents)
     counts = held.groupBy("query_id").agg(F.count("*").alias("targets"), F.bool_or("is_active").alias("active"))
     return queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("targets", F.lit(0)).alias("targets"), F.coalesce("active", F.lit(False)).alias("active"))
 
