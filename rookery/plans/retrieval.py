@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.queries import MASKED_SQL, residual_sql
 from ..operators.windows import numbered
 from ..registry import query
 from ..session import ship
@@ -200,27 +198,6 @@ def document_scores(rows: DataFrame, queries: DataFrame, weight: float = 0.0) ->
     return hits.groupBy("query_id", "document_id").agg(F.round(score, 6).alias("score"), F.count("*").alias("hits"))
 
 
-def _term_owners(paragraphs: DataFrame, queries: DataFrame, most: int = 8) -> DataFrame:
-    terms = queries.select("query_id", F.explode(F.slice(F.array_distinct(F.filter(tokens("text"), lambda t: F.char_length(t) > 1)), 1, most)).alias("token"))
-    asked = terms.select("token").distinct()  # most words are not asked for: they go before the texts of a document are put together
-    owners = paragraphs.select("document_id", F.explode(F.array_distinct(tokens("content"))).alias("token")).join(asked, "token", "left_semi").distinct()
-    return terms.join(owners, "token")
-
-
-_OWN = f"""t AS (SELECT DISTINCT document_id, unnest({TOKENS_SQL.format(c='content')}) AS token FROM v_paragraph), q AS (SELECT query_id, unnest(a[1:8]) AS token FROM (SELECT query_id, list_filter(list_distinct_ordered, lambda x: length(x) > 1) AS a FROM (SELECT query_id, list_reduce(list_transform({TOKENS_SQL.format(c='text')}, lambda x: [x]), lambda acc, y: CASE WHEN list_contains(acc, y[1]) THEN acc ELSE list_concat(acc, y) END) AS list_distinct_ordered FROM v_query_text))),
-    m AS (SELECT query_id, token, document_id FROM q JOIN t USING (token)), n AS (SELECT count(DISTINCT document_id) AS docs FROM t), c AS (SELECT query_id, token, count(*) AS owners FROM m GROUP BY 1, 2), k AS (SELECT query_id, token FROM c, n WHERE owners <= greatest(30, 0.5 * docs))"""
-
-
-@query("v10_keyword_guarantee", "v_paragraph", "v_query_text", sql=f"""WITH {_OWN} SELECT query_id, document_id, terms, rank FROM (SELECT query_id, document_id, count(*) AS terms, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, document_id) AS rank FROM m JOIN k USING (query_id, token) GROUP BY 1, 2) WHERE rank <= 100""")
-def keyword_guarantee(paragraphs: DataFrame, queries: DataFrame, limit: int = 100) -> DataFrame:
-    """Documents by number of matched terms; terms that over half of the owners (30 at least) have are dropped."""
-    found = _term_owners(paragraphs, queries)
-    docs = paragraphs.agg(F.count_distinct("document_id").alias("docs"))
-    kept = found.groupBy("query_id", "token").agg(F.count("*").alias("owners")).crossJoin(F.broadcast(docs)).where("owners <= greatest(30, 0.5 * docs)").select("query_id", "token")
-    counts = found.join(kept, ["query_id", "token"], "left_semi").groupBy("query_id", "document_id").agg(F.count("*").alias("terms"))
-    return counts.withColumn("rank", numbered("query_id", order=[F.desc("terms"), "document_id"])).where(F.col("rank") <= limit)
-
-
 @query("v11_sparse_query", "v_query_text", sql=f"SELECT query_id, array_to_string(list_filter({TOKENS_SQL.format(c='text')}, lambda x: length(x) > 1 AND x NOT IN ('the', 'of', 'and'))[1:6], ' ') AS terms FROM v_query_text")
 def sparse_query(queries: DataFrame, most: int = 6, stop: tuple[str, ...] = ("the", "of", "and")) -> DataFrame:
     kept = F.filter(tokens("text"), lambda t: (F.char_length(t) > 1) & ~t.isin(*stop))
@@ -238,61 +215,42 @@ def dual_recall(rows: DataFrame, queries: DataFrame, documents: DataFrame, asked
 
 
 _SKILLED = """q AS (SELECT job_id, i - 1 AS i, skills[i] AS skill FROM (SELECT job_id, skills, unnest(range(1, len(skills) + 1)) AS i FROM v_job WHERE job_id % 20 = 0)), t AS (SELECT DISTINCT skill FROM q), w AS (SELECT DISTINCT document_id, unnest(regexp_split_to_array(lower(content), '\\s')) AS word FROM v_document),
-    m AS (SELECT DISTINCT document_id, skill FROM w JOIN t ON contains(word, skill)), d AS (SELECT q.query_id, e.document_id, max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM v_embedding e, v_query_vec q GROUP BY 1, 2),
-    c AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM d), n AS (SELECT query_id, document_id, score FROM c WHERE score >= greatest(0.2, 0.75 * top)),
-    h AS (SELECT job_id, i, document_id, 0.0::DOUBLE AS score FROM q JOIN m USING (skill) UNION ALL SELECT job_id, i, document_id, score FROM q JOIN n ON query_id = (job_id + i * 20) % 400)"""
+    m AS (SELECT DISTINCT document_id, skill FROM w JOIN t ON contains(word, skill)), d AS (SELECT query_id, document_id, max(s) AS score, arg_max(paragraph_id, (s, -paragraph_id)) AS paragraph_id FROM (SELECT q.query_id, e.document_id, e.paragraph_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM v_embedding e, v_query_vec q) GROUP BY 1, 2),
+    c AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM d), n AS (SELECT query_id, document_id, score, paragraph_id FROM c WHERE score >= greatest(0.2, 0.75 * top)),
+    h AS (SELECT job_id, i, document_id, 0.0::DOUBLE AS score, NULL AS paragraph_id FROM q JOIN m USING (skill) UNION ALL SELECT job_id, i, document_id, score, paragraph_id FROM q JOIN n ON query_id = (job_id + i * 20) % 400)"""
 
 
 def skill_hits(documents: DataFrame, jobs: DataFrame, rows: DataFrame, queries: DataFrame, threshold: float = THRESHOLD, relative: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """(job_id, i, document_id, score) of each ordered skill, and the asked skills (job_id, i, term).
+    """(job_id, i, document_id, score, paragraph_id) of each ordered skill, and the asked skills (job_id, i, term).
 
     Hits are documents whose text has the skill (score 0), and those whose vectors come near enough to the skill's: at least the threshold and ``relative`` times
     its best. The vector of skill i of job j is query (j + 20 i) mod 400.
     """
     asked = jobs.where("job_id % 20 = 0").select("job_id", F.posexplode("skills").alias("i", "term"))
-    texts = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", asked).join(asked, "term").select("job_id", "i", "document_id", F.lit(0.0).alias("score"))
+    texts = term_hits(documents.select("document_id", F.lower("content").alias("t")), ["document_id"], "t", asked).join(asked, "term").select("job_id", "i", "document_id", F.lit(0.0).alias("score"), F.lit(None).cast("bigint").alias("paragraph_id"))
     index = indexed(rows.withColumn("knowledge_id", F.lit(0)))
     near, _ = exact_candidates(index, queries, 1, ROW_PART, "document_id", threshold, "document_id", relative)
-    near = near.groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
+    near = near.groupBy("query_id", "document_id").agg(F.max("score").alias("score"), F.max_by("paragraph_id", F.struct("score", -F.col("paragraph_id"))).alias("paragraph_id"))
     best = near.groupBy("query_id").agg(F.max("score").alias("top"))
     close = near.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(threshold), relative * F.col("top")))
-    dense = asked.withColumn("query_id", (F.col("job_id") + F.col("i") * 20) % 400).join(close, "query_id").select("job_id", "i", "document_id", "score")
+    dense = asked.withColumn("query_id", (F.col("job_id") + F.col("i") * 20) % 400).join(close, "query_id").select("job_id", "i", "document_id", "score", "paragraph_id")
     return texts.unionByName(dense), asked
 
 
-@query("v13_skill_and", "v_document", "v_job", "v_embedding", "v_query_vec", sql=f"""WITH {_SKILLED}, g AS (SELECT job_id, document_id, list(DISTINCT i) AS s, max(score) AS score FROM h GROUP BY 1, 2), z AS (SELECT job_id, max(i) AS last FROM q GROUP BY 1),
-    b AS (SELECT job_id, document_id, array_to_string(list_transform(range(0, last + 1), lambda x: CASE WHEN list_contains(s, x) THEN 1 ELSE 0 END), '') AS bits, score FROM g JOIN z USING (job_id))
-    SELECT job_id, document_id, bits, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY bits DESC, round(score, 9) DESC, document_id) AS rank FROM b) WHERE rank <= 20""")
+@query("v13_skill_and", "v_document", "v_job", "v_embedding", "v_query_vec", sql=f"""WITH {_SKILLED}, g AS (SELECT job_id, document_id, list(DISTINCT i) AS s, max(score) AS score, arg_max(paragraph_id, (score, -paragraph_id)) AS paragraph_id FROM h GROUP BY 1, 2), z AS (SELECT job_id, max(i) AS last FROM q GROUP BY 1),
+    b AS (SELECT job_id, document_id, paragraph_id, array_to_string(list_transform(range(0, last + 1), lambda x: CASE WHEN list_contains(s, x) THEN 1 ELSE 0 END), '') AS bits, score FROM g JOIN z USING (job_id))
+    SELECT job_id, document_id, paragraph_id, bits, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY paragraph_id IS NULL, bits DESC, round(score, 9) DESC, document_id) AS rank FROM b) WHERE rank <= 20""")
 def skill_and(documents: DataFrame, jobs: DataFrame, rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Ordered skills of each asked job as a bit vector per document, by text or by vector: earlier skills weigh more, then the best score."""
+    """Ordered skills of each asked job as a bit vector per document, by text or by vector: earlier skills weigh more, then the best score.
+
+    A document that a vector found stands with its best paragraph; places that are left go to documents found by their text alone.
+    """
     hits, asked = skill_hits(documents, jobs, rows, queries)
-    found = hits.groupBy("job_id", "document_id").agg(F.collect_set("i").alias("s"), F.max("score").alias("score")).join(asked.groupBy("job_id").agg(F.max("i").alias("last")), "job_id")
+    found = hits.groupBy("job_id", "document_id").agg(F.collect_set("i").alias("s"), F.max("score").alias("score"), F.max_by("paragraph_id", F.when(F.col("paragraph_id").isNotNull(), F.struct("score", -F.col("paragraph_id")))).alias("paragraph_id"))
+    found = found.join(asked.groupBy("job_id").agg(F.max("i").alias("last")), "job_id")
     bits = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.array_contains("s", i).cast("int"))
-    ranked = found.withColumn("bits", bits).withColumn("rank", numbered("job_id", order=[F.desc("bits"), F.desc(F.round("score", 9)), "document_id"]))
-    return ranked.where(F.col("rank") <= limit).select("job_id", "document_id", F.array_join("bits", "").alias("bits"), F.round("score", 6).alias("score"), "rank")
-
-
-@query("v14_name_fast_path", "v_candidate", "v_application", sql="""WITH p AS (SELECT candidate_id, 1 AS tier, 1.0 AS score FROM v_candidate WHERE contains(name, '0042')), o AS (SELECT candidate_id, 2 AS tier, max(amount) AS score FROM v_application WHERE job_id = 9 AND candidate_id NOT IN (SELECT candidate_id FROM p) GROUP BY 1)
-    SELECT candidate_id, row_number() OVER (ORDER BY tier, score DESC, candidate_id) AS rank FROM (SELECT * FROM p UNION ALL SELECT * FROM o) ORDER BY rank LIMIT 20""")
-def name_fast_path(candidates: DataFrame, applications: DataFrame, name: str = "0042") -> DataFrame:
-    """Owners whose name holds the query come first, then the rest without them."""
-    pinned = candidates.where(F.col("name").contains(name)).select("candidate_id", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
-    rest = applications.where("job_id = 9").groupBy("candidate_id").agg(F.max("amount").alias("score")).join(pinned, "candidate_id", "left_anti").select("candidate_id", F.lit(2).alias("tier"), "score")
-    top = pinned.unionByName(rest).orderBy("tier", F.desc("score"), "candidate_id").limit(20)
-    return top.select("candidate_id", F.row_number().over(W.orderBy("tier", F.desc("score"), "candidate_id")).cast("bigint").alias("rank"))
-
-
-@query("v15_routing", "v_query_text", sql=f"SELECT query_id, CASE WHEN len(list_filter({TOKENS_SQL.format(c='query')}, lambda x: length(x) > 3)) >= 4 THEN 'skills' WHEN query_id % 7 = 0 THEN 'newest' ELSE 'phrase' END AS route FROM v_query_text")
-def routing(queries: DataFrame) -> DataFrame:
-    long = F.size(F.filter(tokens("query"), lambda t: F.char_length(t) > 3))
-    return queries.select("query_id", F.when(long >= 4, "skills").when(F.col("query_id") % 7 == 0, "newest").otherwise("phrase").alias("route"))
-
-
-@query("v16_allow_listed_search", "v_embedding", "v_query_vec", sql=f"{_dense_sql(where='WHERE e.knowledge_id IN (0, 4, 8) AND e.source_type = 1')}, f AS (SELECT query_id, knowledge_id, paragraph_id, 1 / (60 + rank) AS rrf FROM h) SELECT query_id, knowledge_id, paragraph_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, knowledge_id, paragraph_id) AS rank FROM f) WHERE rank <= 5")
-def allow_listed_search(rows: DataFrame, queries: DataFrame, allowed: tuple[int, ...] = (0, 4, 8)) -> DataFrame:
-    """Each allowed, unprotected base is searched alone; fused scores are pooled."""
-    hits = dense_search(rows, queries, allowed=lambda r: r.where(F.col("knowledge_id").isin(*allowed) & (F.col("source_type") == 1))).withColumn("rrf", 1 / (60 + F.col("rank")))
-    return hits.withColumn("rank", numbered("query_id", order=[F.desc("rrf"), "knowledge_id", "paragraph_id"])).where("rank <= 5").select("query_id", "knowledge_id", "paragraph_id", "rank")
+    ranked = found.withColumn("bits", bits).withColumn("rank", numbered("job_id", order=[F.col("paragraph_id").isNull(), F.desc("bits"), F.desc(F.round("score", 9)), "document_id"]))
+    return ranked.where(F.col("rank") <= limit).select("job_id", "document_id", "paragraph_id", F.array_join("bits", "").alias("bits"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("v17_direct_return", "v_embedding", "v_query_vec", sql=f"{_dense_sql()}, {_MERGED}, d AS (SELECT query_id, max(CASE WHEN document_id % 2 = 0 THEN score END) >= 0.5 AS direct FROM m GROUP BY 1), o AS (SELECT m.*, direct, row_number() OVER (PARTITION BY m.query_id ORDER BY CASE WHEN document_id % 2 = 0 THEN score END DESC NULLS LAST, paragraph_id) AS best FROM m JOIN d USING (query_id)) SELECT query_id, paragraph_id FROM o WHERE NOT coalesce(direct, false) OR best = 1")
@@ -327,35 +285,6 @@ def job_candidate_match(documents: DataFrame, jobs: DataFrame, rows: DataFrame,
     return both.withColumn("rank", numbered("job_id", order=[F.desc("points"), F.desc(F.round("score", 9)), "document_id"])).where(F.col("rank") <= limit).select("job_id", "document_id", "points", "kind", "rank")
 
 
-@query("v20_sourcing_list", "v_application", "v_job", "v_embedding", "v_query_vec", sql=f"""{_dense_sql()}, {_MERGED}, q AS (SELECT job_id, unnest(range(1, 4)) AS n FROM v_job WHERE job_id % 20 = 0),
-    p AS (SELECT job_id, document_id AS candidate_id, min(n * 100 + rank) AS place FROM q JOIN m ON query_id = (job_id + 20 * (n - 1)) % 400 GROUP BY 1, 2) SELECT job_id, candidate_id, row_number() OVER (PARTITION BY job_id ORDER BY place, candidate_id) AS rank FROM p
-    WHERE NOT EXISTS (SELECT 1 FROM v_application a WHERE a.job_id = p.job_id AND a.candidate_id = p.candidate_id)""")
-def sourcing_list(applications: DataFrame, jobs: DataFrame, rows: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
-    """Up to ``most`` queries per asked job (query n of job j is vector j + 20 (n - 1) mod 400), their hits pooled in order; the first occurrence of a candidate counts, past applicants of the job are out."""
-    asked = jobs.where("job_id % 20 = 0").select("job_id", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
-    asked = asked.select("job_id", "n", ((F.col("job_id") + 20 * (F.col("n") - 1)) % 400).alias("query_id"))
-    pool = asked.join(merged(dense_search(rows, queries)), "query_id").groupBy("job_id", F.col("document_id").alias("candidate_id")).agg(F.min(F.col("n") * 100 + F.col("rank")).alias("place"))
-    return pool.join(applications, ["job_id", "candidate_id"], "left_anti").select("job_id", "candidate_id", numbered("job_id", order=["place", "candidate_id"]).alias("rank"))
-
-
-@query("v21_evidence_bundle", "v_application", "v_paragraph", sql=f"""WITH s AS (SELECT document_id, paragraph_id, content, len(list_filter({TOKENS_SQL.format(c='content')}, lambda t: contains(t, 'th'))) AS score FROM v_paragraph),
-    p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, paragraph_id) AS n FROM s WHERE score > 0), k AS (SELECT document_id, paragraph_id, n, {MASKED_SQL} AS t FROM p WHERE n <= 3)
-    SELECT application_id, paragraph_id, n AS rank, substring(t, 1, 60) AS excerpt FROM v_application JOIN k ON document_id = candidate_id WHERE NOT {residual_sql('t')}""")
-def evidence_bundle(applications: DataFrame, paragraphs: DataFrame, wanted: str = "th") -> DataFrame:
-    """For every application the three paragraphs of the candidate's own document with most words of the wanted kind; masked, without residual personal data, cut."""
-    score = F.size(F.filter(tokens("content"), lambda t: t.contains(wanted)))
-    top = paragraphs.withColumn("score", score).where("score > 0").withColumn("n", numbered("document_id", order=[F.desc("score"), "paragraph_id"])).where("n <= 3")
-    safe = top.select(F.col("document_id").alias("candidate_id"), "paragraph_id", F.col("n").alias("rank"), T.masked("content").alias("t")).where(~T.residual_pii("t"))
-    return applications.join(safe, "candidate_id").select("application_id", "paragraph_id", "rank", F.left("t", F.lit(60)).alias("excerpt"))
-
-
-@query("v23_evidence_integrity", "v_proposal", "v_application", sql="SELECT id, c AS cited FROM (SELECT id, unnest([target, target + 5000, part]) AS c FROM v_proposal) WHERE c NOT IN (SELECT application_id FROM v_application)")
-def evidence_integrity(proposals: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Citations that no retrieval returned."""
-    cited = proposals.select("id", F.explode(F.array("target", F.col("target") + 5000, "part")).alias("cited"))
-    return cited.join(retrieved.select(F.col("application_id").alias("cited")), "cited", "left_anti").select("id", "cited")
-
-
 @query("v24_reask_exclusion", "conversations", "v_paragraph", sql="""SELECT c.conv_id, c.turn, p.paragraph_id FROM conversations c JOIN v_paragraph p ON p.document_id = c.conv_id WHERE c.role = 'user' AND p.position <= 3
     AND NOT (p.position <= 2 AND EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'user' AND o.turn < c.turn AND o.text = c.text))""")
 def reask_exclusion(turns: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -364,14 +293,3 @@ def reask_exclusion(turns: DataFrame, paragraphs: DataFrame) -> DataFrame:
     again = F.row_number().over(W.partitionBy("conv_id", "text").orderBy("turn")) > 1
     offered = asked.withColumn("again", again).join(paragraphs.where("position <= 3").select(F.col("document_id").alias("conv_id"), "paragraph_id", "position"), "conv_id")
     return offered.where("NOT (again AND position <= 2)").select("conv_id", "turn", "paragraph_id")
-
-
-@query("v25_cited_sources", "v_turn", "v_document", sql="SELECT conv_id, turn, string_agg(CAST(p AS STRING), ',' ORDER BY p) AS cited FROM (SELECT DISTINCT conv_id, turn, unnest([conv_id, conv_id + turn, conv_id]) AS p FROM v_turn) GROUP BY 1, 2")
-def cited_sources(turns: DataFrame, _documents: DataFrame) -> DataFrame:
-    """Paragraphs of all search nodes in a record's JSON details, each once (the last wins)."""
-    node = lambda *ids: F.struct(F.array(*[F.struct(i.alias("id")) for i in ids]).alias("paragraph_list"))
-    details = F.to_json(F.create_map(F.lit("n1"), node(F.col("conv_id"), F.col("conv_id") + F.col("turn")), F.lit("n2"), node(F.col("conv_id"), F.col("conv_id"))))
-    rows = turns.select("conv_id", "turn", F.from_json(details, "map<string, struct<paragraph_list: array<struct<id: bigint>>>>").alias("d"))
-    flat = rows.select("conv_id", "turn", F.explode("d").alias("node", "v")).select("conv_id", "turn", "node", F.explode("v.paragraph_list.id").alias("p"))
-    last = flat.groupBy("conv_id", "turn", "p").agg(F.max("node").alias("node"))
-    return last.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("cited"))
