@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..registry import query
+from .windows import global_numbers
 
 def tokens() -> Column:
     return F.col("message_tokens") + F.col("answer_tokens")
@@ -97,10 +98,10 @@ def application_token_ranking(usage: DataFrame, apps: DataFrame) -> DataFrame:
 def ranking_export(usage: DataFrame) -> DataFrame:
     """Rank, share of the overall total and mean per record; applications are few, records are aggregated first."""
     sums = usage.groupBy("application_id").agg(F.sum(tokens()).alias("tokens"), F.count("*").alias("records"))
-    total = F.sum("tokens").over(W.partitionBy(F.lit(1)))
-    return sums.select(
-        F.row_number().over(W.orderBy(F.desc("tokens"), "application_id")).cast("bigint").alias("rank"), "application_id", "tokens", "records",
-        F.round(F.when(total > 0, F.col("tokens") / total).otherwise(0.0), 6).alias("share"),
+    ranked = global_numbers(sums, [F.desc("tokens"), "application_id"], "place")
+    total = ranked.agg(F.sum("tokens")).first()[0] or 0
+    return ranked.select(
+        (F.col("place") + 1).alias("rank"), "application_id", "tokens", "records", F.round(F.col("tokens") / total if total > 0 else F.lit(0.0), 6).alias("share"),
         F.round(F.when(F.col("records") > 0, F.col("tokens") / F.col("records")).otherwise(0.0), 6).alias("per_record"))
 
 
@@ -167,14 +168,22 @@ def agent_run_ledger(runs: DataFrame) -> DataFrame:
 _RATE = "round(CASE WHEN accepted + dismissed > 0 THEN accepted / (accepted + dismissed) END, 6)"
 
 
-@query("a17_proposal_decisions", "v_proposal", sql=f"""WITH t AS (SELECT agent_type, action, count(*) FILTER (status = 'ACCEPTED') AS accepted, count(*) FILTER (status = 'DISMISSED') AS dismissed,
-    count(*) FILTER (status = 'EXPIRED') AS expired, count(*) FILTER (status = 'PENDING') AS pending FROM v_proposal GROUP BY 1, 2) SELECT *, {_RATE} AS accept_rate FROM t""")
-def proposal_decisions(proposals: DataFrame) -> DataFrame:
-    """Expired proposals are not decided; no decision gives a null rate."""
+@query("a17_proposal_decisions", "v_proposal", "v_agent_run", sql=f"""WITH t AS (SELECT agent_type, action, count(*) FILTER (status = 'ACCEPTED') AS accepted, count(*) FILTER (status = 'DISMISSED') AS dismissed,
+    count(*) FILTER (status = 'EXPIRED') AS expired, count(*) FILTER (status = 'PENDING') AS pending FROM v_proposal GROUP BY 1, 2), r AS (SELECT CASE agent_type WHEN 'click' THEN 'SCREENING' WHEN 'view' THEN 'SOURCING' ELSE agent_type END AS agent_type, count(*) AS runs FROM v_agent_run GROUP BY 1),
+    j AS (SELECT agent_type, action, coalesce(accepted, 0) AS accepted, coalesce(dismissed, 0) AS dismissed, coalesce(expired, 0) AS expired, coalesce(pending, 0) AS pending, coalesce(runs, 0) AS runs FROM t FULL JOIN r USING (agent_type)) SELECT *, {_RATE} AS accept_rate FROM j""")
+def a17(proposals: DataFrame, runs: DataFrame) -> DataFrame:
+    """Clicks and views stand for runs of two types; other types have runs only, and one has proposals only."""
+    kind = F.when(F.col("agent_type") == "click", "SCREENING").when(F.col("agent_type") == "view", "SOURCING").otherwise(F.col("agent_type"))
+    return proposal_decisions(proposals, runs.select(kind.alias("agent_type")))
+
+
+def proposal_decisions(proposals: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per type and action the proposals by state and the runs of the type; types with runs or proposals only are there too. Expired ones are not decided; no decision gives a null rate."""
     states = ["ACCEPTED", "DISMISSED", "EXPIRED", "PENDING"]
-    wide = proposals.groupBy("agent_type", "action").pivot("status", states).count().fillna(0, states)
-    wide = wide.select("agent_type", "action", *[F.col(s).alias(s.lower()) for s in states])
-    return wide.withColumn("accept_rate", F.expr(_RATE))
+    wide = proposals.groupBy("agent_type", "action").pivot("status", states).count()
+    both = wide.join(runs.groupBy("agent_type").agg(F.count("*").alias("runs")), "agent_type", "full").fillna(0, [*states, "runs"])
+    both = both.select("agent_type", "action", *[F.col(s).alias(s.lower()) for s in states], "runs")
+    return both.withColumn("accept_rate", F.expr(_RATE))
 
 
 @query("a18_score_bands", "v_proposal", sql=f"""WITH t AS (SELECT CASE WHEN score IS NULL THEN 'no-score' WHEN score < 60 THEN '0-59' WHEN score < 80 THEN '60-79' ELSE '80-100' END AS band,

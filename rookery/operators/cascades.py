@@ -136,6 +136,26 @@ def offboarding_order(candidates: DataFrame, applications: DataFrame, proposals:
     return together(row(1, "proposal", offers, F.lit(False)), row(2, "application", rows, F.col("status") == "ACTIVE"), row(3, "candidate", own, F.lit(False)))
 
 
+@query("m17c_offboarding_frames", "v_candidate", "v_application", "v_proposal", "v_membership", sql="""WITH c AS (SELECT candidate_id FROM v_candidate WHERE library_id = 7), a AS (SELECT application_id FROM v_application WHERE candidate_id IN (SELECT * FROM c)), p AS (SELECT id FROM v_proposal WHERE target IN (SELECT * FROM a))
+    SELECT 'candidate' AS tab, CAST(candidate_id AS STRING) AS id, CASE WHEN library_id = 7 THEN 'delete' ELSE 'keep' END AS fate FROM v_candidate UNION ALL SELECT 'application', CAST(application_id AS STRING), CASE WHEN application_id IN (SELECT * FROM a) THEN 'delete' ELSE 'keep' END FROM v_application
+    UNION ALL SELECT 'proposal', CAST(id AS STRING), CASE WHEN id IN (SELECT * FROM p) THEN 'delete' ELSE 'keep' END FROM v_proposal UNION ALL SELECT 'membership', library_id || '-' || candidate_id, CASE WHEN candidate_id IN (SELECT * FROM c) THEN 'delete' ELSE 'keep' END FROM v_membership""")
+def m17c(candidates: DataFrame, applications: DataFrame, proposals: DataFrame, membership: DataFrame) -> DataFrame:
+    frames = offboarding_frames(candidates, applications, proposals, membership)
+    return together(*[tagged(tab, df.withColumn("fate", F.lit(fate)), key).withColumn("fate", F.lit(fate)) for (tab, fate), (df, key) in frames.items()])
+
+
+def offboarding_frames(candidates: DataFrame, applications: DataFrame, proposals: DataFrame, membership: DataFrame, tenant: int = 7) -> dict[tuple[str, str], tuple[DataFrame, str]]:
+    """(table, delete or keep): its rows and key. The rows of a tenant are the closure of its candidates; what is deleted and what is kept make up each table."""
+    own = candidates.where(F.col("library_id") == tenant)
+    applied = applications.join(own, "candidate_id", "left_semi").select(F.col("application_id").alias("target"))
+    member = membership.withColumn("member", F.concat_ws("-", F.col("library_id").cast("string"), F.col("candidate_id").cast("string")))
+    sides = {
+        "candidate": (candidates, own.select("candidate_id"), "candidate_id", "candidate_id"), "application": (applications, own.select("candidate_id"), "candidate_id", "application_id"),
+        "proposal": (proposals, applied, "target", "id"), "membership": (member, own.select("candidate_id"), "candidate_id", "member"),
+    }
+    return {(tab, fate): (df.join(ids, on, how), key) for tab, (df, ids, on, key) in sides.items() for fate, how in (("delete", "left_semi"), ("keep", "left_anti"))}
+
+
 @query("m20b_pruned_tree", "v_folder", "v_grant", sql="""WITH RECURSIVE t AS (SELECT id, id AS ancestor FROM v_folder UNION ALL SELECT t.id, f.parent_id FROM t JOIN v_folder f ON f.id = t.ancestor WHERE f.parent_id IS NOT NULL), g AS (SELECT DISTINCT 's' || user_id AS id FROM v_grant WHERE list_contains(permission_list, 'MANAGE') AND user_id % 3 = 0),
     d AS (SELECT id FROM t WHERE ancestor IN ('n3', 'n4')) SELECT DISTINCT ancestor AS id FROM t WHERE id IN (SELECT id FROM g) AND ancestor NOT IN (SELECT id FROM d) AND id NOT IN (SELECT id FROM d)""")
 def pruned_tree(folders: DataFrame, grants: DataFrame, deleted: tuple[str, ...] = ("n3", "n4")) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import query
+from .cascades import MAPPED_SQL, mapped
 
 
 def has(column: str | Column, term: str) -> Column:
@@ -141,15 +142,31 @@ def paragraph_list(paragraphs: DataFrame, term: str = "the") -> DataFrame:
     return paragraphs.where(has("content", term)).select("paragraph_id", "document_id", "position").orderBy("document_id", "position")
 
 
-@query("p19_question_list", "v_query_text", sql="SELECT query_id, query FROM v_query_text WHERE contains(lower(query), 'th')")
-def question_list(questions: DataFrame, term: str = "th") -> DataFrame:
-    return questions.where(has("query", term)).select("query_id", "query").orderBy(F.desc("query_id"))
+@query("p19_question_list", "v_query_text", "v_document", sql=f"WITH {MAPPED_SQL}, n AS (SELECT query_id, count(*) AS documents FROM mp GROUP BY 1) SELECT query_id, query, coalesce(documents, 0) AS documents FROM v_query_text LEFT JOIN n USING (query_id) WHERE contains(lower(query), 'th')")
+def question_list(questions: DataFrame, documents: DataFrame, term: str = "th") -> DataFrame:
+    """Questions that hold the text, with the number of documents they are mapped to, newest first."""
+    maps = mapped(questions, documents).groupBy("query_id").agg(F.count("*").alias("documents"))
+    return questions.where(has("query", term)).select("query_id", "query").join(maps, "query_id", "left").fillna(0, ["documents"]).orderBy(F.desc("query_id"))
 
 
-@query("p20_proposal_list", "v_proposal", "v_job", sql="SELECT id, p.action, p.agent_type, j.title FROM v_proposal p LEFT JOIN v_job j ON j.job_id = p.part WHERE p.status = 'PENDING' AND action = 'ADVANCE'")
-def proposal_list(proposals: DataFrame, jobs: DataFrame) -> DataFrame:
-    rows = proposals.where("status = 'PENDING' AND action = 'ADVANCE'")
-    return rows.join(jobs, rows["part"] == jobs["job_id"], "left").select("id", "action", "agent_type", "title")
+@query("p19b_term_list", "v_kb_term", sql="SELECT knowledge_id, term, count(*) AS entries FROM v_kb_term WHERE contains(term, 'th') GROUP BY 1, 2")
+def term_list(terms: DataFrame, term: str = "th") -> DataFrame:
+    return terms.where(has("term", term)).groupBy("knowledge_id", "term").agg(F.count("*").alias("entries")).orderBy("knowledge_id", "term")
+
+
+@query("p20_proposal_list", "v_proposal", "v_job", sql="SELECT id, p.action, p.agent_type, j.title, p.create_time FROM v_proposal p LEFT JOIN v_job j ON j.job_id = p.part WHERE p.status = 'PENDING' AND action = 'ADVANCE'")
+def proposal_list(proposals: DataFrame, jobs: DataFrame, status: str = "PENDING", action: str = "ADVANCE") -> DataFrame:
+    """Proposals of one state and action with the job's title, newest first."""
+    rows = proposals.where((F.col("status") == status) & (F.col("action") == action))
+    return rows.join(jobs, rows["part"] == jobs["job_id"], "left").select("id", "action", "agent_type", "title", "create_time").orderBy(F.desc("create_time"), "id")
+
+
+@query("p20b_offer_list", "v_application", "v_candidate", "v_job", sql="SELECT application_id, a.channel, c.name, j.title, a.create_time FROM v_application a LEFT JOIN v_candidate c USING (candidate_id) LEFT JOIN v_job j USING (job_id) WHERE a.status = 'HIRED' AND a.channel = 'REFERRAL'")
+def offer_list(offers: DataFrame, candidates: DataFrame, jobs: DataFrame, status: str = "HIRED", channel: str = "REFERRAL") -> DataFrame:
+    """Offers of one state and type with the names of candidate and job, newest first."""
+    rows = offers.where((F.col("status") == status) & (F.col("channel") == channel))
+    named = rows.join(candidates.select("candidate_id", "name"), "candidate_id", "left").join(jobs.select("job_id", "title"), "job_id", "left")
+    return named.select("application_id", "channel", "name", "title", "create_time").orderBy(F.desc("create_time"), "application_id")
 
 
 @query("p21_state_lookup", "v_document", "labels", sql="SELECT document_id, status, CASE WHEN contains(status, '3') THEN 'hidden' END AS error FROM v_document WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -158,7 +175,36 @@ def state_lookup(documents: DataFrame, asked: DataFrame, role: str = "viewer") -
     return rows.select("document_id", "status", F.when(F.col("status").contains("3"), "hidden" if role == "viewer" else F.col("status")).alias("error"))
 
 
-@query("p22_owner_scope", "v_application", "v_membership", sql="SELECT DISTINCT candidate_id, application_id FROM v_application WHERE status <> 'REJECTED' AND candidate_id IN (SELECT candidate_id FROM v_membership WHERE library_id BETWEEN 2 AND 9)")
-def owner_scope(applications: DataFrame, membership: DataFrame) -> DataFrame:
-    inside = membership.where("library_id BETWEEN 2 AND 9")
-    return applications.where("status <> 'REJECTED'").join(inside, "candidate_id", "left_semi").select("candidate_id", "application_id").distinct()
+MOST_LIBRARIES = 50
+_CHOSEN = "ch AS (SELECT candidate_id, unnest([candidate_id % 30, candidate_id % 7, candidate_id % 7]) AS library_id FROM v_candidate WHERE candidate_id % 2 = 0), bad AS (SELECT DISTINCT candidate_id, library_id FROM ch WHERE library_id NOT IN (SELECT library_id FROM v_library WHERE region_id <> 4))"
+
+
+def chosen(candidates: DataFrame) -> DataFrame:
+    """Requests of every second candidate that name libraries, some of them twice, unknown or archived."""
+    c = F.col("candidate_id")
+    return candidates.where(c % 2 == 0).select("candidate_id", F.array((c % 30).cast("int"), (c % 7).cast("int"), (c % 7).cast("int")).alias("libraries"))
+
+
+def scope_violations(requests: DataFrame, libraries: DataFrame, most: int = MOST_LIBRARIES) -> DataFrame:
+    """candidate_id, library_id: named libraries that are unknown or archived; null for a request that names too many."""
+    each = requests.select("candidate_id", F.array_distinct("libraries").alias("l"))
+    unknown = each.select("candidate_id", F.explode("l").alias("library_id")).join(libraries.select("library_id"), "library_id", "left_anti")
+    return unknown.select("candidate_id", "library_id").unionByName(each.where(F.size("l") > most).select("candidate_id", F.lit(None).cast("int").alias("library_id")))
+
+
+def owner_scope(requests: DataFrame, documents: DataFrame, membership: DataFrame, libraries: DataFrame) -> DataFrame:
+    """candidate_id, application_id: the documents (here applications) of the owner for requests without a violation, if the owner is in a chosen library; each once."""
+    fine = requests.join(scope_violations(requests, libraries).select("candidate_id").distinct(), "candidate_id", "left_anti")
+    inside = fine.select("candidate_id", F.explode(F.array_distinct(F.col("libraries").cast("array<bigint>"))).alias("library_id")).join(membership, ["candidate_id", "library_id"], "left_semi")
+    return documents.join(inside, "candidate_id", "left_semi").select("candidate_id", "application_id").distinct()
+
+
+@query("p22_owner_scope", "v_candidate", "v_application", "v_membership", "v_library", sql=f"WITH {_CHOSEN} SELECT DISTINCT candidate_id, application_id FROM v_application JOIN ch USING (candidate_id) WHERE candidate_id NOT IN (SELECT candidate_id FROM bad) AND (candidate_id, ch.library_id) IN (SELECT (candidate_id, library_id) FROM v_membership)")
+def p22(candidates: DataFrame, applications: DataFrame, membership: DataFrame, libraries: DataFrame) -> DataFrame:
+    return owner_scope(chosen(candidates), applications, membership, libraries.where("region_id <> 4"))
+
+
+@query("p22b_scope_violations", "v_candidate", "v_library", sql=f"WITH {_CHOSEN} SELECT * FROM bad")
+def p22b(candidates: DataFrame, libraries: DataFrame) -> DataFrame:
+    """Libraries of region 4 are archived."""
+    return scope_violations(chosen(candidates), libraries.where("region_id <> 4"))

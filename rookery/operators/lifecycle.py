@@ -133,10 +133,25 @@ def orphan_purge(documents: DataFrame, uploads: DataFrame, owners: DataFrame) ->
     return documents.join(orphans(documents, uploads, owners), "document_id", "left_anti").select("document_id")
 
 
-@query("m15_orphan_questions", "v_query_text", "v_document", sql="SELECT query_id FROM v_query_text WHERE query_id IN (SELECT document_id FROM v_document WHERE creator <> 2)")
-def orphan_questions(questions: DataFrame, mappings: DataFrame) -> DataFrame:
-    left = mappings.where("creator <> 2").select(F.col("document_id").alias("query_id"))
-    return questions.join(left, "query_id", "left_semi").select("query_id")
+def orphan_questions(questions: DataFrame, maps: DataFrame, gone: DataFrame) -> DataFrame:
+    """The questions that stay when paragraphs (``gone``) are deleted: those that never had one of them, and those that are still mapped to another.
+
+    ``maps``: query_id and the key of ``gone``.
+    """
+    key = gone.columns[0]
+    touched = maps.join(gone, key, "left_semi").select("query_id").distinct()
+    left = maps.join(gone, key, "left_anti").select("query_id").distinct()
+    return questions.join(touched.join(left, "query_id", "left_anti"), "query_id", "left_anti")
+
+
+@query("m15_orphan_questions", "v_query_text", "v_document", "v_paragraph", sql="""WITH mp AS (SELECT query_id, paragraph_id FROM v_query_text JOIN v_paragraph ON document_id IN (query_id, query_id + 40) AND position % 3 = query_id % 3), g AS (SELECT paragraph_id FROM v_paragraph WHERE document_id IN (SELECT document_id FROM v_document WHERE creator < 5)),
+    t AS (SELECT query_id FROM mp WHERE paragraph_id IN (SELECT * FROM g)), l AS (SELECT query_id FROM mp WHERE paragraph_id NOT IN (SELECT * FROM g)) SELECT query_id FROM v_query_text WHERE query_id NOT IN (SELECT * FROM t) OR query_id IN (SELECT * FROM l)""")
+def m15(questions: DataFrame, documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """A question is mapped to every third paragraph of two documents; the paragraphs of the documents of some creators are deleted."""
+    each = questions.select("query_id", F.explode(F.array(F.col("query_id").cast("bigint"), F.col("query_id").cast("bigint") + 40)).alias("document_id"))
+    maps = each.join(paragraphs, "document_id").where(F.col("position") % 3 == F.col("query_id") % 3).select("query_id", "paragraph_id")
+    gone = paragraphs.join(documents.where("creator < 5"), "document_id", "left_semi").select("paragraph_id")
+    return orphan_questions(questions, maps, gone).select("query_id")
 
 
 @query("m16_web_sync", "pages", "v_page_next", sql="""SELECT coalesce(o.url, n.url) AS url, CASE WHEN n.url IS NULL THEN 'remove' WHEN o.url IS NULL THEN 'insert' WHEN o.h <> n.h THEN 'update' ELSE 'keep' END AS change

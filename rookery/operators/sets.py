@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query
+from .windows import global_numbers
 
 
 @query("u01_embedding_texts", "v_paragraph", "v_query_text", sql="SELECT content AS text FROM v_paragraph UNION SELECT query FROM v_query_text")
@@ -42,9 +43,8 @@ def common_skills(jobs: DataFrame, asked: tuple[str, ...] = ("red", "bolt", "sma
 def merge_legs(applications: DataFrame) -> DataFrame:
     """The first leg keeps its ranks and marks what both found; the second appends only what is missing."""
     first = applications.where("job_id = 5").groupBy("candidate_id").agg(F.max("amount").alias("amount"))
-    first = first.select("candidate_id", F.row_number().over(W.orderBy(F.desc("amount"), "candidate_id")).cast("bigint").alias("rank"))
+    first = global_numbers(first, [F.desc("amount"), "candidate_id"], "place").select("candidate_id", (F.col("place") + 1).alias("rank"))
     second = applications.where("job_id IN (5, 6, 7)").groupBy("candidate_id").agg(F.count("*").alias("hits"))
-    both = first.join(second, "candidate_id", "full")
-    offset = F.count("rank").over(W.partitionBy(F.lit(1)))
-    extra = F.row_number().over(W.orderBy(F.col("rank").isNotNull(), F.desc("hits"), "candidate_id"))
-    return both.select("candidate_id", F.coalesce("rank", (offset + extra).cast("bigint")).alias("rank"), (F.col("rank").isNotNull() & F.col("hits").isNotNull()).alias("in_both"))
+    extra = global_numbers(second.join(first, "candidate_id", "left_anti"), [F.desc("hits"), "candidate_id"], "place").select("candidate_id", (F.col("place") + 1 + first.count()).alias("rank"), F.lit(False).alias("in_both"))
+    marked = first.join(second.select("candidate_id", F.lit(True).alias("hit")), "candidate_id", "left")
+    return marked.select("candidate_id", "rank", F.coalesce("hit", F.lit(False)).alias("in_both")).unionByName(extra)

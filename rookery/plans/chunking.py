@@ -375,10 +375,11 @@ def term_dictionary(jobs: DataFrame, stored: DataFrame, base: list[str] | None =
     return terms.where(F.char_length("term") > 1).distinct().join(stored.select(F.explode(F.split("query", " ")).alias("term")), "term", "left_anti")
 
 
-@query("t38_indexing_outcome", "v_document", "v_paragraph", sql="SELECT document_id, bool_or(paragraph_id % 17 = 0) AS failed, CASE WHEN bool_or(paragraph_id % 17 = 0) THEN '3' WHEN any_value(right(status, 1)) = '5' THEN '4' ELSE '2' END AS state FROM v_paragraph JOIN v_document USING (document_id) GROUP BY 1")
+@query("t38_indexing_outcome", "v_document", "v_paragraph", sql=f"""WITH m AS (SELECT document_id, {MASKED_SQL} AS t FROM (SELECT document_id, content, content AS t FROM v_paragraph)), f AS (SELECT document_id, bool_or({residual_sql('t')}) AS failed FROM m GROUP BY 1)
+    SELECT document_id, failed, CASE WHEN failed THEN '3' WHEN right(status, 1) = '5' THEN '4' ELSE '2' END AS state FROM f JOIN v_document USING (document_id)""")
 def indexing_outcome(documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """A document fails when any paragraph failed; a running revoke (5) is settled to revoked (4)."""
-    failed = paragraphs.groupBy("document_id").agg(F.bool_or(F.col("paragraph_id") % 17 == 0).alias("failed"))
+    """A document fails when the gate rejects any of its paragraphs (personal data that masking leaves); a running revoke (5) is settled to revoked (4)."""
+    failed = paragraphs.groupBy("document_id").agg(F.bool_or(T.residual_pii(T.masked("content"))).alias("failed"))
     state = F.when(F.col("failed"), "3").when(T.task_state("status", 1) == "5", "4").otherwise("2")
     return failed.join(documents.select("document_id", "status"), "document_id").select("document_id", "failed", state.alias("state"))
 
@@ -403,8 +404,8 @@ def reindex_rows(documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return reindex(documents, paragraphs, ("src1", "src4"), dry_run=False)
 
 
-@query("t41_keywords", "v_job", sql="SELECT job_id, array_to_string(list_sort(list_distinct(skills)), ',') AS keywords, 1 AS one FROM v_job")
-def keywords(jobs: DataFrame) -> DataFrame:
-    stop = F.array(F.lit("."), F.lit(","))
-    found = F.array_distinct(F.filter(tokens(F.concat("title", F.lit(", "), "title")), lambda t: ~F.array_contains(stop, t)))
-    return jobs.select("job_id", F.array_join(F.array_sort(found), ",").alias("keywords"), F.lit(1).alias("one"))
+@query("t41_keywords", "v_paragraph", sql="SELECT paragraph_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(content), '[\\p{Latin}\\p{Nd}]+'), lambda t: t NOT IN ('the', 'of', 'and')))), ',') AS keywords FROM v_paragraph")
+def keywords(sections: DataFrame, stop: tuple[str, ...] = ("the", "of", "and")) -> DataFrame:
+    """Distinct tokens of each section without stop words; punctuation makes no tokens."""
+    found = F.array_distinct(F.filter(tokens("content"), lambda t: ~t.isin(*stop)))
+    return sections.select("paragraph_id", F.array_join(F.array_sort(found), ",").alias("keywords"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.windows import numbered
+from ..operators.windows import global_numbers, numbered
 from ..registry import query
 from .files import csv_read, csv_written, fresh, placed, written
 
@@ -89,11 +89,16 @@ def conversation_export(turns: DataFrame, usage: DataFrame) -> DataFrame:
     return read.withColumns({"tokens": F.col("tokens").cast("bigint"), "run_time": F.col("run_time").cast("double")})
 
 
+#: Folders that exported sheets are dealt into.
+FOLDERS = 64
+
+
 def sheet_names(documents: DataFrame, longest: int = 29) -> DataFrame:
     """document_id and a sheet name of its own: the trimmed name, cut, or Sheet where it cannot be one; a repeated one gets a number from 1."""
     name = F.left(F.trim(F.coalesce("name", F.lit(""))), F.lit(longest))
     name = F.when((name == "") | name.rlike(r"[\[\]:*?/\\]"), "Sheet").otherwise(F.trim(name))
-    named = documents.select("document_id", name.alias("base")).withColumn("k", numbered("base", order=["document_id"]))
+    placed = global_numbers(documents.select("document_id", name.alias("base")), ["base", "document_id"], "place")  # many documents may share a name
+    named = placed.join(placed.groupBy("base").agg(F.min("place").alias("first")), "base").withColumn("k", F.col("place") - F.col("first") + 1)
     return named.select("document_id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", (F.col("k") - 1).cast("string"))).alias("sheet"))
 
 
@@ -103,7 +108,7 @@ def sheet_names(documents: DataFrame, longest: int = 29) -> DataFrame:
     SELECT s.sheet, coalesce(p.position, 0) AS position, CASE WHEN p.position % 2 = 0 THEN chr(65279) || '=' || p.content ELSE coalesce(CASE WHEN regexp_matches(p.content, '^[=+@-]') THEN chr(65279) || p.content ELSE p.content END, '') END AS content, coalesce(questions, '') AS questions
     FROM s LEFT JOIN v_paragraph p USING (document_id) LEFT JOIN q ON q.paragraph_id = p.paragraph_id""")
 def knowledge_export(documents: DataFrame, paragraphs: DataFrame, questions: DataFrame) -> DataFrame:
-    """Paragraphs with their newline-joined questions, one folder of files per document under its sheet name; documents without paragraphs stay."""
+    """Paragraphs with their newline-joined questions, by document under its sheet name, dealt into FOLDERS folders; documents without paragraphs stay."""
     d = F.col("document_id")
     named = sheet_names(documents.select("document_id", F.when(d % 7 == 0, "a/b").when(d % 5 == 0, "  same name ").otherwise(F.col("name")).alias("name")))
     asked = questions.join(paragraphs.where("position % 3 = 1"), F.col("query_id") == d % 40).groupBy("paragraph_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "query"))).alias("l"))
@@ -111,8 +116,9 @@ def knowledge_export(documents: DataFrame, paragraphs: DataFrame, questions: Dat
     rows = named.join(cells.select("document_id", "paragraph_id", "position", "content"), "document_id", "left").join(asked, "paragraph_id", "left")
     guarded = F.when(F.col("content").rlike(r"^[=+\-@]"), F.concat(F.lit("﻿"), "content")).otherwise(F.coalesce("content", F.lit("")))
     out = rows.select("sheet", F.coalesce("position", F.lit(0)).alias("position"), F.regexp_replace(guarded, ILLEGAL, "").alias("content"), F.coalesce(F.array_join(F.transform("l", lambda x: x["query"]), "\n"), F.lit("")).alias("questions"))
-    path = written(out, "json", "sheets", ["sheet"])
-    return documents.sparkSession.read.schema("position bigint, content string, questions string, sheet string").json(path)
+    folder = F.pmod(F.xxhash64("sheet"), F.lit(FOLDERS)).cast("int")
+    path = written(out.withColumn("folder", folder).repartition("folder", "sheet").sortWithinPartitions("folder", "sheet", "position"), "json", "sheets", ["folder"])
+    return documents.sparkSession.read.schema("position bigint, content string, questions string, sheet string").json(path).select("sheet", "position", "content", "questions")
 
 
 def workspace_tables(tables: dict[str, DataFrame]) -> dict[str, str]:
@@ -133,19 +139,26 @@ def workspace_tables(tables: dict[str, DataFrame]) -> dict[str, str]:
     return paths
 
 
-@query("s18_workspace_export", "v_candidate", "v_application", sql="""SELECT 'candidate' AS tab, candidate_id AS id, name, CASE WHEN candidate_id % 3 = 0 THEN '' ELSE '***REDACTED***' END AS api_key, NULL AS created FROM v_candidate WHERE library_id = 7
+@query("s18_workspace_export", "v_candidate", "v_application", "v_library", "v_membership", "v_proposal", sql="""SELECT 'candidate' AS tab, candidate_id AS id, name, CASE WHEN candidate_id % 3 = 0 THEN '' ELSE '***REDACTED***' END AS api_key, NULL AS created FROM v_candidate WHERE library_id = 7
     UNION ALL SELECT 'application', application_id, a.status, NULL, strftime(create_time, '%Y-%m-%dT%H:%M:%S') FROM v_application a WHERE candidate_id IN (SELECT candidate_id FROM v_candidate WHERE library_id = 7)
-    UNION ALL SELECT 'candidate_label', candidate_id, segment, NULL, NULL FROM v_candidate WHERE library_id = 7""")
-def workspace_export(candidates: DataFrame, applications: DataFrame, tenant: int = 7) -> DataFrame:
-    """All tables of one tenant, written and read back."""
+    UNION ALL SELECT 'candidate_label', candidate_id, segment, NULL, NULL FROM v_candidate WHERE library_id = 7 UNION ALL SELECT 'library', library_id, name, NULL, NULL FROM v_library WHERE library_id = 7 UNION ALL SELECT 'membership', candidate_id, CAST(library_id AS STRING), NULL, NULL FROM v_membership WHERE candidate_id IN (SELECT candidate_id FROM v_candidate WHERE library_id = 7)
+    UNION ALL SELECT 'proposal', id, action, NULL, strftime(create_time, '%Y-%m-%dT%H:%M:%S') FROM v_proposal WHERE target IN (SELECT application_id FROM v_application WHERE candidate_id IN (SELECT candidate_id FROM v_candidate WHERE library_id = 7))""")
+def workspace_export(candidates: DataFrame, applications: DataFrame, libraries: DataFrame, membership: DataFrame, proposals: DataFrame, tenant: int = 7) -> DataFrame:
+    """All tables that hold rows of one tenant, written and read back."""
     spark, own = candidates.sparkSession, candidates.where(F.col("library_id") == tenant)
     keys = own.withColumn("api_key", F.when(F.col("candidate_id") % 3 == 0, "").otherwise(F.col("phone")))
+    applied = applications.join(own, "candidate_id", "left_semi")
     paths = workspace_tables({
         "candidate": keys.select(F.col("candidate_id").alias("id"), "name", "api_key"), "candidate_label": own.select(F.col("candidate_id").alias("id"), F.col("segment").alias("name")),
-        "application": applications.join(own, "candidate_id", "left_semi").select(F.col("application_id").alias("id"), F.col("status").alias("name"), F.col("create_time").alias("created")),
+        "application": applied.select(F.col("application_id").alias("id"), F.col("status").alias("name"), F.col("create_time").alias("created")), "library": libraries.where(F.col("library_id") == tenant).select(F.col("library_id").alias("id"), "name"),
+        "membership": membership.join(own, "candidate_id", "left_semi").select(F.col("candidate_id").alias("id"), F.col("library_id").cast("string").alias("name")),
+        "proposal": proposals.join(applied.select(F.col("application_id").alias("target")), "target", "left_semi").select("id", F.col("action").alias("name"), F.col("create_time").alias("created")),
     })
     parts = [spark.read.schema("id bigint, name string, api_key string, created string").json(path).select(F.lit(tab).alias("tab"), "id", "name", "api_key", "created") for tab, path in paths.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def logged(entries: DataFrame, path: str | None = None) -> str:

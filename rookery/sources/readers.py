@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.windows import numbered
+from ..operators.windows import global_numbers, numbered
 from ..registry import query
 from ..session import ship, staged
 from .files import csv_read, csv_written, fresh, written
@@ -80,7 +80,15 @@ def pages_to_text(pages: DataFrame, selectors: list[str] | None = None) -> DataF
 
 @query("s04_html_to_text", "pages")
 def s04(pages: DataFrame) -> DataFrame:
-    return pages_to_text(pages)
+    return page_sections(pages)
+
+
+def page_sections(pages: DataFrame, limit: int = 100_000) -> DataFrame:
+    """page_id, position, title, content: pages as text with headings, split at them (see chunking.split_by_headings)."""
+    from ..plans.chunking import HEADINGS, split_by_headings
+
+    texts = pages_to_text(pages).select(F.col("page_id").alias("document_id"), F.col("text").alias("content"))
+    return split_by_headings(texts, HEADINGS, limit).withColumnRenamed("document_id", "page_id")
 
 
 @query("s05_html_selected", "pages")
@@ -130,23 +138,21 @@ def reachable(edges: DataFrame, starts: DataFrame, levels: int = 2) -> DataFrame
     return seen.where("depth > 0")
 
 
-@query("s07_reachable_pages", "pages", sql=f"""WITH RECURSIVE e AS ({_LINKS}), f AS (SELECT * FROM e UNION SELECT dst_url, regexp_extract(dst_url, '^https?://[^/?#]+') FROM e WHERE dst_url <> regexp_extract(dst_url, '^https?://[^/?#]+')),
-    r AS (SELECT DISTINCT url AS start, url AS node, 0 AS depth FROM pages WHERE page_id % 20 = 0 UNION SELECT start, dst_url, depth + 1 FROM r JOIN f ON src_url = node WHERE depth < 2)
+@query("s07_reachable_pages", "pages", sql=f"""WITH RECURSIVE e AS ({_LINKS}), r AS (SELECT DISTINCT url AS start, url AS node, 0 AS depth FROM pages WHERE page_id % 20 = 0 UNION SELECT start, dst_url, depth + 1 FROM r JOIN e ON src_url = node WHERE depth < 2)
     SELECT start, node, min(depth)::BIGINT AS depth FROM r WHERE node <> start GROUP BY 1, 2""")
 def s07(pages: DataFrame) -> DataFrame:
-    """From every twentieth page two links deep; linked pages that are not stored are taken to link back to the root of their site."""
-    links, root = child_links(pages), F.regexp_extract("dst_url", "^https?://[^/?#]+", 0)
-    back = links.select(F.col("dst_url").alias("src_url"), root.alias("dst_url")).where("src_url <> dst_url").distinct()
-    return reachable(links.unionByName(back).distinct(), pages.where("page_id % 20 = 0"))
+    """From every twentieth page two links deep, along the links of stored pages."""
+    return reachable(child_links(pages), pages.where("page_id % 20 = 0"))
 
 
 def markdown_rows(lines: DataFrame, file: str, head: str, limit: int) -> DataFrame:
     """file, n, content: Markdown rows of each file packed in order while the text stays shorter than ``limit``; each paragraph begins with the head.
 
-    ``lines``: file, k (order) and line. A file is dealt into runs of 10,000 rows, each packed in one row.
+    ``lines``: file, k (order) and line. A file is dealt into runs of 10,000 rows by the places of all rows in their order, each run packed in one row.
     """
-    run = F.floor((numbered(file, order=["k"]) - 1) / 10_000)
-    nested = lines.withColumn("run", run).groupBy(file, "run").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    placed = global_numbers(lines, [file, "k"], "place")
+    first = placed.groupBy(file).agg(F.min("place").alias("first"))
+    nested = placed.join(first, file).withColumn("run", F.floor((F.col("place") - F.col("first")) / 10_000)).groupBy(file, "run").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(s, x):
@@ -157,7 +163,9 @@ def markdown_rows(lines: DataFrame, file: str, head: str, limit: int) -> DataFra
 
     packed = F.aggregate("l", start, add, lambda s: F.array_append(s["done"], s["open"]))
     rows = nested.select(file, "run", F.posexplode(packed).alias("i", "content"))
-    return rows.select(file, numbered(file, order=["run", "i"]).alias("n"), "content")
+    counts = nested.select(file, "run", F.size(packed).alias("c"))  # one row per 10,000
+    before = counts.select(file, "run", (F.sum("c").over(W.partitionBy(file).orderBy("run").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"))
+    return rows.join(before, [file, "run"]).select(file, (F.col("before") + F.col("i") + 1).cast("bigint").alias("n"), "content")
 
 
 def markdown_cell(c: str):
@@ -239,13 +247,12 @@ _CELL = "trim(replace(replace({c}, '|', '/'), chr(10), ' '))"
 
 @query("s12_markdown_question_tables", "v_turn", sql=f"SELECT conv_id, 'faq' AS sheet, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS row_no, {_CELL.format(c='question')} || '|' AS title, {_CELL.format(c='answer')} || '|' || chr(10) || '|' AS content FROM v_turn")
 def markdown_question_tables(turns: DataFrame) -> DataFrame:
-    """Pipe tables under ``## `` headings in text files, one file per conversation, read whole and parsed back to rows."""
+    """Pipe tables under ``## `` headings, the text of a conversation a JSON line, read and parsed back to rows; as many files as there are tasks, not conversations."""
     bare = lambda c: F.trim(F.replace(F.replace(F.col(c), F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" ")))
     line = F.concat(F.lit("| "), bare("question"), F.lit("&#124; | "), bare("answer"), F.lit("&#124;<br>&#124; |"))
     texts = turns.groupBy("conv_id").agg(F.concat(F.lit("intro\n## faq\n| title | content |\n| --- | --- |\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n")).alias("md"))
-    path = written(texts.select("conv_id", F.col("md").alias("value")), "text", "tables", ["conv_id"])
-    read = turns.sparkSession.read.text(path, wholetext=True)
-    rows = markdown_tables(read.withColumn("conv_id", F.col("conv_id").cast("bigint")), "conv_id", "value")
+    read = turns.sparkSession.read.schema("conv_id bigint, md string").json(written(texts.select("conv_id", "md"), "json", "tables"))
+    rows = markdown_tables(read, "conv_id", "md")
     return rows.select("conv_id", "sheet", "row_no", F.get("cells", F.lit(0)).alias("title"), F.get("cells", F.lit(1)).alias("content"))
 
 
@@ -379,7 +386,8 @@ def candidate_import(rows: DataFrame, stored: DataFrame, most: int = MOST_IMPORT
     return found.select("file", "row_no", "name", status.alias("status"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-_IMPORT = """r AS (SELECT library_id AS file, row_number() OVER (PARTITION BY library_id ORDER BY candidate_id) + 1 AS row_no, CASE WHEN candidate_id % 29 = 0 THEN ' ' WHEN candidate_id % 31 = 0 THEN repeat('n', 130) ELSE name END AS name, CASE WHEN candidate_id % 37 = 0 THEN repeat('1', 21) ELSE phone END AS phone, email FROM v_candidate WHERE candidate_id % 7 <> 0)"""
+_FILE = "CASE WHEN library_id % 5 = 0 THEN library_id ELSE library_id * 1000 + CAST(floor(candidate_id / 500) AS INT) END"
+_IMPORT = f"""r AS (SELECT {_FILE} AS file, row_number() OVER (PARTITION BY {_FILE} ORDER BY candidate_id) + 1 AS row_no, CASE WHEN candidate_id % 29 = 0 THEN ' ' WHEN candidate_id % 31 = 0 THEN repeat('n', 130) ELSE name END AS name, CASE WHEN candidate_id % 37 = 0 THEN repeat('1', 21) ELSE phone END AS phone, email FROM v_candidate WHERE candidate_id % 7 <> 0)"""
 _IMPORTED = f"""{_IMPORT}, k AS (SELECT phone, lower(email) AS email FROM v_candidate WHERE candidate_id % 7 = 0), z AS (SELECT *, count(*) OVER (PARTITION BY file) AS size FROM r),
     v AS (SELECT file, row_no, trim(name) AS name, phone, lower(email) AS email, CASE WHEN size > 200 THEN 'too many rows' WHEN trim(name) = '' THEN 'name is required' WHEN length(name) > 128 THEN 'name is too long' WHEN length(phone) > 20 THEN 'phone is too long' ELSE '' END AS reason FROM z),
     i AS (SELECT file, row_no, name, CASE WHEN reason <> '' THEN 'failed' WHEN EXISTS (SELECT 1 FROM k WHERE k.phone = v.phone) OR EXISTS (SELECT 1 FROM k WHERE k.email = v.email)
@@ -387,12 +395,12 @@ _IMPORTED = f"""{_IMPORT}, k AS (SELECT phone, lower(email) AS email FROM v_cand
 
 
 def _imported(candidates: DataFrame) -> DataFrame:
-    """Candidate files, one per library and with a column that is not known, written and read back; every seventh candidate is stored already."""
+    """Candidate files, some of a whole library and some of a part, with a column that is not known, written and read back; every seventh candidate is stored already."""
     c = F.col("candidate_id")
     name = F.when(c % 29 == 0, " ").when(c % 31 == 0, F.repeat(F.lit("n"), 130)).otherwise(F.col("name"))
-    sent = candidates.where(c % 7 != 0).select(F.col("library_id").alias("file"), (numbered("library_id", order=["candidate_id"]) + 1).alias("row_no"), name.alias("name"), F.when(c % 37 == 0, F.repeat(F.lit("1"), 21)).otherwise(F.col("phone")).alias("phone"), "email", F.lit("x,y").alias("city"))
-    path = csv_written(sent, "candidates", ["file"])
-    rows = csv_read(candidates.sparkSession, path, ["row_no", "name", "phone", "email", "city", "file"])
+    sent = candidates.where(c % 7 != 0).select(F.expr(_FILE).alias("file"), (F.row_number().over(W.partitionBy(F.expr(_FILE)).orderBy("candidate_id")) + 1).alias("row_no"), name.alias("name"), F.when(c % 37 == 0, F.repeat(F.lit("1"), 21)).otherwise(F.col("phone")).alias("phone"), "email", F.lit("x,y").alias("city"))
+    path = csv_written(sent, "candidates")
+    rows = csv_read(candidates.sparkSession, path, ["file", "row_no", "name", "phone", "email", "city"])
     rows = rows.select(F.col("file").cast("int").alias("file"), F.col("row_no").cast("bigint").alias("row_no"), "name", "phone", "email")
     return candidate_import(rows, candidates.where(c % 7 == 0))
 
