@@ -8,7 +8,7 @@ kept in a dictionary of bounded size per task, so either tier is reached once pe
 Decoding joins the bytes of the tokens; it reads the ids only.
 
 Defined cases: a null text is empty (no ids, hashes of the empty string); texts are encoded whole, special-token
-strings are ordinary text; repeated rows and ties give the same result; other columns are ignored.
+strings are ordinary text; repeated rows and ties give the same result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ one band that are still in different components are compared with each other: pa
 members, in blocks inside the tasks in larger ones, where the members of the largest component are not compared among
 themselves. So every candidate pair is either compared or inside one component. (3) Each node with a candidate is shingled once
 more; components are verified exactly on those hashed sets, in blocks of BLOCK nodes against blocks, which also counts each node's
-links; components of the verified links are the classes.
+links; components of the verified links are the classes. Of a component of several blocks, the nodes that lie within half the threshold's distance of one
+node are linked to each other by the triangle inequality and are counted, not compared; so a million copies that differ in a few words form no pairs.
 
 A node is named by the digest of its shingle set, never by a doc_id, so rows with equal doc_ids and other texts stay apart.
 
@@ -22,7 +23,7 @@ A pair at the threshold shares no band with probability below 1e-5, falling fast
 Defined cases: texts without a word (null and empty ones too) have no shingles and are linked only to equal texts,
 null texts to none (rows with null text and equal doc_ids are one class); a class is named by its least doc_id; where several classes
 have the same least doc_id, the one whose texts hash lowest keeps it and the others, like classes without any doc_id, are named by a negative
-number drawn from their texts; repeated rows count once as texts; an empty table gives no rows; other columns are ignored by ``classes`` and
+number drawn from their texts; repeated rows count once as texts; a pair at exactly the threshold is linked; very long texts are shingled whole; an empty table gives no rows; other columns are ignored by ``classes`` and
 kept by ``one_of_each``.
 """
 
@@ -43,7 +44,7 @@ from .simhash import mixed, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 HASHES, STEP, TOLERANCE, BLOCK = BANDS * ROWS, 12, 1e-6, 256
-PART, SMALL, LANE = 8, 32, 4096
+PART, SMALL, LANE, HEADS = 8, 32, 4096, 8
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -265,17 +266,57 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np
     return out[i, j].astype(np.int64)
 
 
+def _core(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, head: of each component of several blocks, the nodes at half the threshold's distance or less from one of HEADS nodes drawn by hash, the one with most of them.
+
+    Jaccard distance is a metric, so two such nodes are linked without looking at them.
+    """
+    large = sizes.where(F.col("n") > BLOCK).select("comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = nodes.join(large, "comp").select(F.col("comp").alias("comp"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "shingles")  # attributes of its own on this side
+    drawn = nodes.join(large, "comp").groupBy("comp", "blocks").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HEADS)])
+    drawn = drawn.select("comp", "blocks", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("node"))
+    heads = drawn.join(nodes.select("node", "shingles"), "node").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("head"), "shingles")
+
+    def near(group: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sets = [np.frombuffer(t, dtype=np.uint64) for t in group["shingles"]]
+        for head, shingled in zip(some["head"], some["shingles"], strict=True):
+            own = np.frombuffer(shingled, dtype=np.uint64)
+            common = np.array([np.intersect1d(own, t, assume_unique=True).size for t in sets], dtype=np.int64)
+            union = len(own) + np.array(list(map(len, sets)), dtype=np.int64) - common
+            close = 2 * (union - common) <= (1 - THRESHOLD) * union - 1e-9
+            out.append(pd.DataFrame({"comp": group["comp"][close], "head": head, "node": group["node"][close]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["comp", "head", "node"])
+
+    found = staged(dealt.groupBy("comp", "block").cogroup(heads.groupBy("comp", "block")).applyInPandas(near, "comp binary, head binary, node binary"), "core-heads")
+    best = found.groupBy("comp", "head").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
+    return found.join(best, ["comp", "head"], "left_semi").select("node", "head")
+
+
 def _verified(nodes: DataFrame) -> DataFrame:
-    """node, links (linked texts), least linked node, from ``nodes`` (comp, node, n_texts, signature, shingles).
+    """node, links (linked texts), least linked node, from ``nodes`` (comp, node, n_texts, signature, shingles), stored.
 
-    Rows meet in pairs of blocks of one component; a pair of blocks is one group of at most 2 * BLOCK rows.
+    Nodes of the core of a large component are linked to all others of it; they meet only the rest. Rows meet in pairs of blocks of one
+    component; a pair of blocks is one group of at most 2 * BLOCK rows.
     """
     ship(nodes.sparkSession)
-    sizes = nodes.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = nodes.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    low = F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
-    high = F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
-    met = dealt.select("comp", "node", "n_texts", "signature", "shingles", "block", F.inline(F.array_distinct(F.concat(low, high))))
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("n"))
+    core = staged(_core(nodes, sizes), "core")
+    marked = nodes.join(core, "node", "left").withColumn("core", F.col("head").isNotNull())
+    counts = marked.groupBy("comp").agg(F.count_if("core").alias("majors"), F.count_if(~F.col("core")).alias("minors"), F.sum(F.when(F.col("core"), F.col("n_texts"))).alias("core_texts"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    counts = staged(counts.select("comp", blocks("majors").alias("majors"), blocks("minors").alias("minors"), "core_texts"), "core-counts")
+    dealt = marked.join(counts, "comp")
+    sure = dealt.where("core").select("node", (F.col("core_texts") - F.col("n_texts")).alias("links"), F.col("head").alias("least"))
+    p, none = F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("majors")).otherwise(F.col("minors"))).cast("int"), F.array().cast("array<struct<i:int,j:int>>")
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    upto = lambda first, n, make: F.when(n > 0, F.transform(F.sequence(first, first + n - 1), make)).otherwise(none)
+    dealt = dealt.withColumn("p", p)
+    at, minors, majors = F.col("p"), F.col("minors"), F.col("majors")
+    rest = F.concat(F.transform(F.sequence(F.lit(0), at), lambda i: pair(i, at)), F.transform(F.sequence(at, minors - 1), lambda j: pair(at, j)), upto(minors, majors, lambda j: pair(at, j)))
+    inner = upto(F.lit(0), minors, lambda i: pair(i, minors + at))
+    own = F.when(F.col("core"), minors + at).otherwise(at)
+    met = dealt.select("comp", "node", "n_texts", "signature", "shingles", own.alias("block"), F.inline(F.array_distinct(F.when(F.col("core"), inner).otherwise(rest))))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
@@ -304,7 +345,7 @@ def _verified(nodes: DataFrame) -> DataFrame:
             forest.join(na[x], nb[y])  # says as much about classes as all links
         return pd.DataFrame({"node": list(links), "links": list(links.values()), "least": [forest.root(n) for n in links]})
 
-    return met.groupBy("comp", "i", "j").applyInPandas(compare, "node binary, links bigint, least binary")
+    return met.groupBy("comp", "i", "j").applyInPandas(compare, "node binary, links bigint, least binary").unionByName(sure)
 
 
 def _named(texts: DataFrame) -> DataFrame:
@@ -349,7 +390,7 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = nodes.join(comps, "node").select("node", "of_text", "of_doc")
     sets = docs.select("doc_id", text_key().alias("text_key"), "text").join(asked, one_row).select("node", "text")
     sets = staged(_shingled(sets).dropDuplicates(["node"]), "shingled")
-    checked = staged(_verified(sets.join(comps, "node").join(signatures, "node")), "verified")
+    checked = staged(_verified(staged(sets.join(comps, "node").join(signatures, "node"), "placed-sets")), "verified")
     final = components(checked.where("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")), "classes")
     totals = checked.groupBy("node").agg(F.sum("links").alias("links"))
     placed = texts.select(F.col("set_key").alias("node"), "doc_id").join(final, "node", "left").select(F.coalesce("comp", "node").alias("comp"), "doc_id")

@@ -18,7 +18,7 @@ The unigram base needs the count of every word: the HEAD most frequent words are
 in the shuffle.
 
 Defined cases: null and empty texts are the end symbol alone; a null doc_id counts as the empty text for the split and for the
-groups; without training rows all counts are 0; repeated rows are scored alike; very long texts are trained on and scored in batches of
+groups; without training rows all counts are 0; repeated rows are scored alike; an empty table gives no rows; very long texts are trained on and scored in batches of
 windows; other columns are ignored.
 """
 

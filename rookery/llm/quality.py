@@ -13,7 +13,7 @@ and source.
 The base rules come first (fewer than 50 words, or over half of the words inside repeated three-word windows).
 
 Defined cases: a null or empty text has no words and fails the base rules; null lang and source are groups of
-their own; long texts are measured whole; repeated rows are judged alike and count as rows of their own; an empty table gives no rows; other
+their own; long texts are measured whole; repeated rows are judged alike and count as rows of their own; a value that ties with a fence is kept; an empty table gives no rows; other
 columns are ignored by ``op1`` and kept by ``keep``.
 """
 

@@ -11,8 +11,8 @@ pieces are the exact ranks, so a source that holds a third of the corpus spreads
 The number of pieces grows with the row count, so a piece holds about PIECE_ROWS rows at most.
 
 Law: ``rows`` (shard sizes at most one apart). Defined cases: a null source is a stratum of its own, a null
-text has no bytes (size 1, crc32 0), rows with a null doc_id are shuffled by their place in the table, repeated rows are separate rows with slots of their own, an empty table gives no
-rows, and other columns are ignored.
+text has no bytes (size 1, crc32 0), rows with a null doc_id are shuffled by their place in the table, repeated rows are separate rows with slots of their own, rows that tie in
+the hash go by doc_id and size (equal ones in any order), very long texts only give their size and checksum, an empty table gives no rows, and other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ to the range before as well, and one pass over the sorted ranges sees each docum
 are shuffled once.
 
 Defined cases: a null text is empty and has fingerprint 0; a null doc_id sorts before all others; rows with equal
-doc_id are ordered by text; a table of one row is its own successor; an empty table gives no rows; other columns are ignored.
+doc_id are ordered by text; a table of one row is its own successor; votes that tie clear the bit;
+very long texts are voted on whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Host list: a host is listed if rules block more than half of its pages. A url th
 listed, else allowed.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path, fits no rule and is allowed; repeated rows are
-judged alike and count as pages of their own; no pages or no rules give no fits; other columns are ignored.
+judged alike and count as pages of their own; of fitting rules that tie in length the one with fewer labels in its host wins; very long urls are
+judged whole; an empty table gives no rows; no pages or no rules give no fits; other columns are ignored.
 """
 
 from __future__ import annotations

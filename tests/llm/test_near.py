@@ -72,6 +72,33 @@ def test_jaccard_equals_all_pairs(spark, monkeypatch, large):
     assert got[None] == got[6]  # a row without doc_id is a text like any other
 
 
+def test_near_identical_nodes_are_counted_not_compared(spark, monkeypatch):
+    """A component of several blocks: most texts differ from its head in one word, some in more, some only through others."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"x{rng.randrange(10**9)}"
+        return words
+
+    texts = [changed(base, 1) for _ in range(90)] + [changed(base, n) for n in (2, 3, 4, 4, 5, 6, 8) for _ in range(6)] + [changed(changed(base, 3), 3) for _ in range(10)]
+    texts += [texts[3], texts[3], texts[100]]  # copies
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)] + [(500, " ".join(f"v{i}" for i in range(60)), "en", "s")]
+    df = frame(spark, rows)
+    want_class, want_links = near_classes([r[:2] for r in rows])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(df).collect()}
+    assert got == {d: (want_class[d], want_links[d]) for d in want_class}
+    seen = []
+    monkeypatch.setattr(jaccard, "staged", lambda d, name, *a, f=jaccard.staged, **k: (seen.append((name, out := f(d, name, *a, **k))), out)[1])
+    jaccard.classes(df).count()
+    assert dict(seen)["core"].count() > 60  # these form no pairs among themselves
+
+
 def test_rows_with_equal_ids_and_other_texts_stay_apart(spark):
     one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, one), (1, two), (2, two), (3, one), (None, one), (None, three), (None, three + " c30"), (None, None), (5, None), (5, None), (7, ""), (8, " ")]
