@@ -91,8 +91,8 @@ BUCKET = 32768
 MOST_SELECTED = 1000
 
 
-@query("j11_new_pairs", "region", "nation", "customer", sql="""SELECT r_regionkey, n_nationkey FROM region, nation WHERE (r_regionkey, n_nationkey) NOT IN (SELECT n_regionkey, n_nationkey FROM nation)""")
-def new_pairs(left: DataFrame, right: DataFrame, _customers: DataFrame) -> DataFrame:
+@query("j11_new_pairs", "region", "nation", sql="""SELECT r_regionkey, n_nationkey FROM region, nation WHERE (r_regionkey, n_nationkey) NOT IN (SELECT n_regionkey, n_nationkey FROM nation)""")
+def new_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """All pairs of two selected small sets except the existing ones."""
     chosen = [r[0] for r in left.select("r_regionkey").distinct().limit(MOST_SELECTED + 1).collect()]
     if len(chosen) > MOST_SELECTED:
@@ -102,8 +102,8 @@ def new_pairs(left: DataFrame, right: DataFrame, _customers: DataFrame) -> DataF
     return pairs.select("r_regionkey", "n_nationkey").join(known, ["r_regionkey", "n_nationkey"], "left_anti")
 
 
-@query("j12_terms_in_text", "v_job", "v_candidate", sql="""WITH t AS (SELECT DISTINCT lower(unnest(skills)) AS term FROM v_job) SELECT term, count(*) AS hits FROM t JOIN v_job j ON contains(lower(j.title), term) GROUP BY 1""")
-def terms_in_text(jobs: DataFrame, _candidates: DataFrame) -> DataFrame:
+@query("j12_terms_in_text", "v_job", sql="""WITH t AS (SELECT DISTINCT lower(unnest(skills)) AS term FROM v_job) SELECT term, count(*) AS hits FROM t JOIN v_job j ON contains(lower(j.title), term) GROUP BY 1""")
+def terms_in_text(jobs: DataFrame) -> DataFrame:
     """Substring hits of a term set. Every term here is free of blanks, so words that contain a term are found once per distinct word."""
     terms = jobs.select(F.explode("skills").alias("t")).select(F.lower("t").alias("term")).distinct()
     from ..plans.retrieval import term_hits

@@ -261,9 +261,9 @@ def direct_return(rows: DataFrame, queries: DataFrame, threshold: float = 0.5) -
     return hits.where(~F.coalesce("direct", F.lit(False)) | (F.col("best") == 1)).select("query_id", "paragraph_id")
 
 
-@query("v18_prompt_context", "v_paragraph", "v_document", sql="""WITH r AS (SELECT document_id, content, position, coalesce(sum(length(content)) OVER (PARTITION BY document_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM v_paragraph)
+@query("v18_prompt_context", "v_paragraph", sql="""WITH r AS (SELECT document_id, content, position, coalesce(sum(length(content)) OVER (PARTITION BY document_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM v_paragraph)
     SELECT document_id, 'Context: ' || string_agg(substring(content, 1, CAST(800 - used AS INT)), chr(10) ORDER BY position) AS prompt FROM r WHERE used < 800 GROUP BY 1""")
-def prompt_context(paragraphs: DataFrame, _documents: DataFrame, budget: int = 800) -> DataFrame:
+def prompt_context(paragraphs: DataFrame, budget: int = 800) -> DataFrame:
     from ..operators.windows import character_budget
 
     cut = character_budget(paragraphs, budget).join(paragraphs.select("paragraph_id", "document_id", "position"), "paragraph_id")

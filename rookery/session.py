@@ -57,11 +57,18 @@ def staged(df: DataFrame, name: str, compression: str = "snappy", partition_by:
 _STORED: list[tuple] = []
 
 
+def _there(df: DataFrame) -> bool:
+    """Whether the files of a stored table still exist (its first one stands for all; an empty table has none)."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    some = df.inputFiles()[:1]
+    return all((path := jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) for f in some)
+
+
 def stored(rows: DataFrame, name: str, build: Callable[[DataFrame], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
     """The tables that ``build`` makes of ``rows``, made once per application, name and plan of ``rows``: an index as of the time it was built."""
     context = rows.sparkSession.sparkContext
     for owner, kind, of, made in _STORED:
-        if owner == context.applicationId and kind == name and of.sameSemantics(rows):
+        if owner == context.applicationId and kind == name and of.sameSemantics(rows) and all(_there(df) for df in made):
             return made
     made = build(rows)
     _STORED.append((context.applicationId, name, rows, made))

@@ -44,4 +44,4 @@ def placed(rows: DataFrame) -> DataFrame:
     """
     counts = rows.groupBy("file").agg(F.count("*").alias("n"))
     before = counts.select("file", (F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "file").withColumn("position", F.col("before") + F.col("row"))
+    return rows.join(before, "file").withColumn("position", F.col("before") + F.col("row"))
