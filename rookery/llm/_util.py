@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.session import ship, staged, table  # noqa: F401
+from rookery.session import discard, ship, staged, table  # noqa: F401
 
 #: ASCII white space: what separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import arrow_batch, documents, rows_of, ship, staged
+from ._util import arrow_batch, discard, documents, rows_of, ship, staged
 from .simhash import mixed, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -142,14 +142,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         up = staged(up, f"{name}-up")
         reached = staged(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"), f"{name}-reached")
         if labels is None:
-            labels = reached.select("node", F.col("root").alias("comp"))
+            labels = staged(reached.select("node", F.col("root").alias("comp")), f"{name}-labels")
         else:
-            labels = staged(labels.join(reached.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{name}-labels")
+            before, labels = labels, staged(labels.join(reached.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{name}-labels")
+            discard(before)
         at = lambda side: reached.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
         moved = left.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         # a node reached may itself have somewhere to go
         further = reached.select("root").distinct().join(up.withColumnRenamed("node", "root"), "root").select(F.col("root").alias("a"), F.col("up").alias("b"))
-        left = staged(tidy(moved.union(further)), f"{name}-edges")
+        last, left = left, staged(tidy(moved.union(further)), f"{name}-edges")
+        discard(last, up, reached)
         if left.isEmpty():
             return labels
 
@@ -384,13 +386,17 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = small.select("band", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     cross = small.select("band", F.col("node").alias("a"), "comp").join(other, "band").where("a < b AND comp <> comp_b").select("a", "b").distinct()
     large = _block_links(placed.where(F.col("members") > SMALL).select("band", "node", "comp"), signatures)
-    links = stars.unionByName(staged(_pruned(cross, signatures).unionByName(large), "cross"))
-    comps = components(links, "links")
+    links = staged(stars.unionByName(_pruned(cross, signatures).unionByName(large)), "links")
+    discard(stars)
+    first, comps = comps, components(links, "links")
+    discard(first, members, placed, links)
     # one row of each node that has candidates is shingled
     asked = nodes.join(comps, "node").select("node", "of_text", "of_doc")
     sets = docs.select("doc_id", text_key().alias("text_key"), "text").join(asked, one_row).select("node", "text")
-    sets = staged(_shingled(sets).dropDuplicates(["node"]), "shingled")
-    checked = staged(_verified(staged(sets.join(comps, "node").join(signatures, "node"), "placed-sets")), "verified")
+    sets = staged(_shingled(sets).dropDuplicates(["node"]).join(comps, "node").join(signatures, "node"), "shingled")
+    discard(signatures)
+    checked = staged(_verified(sets), "verified")
+    discard(sets)
     final = components(checked.where("least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")), "classes")
     totals = checked.groupBy("node").agg(F.sum("links").alias("links"))
     placed = texts.select(F.col("set_key").alias("node"), "doc_id").join(final, "node", "left").select(F.coalesce("comp", "node").alias("comp"), "doc_id")
