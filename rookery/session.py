@@ -54,6 +54,15 @@ def staged(df: DataFrame, name: str, compression: str = "snappy", partition_by:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more (what was made of them has been stored)."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _STORED: list[tuple] = []
 
 
