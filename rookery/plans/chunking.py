@@ -106,14 +106,24 @@ def split_by_headings(documents: DataFrame, patterns: list[str] = HEADINGS, limi
     return documents.select("document_id", "content").mapInPandas(run, "document_id bigint, position bigint, title string, content string")
 
 
-@query("t22_heading_sections", "v_document")
+# lines with the headings above them: h0 and h1 are the last heading of the first level and the last one of the second behind it, at or before a line
+_PATHS = """l AS (SELECT *, max(CASE WHEN level = 0 THEN i END) OVER w AS i0, max(CASE WHEN level = 1 THEN i END) OVER w AS i1, count(level) OVER w AS sec FROM v_headed_document WINDOW w AS (PARTITION BY document_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT l.*, trim(a.line, '# ' || chr(10)) AS h0, CASE WHEN i1 > coalesce(i0, -1) THEN trim(b.line, '# ' || chr(10)) END AS h1 FROM l LEFT JOIN v_headed_document a ON a.document_id = l.document_id AND a.i = i0 LEFT JOIN v_headed_document b ON b.document_id = l.document_id AND b.i = i1)"""
+_STRIPPED = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("t22_heading_sections", "v_headed_document", sql=f"""WITH {_PATHS}, s AS (SELECT document_id, sec, substring(coalesce(concat_ws(' ', arg_min(h0, i), arg_min(h1, i)), ''), 1, 255) AS title, coalesce({_STRIPPED.format(c="string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY i)")}, '') AS content FROM p GROUP BY 1, 2)
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY sec) AS position, title, content FROM s WHERE title <> '' OR content <> ''""")
 def t22(documents: DataFrame) -> DataFrame:
     return split_by_headings(documents)
 
 
-@query("t25_selected_patterns", "v_document")
+@query("t25_selected_patterns", "v_headed_document", sql=f"""WITH {_PATHS}, r AS (SELECT *, lag(h0) OVER w AS g0, lag(h1) OVER w AS g1 FROM p WINDOW w AS (PARTITION BY document_id ORDER BY i)),
+    o AS (SELECT document_id, i, 0 AS part, CASE WHEN i = 0 THEN '' ELSE substring(concat_ws(' ', g0, g1, ''), 1, 255) END AS title, CASE WHEN level IS NULL THEN {_STRIPPED.format(c='line')} ELSE '' END AS body FROM r UNION ALL SELECT document_id, i, 1, substring(concat_ws(' ', h0, h1), 1, 255), '' FROM r WHERE level IS NOT NULL),
+    c AS (SELECT document_id, i, part, title, unnest(CASE WHEN body = '' THEN [''] ELSE regexp_extract_all(body, '(?s).{{1,500}}') END) AS content, unnest(range(0, greatest(1, (length(body) + 499) // 500))) AS k FROM o)
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i, part, k) AS position, title, content FROM c WHERE title <> '' OR content <> ''""")
 def t25(documents: DataFrame, names: tuple[str, ...] = ("#", "##", "blank line", "enter", "-")) -> DataFrame:
-    """Sections by the patterns that a user chose by name."""
+    """Sections by the patterns that a user chose by name, 500 characters at most."""
     return split_by_headings(documents, [PATTERNS[n] for n in names], 500)
 
 

@@ -59,6 +59,8 @@ _BOTH = {
 _LINE = """CASE WHEN i % 9 = 4 THEN concat('【', substring(line, 1, 10), '】') WHEN i % 11 = 0 OR (i = 1 AND doc_id % 3 = 0) THEN '' WHEN position(', ' IN line) > 0 THEN concat('- ', line) ELSE line END AS content"""
 _SPARK = {
     "v_resume_line": rf"""SELECT doc_id AS document_id, CAST(i AS BIGINT) AS position, {_LINE} FROM (SELECT doc_id, pos + 1 AS i, line FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, line) FROM documents) u) t""",
+    # documents with headings of two levels among their lines
+    "v_headed_document": r"""SELECT doc_id AS document_id, array_join(transform(filter(split(text, '\n'), x -> trim(x) <> ''), (x, i) -> CASE WHEN i % 9 = 4 THEN concat('# ', left(x, 10)) WHEN i % 5 = 2 THEN concat('## ', left(x, 12)) ELSE x END), '\n') AS content FROM documents""",
     "v_skill_list": """SELECT p_partkey AS id, concat(split(p_name, ' '), array(upper(p_name), concat(' ', p_name, '， '), 'x', concat('熟悉', p_type), p_type, p_brand, concat('"', p_brand, '"')),
         CASE WHEN p_partkey % 10 = 0 THEN transform(sequence(1, 20), i -> concat('skill', i)) ELSE CAST(array() AS array<string>) END) AS skills FROM part""",
     "v_keyword_query": r"""SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN array_join(slice(w, 1, 6), ' ') WHEN 1 THEN concat('"', w[0], ' ', w[1], '" ', w[2]) WHEN 2 THEN concat(w[0], ' ', w[1], ' --', w[5])
@@ -74,6 +76,8 @@ _SPARK = {
 }
 _DUCKDB = {
     "v_resume_line": f"""SELECT doc_id AS document_id, i AS position, {_LINE} FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
+    "v_headed_document": """SELECT doc_id AS document_id, i, CASE WHEN i % 9 = 4 THEN 0 WHEN i % 5 = 2 THEN 1 END AS level, CASE WHEN i % 9 = 4 THEN substring(x, 1, 10) WHEN i % 5 = 2 THEN substring(x, 1, 12) ELSE x END AS line FROM (
+        SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))""",
     "v_skill_list": """SELECT p_partkey AS id, list_concat(list_concat(string_split(p_name, ' '), [upper(p_name), ' ' || p_name || '， ', 'x', '熟悉' || p_type, p_type, p_brand, '"' || p_brand || '"']),
         CASE WHEN p_partkey % 10 = 0 THEN list_transform(range(1, 21), lambda i: 'skill' || i) ELSE [] END) AS skills FROM part""",
     "v_keyword_query": r"""SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN array_to_string(w[1:6], ' ') WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '" ' || w[3] WHEN 2 THEN w[1] || ' ' || w[2] || ' --' || w[6]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rookery import catalog
 from rookery.functions import text as T
 from rookery.plans import chunking, keywords, models, retrieval, tokens, views
-from rookery.sources import evidence, readers
+from rookery.sources import evidence, exports, readers
 
 TEXTS = ["", "one", "a. b. c", "词语。" * 400, "no marks here " * 60, "x" * 1300, "line\nline two; three! four?" * 30]
 
@@ -62,6 +62,23 @@ def test_page_text_and_selectors():
     assert readers.page_text(page, readers.selector([".other", ".main", "article"])).startswith("## Head")
 
 
+def test_pages_become_sections(spark):
+    html = "<html><body><p>intro</p><h1>One</h1><p>a &lt; b</p><h2>Two</h2><ul><li>x</li></ul><h1>Three</h1></body></html>"
+    got = readers.page_sections(spark.createDataFrame([(7, "u", html), (8, "v", None)], "page_id long, url string, html string")).orderBy("position").collect()
+    assert [(r["page_id"], r["title"], r["content"]) for r in got] == [(7, "", "intro"), (7, "One", "a < b"), (7, "One Two", "- x"), (7, "Three", "")]
+
+
+def test_exported_sheets_stay_in_few_folders(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(exports, "written", lambda *a, f=exports.written, **k: (paths.append(f(*a, **k)), paths[-1])[1])
+    documents = spark.range(300).selectExpr("id AS document_id", "concat('n', id) AS name")
+    paragraphs = documents.selectExpr("document_id", "document_id * 10 AS paragraph_id", "1L AS position", "'text' AS content")
+    questions = spark.createDataFrame([(1, "q")], "query_id long, query string")
+    assert exports.knowledge_export(documents, paragraphs, questions).select("sheet").distinct().count() == 300
+    folders = [r[0] for r in spark.read.json(paths[0]).select("folder").distinct().collect()]
+    assert len(folders) <= exports.FOLDERS
+
+
 def test_question_table_roles():
     assert readers.qa_roles(["c"]) == {"content": "c"} and readers.qa_roles(["t", "c"]) == {"title": "t", "content": "c"}
     assert readers.qa_roles(["问题1", "分段内容x", "分段标题"]) == {"title": "分段标题", "content": "分段内容x", "questions": "问题1"}
@@ -193,7 +210,7 @@ def test_stream_equals_batch_on_repeated_runs(spark):
 
 def test_keyword_queries_by_hand(spark):
     texts = spark.createDataFrame([(1, "red fish blue fish"), (2, "blue red fish"), (3, "one red two blue"), (4, "green blue"), (5, "red fish green")], "paragraph_id long, content string")
-    index = tokens.postings(texts, "paragraph_id", "content")
+    index = keywords.keyword_index(texts)
 
     def found(text):
         return {r["paragraph_id"] for r in keywords.keyword_search(index, spark.createDataFrame([(1, text)], "query_id long, query string"), None).collect()}
