@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rookery import catalog
 from rookery.functions import text as T
-from rookery.plans import chunking, keywords, models, retrieval, tokens, views
+from rookery.plans import chunking, keywords, models, retrieval
 from rookery.sources import evidence, exports, readers
 
 TEXTS = ["", "one", "a. b. c", "词语。" * 400, "no marks here " * 60, "x" * 1300, "line\nline two; three! four?" * 30]
