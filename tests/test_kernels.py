@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -96,6 +97,19 @@ def test_links_of_all_kinds(spark):
     assert got == {("b", 1), ("c", 1), ("d", 2)}
 
 
+def test_every_page_is_a_start(spark, tmp_path):
+    links = {0: [1, 9], 1: [2], 2: [3, 1], 3: [], 20: [0]}
+    rows = [(i, f"https://a.org/{i}", "".join(f'<a href="/{j}">x</a>' for j in to)) for i, to in links.items()]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {tuple(int(str(v).rsplit("/", 1)[-1]) for v in r) for r in catalog.QUERIES["s07_reachable_pages"](spark, str(tmp_path)).select("start", "node", "depth").collect()}
+    want = {(i, j, 1) for i, to in links.items() for j in to}
+    want |= {(i, k, 2) for i, j, _ in want for k in links.get(j, []) if k != i and (i, k, 1) not in want}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    sql = {tuple(int(str(v).rsplit("/", 1)[-1]) for v in r) for r in con.sql(f"SELECT start, node, depth FROM ({catalog.ORACLE_SQL['s07_reachable_pages']})").fetchall()}
+    assert got == sql == want and (1, 3, 2) in got and (2, 1, 1) in got
+
+
 def evidence_items(value, most=100):
     """(path, paragraph_id, excerpt, relevance) by walking the value: members by name, the items of a list before what is inside them."""
     out, todo = [], [("", value, False)]
