@@ -103,11 +103,24 @@ def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts 16-bit keys, the first place of each run of equal keys, and the key of each run."""
     order = np.argsort(keys.astype(np.uint16), kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    ordered = np.take(keys, order)
+    new = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    first = np.flatnonzero(new)
     return order, first, ordered[first]
 
 
+def _sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows by runs of ``order``; a run of one row is that row, so only longer ones are added up."""
+    out = np.take(values, order[first], axis=0)
+    length = np.diff(first, append=len(order))
+    long = np.flatnonzero(length > 1)
+    if len(long):
+        size = length[long]
+        out[long] = np.add.reduceat(np.take(values, order[np.repeat(length > 1, length)], axis=0), np.cumsum(size) - size, axis=0)
+    return out
+
+
 class Attention:
     """Weights and passes of the model; arrays are float32.
 
@@ -156,7 +169,7 @@ class Attention:
         a = np.matmul(q, x.transpose(0, 2, 1))
         np.exp(np.minimum(a, 30, out=a), out=a)
         a *= self.mask
-        a /= a.sum(axis=2, keepdims=True)
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=a.dtype)).reshape(*ids.shape, 1)
         c = np.matmul(a, x)
         return x, q, a, c, c.reshape(-1, WIDTH) @ self.w["V"] + flat
 
@@ -173,8 +186,10 @@ class Attention:
         h = np.take(self.attend(ids)[-1], real, axis=0)
         h += np.take(self.E, pairs.reshape(-1)[real] + self.size, axis=0)
         e = self.parts(h)
-        chosen = np.take(self.O, target.reshape(-1)[real], axis=0)
-        return np.log(np.einsum("nc,nc->n", e, chosen) / (e @ np.ones(PARTS, dtype=e.dtype)))
+        ones = np.ones(PARTS, dtype=e.dtype)
+        total = e @ ones
+        e *= np.take(self.O, target.reshape(-1)[real], axis=0)
+        return np.log(e @ ones / total)
 
     def step(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray, rate: float, gather=None) -> float:
         """One step on windows; targets below 0 are left out. ``gather`` gets targets and their posteriors. Returns the mean log-probability."""
@@ -194,7 +209,7 @@ class Attention:
             gather(y, r)
         e *= (1 / total)[:, None]
         e -= r  # slope of the loss at the logits of the parts
-        g = {"U": h.T @ e, "u": e.sum(axis=0)}
+        g = {"U": h.T @ e, "u": np.ones(len(e), dtype=e.dtype) @ e}
         dh = e @ w["U"].T
         full = np.zeros((ids.size, WIDTH), dtype=x.dtype)
         full[real] = dh
@@ -226,7 +241,7 @@ class Attention:
         if not len(keys):
             return
         order, first, key = _runs(keys)
-        grad = np.add.reduceat(np.take(slopes, order, axis=0), first, axis=0)
+        grad = _sums(slopes, order, first)
         grad /= n
         key = key + base
         seen = np.take(self.seen, key, axis=0)
@@ -236,12 +251,16 @@ class Attention:
         seen += 1e-8
         grad /= seen
         grad *= grad.dtype.type(rate)
-        self.E[key] -= grad
+        rows = np.take(self.E, key, axis=0)
+        rows -= grad
+        self.E[key] = rows
 
 
 def outputs(counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
     """Probabilities of ids in each part from counts of (id, part), with PRIOR counts of the unigram."""
-    return ((counts + PRIOR * unigram[:, None]) / (counts.sum(axis=0) + PRIOR)).astype(_one)
+    out = counts + PRIOR * unigram[:, None]
+    out /= counts.sum(axis=0) + PRIOR
+    return out.astype(_one)
 
 
 def unigram(by_id: np.ndarray) -> np.ndarray:
@@ -251,7 +270,10 @@ def unigram(by_id: np.ndarray) -> np.ndarray:
 def warmed(sequences: list[np.ndarray], prior: np.ndarray) -> Attention:
     """First weights: WARM_STEPS steps over the windows of ``sequences``, the output distributions refitted every REFIT steps."""
     model, rng = Attention(len(prior)), np.random.default_rng(5)
-    counts = (prior[:, None] * np.exp(rng.normal(0, 1, model.O.shape))).astype(_one)
+    counts = rng.normal(0, 1, model.O.shape)
+    np.exp(counts, out=counts)
+    counts *= prior[:, None]
+    counts = counts.astype(_one)
     counts *= 2000 / counts.sum(axis=0)
     model.O = outputs(counts, prior)
     if not sequences:
@@ -261,7 +283,7 @@ def warmed(sequences: list[np.ndarray], prior: np.ndarray) -> Attention:
 
     def gather(y: np.ndarray, r: np.ndarray) -> None:
         at, first, key = _runs(y)
-        fresh[key] += np.add.reduceat(np.take(r, at, axis=0), first, axis=0)
+        fresh[key] += _sums(r, at, first)
 
     for i in range(WARM_STEPS):
         some = np.take(order, np.arange(i * BATCH, (i + 1) * BATCH), mode="wrap")
@@ -280,15 +302,18 @@ class Drawn:
 
     def __init__(self, size: int, seed: int):
         self.counts, self.rng = np.zeros(size * PARTS, dtype=np.int64), np.random.default_rng(seed)
+        self.within = np.tril(np.ones((LANE, LANE), dtype=_one))
+        self.lanes = np.tril(np.ones((PARTS // LANE,) * 2, dtype=_one))
 
     def __call__(self, y: np.ndarray, r: np.ndarray) -> None:
-        """First a lane of LANE parts is drawn, then a part of it: short running sums instead of one long one."""
-        rows, lanes = np.arange(len(y)), r.reshape(len(y), -1, LANE)
-        upto = np.cumsum(np.einsum("nlc->nl", lanes), axis=1)
-        at = self.rng.random(len(y), dtype=_one) * upto[:, -1]
-        lane = np.minimum((upto <= at[:, None]).sum(axis=1), lanes.shape[1] - 1)
-        at -= np.where(lane > 0, upto[rows, lane - 1], 0)
-        part = np.minimum((np.cumsum(lanes[rows, lane], axis=1) <= at[:, None]).sum(axis=1), LANE - 1)
+        """First a lane of LANE parts is drawn, then a part of it: running sums, as products with triangles of ones, are short instead of one long one."""
+        places, lanes = np.arange(len(y)), len(self.lanes)
+        upto = self.lanes @ (r.reshape(-1, LANE) @ np.ones(LANE, dtype=_one)).reshape(-1, lanes).T
+        at = self.rng.random(len(y), dtype=_one) * upto[-1]
+        lane = np.minimum((upto <= at).view(np.int8).sum(axis=0, dtype=np.int8), lanes - 1).astype(np.intp)
+        at -= np.where(lane > 0, upto[lane - 1, places], 0)
+        inside = self.within @ np.take(r.reshape(-1, LANE), places * lanes + lane, axis=0).T
+        part = np.minimum((inside <= at).view(np.int8).sum(axis=0, dtype=np.int8), LANE - 1)
         np.add.at(self.counts, y * PARTS + lane * LANE + part, 1)
 
 
@@ -388,6 +413,7 @@ def learn(rows: DataFrame, counts: DataFrame) -> Attention:
     model = warmed([_framed(np.frombuffer(r["ids"], dtype=np.uint16), end) for r in first], prior)
     if not first:
         return model
+    del first
     groups = min(MOST_GROUPS, max(1, -(-total // GROUP)))
     used = np.flatnonzero(by_id)
     start, expected = spark.sparkContext.broadcast(model.packed(used)), total // groups  # bounded by the vocabulary, PAIRS and PARTS
@@ -422,14 +448,17 @@ def learn(rows: DataFrame, counts: DataFrame) -> Attention:
     sums = sums.groupBy("kind", "at").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toArrow()  # bounded as the model is
     start.destroy()
     kind, at, n = (sums.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "at", "n"))
-    values = np.stack([sums.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
-    rows_, drawn = kind == "e", np.zeros(-(-len(prior) * PARTS // WIDTH) * WIDTH).reshape(-1, WIDTH)
-    model.E[at[rows_]] = values[rows_] / n[rows_, None] / UNIT
-    drawn[at[kind == "o"]] = values[kind == "o"]
+    rows_, parts, shared = kind == "e", kind == "o", kind == "w"
+    drawn = np.zeros((-(-len(prior) * PARTS // WIDTH), WIDTH))
+    flat = np.zeros((int(shared.sum()), WIDTH))
+    for i, c in enumerate(columns):  # one column at a time: the driver holds the sums once
+        values = sums.column(c).to_numpy().astype(np.float64)
+        model.E[at[rows_], i] = values[rows_] / n[rows_] / UNIT
+        drawn[at[parts], i] = values[parts]
+        flat[at[shared], i] = values[shared] / n[shared] / UNIT
+    del sums
     model.O = outputs(drawn.ravel()[: len(prior) * PARTS].reshape(-1, PARTS), prior)
-    shared = kind == "w"
-    order = np.argsort(at[shared])
-    flat, ends = (values[shared] / n[shared, None] / UNIT)[order].ravel(), np.cumsum([0, *[x.size for x in model.w.values()]])
+    flat, ends = flat.ravel(), np.cumsum([0, *[x.size for x in model.w.values()]])
     model.w = {k: flat[a:b].reshape(x.shape).astype(_one) for (k, x), a, b in zip(model.w.items(), ends, ends[1:], strict=False)}
     return Attention.unpacked(model.packed(used))
 

@@ -142,6 +142,22 @@ def test_scores_do_not_depend_on_partitions(spark, quick):
     assert one == pytest.approx(many, rel=1e-6)  # rounding inside a batch of windows is left
 
 
+def test_sums_of_runs_and_drawn_parts():
+    rng = np.random.default_rng(6)
+    for keys in (rng.integers(0, 40, 200), np.arange(200)[::-1], np.full(200, 65535)):
+        values = rng.random((200, 5))
+        order, first, key = lm._runs(keys)
+        assert key.tolist() == sorted(set(keys.tolist()))
+        assert lm._sums(values, order, first) == pytest.approx(np.stack([values[keys == k].sum(axis=0) for k in key]))
+    r = rng.random(lm.PARTS).astype(np.float32) ** 8
+    r[: lm.LANE] = r[-1] = 0
+    drawn, n = lm.Drawn(3, 1), 200_000
+    drawn(np.full(n, 2, dtype=np.int32), np.tile(r / r.sum(), (n, 1)))
+    got = drawn.counts.reshape(3, -1)
+    assert not got[:2].any() and got.sum() == n and not got[2][r == 0].any()
+    assert got[2] / n == pytest.approx(r / r.sum(), abs=0.005)
+
+
 def test_every_window_is_trained_on():
     model, first = lm.Attention(300), lm.Attention(300)
     docs = [np.arange(n, dtype=np.uint16) % 299 for n in (602, 15, 16)]
