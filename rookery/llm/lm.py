@@ -111,7 +111,9 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of rows by runs of ``order``; a run of one row is that row, so only longer ones are added up."""
+    """Sums of rows by runs of ``order``; where most runs are one row, which is its own sum, only the longer ones are added up."""
+    if 2 * len(first) < len(order):
+        return np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
     out = np.take(values, order[first], axis=0)
     length = np.diff(first, append=len(order))
     long = np.flatnonzero(length > 1)
@@ -141,7 +143,10 @@ class Attention:
 
     def start(self) -> None:
         self.mask = np.tril(np.ones((WINDOW, WINDOW), dtype=_one))
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
+        ends = np.cumsum([0, *[v.size for v in self.w.values()]])
+        self.spans = {k: slice(a, b) for k, a, b in zip(self.w, ends, ends[1:], strict=False)}
+        self.flat = np.zeros((2, ends[-1]), dtype=self.w["P"].dtype)
+        self.moments = {k: tuple(x[self.spans[k]].reshape(v.shape) for x in self.flat) for k, v in self.w.items()}  # views of flat
         self.steps = 0
 
     def packed(self, used: np.ndarray) -> dict:
@@ -173,32 +178,34 @@ class Attention:
         c = np.matmul(a, x)
         return x, q, a, c, c.reshape(-1, WIDTH) @ self.w["V"] + flat
 
+    def told(self, state: np.ndarray, real: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Rows of states with the vectors of their pairs, and a one for u."""
+        h = np.ones((len(real), WIDTH + 1), dtype=state.dtype)
+        np.add(np.take(state, real, axis=0), np.take(self.E, pair + self.size, axis=0), out=h[:, :WIDTH])
+        return h
+
     def parts(self, h: np.ndarray) -> np.ndarray:
         """Unnormalised weights of the parts."""
-        e = h @ self.w["U"]
-        e += self.w["u"]
+        e = h @ np.concatenate((self.w["U"], self.w["u"][None]))
         np.clip(e, -60, 60, out=e)
         return np.exp(e, out=e)
 
     def logp(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of the targets that are not negative, row by row."""
         real = np.flatnonzero(target >= 0)
-        h = np.take(self.attend(ids)[-1], real, axis=0)
-        h += np.take(self.E, pairs.reshape(-1)[real] + self.size, axis=0)
-        e = self.parts(h)
+        e = self.parts(self.told(self.attend(ids)[-1], real, pairs.reshape(-1)[real]))
         ones = np.ones(PARTS, dtype=e.dtype)
         total = e @ ones
         e *= np.take(self.O, target.reshape(-1)[real], axis=0)
         return np.log(e @ ones / total)
 
-    def step(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray, rate: float, gather=None) -> float:
-        """One step on windows; targets below 0 are left out. ``gather`` gets targets and their posteriors. Returns the mean log-probability."""
+    def step(self, ids: np.ndarray, pairs: np.ndarray, target: np.ndarray, rate: float, gather=None) -> None:
+        """One step on windows; targets below 0 are left out. ``gather`` gets targets and their posteriors."""
         w = self.w
         x, q, a, c, h = self.attend(ids)
         real = np.flatnonzero(target >= 0)
         y, pair, n = target.reshape(-1)[real], pairs.reshape(-1)[real], max(1, len(real))
-        h = np.take(h, real, axis=0)
-        h += np.take(self.E, pair + self.size, axis=0)
+        h = self.told(h, real, pair)
         e = self.parts(h)
         r = np.take(self.O, y, axis=0)
         r *= e
@@ -209,15 +216,16 @@ class Attention:
             gather(y, r)
         e *= (1 / total)[:, None]
         e -= r  # slope of the loss at the logits of the parts
-        g = {"U": h.T @ e, "u": np.ones(len(e), dtype=e.dtype) @ e}
-        dh = e @ w["U"].T
+        gu = h.T @ e / n
+        g = {"U": gu[:WIDTH], "u": gu[WIDTH]}
+        dh = e @ (w["U"].T / n)  # from here on slopes of the mean
         full = np.zeros((ids.size, WIDTH), dtype=x.dtype)
         full[real] = dh
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g["V"] = flat(c).T @ full
         dc = (full @ w["V"].T).reshape(c.shape)
         ds = np.matmul(dc, x.transpose(0, 2, 1))
-        ds -= np.einsum("bij,bij->bi", dc, c)[:, :, None]
+        ds -= (flat(dc * c) @ np.ones(WIDTH, dtype=c.dtype)).reshape(*ids.shape, 1)
         ds *= a
         dx = np.matmul(a.transpose(0, 2, 1), dc)
         dx += full.reshape(x.shape)
@@ -226,23 +234,21 @@ class Attention:
         dx += (flat(dq) @ w["Q"].T).reshape(x.shape)
         dx += np.matmul(ds.transpose(0, 2, 1), q)
         g["P"] = dx.sum(axis=0)
-        self._adagrad(ids.reshape(-1), 0, flat(dx), n, rate * ID_PACE)
-        self._adagrad(pair, self.size, dh, n, rate * PAIR_PACE)
+        self._adagrad(ids.reshape(-1), 0, flat(dx), rate * ID_PACE)
+        self._adagrad(pair, self.size, dh, rate * PAIR_PACE)
         self.steps += 1
-        for name, grad in g.items():
-            m, s = self.moments[name]
-            grad /= n
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            w[name] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)).astype(w[name].dtype)
-        return float(np.log(joint / total).mean()) if len(real) else 0.0
-
-    def _adagrad(self, keys: np.ndarray, base: int, slopes: np.ndarray, n: int, rate: float) -> None:
+        grad, (m, s) = np.concatenate([g[k].ravel() for k in w]), self.flat
+        m += 0.1 * (grad - m)
+        s += 0.01 * (grad * grad - s)
+        move = rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)
+        for name, span in self.spans.items():
+            w[name] -= move[span].reshape(w[name].shape).astype(w[name].dtype)
+
+    def _adagrad(self, keys: np.ndarray, base: int, slopes: np.ndarray, rate: float) -> None:
         if not len(keys):
             return
         order, first, key = _runs(keys)
         grad = _sums(slopes, order, first)
-        grad /= n
         key = key + base
         seen = np.take(self.seen, key, axis=0)
         seen += grad * grad

@@ -158,6 +158,25 @@ def test_sums_of_runs_and_drawn_parts():
     assert got[2] / n == pytest.approx(r / r.sum(), abs=0.005)
 
 
+def test_sums_where_few_or_most_rows_share_a_key():
+    rng = np.random.default_rng(9)
+    for keys in (np.concatenate([np.arange(150), np.full(60, 7), [90, 90]]), rng.integers(0, 9, 212)):
+        values = rng.random((212, 5))
+        order, first, key = lm._runs(keys)
+        assert lm._sums(values, order, first) == pytest.approx(np.stack([values[keys == k].sum(axis=0) for k in key]))
+
+
+def test_a_step_moves_weights_as_adam_does():
+    model, rng = small(), np.random.default_rng(8)
+    ids, target = (rng.integers(0, 300, (4, lm.WINDOW)).astype(np.int32) for _ in range(2))
+    pairs = rng.integers(0, lm.PAIRS, ids.shape).astype(np.int32)
+    before = {k: v.copy() for k, v in model.w.items()}
+    model.step(ids, pairs, target, 0.01)
+    for name, (m, s) in model.moments.items():
+        assert m.shape == model.w[name].shape and (s > 0).any()
+        assert model.w[name] == pytest.approx(before[name] - 0.01 * (m / 0.1) / (np.sqrt(s / 0.01) + 1e-8), rel=1e-9)
+
+
 def test_every_window_is_trained_on():
     model, first = lm.Attention(300), lm.Attention(300)
     docs = [np.arange(n, dtype=np.uint16) % 299 for n in (602, 15, 16)]
