@@ -43,3 +43,12 @@ def test_kernel_equals_the_tokenizer(spark):
             want.setdefault((r["k"], w), []).append(i + 1)
     got = {(r["k"], r["token"]): r["positions"] for r in tokens.postings(rows, "k", "t", rows["terms"]).collect()}
     assert got == want
+
+
+def test_only_or_in_capitals_joins_groups(spark):
+    rows = spark.createDataFrame([(1, "or apple"), (2, "apple"), (3, "pear grape"), (4, "or"), (5, "pear or")], "paragraph_id long, content string")
+    asked = spark.createDataFrame([(1, "or apple OR pear grape"), (2, "pear or"), (3, "apple OR or pear"), (4, "apple --or"), (5, "or")], "query_id long, query string")
+    got = {}
+    for r in keywords.keyword_search(keywords.keyword_index(rows), asked, None).collect():
+        got.setdefault(r["query_id"], set()).add(r["paragraph_id"])
+    assert got == {1: {1, 3}, 2: {5}, 3: {1, 2, 5}, 4: {2}, 5: {1, 4, 5}}
