@@ -2,7 +2,7 @@
 
 import pytest
 
-from rookery.plans import keywords, tokens
+from rookery.plans import keywords, retrieval, tokens
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,10 @@ def test_only_or_in_capitals_joins_groups(spark):
     for r in keywords.keyword_search(keywords.keyword_index(rows), asked, None).collect():
         got.setdefault(r["query_id"], set()).add(r["paragraph_id"])
     assert got == {1: {1, 3}, 2: {5}, 3: {1, 2, 5}, 4: {2}, 5: {1, 4, 5}}
+
+
+def test_fusion_ranks_equal_scores_by_id(spark):
+    leg = lambda *rows: spark.createDataFrame([(1, p, s) for p, s in rows], "query_id long, paragraph_id long, score double")
+    summed, other = 0.1 + 0.2, 0.3  # the same score, summed in another order
+    got = {r["paragraph_id"]: r["rrf"] for r in retrieval.fused([leg((7, 0.5)), leg((2, summed), (1, other))]).collect()}
+    assert got[1] == pytest.approx(1 / 61) and got[2] == pytest.approx(1 / 62)
