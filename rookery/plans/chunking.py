@@ -144,7 +144,7 @@ def sentence_cuts(text: str, limit: int) -> list[str]:
         end = mark + 1 if mark >= 0 else at + limit
         out.append(text[at:end])
         at = end
-    return [p for p in [*out, text[at:]] if p.strip()] if out else [text]
+    return [p for p in [*out, text[at:]] if p.strip()]
 
 
 def halving(text: str, limit: int) -> list[str]:

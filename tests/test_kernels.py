@@ -245,3 +245,8 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     log = {(r["batch"], r["doc_id"], r["node"]): (r["outcome"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/log").collect()}
     assert len(log) == spark.read.parquet(f"{tmp_path}/log").count() == 5 + 4 + 5 + 5
     assert log[0, 2, "gate"] == ("rejected", 1) and (0, 2, "index") not in log and log[0, 3, "mask"] == ("done", 1) and log[0, 1, "index"] == ("done", 3)
+
+
+def test_texts_without_ink_have_no_sentence_pieces(spark):
+    rows = spark.createDataFrame([(1, ""), (2, None), (3, " \n\u3000"), (4, " a ")], "document_id long, content string")
+    assert [tuple(r) for r in chunking.t24(rows, 100).collect()] == [(4, 1, " a ")]
