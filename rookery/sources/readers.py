@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -145,27 +146,78 @@ def s07(pages: DataFrame) -> DataFrame:
     return reachable(child_links(pages), pages)
 
 
+#: Rows of a table file that are packed in one row.
+RUN = 10_000
+
+
+def _exits(limit: int, head: int):
+    """For each place of a run where its first paragraph may begin: length of the paragraph open at its end and number of paragraphs begun. ``sizes``: lengths of the run's lines."""
+
+    def run(sizes: pd.Series) -> pd.DataFrame:
+        opens, begun = [], []
+        for lengths in sizes:
+            upto = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+            n = len(lengths)
+            # a paragraph that begins with line i ends before the first later line that brings it to the limit
+            after = np.maximum(np.searchsorted(upto, upto[:-1] + limit - head, side="left") - 1, np.arange(n) + 1)
+            size, count = [0] * n, [1] * n
+            for i in range(n - 1, -1, -1):
+                j = int(after[i])
+                size[i], count[i] = (size[j], count[j] + 1) if j < n else (int(head + upto[n] - upto[i]), 1)
+            most = int(after[0]) + 1
+            opens.append(size[:most])
+            begun.append(count[:most])
+        return pd.DataFrame({"open": opens, "begun": begun})
+
+    return F.pandas_udf(run, "open array<bigint>, begun array<bigint>")
+
+
 def markdown_rows(lines: DataFrame, file: str, head: str, limit: int) -> DataFrame:
     """file, n, content: Markdown rows of each file packed in order while the text stays shorter than ``limit``; each paragraph begins with the head.
 
-    ``lines``: file, k (order) and line. A file is dealt into runs of 10,000 rows by the places of all rows in their order, each run packed in one row.
+    ``lines``: file, k (order) and line. A file is dealt into runs of rows by the places of all rows in their order. What a run does depends on the paragraph that
+    is open where it begins, of which only the length matters: a run's first new paragraph begins at one of few lines, and the end of the run is found for each
+    of them. A fold over the runs of a file (lengths only) picks the right ones, then each run is packed in one row, and the parts of a paragraph are joined.
     """
+    ship(lines.sparkSession)
     placed = global_numbers(lines, [file, "k"], "place")
     first = placed.groupBy(file).agg(F.min("place").alias("first"))
-    nested = placed.join(first, file).withColumn("run", F.floor((F.col("place") - F.col("first")) / 10_000)).groupBy(file, "run").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    dealt = placed.join(first, file).withColumn("run", F.floor((F.col("place") - F.col("first")) / RUN))
+    nested = staged(dealt.groupBy(file, "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("l")), "markdown-runs")
+    sizes = F.transform("l", lambda x: F.char_length(x).cast("bigint"))
+    ends = nested.select(file, "run", sizes.alias("sizes")).withColumn("e", _exits(limit, len(head))("sizes"))
+    ends = ends.select(file, "run", F.slice("sizes", F.lit(1), F.size("e.open")).alias("sizes"), F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), "e.open", "e.begun")
+    kind = nested.schema[file].dataType.simpleString()
+
+    def entries(runs: pd.DataFrame) -> pd.DataFrame:
+        """Length of the open paragraph and its number where each run begins."""
+        out, size, n = [], 0, 0
+        for r in runs.sort_values("run").itertuples(index=False):
+            out.append((r.run, size, n))
+            reached = size + np.cumsum(r.sizes)
+            at = int(np.searchsorted(reached, limit)) if n else 0
+            if at < len(r.sizes):
+                size, n = int(r.open[at]), n + int(r.begun[at])
+            else:
+                size += int(r.total)
+        found = pd.DataFrame(out, columns=["run", "size", "n"])
+        found.insert(0, file, runs[file].iloc[0])
+        return found
+
+    known = ends.groupBy(F.col(file)).applyInPandas(entries, f"`{file}` {kind}, run bigint, size bigint, n bigint")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.col("size").alias("size"), F.col("n").alias("n"))
 
     def add(s, x):
-        fresh = F.concat(F.lit(head), x["line"])
-        fits = F.char_length(s["open"]) + F.char_length(x["line"]) < limit
-        return F.when(s["open"] == "", F.struct(s["done"].alias("done"), fresh.alias("open"))).when(fits, F.struct(s["done"].alias("done"), F.concat(s["open"], x["line"]).alias("open"))).otherwise(
-            F.struct(F.array_append(s["done"], s["open"]).alias("done"), fresh.alias("open")))
+        size = s["size"] + F.char_length(x)
+        fits = (s["n"] > 0) & (size < limit)
+        return F.when(fits, F.struct(s["done"].alias("done"), F.concat(s["open"], x).alias("open"), size.alias("size"), s["n"].alias("n"))).otherwise(
+            F.struct(F.array_append(s["done"], s["open"]).alias("done"), F.concat(F.lit(head), x).alias("open"), (F.char_length(x) + len(head)).cast("bigint").alias("size"), (s["n"] + 1).alias("n")))
 
     packed = F.aggregate("l", start, add, lambda s: F.array_append(s["done"], s["open"]))
-    rows = nested.select(file, "run", F.posexplode(packed).alias("i", "content"))
-    counts = nested.select(file, "run", F.size(packed).alias("c"))  # one row per 10,000
-    before = counts.select(file, "run", (F.sum("c").over(W.partitionBy(file).orderBy("run").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"))
-    return rows.join(before, [file, "run"]).select(file, (F.col("before") + F.col("i") + 1).cast("bigint").alias("n"), "content")
+    parts = nested.join(known, [file, "run"]).select(file, "run", "n", F.posexplode(packed).alias("i", "part")).where("part <> ''")
+    parts = parts.select(file, (F.col("n") + F.col("i")).cast("bigint").alias("n"), F.struct("run", "part").alias("p"))
+    joined = parts.groupBy(file, "n").agg(F.array_sort(F.collect_list("p")).alias("l"))
+    return joined.select(file, "n", F.array_join(F.transform("l", lambda x: x["part"]), "").alias("content"))
 
 
 def markdown_cell(c: str):

@@ -250,3 +250,21 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
 def test_texts_without_ink_have_no_sentence_pieces(spark):
     rows = spark.createDataFrame([(1, ""), (2, None), (3, " \n\u3000"), (4, " a ")], "document_id long, content string")
     assert [tuple(r) for r in chunking.t24(rows, 100).collect()] == [(4, 1, " a ")]
+
+
+def test_long_tables_are_packed_across_runs(spark):
+    sizes = [(i * 7919) % 37 + (i % 5 == 0) * 13 for i in range(25_000)]
+    files = {1: sizes, 2: [500] * 3 + [0] * 30 + [3] * 20, 3: [1] * 10_007}
+    lines = {f: [chr(97 + i % 26) * s for i, s in enumerate(l)] for f, l in files.items()}
+    rows = spark.createDataFrame(pd.DataFrame([(f, k, x) for f, l in lines.items() for k, x in enumerate(l)], columns=["file", "k", "line"]))
+    for limit in (200, 30_000):
+        want = {}
+        for f, l in lines.items():
+            out = []
+            for x in l:
+                if out and len(out[-1]) + len(x) < limit:
+                    out[-1] += x
+                else:
+                    out.append("HEAD\n" + x)
+            want |= {(f, i + 1): c for i, c in enumerate(out)}
+        assert {(r["file"], r["n"]): r["content"] for r in readers.markdown_rows(rows, "file", "HEAD\n", limit).collect()} == want
