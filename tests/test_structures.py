@@ -75,3 +75,29 @@ def test_closure_of_a_deep_chain_and_a_cycle(spark):
 def test_numbers_are_gapless(spark):
     rows = spark.range(1000).selectExpr("(id * 37) % 1000 AS x")
     assert all(r["x"] == r["number"] for r in windows.global_numbers(rows, ["x"]).collect())
+
+
+def test_fast_path_meets_each_name_once(spark):
+    """A hundred queries for one name and two thousand owners of it: the pairs between are not made."""
+    from rookery.plans import recruiting
+
+    queries = spark.createDataFrame([(i, "王伟") for i in range(100)] + [(100, "李娜"), (101, "who else")], "query_id long, query string")
+    owners = spark.createDataFrame([(i, "王伟") for i in range(2000, 0, -1)] + [(i, "小李娜") for i in (5001, 5002)], "candidate_id long, name string")
+    hits = spark.createDataFrame([(q, c, float(c % 50)) for q in range(102) for c in (1, 5002, 6000, 6001, 6049)], "query_id long, candidate_id long, score double")
+    out = recruiting.name_fast_path(queries, owners, hits)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["candidate_id"], r["pinned"]))
+    assert all(got[q] == [(c, True) for c in range(1, 21)] for q in range(100))
+    assert got[100] == [(5001, True), (5002, True), (6049, False), (1, False), (6001, False), (6000, False)] and [c for c, _ in got[101]] == [6049, 5002, 1, 6001, 6000]
+    rows = []
+
+    def walk(node):
+        if node.nodeName().endswith("Join"):
+            rows.append(node.metrics().get("numOutputRows").get().value())
+        for child in (node.executedPlan(),) if node.nodeName() == "AdaptiveSparkPlan" else (node.plan(),) if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+
+    out.collect()
+    walk(out._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) < 20_000
