@@ -101,3 +101,26 @@ def test_fast_path_meets_each_name_once(spark):
     out.collect()
     walk(out._jdf.queryExecution().executedPlan())
     assert rows and max(rows) < 20_000
+
+
+def test_jobs_with_the_same_skills_are_answered_once(spark):
+    """Skills by text and by vector; a vector hit stands before, documents with the same terms are alike, copies of a job get its answer."""
+    from pyspark.sql import functions as F
+
+    from rookery.plans import retrieval
+
+    docs = spark.createDataFrame([(i, "red bolt" if i % 3 == 0 else "a bolts" if i % 3 == 1 else "none") for i in range(300)], "document_id long, content string")
+    jobs = spark.createDataFrame([(400 * j + at, s) for j in range(50) for at, s in ((20, ["red", "bolt"]), (40, ["bolt", "red"]))] + [(21, ["red"])], "job_id long, skills array<string>")
+    unit = lambda i: [1.0 if j == i else 0.0 for j in range(4)]
+    rows = spark.createDataFrame([(1, 10, 7, unit(0)), (2, 11, 1, unit(1)), (3, 12, 2, unit(3))], "id long, paragraph_id long, document_id long, embedding array<double>").withColumn("knowledge_id", F.lit(0))
+    queries = spark.createDataFrame([(20, unit(0)), (40, unit(1)), (60, unit(2)), (80, unit(3)), (100, unit(3))], "query_id long, embedding array<double>")
+    got = {}
+    for r in retrieval.skill_and(docs, jobs, rows, queries).collect():
+        got.setdefault(r["job_id"], {})[r["rank"]] = (r["document_id"], r["paragraph_id"], r["bits"])
+    assert set(got) == {400 * j + at for j in range(50) for at in (20, 40)} and all(len(x) == 20 for x in got.values())
+    assert [got[20][n] for n in (1, 2, 3, 20)] == [(7, 10, "11"), (1, 11, "01"), (0, None, "11"), (51, None, "11")] and all(got[400 * j + 20] == got[20] for j in range(50))
+    assert [got[40][n] for n in (1, 2, 20)] == [(1, 11, "10"), (0, None, "11"), (54, None, "11")]
+    match = [tuple(r) for r in retrieval.job_candidate_match(docs, jobs.where("job_id < 400"), rows, queries).orderBy("job_id", "rank").collect()]
+    assert match[:10] == [(20, 3 * i, 4, "text", i + 1) for i in range(10)] and len(match) == 20
+    found = retrieval.skill_hits(docs, jobs, rows, queries)
+    assert found.classes.count() == 2 and found.jobs.count() == 100 and found.held.count() == 200
