@@ -124,3 +124,20 @@ def test_jobs_with_the_same_skills_are_answered_once(spark):
     assert match[:10] == [(20, 3 * i, 4, "text", i + 1) for i in range(10)] and len(match) == 20
     found = retrieval.skill_hits(docs, jobs, rows, queries)
     assert found.classes.count() == 2 and found.jobs.count() == 100 and found.held.count() == 200
+
+
+def test_evidence_keeps_no_postings_and_no_excerpts(spark, monkeypatch):
+    from rookery.plans import recruiting
+
+    kept = []
+    monkeypatch.setattr(recruiting, "keyword_index", lambda *a: pytest.fail("a posting table of all paragraphs"))
+    monkeypatch.setattr(recruiting, "staged", lambda df, name, real=recruiting.staged: kept.append(df.columns) or real(df, name))
+    applications = spark.createDataFrame([(1, 5, 3), (2, 5, 43), (3, 6, 3), (4, 9, 3), (5, 5, 4)], "application_id long, candidate_id long, job_id long")
+    texts = {50: (5, "red red fish"), 51: (5, "blue fish in red"), 52: (5, "nothing"), 53: (5, "RED blue fish"), 54: (5, "blue"), 60: (6, "fish 13812345678")}
+    paragraphs = spark.createDataFrame([(p, d, t) for p, (d, t) in texts.items()], "paragraph_id long, document_id long, content string")
+    queries = spark.createDataFrame([(3, "Red blue fish fish"), (4, "blue")], "query_id long, text string")
+    rows = {(r["application_id"], r["rank"]): (r["paragraph_id"], r["relevance"]) for r in recruiting.evidence_bundle(applications, paragraphs, queries).collect()}
+    best = {1: (51, 1.0), 2: (53, 1.0), 3: (50, 0.666667)}
+    assert rows == {(a, n): x for a in (1, 2) for n, x in best.items()} | {(3, 1): (60, 0.333333), (5, 1): (51, 1.0), (5, 2): (53, 1.0), (5, 3): (54, 1.0)}
+    assert {tuple(r) for r in recruiting.v23(applications, paragraphs, queries).collect()} == {(1, 52), (2, 52), (3, 61), (5, 52)}
+    assert kept and not any("excerpt" in columns for columns in kept)
