@@ -141,3 +141,20 @@ def test_evidence_keeps_no_postings_and_no_excerpts(spark, monkeypatch):
     assert rows == {(a, n): x for a in (1, 2) for n, x in best.items()} | {(3, 1): (60, 0.333333), (5, 1): (51, 1.0), (5, 2): (53, 1.0), (5, 3): (54, 1.0)}
     assert {tuple(r) for r in recruiting.v23(applications, paragraphs, queries).collect()} == {(1, 52), (2, 52), (3, 61), (5, 52)}
     assert kept and not any("excerpt" in columns for columns in kept)
+
+
+def test_words_stay_in_their_tasks(spark, monkeypatch):
+    """Terms found inside words, by the tasks and by the join that many terms take; the first way shuffles no words."""
+    from rookery.plans import retrieval
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcä中") for _ in range(rng.randint(1, 6)))
+    rows = [(i, rng.choice([" ", "\t", "\n ", "\x0b"]).join(word() for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(300, None), (301, "a b c")]
+    terms = sorted({word() for _ in range(60)}) + ["a b", ""]
+    table, wanted = spark.createDataFrame(rows, "k long, t string"), spark.createDataFrame([(t,) for t in [*terms, None]], "term string")
+    want = {(k, t) for k, x in rows for t in terms if t and t in (x or "")}
+    places = retrieval.term_places(table, ["k"], "t", wanted)
+    assert {tuple(r) for r in places.collect()} == want
+    assert "Exchange" not in places._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "MOST_SENT", 10)
+    assert {tuple(r) for r in retrieval.term_hits(table, ["k"], "t", wanted).collect()} == want
